@@ -14,7 +14,9 @@ NIL = "<nil>"
 # Type tags a value can carry after a cast; anything else is text.
 TYPED = ("int", "float", "bool")
 
-cols = F.col("columns")
+
+def cols() -> Column:
+    return F.col("columns")
 
 
 def is_text(c: Column) -> Column:
@@ -33,9 +35,9 @@ def with_value(c: Column, value: Column, type_: Column | None = None) -> Column:
     )
 
 
-def map_values(fn: Callable[[Column], Column], over: Column = cols) -> Column:
+def map_values(fn: Callable[[Column], Column], over: Column | None = None) -> Column:
     """Rewrite the value of every cell; ``fn`` gets the cell and returns the new value."""
-    return F.transform(over, lambda c: with_value(c, fn(c)))
+    return F.transform(cols() if over is None else over, lambda c: with_value(c, fn(c)))
 
 
 def named(c: Column, names: Iterable[str], ci: bool = False) -> Column:
@@ -44,23 +46,23 @@ def named(c: Column, names: Iterable[str], ci: bool = False) -> Column:
     return target.isin(*names) if names else F.lit(False)
 
 
-def first_cell(name: str, over: Column = cols) -> Column:
-    return F.get(F.filter(over, lambda c: c["name"] == name), F.lit(0))
+def first_cell(name: str, over: Column | None = None) -> Column:
+    return F.get(F.filter(cols() if over is None else over, lambda c: c["name"] == name), F.lit(0))
 
 
-def first_value(name: str, over: Column = cols) -> Column:
+def first_value(name: str, over: Column | None = None) -> Column:
     return first_cell(name, over)["value"]
 
 
-def last_value_ci(name: str, over: Column = cols) -> Column:
+def last_value_ci(name: str, over: Column | None = None) -> Column:
     """Value of the last cell of that name (any case) that has one."""
-    hits = F.filter(over, lambda c: (F.lower(c["name"]) == name.lower()) & c["value"].isNotNull())
+    hits = F.filter(cols() if over is None else over, lambda c: (F.lower(c["name"]) == name.lower()) & c["value"].isNotNull())
     return F.try_element_at(hits, F.lit(-1))["value"]
 
 
-def last_by_name(over: Column = cols) -> Column:
+def last_by_name(over: Column | None = None) -> Column:
     """Map view of the cells: one cell per name, the last one."""
-    at = F.transform(over, lambda c, i: F.struct(c.alias("cell"), i.alias("i")))
+    at = F.transform(cols() if over is None else over, lambda c, i: F.struct(c.alias("cell"), i.alias("i")))
     return F.transform(
         F.filter(
             at,
@@ -89,8 +91,9 @@ def first_match(rules: Iterable[tuple[Column, object]], default=None) -> Column:
     return F.coalesce(*out) if out else F.lit(None)
 
 
-def joined(sep: str = ";", over: Column = cols) -> Column:
+def joined(sep: str = ";", over: Column | None = None) -> Column:
     """``name=value`` text of the cells in column order."""
+    over = cols() if over is None else over
     return F.array_join(F.transform(over, lambda c: F.concat(c["name"], F.lit("="), shown(c))), sep)
 
 
@@ -107,7 +110,7 @@ def byte_size() -> Column:
         start=F.lit(0),
     )
     body = F.aggregate(
-        F.coalesce(cols, F.array().cast(CELLS)),
+        F.coalesce(cols(), F.array().cast(CELLS)),
         F.lit(0),
         lambda acc, c: acc
         + F.coalesce(F.octet_length(c["name"]), F.lit(0))

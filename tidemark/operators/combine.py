@@ -30,7 +30,7 @@ def merge(src: DataFrame, on: Sequence[str], prefer: str = "src", table: str | N
         same = F.lit(True)
         for k in on:
             same = same & (F.col(k) == F.col(f"_m_{k}"))
-        mine = F.coalesce(cols, F.array().cast(CELLS))
+        mine = F.coalesce(cols(), F.array().cast(CELLS))
         theirs = F.col("_src")
         last = lambda c: F.try_element_at(F.filter(theirs, lambda s: s["name"] == c["name"]), F.lit(-1))
         shared = mine
@@ -47,7 +47,7 @@ def merge(src: DataFrame, on: Sequence[str], prefer: str = "src", table: str | N
             applies = applies & (F.col("table_name") == table) & (F.col("_src_table") == table)
         return (
             dst.join(other, same, "left")
-            .withColumn("columns", F.when(F.coalesce(applies, F.lit(False)), merged).otherwise(cols))
+            .withColumn("columns", F.when(F.coalesce(applies, F.lit(False)), merged).otherwise(cols()))
             .drop("_src", "_src_table", *[f"_m_{k}" for k in on])
         )
 
@@ -67,7 +67,7 @@ def coalesce_rows(key_column: str, tables: Sequence[str] = ()) -> Stage:
         listed = [t.lower() for t in tables]
         inside = F.coalesce(F.lower("table_name").isin(*listed), F.lit(False)) if listed else F.lit(True)
         keyed = df.filter(inside).withColumn(
-            "_key", F.lower(F.coalesce(F.try_element_at(F.filter(cols, lambda c: c["name"] == key_column), F.lit(-1))["value"], F.lit("")))
+            "_key", F.lower(F.coalesce(F.try_element_at(F.filter(cols(), lambda c: c["name"] == key_column), F.lit(-1))["value"], F.lit("")))
         )
         group = ["table_name", "_key"]
         rest = [c for c in df.columns if c not in ("table_name", "columns", "lsn", "seq")]

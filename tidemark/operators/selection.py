@@ -29,7 +29,7 @@ def dedup_ttl(keys: Sequence[str], ttl=30, **kw) -> Stage:
 
 
 def content_hash(columns: Sequence[str] = ()):
-    body = F.filter(cols, lambda c: named(c, columns)) if columns else cols
+    body = F.filter(cols(), lambda c: named(c, columns)) if columns else cols()
     text = F.array_join(F.transform(body, lambda c: F.concat(c["name"], F.lit("="), shown(c), F.lit(";"))), "")
     head = F.concat(
         F.coalesce("table_name", F.lit("")), F.lit(":"), F.coalesce("action", F.lit("")), F.lit(":")

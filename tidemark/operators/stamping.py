@@ -185,7 +185,7 @@ def partition_bucket(n: int, by: str = "table") -> Column:
     if by == "action":
         key = F.coalesce("action", F.lit(""))
     elif by == "first_column":
-        key = F.when(F.size(F.coalesce(cols, F.array())) > 0, shown(F.get(cols, F.lit(0)))).otherwise(F.lit(""))
+        key = F.when(F.size(F.coalesce(cols(), F.array())) > 0, shown(F.get(cols(), F.lit(0)))).otherwise(F.lit(""))
     else:
         key = F.coalesce("table_name", F.lit(""))
     return fnv1a_32(key) % n

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,8 @@ from tidemark.functions.text import general_number, trim_space
 from tidemark.model import CELLS
 from tidemark.operators.filters import Stage
 
-_TEXT_TYPE = F.lit(None).cast("string")
+def _text_type() -> Column:
+    return F.lit(None).cast("string")
 
 
 def project(keep: Sequence[str] = (), exclude: Sequence[str] = (), table: str | None = None) -> Stage:
@@ -29,7 +30,7 @@ def project(keep: Sequence[str] = (), exclude: Sequence[str] = (), table: str |
         return lambda df: df
     wanted = (lambda c: named(c, keep)) if keep else (lambda c: ~named(c, exclude))
     return lambda df: df.withColumn(
-        "columns", F.when(scope(table), F.filter(cols, wanted)).otherwise(cols)
+        "columns", F.when(scope(table), F.filter(cols(), wanted)).otherwise(cols())
     )
 
 
@@ -39,12 +40,15 @@ def get_column(name: str, into: str) -> Stage:
 
 def flatten(into: str = "flat", with_table: bool = False, sep: str = ".") -> Stage:
     """Columns as a text map in ``into``; a typed value is an error, told in ``flatten_error``."""
-    prefix = F.concat(F.col("table_name"), F.lit(sep)) if with_table else F.lit("")
+    prefix = F.lit("")
+    if with_table:
+        known = F.coalesce("table_name", F.lit("")) != ""
+        prefix = F.when(known, F.concat(F.col("table_name"), F.lit(sep))).otherwise(prefix)
     pairs = F.transform(
         last_by_name(),
         lambda c: F.struct(F.concat(prefix, c["name"]), F.coalesce(c["value"], F.lit(""))),
     )
-    typed = F.get(F.filter(cols, lambda c: c["type"].isin(*TYPED) & c["value"].isNotNull()), F.lit(0))
+    typed = F.get(F.filter(cols(), lambda c: c["type"].isin(*TYPED) & c["value"].isNotNull()), F.lit(0))
     error = F.when(
         typed.isNotNull(), F.concat(F.lit("flatten: column "), typed["name"], F.lit(" is not text: "), typed["type"])
     )
@@ -62,8 +66,8 @@ def mask_columns(*names: str, text: str = "***") -> Stage:
     return lambda df: df.withColumn(
         "columns",
         F.transform(
-            cols,
-            lambda c: F.when(named(c, names), with_value(c, F.lit(text), _TEXT_TYPE)).otherwise(with_value(c, c["value"])),
+            cols(),
+            lambda c: F.when(named(c, names), with_value(c, F.lit(text), _text_type())).otherwise(with_value(c, c["value"])),
         ),
     )
 
@@ -83,7 +87,7 @@ class MaskRule:
     def masked(self, c: Column) -> Column:
         if self.mode == "hash":
             return F.sha2(shown(c), 256)
-        return F.lit("" if self.mode == "blank" else self.text)
+        return F.lit("" if self.mode == "blank" else self.text or "***")
 
 
 def mask_rules(*rules: MaskRule) -> Stage:
@@ -96,10 +100,10 @@ def mask_rules(*rules: MaskRule) -> Stage:
     def one(c: Column) -> Column:
         out = with_value(c, c["value"])
         for rule in rules:
-            out = F.when(rule.covers(c), with_value(c, rule.masked(c), _TEXT_TYPE)).otherwise(out)
+            out = F.when(rule.covers(c), with_value(c, rule.masked(c), _text_type())).otherwise(out)
         return out
 
-    return lambda df: df.withColumn("columns", F.transform(cols, one))
+    return lambda df: df.withColumn("columns", F.transform(cols(), one))
 
 
 def redact(columns: dict[str, Sequence[str]] | None = None, pattern: str = "", text: str = "[REDACTED]") -> Stage:
@@ -187,12 +191,12 @@ def cast(*rules: CastRule) -> Stage:
                 F.coalesce(acc["error"], error).alias("error"),
             )
 
-        folded = F.aggregate(cols, start, step)
+        folded = F.aggregate(cols(), start, step)
         return (
-            df.withColumn("_cast", F.when(here & cols.isNotNull(), folded))
+            df.withColumn("_cast", F.when(here & cols().isNotNull(), folded))
             .withColumns(
                 {
-                    "columns": F.coalesce(F.col("_cast.done"), cols),
+                    "columns": F.coalesce(F.col("_cast.done"), cols()),
                     "cast_error": F.coalesce(F.col("cast_error"), F.col("_cast.error")),
                 }
             )
@@ -265,7 +269,7 @@ def normalize(columns: dict[str, Callable[[Column], Column]], table: str | None
             out = F.when((c["name"] == name) & is_text(c), fn(c["value"])).otherwise(out)
         return out
 
-    return lambda df: df.withColumn("columns", F.when(scope(table), map_values(value)).otherwise(cols))
+    return lambda df: df.withColumn("columns", F.when(scope(table), map_values(value)).otherwise(cols()))
 
 
 @dataclass(frozen=True)
@@ -294,13 +298,13 @@ def lookup(*rules: LookupRule) -> Stage:
             if rule.fallback:
                 found = F.coalesce(found, F.lit(rule.fallback))
             hit = scope(rule.table, ci=True) & (F.lower(c["name"]) == rule.column.lower())
-            return F.when(hit & found.isNotNull(), with_value(c, found, _TEXT_TYPE)).otherwise(with_value(c, c["value"]))
+            return F.when(hit & found.isNotNull(), with_value(c, found, _text_type())).otherwise(with_value(c, c["value"]))
 
         return rewrite
 
     def run(df: DataFrame) -> DataFrame:
         for rule in rules:
-            df = df.withColumn("columns", F.transform(cols, one(rule)))
+            df = df.withColumn("columns", F.transform(cols(), one(rule)))
         return df
 
     return run
@@ -313,7 +317,7 @@ def lookup_table(column: str, mapping: DataFrame, fallback: str = "", table: str
     """
     def run(df: DataFrame) -> DataFrame:
         known = mapping.select(F.col("key").alias("_asked"), F.col("value").alias("_found"))
-        asked = F.coalesce(F.get(F.filter(cols, lambda c: F.lower(c["name"]) == column.lower()), F.lit(0))["value"], F.lit(""))
+        asked = F.coalesce(F.get(F.filter(cols(), lambda c: F.lower(c["name"]) == column.lower()), F.lit(0))["value"], F.lit(""))
         found = F.coalesce(F.col("_found"), F.lit(fallback)) if fallback else F.col("_found")
         hit = lambda c: scope(table, ci=True) & (F.lower(c["name"]) == column.lower()) & found.isNotNull()
         return (
@@ -322,8 +326,8 @@ def lookup_table(column: str, mapping: DataFrame, fallback: str = "", table: str
             .withColumn(
                 "columns",
                 F.transform(
-                    cols,
-                    lambda c: F.when(hit(c), with_value(c, found, _TEXT_TYPE)).otherwise(with_value(c, c["value"])),
+                    cols(),
+                    lambda c: F.when(hit(c), with_value(c, found, _text_type())).otherwise(with_value(c, c["value"])),
                 ),
             )
             .drop("_ask", "_asked", "_found")

@@ -19,12 +19,12 @@ def asof_by_seq(left: DataFrame, right: DataFrame, keys: Sequence[str], value: s
 
     ``seq`` is unique over both sides together.
     """
-    both = left.withColumn("_probe", F.lit(True)).unionByName(
-        right.select(*keys, "seq", F.col(value).alias("_entry"), F.lit(False).alias("_probe")),
+    both = left.withColumn("_asof_probe", F.lit(True)).unionByName(
+        right.select(*keys, "seq", F.col(value).alias("_asof_entry"), F.lit(False).alias("_asof_probe")),
         allowMissingColumns=True,
     )
-    seen = running(both, {value: Running("last", F.col("_entry"))}, keys, block=block)
-    return seen.filter("_probe").select(*left.columns, value)
+    seen = running(both, {value: Running("last", F.col("_asof_entry"))}, keys, block=block)
+    return seen.filter("_asof_probe").select(*left.columns, value)
 
 
 def asof_by_time(
@@ -43,21 +43,21 @@ def asof_by_time(
     one per key and instant, so the order is unique as ``running`` needs it.
     """
     pick = F.max_by(value, tie) if tie else F.last(value)
-    entries = right.groupBy(*keys, F.unix_micros(right_ts).alias("_at")).agg(pick.alias("_entry"))
-    timed = left.withColumn("_at", F.unix_micros(left_ts))
-    probes = timed.select(*keys, "_at").filter("_at is not null").distinct()
-    order = (F.col("_at") * 2 + F.when(F.col("_probe"), 1).otherwise(0)).alias("_order")
+    entries = right.groupBy(*keys, F.unix_micros(right_ts).alias("_asof_at")).agg(pick.alias("_asof_entry"))
+    timed = left.withColumn("_asof_at", F.unix_micros(left_ts))
+    probes = timed.select(*keys, "_asof_at").filter("_asof_at is not null").distinct()
+    order = (F.col("_asof_at") * 2 + F.when(F.col("_asof_probe"), 1).otherwise(0)).alias("_asof_order")
     both = (
-        probes.withColumn("_probe", F.lit(True))
-        .unionByName(entries.withColumn("_probe", F.lit(False)), allowMissingColumns=True)
+        probes.withColumn("_asof_probe", F.lit(True))
+        .unionByName(entries.withColumn("_asof_probe", F.lit(False)), allowMissingColumns=True)
         .select("*", order)
     )
     seen = (
-        running(both, {value: Running("last", F.col("_entry"))}, keys, order="_order", block=block, levels=2)
-        .filter("_probe")
-        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_at").alias("_k_at"), value)
+        running(both, {value: Running("last", F.col("_asof_entry"))}, keys, order="_asof_order", block=block, levels=2)
+        .filter("_asof_probe")
+        .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_asof_at").alias("_k_at"), value)
     )
-    same = F.col("_at") == F.col("_k_at")
+    same = F.col("_asof_at") == F.col("_k_at")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     return timed.join(seen, same, "left").select(*left.columns, value)

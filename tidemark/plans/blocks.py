@@ -32,14 +32,14 @@ def with_block(df: DataFrame, keys: Sequence[str], position: Column, block: int,
         return df.withColumn("_block", place)
     hot = (
         df.groupBy(*[F.col(k).alias(f"_h_{k}") for k in keys])
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > block)
+        .agg(F.count(F.lit(1)).alias("_hot_rows"))
+        .filter(F.col("_hot_rows") > block)
     )
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
     return df.join(F.broadcast(hot), same, "left").select(
-        *df.columns, F.when(F.col("_n").isNotNull(), place).alias("_block")
+        *df.columns, F.when(F.col("_hot_rows").isNotNull(), place).alias("_block")
     )
 
 

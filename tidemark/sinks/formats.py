@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.cells import cols, shown
+from tidemark.functions.cells import TYPED, cols, shown
 from tidemark.functions import meta
 from tidemark.operators.filters import Stage
 from tidemark.operators.stamping import row_id
@@ -36,7 +36,7 @@ _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
 def _cell_json(c: Column) -> Column:
-    plain = F.when(c["type"].isin("int", "float", "bool"), c["value"])
+    plain = F.when(c["type"].isin(*TYPED), c["value"])
     value = F.coalesce(plain, F.when(c["value"].isNull(), F.lit("null")).otherwise(quoted(c["value"])))
     return F.concat(
         F.lit('{"name":'), quoted(c["name"]), F.lit(',"type":'), quoted(F.coalesce(c["type"], F.lit(""))),
@@ -44,11 +44,6 @@ def _cell_json(c: Column) -> Column:
     )
 
 
-def _plain_text() -> Column:
-    """True when no value carries a type tag, so the whole array goes through one to_json."""
-    return ~F.exists(cols, lambda c: F.coalesce(c["type"], F.lit("")).isin("int", "float", "bool"))
-
-
 def _cells_json(cells: Column) -> Column:
     """JSON of the cells: text in quotes, cast numbers and booleans bare, absent values null."""
     tagged = F.concat(F.lit("["), F.array_join(F.transform(cells, _cell_json), ","), F.lit("]"))
@@ -61,14 +56,16 @@ def _cells_json(cells: Column) -> Column:
         ),
         _KEEP_NULLS,
     )
-    return F.when(_plain_text() if cells is cols else F.lit(True), text).otherwise(tagged)
+    # Without type tags the whole array goes through one to_json.
+    some_tag = F.exists(cells, lambda c: F.coalesce(c["type"], F.lit("")).isin(*TYPED))
+    return F.when(some_tag, tagged).otherwise(text)
 
 
 def json_line() -> Column:
     """Compact JSON; empty arrays are left out, absent values are written as null."""
     head = F.to_json(
         F.struct(
-            F.col("lsn").alias("lsn"),
+            lsn_text(F.col("lsn")).alias("lsn"),
             rfc3339("ts", fraction=True).alias("timestamp"),
             F.col("action").alias("action"),
             F.coalesce("schema_name", F.lit("")).alias("schema"),
@@ -82,13 +79,13 @@ def json_line() -> Column:
         return F.when(F.size(F.coalesce(cells, F.array())) > 0, body).otherwise(F.lit(""))
 
     return F.concat(
-        F.regexp_replace(head, r"\}$", ""), part("columns", cols), part("old_keys", F.col("old_keys")), F.lit("}")
+        F.regexp_replace(head, r"\}$", ""), part("columns", cols()), part("old_keys", F.col("old_keys")), F.lit("}")
     )
 
 
 def text_line() -> Column:
     """``ACTION schema.table name=value …``"""
-    pairs = F.transform(cols, lambda c: F.concat(c["name"], F.lit("="), shown(c)))
+    pairs = F.transform(cols(), lambda c: F.concat(c["name"], F.lit("="), shown(c)))
     return F.concat(
         F.col("action"), F.lit(" "), F.coalesce("schema_name", F.lit("")), F.lit("."),
         F.coalesce("table_name", F.lit("")), F.lit(" "), F.coalesce(F.array_join(pairs, " "), F.lit("")),
@@ -103,7 +100,7 @@ def pretty_text() -> Column:
         return F.concat(pad(1), F.lit(f'"{name}": '), value)
 
     def cell(c: Column) -> Column:
-        bare = c["type"].isin("int", "float", "bool") & c["value"].isNotNull()
+        bare = c["type"].isin(*TYPED) & c["value"].isNotNull()
         value = F.when(F.coalesce(bare, F.lit(False)), c["value"]).when(c["value"].isNull(), F.lit("null"))
         return F.concat(
             pad(2), F.lit("{"),
@@ -118,12 +115,12 @@ def pretty_text() -> Column:
         return F.when(F.size(F.coalesce(cells, F.array())) > 0, body)
 
     fields = F.array(
-        field("lsn", F.col("lsn").cast("string")),
+        field("lsn", quoted(lsn_text(F.col("lsn")))),
         field("timestamp", quoted(rfc3339("ts", fraction=True))),
         field("action", quoted(F.col("action"))),
         field("schema", quoted(F.coalesce("schema_name", F.lit("")))),
         field("table", quoted(F.coalesce("table_name", F.lit("")))),
-        part("columns", cols),
+        part("columns", cols()),
         part("old_keys", F.col("old_keys")),
     )
     return F.concat(F.lit("{"), F.array_join(fields, ","), F.lit("\n}"))
@@ -133,9 +130,8 @@ def csv_line() -> Column:
     """lsn, timestamp, action, schema, table and the columns as JSON."""
     return F.to_csv(
         F.struct(
-            F.col("lsn"), rfc3339("ts", fraction=True).alias("timestamp"), F.col("action"),
-            F.col("schema_name"), F.col("table_name"),
-            F.coalesce(F.to_json(F.map_from_arrays(F.transform(cols, lambda c, i: F.concat_ws(":", i.cast("string"), c["name"])), F.transform(cols, lambda c: c["value"]))), F.lit("{}")).alias("columns"),
+            lsn_text(F.col("lsn")).alias("lsn"), rfc3339("ts", fraction=True).alias("timestamp"),
+            F.col("action"), F.col("schema_name"), F.col("table_name"), _cells_json(cols()).alias("columns"),
         )
     )
 
@@ -194,7 +190,7 @@ def audit(tables=(), actions=()) -> Stage:
         keep = keep & F.col("action").isin(*actions)
     line = F.concat(
         F.lit("time="), rfc3339("ts"), F.lit(" table="), F.col("table_name"), F.lit(" action="), F.col("action"),
-        F.lit(" lsn="), F.col("lsn").cast("string"),
+        F.lit(" lsn="), lsn_text(F.col("lsn")),
     )
     return lambda df: df.filter(keep).select("seq", line.alias("line"))
 
@@ -204,5 +200,5 @@ def observe_line(prefix: str = "") -> Column:
     return F.concat(
         F.lit(lead), rfc3339("ts"), F.lit(" action="), F.col("action"), F.lit(" table="), F.col("table_name"),
         F.lit(" lsn="), F.col("lsn").cast("string"), F.lit(" columns="),
-        F.size(F.coalesce(cols, F.array())).cast("string"),
+        F.size(F.coalesce(cols(), F.array())).cast("string"),
     )
