@@ -88,11 +88,11 @@ def schema_version(**kw) -> Stage:
 
     def run(relations: DataFrame) -> DataFrame:
         observed = relations.withColumn("_fp", fingerprint())
-        seen = running(observed, {"_prev": Running("last", F.col("_fp"), before=True)}, ["relation_id"], **kw)
+        seen = running(observed, {"_prev": Running("last", F.col("_fp"), before=True)}, ["relation_id"], few_keys=True, **kw)
         changed = ~F.col("_fp").eqNullSafe(F.col("_prev"))
         flagged = seen.withColumn("changed", changed)
         counted = running(
-            flagged, {"version": Running("sum", F.col("changed").cast("bigint"))}, ["relation_id"], **kw
+            flagged, {"version": Running("sum", F.col("changed").cast("bigint"))}, ["relation_id"], few_keys=True, **kw
         )
         return counted.drop("_fp", "_prev")
 

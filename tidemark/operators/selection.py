@@ -12,7 +12,7 @@ from tidemark.functions.cells import cols, first_value, named, scope, shown
 from tidemark.model import span_micros
 from tidemark.operators.filters import Stage
 from tidemark.plans.blocks import Running, count_if, running
-from tidemark.plans.statescan import BucketRule, SpanRule, keep_marked, flag_marked
+from tidemark.plans.statescan import BucketRule, SpanRule, flag_marked, keep_marked, narrow_rows, scan
 
 
 def _positive(span, what: str) -> int:
@@ -134,17 +134,17 @@ def debounce(keys: Sequence[str], window=0.2, max_delay=2, **kw) -> Stage:
     at = F.unix_micros("ts")
 
     def run(df: DataFrame) -> DataFrame:
-        # Whole rows only travel to the last aggregate; the burst plan works on narrow ones.
-        narrow = df.select(*keys, "seq", "ts")
-        seen = running(narrow, {"_prev": Running("last", at, before=True)}, keys, **kw)
-        cut = F.col("_prev").isNull() | (at - F.col("_prev") >= quiet)
-        starts = flag_marked(seen, keys, SpanRule(longest), "_start", reset=cut, **kw)
-        bursts = running(starts, {"_burst": Running("last", F.when(F.col("_start"), F.col("seq")))}, keys, **kw)
+        # Whole rows only travel to the last join; the burst plan works on narrow ones.
+        narrow = narrow_rows(df, keys, **kw)
+        seen = running(narrow, {"_prev": Running("last", F.col("at"), before=True)}, ["_k"])
+        cut = F.col("_prev").isNull() | (F.col("at") - F.col("_prev") >= quiet)
+        starts = scan(seen, SpanRule(longest), reset=cut, all_rows=True)
+        bursts = running(starts, {"_burst": Running("last", F.when(F.col("marked"), F.col("seq")))}, ["_k"])
         ends = bursts.groupBy("_burst").agg(
             F.max("seq").alias("_last"),
             F.count(F.lit(1)).alias("burst_rows"),
-            F.min_by(at, "seq").alias("_from"),
-            F.max_by(at, "seq").alias("_to"),
+            F.min_by("at", "seq").alias("_from"),
+            F.max_by("at", "seq").alias("_to"),
         )
         emit = F.timestamp_micros(F.least(F.col("_to") + quiet, F.col("_from") + longest))
         last = ends.select("_last", emit.alias("emit_ts"), "burst_rows")
@@ -161,17 +161,11 @@ def sample_max_per_second(limit: int, keys: Sequence[str] = (), second=1, **kw)
     rule = SpanRule(_positive(second, "sample_max_per_second: window"))
 
     def run(df: DataFrame) -> DataFrame:
-        narrow = flag_marked(df.select(*keys, "seq", "ts"), keys, rule, "_open", **kw)
-        total = running(
-            narrow,
-            {"_n": count_if(), "_w": Running("last", F.when(F.col("_open"), F.col("seq")))},
-            keys, **kw,
-        )
+        rows = scan(narrow_rows(df, keys, **kw), rule, all_rows=True)
+        total = running(rows, {"_n": count_if()}, ["_k"])
         # The rank inside a window is the running count minus the count where it opened.
-        base = running(
-            total, {"_b": Running("max", F.when(F.col("_open"), F.col("_n")))}, keys, **kw
-        )
-        hits = base.filter(F.col("_n") - F.col("_b") < limit).select(F.col("seq").alias("_seq"))
+        base = running(total, {"_open": Running("max", F.when(F.col("marked"), F.col("_n")))}, ["_k"])
+        hits = base.filter(F.col("_n") - F.col("_open") < limit).select(F.col("seq").alias("_seq"))
         return df.join(hits, F.col("seq") == F.col("_seq"), "left_semi")
 
     return run

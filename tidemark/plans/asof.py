@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.blocks import BLOCK, Running, running
 
 
-def asof_by_seq(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, block: int = BLOCK) -> DataFrame:
+def asof_by_seq(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, **kw) -> DataFrame:
     """For every left row the ``value`` struct of the newest right row with a smaller ``seq``.
 
     ``seq`` is unique over both sides together.
@@ -23,7 +23,7 @@ def asof_by_seq(left: DataFrame, right: DataFrame, keys: Sequence[str], value: s
         right.select(*keys, "seq", F.col(value).alias("_asof_entry"), F.lit(False).alias("_asof_probe")),
         allowMissingColumns=True,
     )
-    seen = running(both, {value: Running("last", F.col("_asof_entry"))}, keys, block=block)
+    seen = running(both, {value: Running("last", F.col("_asof_entry"))}, keys, **kw)
     return seen.filter("_asof_probe").select(*left.columns, value)
 
 

@@ -90,9 +90,10 @@ def running(
 
     ``levels`` above 1 scans the block table in blocks too, for orders whose block table is
     itself large. ``few_keys`` tells that nearly every key is hot (such as a table name).
+    A ``_block`` column that is there already (from ``with_block``) is used and kept.
     """
     position = -F.col(order) if descending else F.col(order)
-    blocked = with_block(df, keys, position, block, few_keys)
+    blocked = df if "_block" in df.columns else with_block(df, keys, position, block, few_keys)
     group = [*keys, "_block"]
 
     totals = (

@@ -32,6 +32,8 @@ Pieces = list[tuple[int, bool, int]]  # (upper bound, constant?, value or shift)
 
 _TABLE = "_k string, _b bigint, hi array<bigint>, fixed array<boolean>, val array<bigint>"
 _ENTRY = "_k string, _b bigint, entry bigint"
+_HITS = "_seq bigint"
+_FLAGGED = "_k string, _b bigint, seq bigint, at bigint, marked boolean"
 _OUT_ROWS = 8192
 
 
@@ -170,7 +172,7 @@ class BucketRule:
 
 def _batch(schema: str, columns: list[list]) -> pa.RecordBatch:
     kinds = {
-        "string": pa.string(), "bigint": pa.int64(),
+        "string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(),
         "array<bigint>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()),
     }
     fields = [f.split(" ") for f in schema.split(", ")]
@@ -266,10 +268,11 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _emit(_ENTRY, entries())
 
 
-def _replay(rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The marked rows; a leading row per (key, block) may give its entry state."""
+def _replay(rule, all_rows: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The marked rows, or all rows with a flag; a leading row per (key, block) may give its
+    entry state."""
 
-    def hits(batches):
+    def rows(batches):
         open_, state = None, NONE
         step = rule.step
         for key, block, seq, at, reset, entry in _rows(batches, "_k", "_b", "seq", "at", "reset", "entry"):
@@ -279,31 +282,31 @@ def _replay(rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
                 state = entry
                 continue
             state, hit = step(state, at, reset)
-            if hit:
+            if all_rows:
+                yield key, block, seq, at, hit
+            elif hit:
                 yield (seq,)
 
-    return lambda batches: _emit("_seq bigint", hits(batches))
+    return lambda batches: _emit(_FLAGGED if all_rows else _HITS, rows(batches))
 
 
-def marked_seqs(
-    df: DataFrame,
-    keys: Sequence[str],
-    rule: SpanRule | BucketRule,
-    reset: Column | None = None,
-    block: int = BLOCK,
-    levels: int = 2,
-    fan: int = FAN,
-    few_keys: bool = False,
-) -> DataFrame:
-    """The ``seq`` (as ``_seq``) of every row that the rule marks."""
+def narrow_rows(df: DataFrame, keys: Sequence[str], block: int = BLOCK, few_keys: bool = False) -> DataFrame:
+    """What the scans need of each row: ``_k`` (the keys as one text), ``seq``, ``at`` and ``_block``."""
     key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
-    narrow = df.select(
-        key.alias("_k"),
-        "seq",
-        F.unix_micros("ts").alias("at"),
-        F.coalesce(reset if reset is not None else F.lit(False), F.lit(False)).alias("reset"),
-    ).filter(F.col("at").isNotNull())
-    rows = with_block(narrow, ["_k"] if keys else [], F.col("seq"), block, few_keys).withColumnRenamed("_block", "_b")
+    narrow = df.select(key.alias("_k"), "seq", F.unix_micros("ts").alias("at")).filter(F.col("at").isNotNull())
+    return with_block(narrow, ["_k"] if keys else [], F.col("seq"), block, few_keys)
+
+
+def scan(
+    narrow: DataFrame, rule: SpanRule | BucketRule, reset: Column | None = None, all_rows: bool = False,
+    levels: int = 2, fan: int = FAN,
+) -> DataFrame:
+    """Run a rule over ``narrow_rows``.
+
+    Gives the ``_seq`` of the marked rows, or with ``all_rows`` every row with ``marked``.
+    """
+    flag = F.coalesce(reset if reset is not None else F.lit(False), F.lit(False))
+    rows = narrow.select("_k", F.col("_block").alias("_b"), "seq", "at", flag.alias("reset"))
 
     parent = F.floor(F.col("_b") / F.lit(fan)).cast("bigint").alias("_p")
     hot = rows.filter(F.col("_b").isNotNull())
@@ -321,18 +324,21 @@ def marked_seqs(
         entries = _sorted_pass(both, ["_k", "_p"], ["_b"], _walk, _ENTRY)
 
     replay = rows.unionByName(entries, allowMissingColumns=True)
-    return _sorted_pass(replay, ["_k", "_b"], ["seq"], _replay(rule), "_seq bigint")
+    done = _sorted_pass(replay, ["_k", "_b"], ["seq"], _replay(rule, all_rows), _FLAGGED if all_rows else _HITS)
+    return done.withColumnRenamed("_b", "_block") if all_rows else done
 
 
-def keep_marked(df: DataFrame, keys: Sequence[str], rule, **kw) -> DataFrame:
+def keep_marked(df: DataFrame, keys: Sequence[str], rule, block: int = BLOCK, few_keys: bool = False, **kw) -> DataFrame:
     """The rows that the rule marks."""
-    hits = marked_seqs(df, keys, rule, **kw)
+    hits = scan(narrow_rows(df, keys, block, few_keys), rule, **kw)
     return df.join(hits, F.col("seq") == F.col("_seq"), "left_semi")
 
 
-def flag_marked(df: DataFrame, keys: Sequence[str], rule, name: str, **kw) -> DataFrame:
+def flag_marked(
+    df: DataFrame, keys: Sequence[str], rule, name: str, block: int = BLOCK, few_keys: bool = False, **kw
+) -> DataFrame:
     """All rows, with a boolean column that tells whether the rule marks them."""
-    hits = marked_seqs(df, keys, rule, **kw)
+    hits = scan(narrow_rows(df, keys, block, few_keys), rule, **kw)
     return (
         df.join(hits, F.col("seq") == F.col("_seq"), "left")
         .withColumn(name, F.col("_seq").isNotNull())

@@ -106,7 +106,7 @@ def decode_changes(raw: DataFrame, relations: DataFrame, **kw) -> DataFrame:
     ``operators.filters.split_errors`` to part them.
     """
     data = raw.filter(F.col("kind").isin(*KINDS))
-    return _resolved(asof_by_seq(data, _relation_struct(relations), ["relation_id"], "_rel", **kw))
+    return _resolved(asof_by_seq(data, _relation_struct(relations), ["relation_id"], "_rel", few_keys=True, **kw))
 
 
 def decode_stream(raw: DataFrame, relations: DataFrame) -> DataFrame:
