@@ -12,16 +12,23 @@ FNV_PRIME = 16777619
 
 def fnv1a_32(text: Column) -> Column:
     """32-bit FNV-1a of the UTF-8 bytes, as BIGINT."""
-    digits = F.hex(F.encode(text, "utf-8"))
-    positions = F.sequence(F.lit(1), F.length(digits), F.lit(2))
-    positions = F.when(F.length(digits) > 0, positions).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(
-        positions,
-        F.lit(FNV_BASIS).cast("bigint"),
-        lambda h, i: (
-            h.bitwiseXOR(F.conv(F.substring(digits, i, F.lit(2)), 16, 10).cast("bigint")) * FNV_PRIME
+
+    def fold(items: Column, byte) -> Column:
+        return F.aggregate(
+            items,
+            F.lit(FNV_BASIS).cast("bigint"),
+            lambda h, x: (h.bitwiseXOR(byte(x)) * FNV_PRIME).bitwiseAND(0xFFFFFFFF),
         )
-        % 4294967296,
+
+    # Plain ASCII is read character by character, anything else as pairs of hex digits.
+    plain = fold(F.split(text, ""), lambda c: F.ascii(c).cast("bigint"))
+    digits = F.hex(F.encode(text, "utf-8"))
+    pairs = F.filter(F.split(digits, "(?<=\\G..)"), lambda p: p != "")
+    other = fold(pairs, lambda p: F.conv(p, 16, 10).cast("bigint"))
+    return (
+        F.when(F.length(text) == 0, F.lit(FNV_BASIS).cast("bigint"))
+        .when(F.octet_length(text) == F.length(text), plain)
+        .otherwise(other)
     )
 
 

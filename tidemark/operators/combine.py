@@ -35,11 +35,12 @@ def merge(src: DataFrame, on: Sequence[str], prefer: str = "src", table: str | N
         last = lambda c: F.try_element_at(F.filter(theirs, lambda s: s["name"] == c["name"]), F.lit(-1))
         shared = mine
         if prefer == "src":
-            shared = F.transform(mine, lambda c, i: F.when(
-                # Only the last of several equal names is addressed.
-                ~F.exists(F.slice(mine, i + 2, F.size(mine)), lambda d: d["name"] == c["name"]),
-                F.coalesce(last(c), c),
-            ).otherwise(c))
+            # Of several equal names only the last is addressed.
+            names = F.transform(mine, lambda c: c["name"])
+            later = lambda c, i: F.array_contains(F.slice(names, i + 2, F.size(names)), c["name"])
+            shared = F.when(
+                F.size(F.array_distinct(names)) == F.size(names), F.transform(mine, lambda c: F.coalesce(last(c), c))
+            ).otherwise(F.transform(mine, lambda c, i: F.when(later(c, i), c).otherwise(F.coalesce(last(c), c))))
         added = F.filter(theirs, lambda s: ~F.exists(mine, lambda c: c["name"] == s["name"]))
         merged = F.concat(shared, added)
         applies = theirs.isNotNull()

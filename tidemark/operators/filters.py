@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.cells import byte_size, first_match, scope, stub
 from tidemark.functions.hashing import unit_interval
 from tidemark.model import DATA_ACTIONS, instant, span_micros
-from tidemark.plans.asof import asof_by_time
+from tidemark.plans.asof import TIME_BLOCK, asof_by_time
 from tidemark.plans.blocks import Running, count_if, running
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -115,41 +115,41 @@ def gate(control: DataFrame, initially_open: bool = True) -> Stage:
     return run
 
 
-def hold_release(control: DataFrame, max_buffer: int, **kw) -> Stage:
+def hold_release(control: DataFrame, max_buffer: int) -> Stage:
     """Hold rows while frozen, keep the newest ``max_buffer`` of a freeze, release them at its end.
 
-    ``control``: ``ts``, ``on`` (frozen). Adds ``release_ts``: the own time of a row that was
-    not held, the thaw time of a held one, null while the freeze has not ended.
+    ``control``: ``ts``, ``on`` (frozen), one entry per instant. Adds ``release_ts``: the own
+    time of a row that was not held, the thaw time of a held one, null while the freeze has
+    not ended.
     """
     if max_buffer <= 0:
         raise ValueError("hold_release: the buffer must hold at least one row")
-    at = F.unix_micros("ts")
-    points = control.select("ts", "on", at.alias("_order"))
-    edges = running(points, {"_was": Running("last", F.col("on"), before=True)}, order="_order")
-    edges = edges.filter(~F.col("on").eqNullSafe(F.col("_was")))
-    ends = running(
-        edges,
-        {"_thaw": Running("last", F.when(~F.col("on"), F.col("ts")), before=True)},
-        order="_order", descending=True,
-    )
-    freezes = ends.select("ts", F.struct("on", F.col("ts").alias("start"), F.col("_thaw").alias("end")).alias("_hold"))
+    thaw = Running("last", F.when(~F.col("on"), F.col("ts")), before=True)
+    points = control.select("ts", "on", F.unix_micros("ts").alias("_at"))
+    points = running(points, {"thaw": thaw}, order="_at", block=TIME_BLOCK, descending=True)
+    entries = points.select("ts", F.struct("on", "thaw").alias("_hold"))
 
     def run(df: DataFrame) -> DataFrame:
-        seen = asof_by_time(df, freezes, [], "_hold")
+        seen = asof_by_time(df, entries, [], "_hold")
         frozen = F.coalesce(F.col("_hold.on"), F.lit(False))
-        seen = seen.withColumn("_start", F.when(frozen, F.col("_hold.start")))
-        ranked = running(
-            seen, {"_rank": count_if(F.col("_start").isNotNull())}, ["_start"], descending=True, **kw
-        )
-        return (
-            ranked.filter(F.col("_start").isNull() | (F.col("_rank") <= max_buffer))
-            .withColumn("release_ts", F.when(F.col("_start").isNull(), F.col("ts")).otherwise(F.col("_hold.end")))
-            .drop("_hold", "_start", "_rank")
-        )
+        passed = seen.filter(~frozen).withColumn("release_ts", F.col("ts"))
+        held = seen.filter(frozen).withColumn("release_ts", F.col("_hold.thaw"))
+        # All rows of a freeze share its thaw time.
+        return passed.unionByName(newest(held, ["release_ts"], max_buffer)).drop("_hold")
 
     return run
 
 
+def newest(df: DataFrame, keys: Sequence[str], n: int, order: str = "seq") -> DataFrame:
+    """The last ``n`` rows per key. Up to 1000, Spark cuts every task's rows to the last ``n``
+    per key before the shuffle; beyond that the rows are ranked in blocks."""
+    if n <= 1000:
+        last = Window.partitionBy(*keys).orderBy(F.desc(order))
+        return df.withColumn("_rank", F.row_number().over(last)).filter(F.col("_rank") <= n).drop("_rank")
+    ranked = running(df, {"_rank": count_if()}, keys, order=order, descending=True)
+    return ranked.filter(F.col("_rank") <= n).drop("_rank")
+
+
 def pin_or(keep: Column, pinned: Sequence[str] = (), key: Column | None = None, pins: DataFrame | None = None) -> Stage:
     """Rows with a pinned key pass, the others must satisfy ``keep``.
 

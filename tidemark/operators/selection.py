@@ -12,7 +12,7 @@ from tidemark.functions.cells import cols, first_value, named, scope, shown
 from tidemark.model import span_micros
 from tidemark.operators.filters import Stage
 from tidemark.plans.blocks import Running, count_if, running
-from tidemark.plans.statescan import BucketRule, SpanRule, flag_marked, keep_marked, narrow_rows, scan
+from tidemark.plans.statescan import BucketRule, SpanRule, anchors, flag_marked, keep_marked, narrow_rows
 
 
 def _positive(span, what: str) -> int:
@@ -138,15 +138,12 @@ def debounce(keys: Sequence[str], window=0.2, max_delay=2, **kw) -> Stage:
         narrow = narrow_rows(df, keys, **kw)
         seen = running(narrow, {"_prev": Running("last", F.col("at"), before=True)}, ["_k"])
         cut = F.col("_prev").isNull() | (F.col("at") - F.col("_prev") >= quiet)
-        starts = scan(seen, SpanRule(longest), reset=cut, all_rows=True)
-        bursts = running(starts, {"_burst": Running("last", F.when(F.col("marked"), F.col("seq")))}, ["_k"])
-        ends = bursts.groupBy("_burst").agg(
-            F.max("seq").alias("_last"),
-            F.count(F.lit(1)).alias("burst_rows"),
-            F.min_by("at", "seq").alias("_from"),
-            F.max_by("at", "seq").alias("_to"),
+        ends = (
+            anchors(seen, SpanRule(longest), reset=cut)
+            .groupBy("_k", "anchor")
+            .agg(F.max("seq").alias("_last"), F.count(F.lit(1)).alias("burst_rows"), F.max_by("at", "seq").alias("_to"))
         )
-        emit = F.timestamp_micros(F.least(F.col("_to") + quiet, F.col("_from") + longest))
+        emit = F.timestamp_micros(F.least(F.col("_to") + quiet, F.col("anchor") + longest))
         last = ends.select("_last", emit.alias("emit_ts"), "burst_rows")
         return df.join(last, F.col("seq") == F.col("_last")).drop("_last")
 
@@ -161,11 +158,11 @@ def sample_max_per_second(limit: int, keys: Sequence[str] = (), second=1, **kw)
     rule = SpanRule(_positive(second, "sample_max_per_second: window"))
 
     def run(df: DataFrame) -> DataFrame:
-        rows = scan(narrow_rows(df, keys, **kw), rule, all_rows=True)
-        total = running(rows, {"_n": count_if()}, ["_k"])
-        # The rank inside a window is the running count minus the count where it opened.
-        base = running(total, {"_open": Running("max", F.when(F.col("marked"), F.col("_n")))}, ["_k"])
-        hits = base.filter(F.col("_n") - F.col("_open") < limit).select(F.col("seq").alias("_seq"))
+        # At most ``limit`` rows of a window come out of each block; the rank among those
+        # decides, since a block that held more already fills the window.
+        first = anchors(narrow_rows(df, keys, **kw), rule, limit=limit)
+        rank = F.row_number().over(Window.partitionBy("_k", "anchor").orderBy("seq"))
+        hits = first.withColumn("_rank", rank).filter(F.col("_rank") <= limit).select(F.col("seq").alias("_seq"))
         return df.join(hits, F.col("seq") == F.col("_seq"), "left_semi")
 
     return run

@@ -98,10 +98,11 @@ def mask_rules(*rules: MaskRule) -> Stage:
         raise ValueError("mask_rules: unknown mode")
 
     def one(c: Column) -> Column:
-        out = with_value(c, c["value"])
+        value, hit = c["value"], F.lit(False)
         for rule in rules:
-            out = F.when(rule.covers(c), with_value(c, rule.masked(c), _text_type())).otherwise(out)
-        return out
+            value = F.when(rule.covers(c), rule.masked(c)).otherwise(value)
+            hit = hit | rule.covers(c)
+        return with_value(c, value, F.when(~hit, c["type"]))
 
     return lambda df: df.withColumn("columns", F.transform(cols(), one))
 
@@ -164,46 +165,55 @@ def cast(*rules: CastRule) -> Stage:
         if r.type not in ("int", "float", "bool", "string"):
             raise ValueError(f"cast: unsupported type {r.type!r} for column {r.column!r}")
 
-    cell_type = CELLS.elementType.simpleString()
-
-    def apply(df: DataFrame, rule: CastRule) -> DataFrame:
-        covers = lambda c: (F.lower(c["name"]) == rule.column.lower()) & is_text(c)
-        here = F.col("cast_error").isNull()
-        if rule.table:
-            here = here & (F.lower("table_name") == rule.table.lower())
-        start = F.struct(
-            F.array().cast(CELLS).alias("done"), F.lit(None).cast("string").alias("error")
+    # Only the first rule with another type than string can change a cell: after a cast the
+    # value is no text any more, and a failure ends the row's casts.
+    active = [(i, r) for i, r in enumerate(rules) if r.type != "string"]
+
+    def tried(c: Column, at: Column) -> Column:
+        """The cell with the rule that takes it, its place in the order of work, and the result."""
+        rule, value, type_ = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("string")
+        for i, r in reversed(active):
+            here = F.lower("table_name") == r.table.lower() if r.table else F.lit(True)
+            takes = is_text(c) & (F.lower(c["name"]) == r.column.lower()) & here
+            rule = F.when(takes, F.lit(i)).otherwise(rule)
+            type_ = F.when(takes, F.lit(r.type)).otherwise(type_)
+            value = F.when(takes, _coerced(c["value"], r.type)).otherwise(value)
+        return F.struct(
+            F.struct(rule.alias("rule"), at.alias("at")).alias("place"),
+            c.alias("cell"), value.alias("value"), type_.alias("type"),
         )
 
-        def step(acc: Column, c: Column) -> Column:
-            value = _coerced(c["value"], rule.type)
-            active = acc["error"].isNull() & covers(c)
-            cell = F.when(
-                active & value.isNotNull(),
-                with_value(c, value, F.lit(None if rule.type == "string" else rule.type).cast("string")),
-            ).otherwise(with_value(c, c["value"]))
-            error = F.when(
-                active & value.isNull(),
-                F.format_string('cast: column "%s" value "%s": not a valid %s', c["name"], c["value"], F.lit(rule.type)),
-            )
-            return F.struct(
-                F.concat(acc["done"], F.array(cell.cast(cell_type))).alias("done"),
-                F.coalesce(acc["error"], error).alias("error"),
-            )
-
-        folded = F.aggregate(cols(), start, step)
+    def run(df: DataFrame) -> DataFrame:
+        work = F.col("_cast")
+        failed = F.filter(work, lambda t: t["place"]["rule"].isNotNull() & t["value"].isNull())
+        first = F.col("_failed")
+        done = lambda t: t["value"].isNotNull() & (first.isNull() | (t["place"] < first["place"]))
         return (
-            df.withColumn("_cast", F.when(here & cols().isNotNull(), folded))
+            df.withColumn("_cast", F.transform(cols(), tried))
+            .withColumn("_failed", F.array_min(failed))
             .withColumns(
                 {
-                    "columns": F.coalesce(F.col("_cast.done"), cols()),
-                    "cast_error": F.coalesce(F.col("cast_error"), F.col("_cast.error")),
+                    "columns": F.transform(
+                        work,
+                        lambda t: with_value(
+                            t["cell"],
+                            F.when(done(t), t["value"]).otherwise(t["cell"]["value"]),
+                            F.when(done(t), t["type"]).otherwise(t["cell"]["type"]),
+                        ),
+                    ),
+                    "cast_error": F.when(
+                        first.isNotNull(),
+                        F.format_string(
+                            'cast: column "%s" value "%s": not a valid %s',
+                            first["cell"]["name"], first["cell"]["value"], first["type"],
+                        ),
+                    ),
                 }
             )
-            .drop("_cast")
+            .drop("_cast", "_failed")
         )
 
-    return lambda df: reduce(apply, rules, df.withColumn("cast_error", F.lit(None).cast("string")))
+    return run
 
 
 @dataclass(frozen=True)

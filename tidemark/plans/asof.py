@@ -11,7 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.blocks import BLOCK, Running, running
+from tidemark.plans.blocks import Running, running
+
+# Block width for times: about a minute, in half microseconds (entries sort before probes).
+TIME_BLOCK = 1 << 27
 
 
 def asof_by_seq(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, **kw) -> DataFrame:
@@ -35,7 +38,7 @@ def asof_by_time(
     left_ts: str = "ts",
     right_ts: str = "ts",
     tie: str | None = None,
-    block: int = BLOCK,
+    block: int = TIME_BLOCK,
 ) -> DataFrame:
     """For every left row the ``value`` struct of the newest right row at or before its time.
 
@@ -53,7 +56,7 @@ def asof_by_time(
         .select("*", order)
     )
     seen = (
-        running(both, {value: Running("last", F.col("_asof_entry"))}, keys, order="_asof_order", block=block, levels=2)
+        running(both, {value: Running("last", F.col("_asof_entry"))}, keys, order="_asof_order", block=block)
         .filter("_asof_probe")
         .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_asof_at").alias("_k_at"), value)
     )

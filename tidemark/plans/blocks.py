@@ -20,25 +20,28 @@ BLOCK = 1 << 20  # width of a block, and the most rows of a key that stay in one
 SUPER_BLOCK = 1 << 12
 
 
-def with_block(df: DataFrame, keys: Sequence[str], position: Column, block: int, few_keys: bool) -> DataFrame:
+def with_block(
+    df: DataFrame, keys: Sequence[str], position: Column, block: int, few_keys: bool, hot: int | None = None
+) -> DataFrame:
     """Add ``_block``: a range number of ``position`` for hot keys, null for all others.
 
-    A key is hot when it has more than ``block`` rows, so there are at most rows / ``block``
-    hot keys; that bound (about a million for 10^12 rows) is what makes the broadcast safe.
+    A key is hot when it has more than ``hot`` rows (at most ``BLOCK``, by default the block
+    width), so there are at most rows / ``hot`` hot keys; that bound (about a million for 10^12 rows) is what makes the broadcast safe.
     With ``few_keys`` every key is cut and nothing is counted first.
     """
     place = F.floor(position / F.lit(block)).cast("bigint")
     if few_keys or not keys:
         return df.withColumn("_block", place)
-    hot = (
+    limit = min(block, BLOCK) if hot is None else hot
+    counted = (
         df.groupBy(*[F.col(k).alias(f"_h_{k}") for k in keys])
         .agg(F.count(F.lit(1)).alias("_hot_rows"))
-        .filter(F.col("_hot_rows") > block)
+        .filter(F.col("_hot_rows") > limit)
     )
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    return df.join(F.broadcast(hot), same, "left").select(
+    return df.join(F.broadcast(counted), same, "left").select(
         *df.columns, F.when(F.col("_hot_rows").isNotNull(), place).alias("_block")
     )
 

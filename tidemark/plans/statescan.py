@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.blocks import BLOCK, with_block
 
-FAN = 256
+FAN = 1024
 NONE = -(1 << 62)  # state of a key without earlier rows
 TOP = 1 << 62
 Pieces = list[tuple[int, bool, int]]  # (upper bound, constant?, value or shift)
@@ -33,7 +33,7 @@ Pieces = list[tuple[int, bool, int]]  # (upper bound, constant?, value or shift)
 _TABLE = "_k string, _b bigint, hi array<bigint>, fixed array<boolean>, val array<bigint>"
 _ENTRY = "_k string, _b bigint, entry bigint"
 _HITS = "_seq bigint"
-_FLAGGED = "_k string, _b bigint, seq bigint, at bigint, marked boolean"
+_ANCHORED = "_k string, anchor bigint, seq bigint, at bigint"
 _OUT_ROWS = 8192
 
 
@@ -172,7 +172,7 @@ class BucketRule:
 
 def _batch(schema: str, columns: list[list]) -> pa.RecordBatch:
     kinds = {
-        "string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(),
+        "string": pa.string(), "bigint": pa.int64(),
         "array<bigint>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()),
     }
     fields = [f.split(" ") for f in schema.split(", ")]
@@ -268,11 +268,10 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _emit(_ENTRY, entries())
 
 
-def _replay(rule, all_rows: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The marked rows, or all rows with a flag; a leading row per (key, block) may give its
-    entry state."""
+def _replay(rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The marked rows; a leading row per (key, block) may give its entry state."""
 
-    def rows(batches):
+    def hits(batches):
         open_, state = None, NONE
         step = rule.step
         for key, block, seq, at, reset, entry in _rows(batches, "_k", "_b", "seq", "at", "reset", "entry"):
@@ -282,12 +281,32 @@ def _replay(rule, all_rows: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 state = entry
                 continue
             state, hit = step(state, at, reset)
-            if all_rows:
-                yield key, block, seq, at, hit
-            elif hit:
+            if hit:
                 yield (seq,)
 
-    return lambda batches: _emit(_FLAGGED if all_rows else _HITS, rows(batches))
+    return lambda batches: _emit(_HITS, hits(batches))
+
+
+def _anchored(rule: SpanRule, limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with the time of the marked row they follow (or are).
+
+    With a ``limit``, only the first so many rows of an anchor in each block.
+    """
+
+    def rows(batches):
+        open_, state, rank = None, NONE, 0
+        for key, block, seq, at, reset, entry in _rows(batches, "_k", "_b", "seq", "at", "reset", "entry"):
+            if (key, block) != open_:
+                open_, state, rank = (key, block), NONE, 0
+            if entry is not None:
+                state = entry
+                continue
+            state, hit = rule.step(state, at, reset)
+            rank = 1 if hit else rank + 1
+            if limit is None or rank <= limit:
+                yield key, state - rule.span, seq, at
+
+    return lambda batches: _emit(_ANCHORED, rows(batches))
 
 
 def narrow_rows(df: DataFrame, keys: Sequence[str], block: int = BLOCK, few_keys: bool = False) -> DataFrame:
@@ -297,14 +316,8 @@ def narrow_rows(df: DataFrame, keys: Sequence[str], block: int = BLOCK, few_keys
     return with_block(narrow, ["_k"] if keys else [], F.col("seq"), block, few_keys)
 
 
-def scan(
-    narrow: DataFrame, rule: SpanRule | BucketRule, reset: Column | None = None, all_rows: bool = False,
-    levels: int = 2, fan: int = FAN,
-) -> DataFrame:
-    """Run a rule over ``narrow_rows``.
-
-    Gives the ``_seq`` of the marked rows, or with ``all_rows`` every row with ``marked``.
-    """
+def _with_entries(narrow: DataFrame, rule, reset: Column | None, levels: int, fan: int) -> DataFrame:
+    """The rows together with one leading row per block of a hot key that gives its entry state."""
     flag = F.coalesce(reset if reset is not None else F.lit(False), F.lit(False))
     rows = narrow.select("_k", F.col("_block").alias("_b"), "seq", "at", flag.alias("reset"))
 
@@ -322,10 +335,26 @@ def scan(
         given = entries.select("_k", F.col("_b").alias("_p"), F.lit(None).cast("bigint").alias("_b"), "entry")
         both = tables.select("*", parent).unionByName(given, allowMissingColumns=True)
         entries = _sorted_pass(both, ["_k", "_p"], ["_b"], _walk, _ENTRY)
+    return rows.unionByName(entries, allowMissingColumns=True)
+
+
+def scan(narrow: DataFrame, rule: SpanRule | BucketRule, reset: Column | None = None, levels: int = 1, fan: int = FAN) -> DataFrame:
+    """The ``_seq`` of the marked rows of ``narrow_rows``."""
+    return _sorted_pass(_with_entries(narrow, rule, reset, levels, fan), ["_k", "_b"], ["seq"], _replay(rule), _HITS)
 
-    replay = rows.unionByName(entries, allowMissingColumns=True)
-    done = _sorted_pass(replay, ["_k", "_b"], ["seq"], _replay(rule, all_rows), _FLAGGED if all_rows else _HITS)
-    return done.withColumnRenamed("_b", "_block") if all_rows else done
+
+def anchors(
+    narrow: DataFrame, rule: SpanRule, reset: Column | None = None, limit: int | None = None,
+    levels: int = 1, fan: int = FAN,
+) -> DataFrame:
+    """The rows of ``narrow_rows`` with ``anchor``, the time of the newest marked row up to each.
+
+    Marked rows of one key have different times as long as the clock does not go back, so
+    (``_k``, ``anchor``) names a run of rows.
+    """
+    return _sorted_pass(
+        _with_entries(narrow, rule, reset, levels, fan), ["_k", "_b"], ["seq"], _anchored(rule, limit), _ANCHORED
+    )
 
 
 def keep_marked(df: DataFrame, keys: Sequence[str], rule, block: int = BLOCK, few_keys: bool = False, **kw) -> DataFrame:
