@@ -169,19 +169,21 @@ def cast(*rules: CastRule) -> Stage:
     # value is no text any more, and a failure ends the row's casts.
     active = [(i, r) for i, r in enumerate(rules) if r.type != "string"]
 
-    def tried(c: Column, at: Column) -> Column:
-        """The cell with the rule that takes it, its place in the order of work, and the result."""
-        rule, value, type_ = F.lit(None).cast("int"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    def taken(c: Column, at: Column) -> Column:
+        """The cell with the number of the rule that takes it and its place in the order of work."""
+        rule = F.lit(None).cast("int")
         for i, r in reversed(active):
             here = F.lower("table_name") == r.table.lower() if r.table else F.lit(True)
-            takes = is_text(c) & (F.lower(c["name"]) == r.column.lower()) & here
-            rule = F.when(takes, F.lit(i)).otherwise(rule)
-            type_ = F.when(takes, F.lit(r.type)).otherwise(type_)
-            value = F.when(takes, _coerced(c["value"], r.type)).otherwise(value)
-        return F.struct(
-            F.struct(rule.alias("rule"), at.alias("at")).alias("place"),
-            c.alias("cell"), value.alias("value"), type_.alias("type"),
-        )
+            rule = F.when((F.lower(c["name"]) == r.column.lower()) & here & is_text(c), F.lit(i)).otherwise(rule)
+        return F.struct(F.struct(rule.alias("rule"), at.alias("at")).alias("place"), c.alias("cell"))
+
+    def tried(t: Column) -> Column:
+        rule, raw = t["place"]["rule"], t["cell"]["value"]
+        value, type_ = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for i, r in active:
+            value = F.when(rule == i, _coerced(raw, r.type)).otherwise(value)
+            type_ = F.when(rule == i, F.lit(r.type)).otherwise(type_)
+        return F.struct(t["place"].alias("place"), t["cell"].alias("cell"), value.alias("value"), type_.alias("type"))
 
     def run(df: DataFrame) -> DataFrame:
         work = F.col("_cast")
@@ -189,7 +191,7 @@ def cast(*rules: CastRule) -> Stage:
         first = F.col("_failed")
         done = lambda t: t["value"].isNotNull() & (first.isNull() | (t["place"] < first["place"]))
         return (
-            df.withColumn("_cast", F.transform(cols(), tried))
+            df.withColumn("_cast", F.transform(F.transform(cols(), taken), tried))
             .withColumn("_failed", F.array_min(failed))
             .withColumns(
                 {

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from tidemark import derive
 from tidemark.functions.cells import byte_size, first_value, joined
-from tidemark.model import changes, parse_lsn, read_table, rows_to_changes
+from tidemark.model import RELATIONS, changes, events_to_changes, parse_lsn, read_table, rows_to_changes
 from tidemark.operators import combine, counting, filters, progress, selection, stamping, values
 from tidemark.plans.flow import Flow
 from tidemark.session import checkpoint_root
 from tidemark.sinks import formats, writers
 from tidemark.sources import changelog
+from tidemark.streaming import processors, runner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1133,3 +1134,145 @@ def audit(spark, sf):
 SELECT seq, '[cdc] ' || {rfc_sql()} || 'Z action=' || action || ' table=' || table_name || ' lsn=' || lsn || ' columns=4' AS line FROM changes""")
 def observe_lines(spark, sf):
     return changes(spark, sf).select("seq", formats.observe_line("[cdc]").alias("line"))
+
+
+# ------------------------------------------------------------------ streams
+
+
+def live_events(spark: SparkSession, sf: str) -> DataFrame:
+    # The pattern lets the table be one file as well as a folder of files.
+    return spark.readStream.schema(events(spark, sf).schema).parquet(f"{sf}/events.parque[t]")
+
+
+def stream_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The change log as a stream over the ``events`` files."""
+    return events_to_changes(live_events(spark, sf))
+
+
+def drained(spark: SparkSession, df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+    path = scratch(spark, name)
+    return runner.drain(df, os.path.join(path, "rows"), os.path.join(path, "progress"), output_mode)
+
+
+def stream_per_user(spark, sf):
+    return stream_events(spark, sf).withColumn("user", first_value("user_id"))
+
+
+@query("stream_flow", ORACLES["flow_filter_mask_json"].removeprefix("WITH " + CHANGES_SQL))
+def stream_flow(spark, sf):
+    flow = Flow(
+        filters=[filters.allow(["public.orders", "public.users"])],
+        transforms=[values.project(["user_id", "value"]), values.mask_rules(values.MaskRule("user_id", "hash"))],
+    )
+    path = scratch(spark, "flow")
+    runner.run_stream(stream_events(spark, sf), flow, path, os.path.join(path, "progress")).awaitTermination()
+    return spark.read.text(f"{path}/lines/batch=*").withColumnRenamed("value", "line")
+
+
+def same_sql(name: str) -> dict:
+    """The SQL of a batch query, for its streaming form."""
+    recursive = ORACLES[name].startswith("WITH RECURSIVE")
+    start = ("WITH RECURSIVE " if recursive else "WITH ") + CHANGES_SQL
+    return {"sql": ORACLES[name].removeprefix(start), "recursive": recursive}
+
+
+@query("stream_decode", **same_sql("decode_changes"))
+def stream_decode(spark, sf):
+    relations = derive.relation_log(events(spark, sf))
+    out = drained(spark, changelog.decode_stream(derive.raw_log(live_events(spark, sf)), relations), "decode")
+    good = F.col("decode_error").isNull()
+    return out.select(
+        "seq", "lsn", "action", F.when(good, F.col("table_name")).alias("table_name"),
+        F.when(good, joined()).alias("cells"), F.when(good, joined(over=F.col("old_keys"))).alias("old"),
+        F.col("decode_error").alias("error"),
+    )
+
+
+@query("stream_dedup_ttl", **same_sql("dedup_ttl"))
+def stream_dedup_ttl(spark, sf):
+    out = stream_per_user(spark, sf).transform(processors.dedup_ttl(["user"], DAY, late="1 hour"))
+    return drained(spark, out.select("seq"), "dedup").select("seq")
+
+
+@query("stream_token_bucket", **same_sql("token_bucket"))
+def stream_token_bucket(spark, sf):
+    out = stream_per_user(spark, sf).transform(processors.token_bucket(1, DAY / 2, 2, ["user"]))
+    return drained(spark, out.select("seq", "admitted"), "bucket").select("seq", "admitted")
+
+
+@query("stream_sample_max_per_second", **same_sql("sample_max_per_second"))
+def stream_sample_max_per_second(spark, sf):
+    out = stream_per_user(spark, sf).transform(processors.sample_max_per_second(2, ["user"], DAY))
+    return drained(spark, out.select("seq"), "sample").select("seq")
+
+
+@query("stream_align", **same_sql("align"))
+def stream_align(spark, sf):
+    out = stream_events(spark, sf).transform(processors.align())
+    return drained(spark, out.select("seq", "lsn"), "align").select("seq", "lsn")
+
+
+@query("stream_cap", **same_sql("cap"))
+def stream_cap(spark, sf):
+    out = stream_events(spark, sf).transform(processors.cap(700, "orders", "UPDATE"))
+    return drained(spark, out.select("seq", "table_name", "action"), "cap").select("seq", "table_name", "action")
+
+
+@query("stream_sequence", **same_sql("sequence"))
+def stream_sequence(spark, sf):
+    out = stream_events(spark, sf).transform(processors.sequence(1000, "orders"))
+    return drained(spark, out.select("seq", meta("seq", "stamp")), "sequence").select("seq", "stamp")
+
+
+@query("stream_debounce", ORACLES["debounce"].removeprefix("WITH RECURSIVE " + CHANGES_SQL).replace(
+    "SELECT max(seq) AS seq,", ", b AS (SELECT k, max(seq) AS seq,") + """)
+SELECT seq, emit_us, burst_rows FROM b
+WHERE seq < (SELECT max(seq) FROM b b2 WHERE b2.k = b.k) OR (emit_us + 999) // 1000 <= (SELECT max(us) // 1000 FROM changes)""",
+       recursive=True)
+def stream_debounce(spark, sf):
+    out = stream_per_user(spark, sf).transform(processors.debounce(["user"], 6 * 3600, 12 * 3600))
+    out = out.select("seq", us("emit_ts").alias("emit_us"), "burst_rows")
+    return drained(spark, out, "debounce").select("seq", "emit_us", "burst_rows")
+
+
+@query("stream_schema_version", **same_sql("schema_version"))
+def stream_schema_version(spark, sf):
+    path = scratch(spark, "relations")
+    derive.relation_log(events(spark, sf)).write.parquet(path)
+    log = changelog.stream_changes(spark, path, schema=RELATIONS)
+    out = log.transform(processors.schema_version()).select("seq", "relation_id", "version", "changed")
+    return drained(spark, out, "versions").select("seq", "relation_id", "version", "changed")
+
+
+@query("stream_distinct_key", "SELECT DISTINCT table_name, action, c_user AS \"user\" FROM changes")
+def stream_distinct_key(spark, sf):
+    out = stream_per_user(spark, sf).transform(processors.distinct_key(F.col("user")))
+    return drained(spark, out.select("table_name", "action", "user"), "distinct").select("table_name", "action", "user")
+
+
+@query("stream_census", **same_sql("census"))
+def stream_census(spark, sf):
+    counts = drained(spark, stream_events(spark, sf).transform(counting.census()), "census", "complete")
+    # Complete mode: the last batch holds the whole result.
+    last = counts.agg(F.max("batch").alias("_last"))
+    return counts.join(last, F.col("batch") == F.col("_last")).select("table_name", "action", "n")
+
+
+@query("stream_window_count", f""",
+w AS (SELECT table_name, (us // {HOUR_US} - i) * {HOUR_US} AS start_us FROM changes, range(24) r(i))
+SELECT table_name, start_us, count(*) AS window_n FROM w
+WHERE start_us + {24 * HOUR_US} <= (SELECT max(us) FROM changes) - {HOUR_US} GROUP BY ALL""")
+def stream_window_count(spark, sf):
+    stage = counting.window_count_stream(24, "1 hour", "24 hours", "1 hour", ["table_name"])
+    out = stream_events(spark, sf).transform(stage)
+    out = out.select("table_name", us("window.start").alias("start_us"), "window_n")
+    return drained(spark, out, "windows").select("table_name", "start_us", "window_n")
+
+
+@query("stream_checkpoint", "SELECT max(lsn) AS lsn FROM changes WHERE table_name = 'orders'")
+def stream_checkpoint(spark, sf):
+    """Highest lsn written per batch; rows that the filter drops do not move it."""
+    path = scratch(spark, "checkpoint")
+    flow = Flow(filters=[filters.allow(["public.orders"])], format="text")
+    runner.run_stream(stream_events(spark, sf), flow, path, os.path.join(path, "progress")).awaitTermination()
+    return spark.read.schema("lsn bigint").parquet(f"{path}/checkpoint/batch=*").agg(F.max("lsn").alias("lsn"))

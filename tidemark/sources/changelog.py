@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.model import CELLS, CHANGES, META
 from tidemark.plans.asof import asof_by_seq
+from tidemark.plans.blocks import Running, running
 
 FORMATS = ("parquet", "json", "orc")
 
@@ -109,19 +110,24 @@ def decode_changes(raw: DataFrame, relations: DataFrame, **kw) -> DataFrame:
     return _resolved(asof_by_seq(data, _relation_struct(relations), ["relation_id"], "_rel", few_keys=True, **kw))
 
 
-def decode_stream(raw: DataFrame, relations: DataFrame) -> DataFrame:
-    """Streaming form: raw stream against a static relation log with validity ranges."""
-    from pyspark.sql import Window
-
+def relation_ranges(relations: DataFrame) -> DataFrame:
+    """Validity ranges of the relation versions. Repeated announcements of the same version are
+    merged first, so an id has as many ranges as its definition had changes."""
+    known = _relation_struct(relations)
+    seen = running(known, {"_was": Running("last", F.col("_rel"), before=True)}, ["relation_id"], few_keys=True)
+    changed = seen.filter(~F.col("_rel").eqNullSafe(F.col("_was")))
     by_id = Window.partitionBy("relation_id").orderBy("seq")
-    ranges = _relation_struct(relations).select(
-        F.col("relation_id").alias("_id"), F.col("seq").alias("_from"),
-        F.lead("seq").over(by_id).alias("_to"), "_rel",
+    return changed.select(
+        F.col("relation_id").alias("_id"), F.col("seq").alias("_from"), F.lead("seq").over(by_id).alias("_to"), "_rel"
     )
+
+
+def decode_stream(raw: DataFrame, relations: DataFrame) -> DataFrame:
+    """Streaming form: a raw stream against the relation log known so far."""
     held = (
         (F.col("relation_id") == F.col("_id"))
         & (F.col("seq") > F.col("_from"))
         & (F.col("_to").isNull() | (F.col("seq") < F.col("_to")))
     )
     data = raw.filter(F.col("kind").isin(*KINDS))
-    return _resolved(data.join(ranges, held, "left").drop("_id", "_from", "_to"))
+    return _resolved(data.join(relation_ranges(relations), held, "left").drop("_id", "_from", "_to"))
