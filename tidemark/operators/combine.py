@@ -67,11 +67,12 @@ def coalesce_rows(key_column: str, tables: Sequence[str] = ()) -> Stage:
     def run(df: DataFrame) -> DataFrame:
         listed = [t.lower() for t in tables]
         inside = F.coalesce(F.lower("table_name").isin(*listed), F.lit(False)) if listed else F.lit(True)
-        keyed = df.filter(inside).withColumn(
-            "_key", F.lower(F.coalesce(F.try_element_at(F.filter(cols(), lambda c: c["name"] == key_column), F.lit(-1))["value"], F.lit("")))
+        last_key = F.try_element_at(F.filter(cols(), lambda c: c["name"] == key_column), F.lit(-1))["value"]
+        keyed = df.filter(inside).withColumns(
+            {"_table": F.coalesce("table_name", F.lit("")), "_key": F.lower(F.coalesce(last_key, F.lit("")))}
         )
-        group = ["table_name", "_key"]
-        rest = [c for c in df.columns if c not in ("table_name", "columns", "lsn", "seq")]
+        group = ["_table", "_key"]
+        rest = [c for c in df.columns if c not in ("columns", "lsn", "seq")]
         heads = keyed.groupBy(*group).agg(
             F.min_by(F.struct(*rest), "seq").alias("_first"),
             F.min("seq").alias("seq"),
@@ -82,13 +83,9 @@ def coalesce_rows(key_column: str, tables: Sequence[str] = ()) -> Stage:
             F.max_by("_c", F.struct("seq", "_pos")).alias("_c")
         )
         # As many entries per key as its table has column names.
-        body = latest.groupBy(*group).agg(F.array_sort(F.collect_list("_c")).alias("_cells"))
-        body = body.select(F.col("table_name").alias("_t"), F.col("_key").alias("_k"), "_cells")
-        same = F.col("table_name").eqNullSafe(F.col("_t")) & (F.col("_key") == F.col("_k"))
-        out = (
-            heads.join(body, same, "left")
-            .withColumn("columns", F.col("_cells"))
-            .select(*[F.col(f"_first.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
+        body = latest.groupBy(*group).agg(F.array_sort(F.collect_list("_c")).alias("columns"))
+        out = heads.join(body, group, "left").select(
+            *[F.col(f"_first.{c}").alias(c) if c in rest else F.col(c) for c in df.columns]
         )
         return out.unionByName(df.filter(~inside)) if listed else out
 

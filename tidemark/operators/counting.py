@@ -12,6 +12,9 @@ from tidemark.model import ACTIONS, span_micros
 from tidemark.operators.filters import Stage
 
 
+_CHUNK = 1 << 14  # buckets per task of a sliding sum
+
+
 def _n() -> Column:
     return F.count(F.lit(1))
 
@@ -103,8 +106,15 @@ def window_count(size: int = 10, interval=1, keys: Sequence[str] = (), amount: C
     def run(df: DataFrame) -> DataFrame:
         bucket = F.floor(F.unix_micros("ts") / F.lit(width)).cast("bigint")
         sums = df.groupBy(*keys, bucket.alias("bucket")).agg(F.sum(amount).cast("bigint").alias("n"))
-        last = Window.partitionBy(*keys).orderBy("bucket").rangeBetween(-(size - 1), 0)
-        return sums.withColumn("window_n", F.sum("n").over(last))
+        # Buckets are cut into chunks; one that a later chunk still looks back to goes there too.
+        wide = max(_CHUNK, size)
+        own = F.floor(F.col("bucket") / F.lit(wide)).cast("bigint")
+        reach = F.floor((F.col("bucket") + (size - 1)) / F.lit(wide)).cast("bigint")
+        placed = sums.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence(own, reach)))
+        last = Window.partitionBy(*keys, "_chunk").orderBy("bucket").rangeBetween(-(size - 1), 0)
+        return (
+            placed.withColumn("window_n", F.sum("n").over(last)).filter("_chunk = _own").drop("_own", "_chunk")
+        )
 
     return run
 

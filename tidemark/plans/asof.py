@@ -43,7 +43,8 @@ def asof_by_time(
     """For every left row the ``value`` struct of the newest right row at or before its time.
 
     Entries of one key and instant are reduced to the last by ``tie``; probes are reduced to
-    one per key and instant, so the order is unique as ``running`` needs it.
+    one per key and instant, so the order is unique as ``running`` needs it. A null key or time
+    finds nothing.
     """
     pick = F.max_by(value, tie) if tie else F.last(value)
     entries = right.groupBy(*keys, F.unix_micros(right_ts).alias("_asof_at")).agg(pick.alias("_asof_entry"))
@@ -62,5 +63,5 @@ def asof_by_time(
     )
     same = F.col("_asof_at") == F.col("_k_at")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        same = same & (F.col(k) == F.col(f"_k_{k}"))
     return timed.join(seen, same, "left").select(*left.columns, value)

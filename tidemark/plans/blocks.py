@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 1 << 20  # width of a block, and the most rows of a key that stay in one group
 SUPER_BLOCK = 1 << 12
@@ -74,6 +75,28 @@ class Running:
         return F.coalesce(local, carried)
 
 
+def plain_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Add group columns that are never null and tell null keys apart.
+
+    With plain equality on them, a join finds its rows where the window left them; a null-safe
+    comparison would make Spark shuffle both sides once more.
+    """
+    out, nulls = {}, F.lit(0)
+    for i, k in enumerate(keys):
+        kind = df.schema[k].dataType
+        if isinstance(kind, T.StringType):
+            value = F.coalesce(F.col(k), F.lit(""))
+        elif isinstance(kind, (T.NumericType, T.BooleanType)):
+            value = F.coalesce(F.col(k), F.lit(0).cast(kind))
+        else:
+            value = F.to_json(F.struct(k))
+        out[f"_key{i}"] = value
+        nulls = nulls + F.when(F.col(k).isNull(), F.lit(1 << i)).otherwise(F.lit(0))
+    if keys:
+        out["_nulls"] = nulls
+    return df.withColumns(out), list(out)
+
+
 def count_if(cond: Column | None = None, before: bool = False) -> Running:
     one = F.lit(1) if cond is None else F.when(cond, 1).otherwise(0)
     return Running("sum", one.cast("bigint"), before)
@@ -97,7 +120,8 @@ def running(
     """
     position = -F.col(order) if descending else F.col(order)
     blocked = df if "_block" in df.columns else with_block(df, keys, position, block, few_keys)
-    group = [*keys, "_block"]
+    blocked, group_keys = plain_keys(blocked, keys)
+    group = [*group_keys, "_block"]
 
     totals = (
         blocked.filter(F.col("_block").isNotNull())
@@ -108,11 +132,11 @@ def running(
         carried = running(
             totals.withColumnRenamed("_block", f"_block{levels}"),
             {f"_c_{n}": Running(r.kind, F.col(f"_t_{n}"), before=True) for n, r in out.items()},
-            keys, f"_block{levels}", SUPER_BLOCK, levels - 1, few_keys=few_keys,
+            group_keys, f"_block{levels}", SUPER_BLOCK, levels - 1, few_keys=few_keys,
         ).withColumnRenamed(f"_block{levels}", "_block")
     else:
         earlier = (
-            Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+            Window.partitionBy(*group_keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
         )
         carried = totals.select(
             *group,
@@ -121,9 +145,7 @@ def running(
                 for n, r in out.items()
             ],
         )
-    carried = carried.select(
-        *[F.col(k).alias(f"_k_{k}") for k in group], *[f"_c_{n}" for n in out]
-    )
+    carried = carried.select(*group, *[f"_c_{n}" for n in out])
 
     inside = Window.partitionBy(*group).orderBy(position.asc())
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -131,10 +153,7 @@ def running(
     local = blocked.withColumns(
         {f"_l_{n}": r.local(prior if r.before else upto) for n, r in out.items()}
     )
-    same = F.col("_block") == F.col("_k__block")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return local.join(carried, same, "left").select(
+    return local.join(carried, group, "left").select(
         *df.columns,
         *[r.join(F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, r in out.items()],
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.operators.filters import Stage
@@ -18,6 +18,17 @@ from tidemark.sinks.formats import formatted
 from tidemark.sinks.writers import Writer
 
 
+def watch_lsn(lines: DataFrame) -> tuple[DataFrame, Observation]:
+    high = Observation()
+    return lines.observe(high, F.max("lsn").alias("lsn")), high
+
+
+def reached(lines: DataFrame, high: Observation) -> DataFrame:
+    """The observed highest lsn as a row, none if no row had one above 0."""
+    lsn = high.get.get("lsn")
+    return lines.sparkSession.createDataFrame([(lsn,)] if lsn and lsn > 0 else [], "lsn bigint")
+
+
 @dataclass(frozen=True)
 class Flow:
     filters: Sequence[Stage] = ()
@@ -37,18 +48,15 @@ class Flow:
         return chain(*self.filters, *self.transforms, formatted(self.format))(rows)
 
     def write(self, lines: DataFrame) -> None:
+        """One pass over the lines: the highest lsn is observed while the sink writes."""
         if self.sink is None:
             raise ValueError("flow: no sink")
         if self.checkpoint is None:
             self.sink(lines)
             return
-        lines.persist()
-        try:
-            self.sink(lines)
-            high = lines.agg(F.max("lsn").alias("lsn")).filter(F.col("lsn") > 0)
-            self.checkpoint(high)
-        finally:
-            lines.unpersist()
+        watched, high = watch_lsn(lines)
+        self.sink(watched)
+        self.checkpoint(reached(lines, high))
 
     def run(self, changes: DataFrame) -> None:
         self.write(self.plan(changes))

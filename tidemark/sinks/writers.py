@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +33,19 @@ def table_sink(path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()
     return lambda df: df.write.mode(mode).format(fmt).partitionBy(*partition_by).options(**options).save(path)
 
 
-def fanout(writers: dict[str, Writer]) -> Writer:
-    """Every row to every writer. All are tried; the errors are raised together at the end."""
+def fanout(writers: dict[str, Writer], reuse: bool = False) -> Writer:
+    """Every row to every writer. All are tried; the errors are raised together at the end.
+
+    Each writer runs the plan. ``reuse`` keeps the rows on the executors' disks in between,
+    which pays when the plan costs more than its result takes to store.
+    """
     if not writers:
         raise ValueError("fanout: at least one writer is required")
 
     def run(df: DataFrame) -> None:
-        df.persist()
         errors = []
+        if reuse:
+            df.persist(StorageLevel.DISK_ONLY)
         try:
             for name, write in writers.items():
                 try:
@@ -47,7 +53,8 @@ def fanout(writers: dict[str, Writer]) -> Writer:
                 except Exception as e:  # every writer gets its turn
                     errors.append(f"fanout[{name}]: {e}")
         finally:
-            df.unpersist()
+            if reuse:
+                df.unpersist()
         if errors:
             raise RuntimeError("; ".join(errors))
 
@@ -86,16 +93,12 @@ def forward(pred: Column, target: Writer, main: Writer) -> Writer:
     hit = F.coalesce(pred, F.lit(False))
 
     def run(df: DataFrame) -> None:
-        df.persist()
         try:
-            try:
-                target(df.filter(hit))
-            except Exception:
-                main(df.filter(~hit))
-                raise
-            main(df)
-        finally:
-            df.unpersist()
+            target(df.filter(hit))
+        except Exception:
+            main(df.filter(~hit))
+            raise
+        main(df)
 
     return run
 

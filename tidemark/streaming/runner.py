@@ -6,10 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.plans.flow import Flow
+from tidemark.plans.flow import Flow, reached, watch_lsn
 from tidemark.session import checkpoint_root
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -50,13 +49,9 @@ def run_stream(changes: DataFrame, flow: Flow, path: str, checkpoint: str, every
     """A flow over a stream of changes: lines and the highest lsn of each batch, by batch id."""
 
     def write(df: DataFrame, batch_id: int) -> None:
-        lines = df.persist()
-        try:
-            lines.select("line").write.mode("overwrite").text(f"{path}/lines/batch={batch_id}")
-            high = lines.agg(F.max("lsn").alias("lsn")).filter(F.col("lsn") > 0)
-            high.write.mode("overwrite").parquet(f"{path}/checkpoint/batch={batch_id}")
-        finally:
-            lines.unpersist()
+        watched, high = watch_lsn(df)
+        watched.select("line").write.mode("overwrite").text(f"{path}/lines/batch={batch_id}")
+        reached(df, high).write.mode("overwrite").parquet(f"{path}/checkpoint/batch={batch_id}")
 
     return start(flow.plan(changes), checkpoint, write, every=every)
 
