@@ -1 +1,8 @@
 """Change-data operators for Spark: every stage is a DataFrame transformation."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task code travels with the plan, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 
 def local_session(name: str = "tidemark", cores: str | int = "*") -> SparkSession:
-    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    os.environ["PYTHONPATH"] = os.pathsep.join(
-        p for p in (here, os.environ.get("PYTHONPATH")) if p
-    )
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
