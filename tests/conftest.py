@@ -16,8 +16,9 @@ T0 = dt.datetime(2024, 1, 1, 12, 0, 0, tzinfo=dt.timezone.utc)
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", 8)
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    # Tiny inputs: few tasks, and no time spent on compiling plans that run once.
+    conf = {"spark.default.parallelism": "2", "spark.sql.shuffle.partitions": "3", "spark.sql.codegen.wholeStage": "false"}
+    session = local_session("tests", 8, conf)
     yield session
     session.stop()
 
