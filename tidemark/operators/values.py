@@ -142,18 +142,25 @@ _FALSE = ("0", "f", "F", "FALSE", "false", "False")
 
 
 def _coerced(raw: Column, type_: str) -> Column:
-    """Canonical text of the value as that type, null if it does not parse."""
+    """Canonical text of the value as that type, null if it does not parse.
+
+    Most values need no trimming, so the raw text is tried first.
+    """
+    if type_ == "string":
+        return raw
     text = trim_space(raw)
     if type_ == "int":
-        return F.when(text.rlike(_INT), text.try_cast("bigint").cast("string"))
+        whole = lambda v: v.try_cast("bigint").cast("string")
+        return F.when(raw.rlike(_INT), whole(raw)).when(text.rlike(_INT), whole(text))
     if type_ == "float":
-        number = text.try_cast("double")
-        huge = F.abs(number) == F.lit(float("inf"))
-        spelled = text.rlike("(?i)inf")
-        return F.when(text.rlike(_FLOAT) & (~huge | spelled), general_number(number))
-    if type_ == "bool":
-        return F.when(text.isin(*_TRUE), F.lit("true")).when(text.isin(*_FALSE), F.lit("false"))
-    return raw
+
+        def real(v: Column) -> Column:
+            number = v.try_cast("double")
+            huge = (F.abs(number) == F.lit(float("inf"))) & ~v.rlike("(?i)inf")
+            return F.when(~huge, general_number(number))
+
+        return F.when(raw.rlike(_FLOAT), real(raw)).when(text.rlike(_FLOAT), real(text))
+    return F.when(text.isin(*_TRUE), F.lit("true")).when(text.isin(*_FALSE), F.lit("false"))
 
 
 def cast(*rules: CastRule) -> Stage:
@@ -236,23 +243,26 @@ def clamp(*rules: ClampRule) -> Stage:
         if r.min > r.max:
             raise ValueError(f"clamp: rule for column {r.column!r} has min above max")
 
-    def one(rule: ClampRule) -> Callable[[Column], Column]:
-        def value(c: Column) -> Column:
-            number = c["value"].try_cast("double")
-            low, high = F.lit(float(rule.min)), F.lit(float(rule.max))
-            moved = F.when(number < low, low).when(number > high, high)
-            text = F.when(c["type"] == "int", moved.cast("bigint").cast("string")).otherwise(general_number(moved))
-            hit = scope(rule.table) & (c["name"] == rule.column) & c["type"].isin("int", "float")
-            return F.when(hit & moved.isNotNull(), text).otherwise(c["value"])
+    by_column: dict[str, list[ClampRule]] = {}
+    for r in rules:
+        by_column.setdefault(r.column, []).append(r)
 
-        return value
+    def bounded(value: Column, type_: Column, rule: ClampRule) -> Column:
+        number = value.try_cast("double")
+        text = lambda bound: F.when(type_ == "int", F.lit(str(int(bound)))).otherwise(general_number(F.lit(float(bound))))
+        moved = F.when(number < float(rule.min), text(rule.min)).when(number > float(rule.max), text(rule.max))
+        return F.when(scope(rule.table), F.coalesce(moved, value)).otherwise(value)
 
-    def run(df: DataFrame) -> DataFrame:
-        for rule in rules:
-            df = df.withColumn("columns", map_values(one(rule)))
-        return df
+    def value(c: Column) -> Column:
+        out = c["value"]
+        for name, chain_ in by_column.items():
+            moved = c["value"]
+            for rule in chain_:
+                moved = bounded(moved, c["type"], rule)
+            out = F.when((c["name"] == name) & c["type"].isin("int", "float"), moved).otherwise(out)
+        return out
 
-    return run
+    return lambda df: df.withColumn("columns", map_values(value))
 
 
 def clamp_wide(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
