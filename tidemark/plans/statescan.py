@@ -20,7 +20,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.blocks import BLOCK, with_block
@@ -109,7 +110,12 @@ class SpanRule:
         marks = np.append(np.flatnonzero(reset), n)
         return np.minimum(nxt, marks[np.searchsorted(marks[:-1], np.arange(n), "right")])
 
-    def summary(self, ts: np.ndarray, reset: np.ndarray) -> Pieces:
+    def bound(self, newest: int) -> int:
+        """The highest state that rows up to the time ``newest`` can leave."""
+        return newest + self.span
+
+    def summary(self, ts: np.ndarray, reset: np.ndarray, bound: int = TOP) -> Pieces:
+        """State function of a block, right for entry states up to ``bound``."""
         n = len(ts)
         nxt = self._next(ts, reset)
         at = np.arange(n)
@@ -123,9 +129,11 @@ class SpanRule:
         peak = np.maximum.accumulate(ts)
         record = np.concatenate(([True], ts[1:] > peak[:-1]))
         first_reset = int(np.argmax(reset)) if reset.any() else n
-        rows = np.flatnonzero(record & (at < first_reset))
+        # No entry state gets past the first row at or after the bound, or the first reset.
+        sure = min(int(np.searchsorted(peak, bound, "left")), first_reset)
+        rows = np.flatnonzero(record & (at < sure))
         pieces = [(int(ts[i]), True, int(left[i])) for i in rows]
-        tail = (TOP, True, int(left[first_reset])) if first_reset < n else (TOP, False, 0)
+        tail = (TOP, True, int(left[sure])) if sure < n else (TOP, False, 0)
         return _tidy(pieces + [tail])
 
     def step(self, state: int, now: int, reset: bool) -> tuple[int, bool]:
@@ -133,6 +141,15 @@ class SpanRule:
             return now + self.span, True
         return state, False
 
+    def run(self, state: int, times: list[int], resets: list[bool]) -> tuple[int, list[bool]]:
+        span, hits = self.span, []
+        for now, reset in zip(times, resets):
+            hit = reset or now >= state
+            if hit:
+                state = now + span
+            hits.append(hit)
+        return state, hits
+
 
 @dataclass(frozen=True)
 class BucketRule:
@@ -152,7 +169,10 @@ class BucketRule:
             return state, False
         return max(state, now) + self.cost, True
 
-    def summary(self, ts: np.ndarray, reset: np.ndarray) -> Pieces:
+    def bound(self, newest: int) -> int:
+        return newest * self.refill + self.room
+
+    def summary(self, ts: np.ndarray, reset: np.ndarray, bound: int = TOP) -> Pieces:
         scaled = [int(t) * self.refill for t in ts]
         full = [i for i in range(1, len(scaled)) if scaled[i] - scaled[i - 1] >= self.room]
         if full and all(a <= b for a, b in zip(scaled, scaled[1:])):
@@ -160,14 +180,24 @@ class BucketRule:
             for t in ts[full[-1]:].tolist():
                 state, _ = self.step(state, t)
             return [(TOP, True, state)]
-        pieces: Pieces = [(TOP, False, 0)]
+        pieces: Pieces = [(bound, False, 0)]
         for now in scaled:
             row: Pieces = [(now, True, now + self.cost)]
             if self.room > self.cost:
                 row.append((now + self.room - self.cost, False, self.cost))
             row.append((TOP, False, 0))
             pieces = compose(pieces, row)
-        return pieces
+        return pieces[:-1] + [(TOP, *pieces[-1][1:])]
+
+    def run(self, state: int, times: list[int], resets: list[bool]) -> tuple[int, list[bool]]:
+        refill, cost, slack, hits = self.refill, self.cost, self.room - self.cost, []
+        for now in times:
+            now *= refill
+            hit = state <= now + slack
+            if hit:
+                state = (state if state > now else now) + cost
+            hits.append(hit)
+        return state, hits
 
 
 def _batch(schema: str, columns: list[list]) -> pa.RecordBatch:
@@ -201,34 +231,50 @@ def _sorted_pass(df: DataFrame, group: list[str], then: list[str], fn, schema: s
     return df.repartition(*group).sortWithinPartitions(*group, *then).mapInArrow(fn, schema)
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
+    """(key, block) and the row range of each run of equal groups in a sorted batch."""
+    n = batch.num_rows
+    if not n:
+        return
+    keys, blocks = batch.column("_k"), batch.column("_b").fill_null(NONE)
+    new = pc.or_(pc.not_equal(keys[1:], keys[:-1]), pc.not_equal(blocks[1:], blocks[:-1]))
+    starts = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist(), n]
+    for start, end in zip(starts, starts[1:]):
+        yield (keys[start].as_py(), blocks[start].as_py()), start, end
+
+
+def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).fill_null(0).to_numpy(zero_copy_only=False)
+
+
 def _summarise(rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One function table per (key, block). At most one block is held at a time."""
+    """One function table per (key, block). A leading row tells the newest time of earlier
+    blocks. At most one block is held at a time."""
 
-    def close(group, ts, reset):
-        pieces = rule.summary(np.concatenate(ts), np.concatenate(reset))
+    def close(group, newest, ts, reset):
+        bound = NONE if newest is None else rule.bound(newest)
+        pieces = rule.summary(np.concatenate(ts), np.concatenate(reset), bound)
         return (*group, [p[0] for p in pieces], [p[1] for p in pieces], [p[2] for p in pieces])
 
-    def groups(batches):
-        open_, ts, reset = None, [], []
+    def tables(batches):
+        open_, newest, ts, reset = None, None, [], []
         for batch in batches:
-            keys, blocks = batch.column("_k").to_pylist(), batch.column("_b").to_pylist()
-            at = batch.column("at").to_numpy(zero_copy_only=False)
-            flags = batch.column("reset").to_numpy(zero_copy_only=False)
-            start = 0
-            for i in range(len(keys) + 1):
-                if i < len(keys) and (keys[i], blocks[i]) == open_:
-                    continue
-                if i > start:
-                    ts.append(at[start:i])
-                    reset.append(flags[start:i])
-                if i < len(keys):
-                    if open_ is not None and ts:
-                        yield close(open_, ts, reset)
-                    open_, ts, reset, start = (keys[i], blocks[i]), [], [], i
+            at, flags, entry = _numbers(batch, "at"), batch.column("reset").fill_null(False).to_numpy(zero_copy_only=False), batch.column("entry")
+            for group, start, end in _groups(batch):
+                if group != open_:
+                    if ts:
+                        yield close(open_, newest, ts, reset)
+                    open_, newest, ts, reset = group, None, [], []
+                    if entry[start].is_valid:
+                        newest = entry[start].as_py()
+                        start += 1
+                if end > start:
+                    ts.append(at[start:end])
+                    reset.append(flags[start:end])
         if ts:
-            yield close(open_, ts, reset)
+            yield close(open_, newest, ts, reset)
 
-    return lambda batches: _emit(_TABLE, groups(batches))
+    return lambda batches: _emit(_TABLE, tables(batches))
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,23 +314,46 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _emit(_ENTRY, entries())
 
 
+def _replayed(rule, batches: Iterator[pa.RecordBatch]):
+    """Each sorted run of rows with its flags; a leading row may give a block's entry state."""
+    open_, state = None, NONE
+    for batch in batches:
+        at, entry = _numbers(batch, "at"), batch.column("entry")
+        flags = batch.column("reset").fill_null(False).to_pylist()
+        for group, start, end in _groups(batch):
+            fresh = group != open_
+            if fresh:
+                open_, state = group, NONE
+                if entry[start].is_valid:
+                    state = entry[start].as_py()
+                    start += 1
+            before = state
+            state, hits = rule.run(state, at[start:end].tolist(), flags[start:end])
+            yield batch, group, start, end, fresh, before, at[start:end], np.array(hits, dtype=bool)
+
+
 def _replay(rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The marked rows; a leading row per (key, block) may give its entry state."""
+    """The marked rows."""
 
-    def hits(batches):
-        open_, state = None, NONE
-        step = rule.step
-        for key, block, seq, at, reset, entry in _rows(batches, "_k", "_b", "seq", "at", "reset", "entry"):
-            if (key, block) != open_:
-                open_, state = (key, block), NONE
-            if entry is not None:
-                state = entry
-                continue
-            state, hit = step(state, at, reset)
-            if hit:
-                yield (seq,)
+    def run(batches):
+        for batch, _, start, end, _, _, _, hits in _replayed(rule, batches):
+            yield batch.column("seq").slice(start, end - start).to_numpy(zero_copy_only=False)[hits]
+
+    return lambda batches: _joined(run(batches), lambda parts: [pa.array(np.concatenate(parts).astype(np.int64))], _HITS)
 
-    return lambda batches: _emit(_HITS, hits(batches))
+
+def _joined(parts: Iterator, build: Callable[[list], list], schema: str) -> Iterator[pa.RecordBatch]:
+    """Batches of a fair size from many small arrays."""
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[-1]) if isinstance(part, tuple) else len(part)
+        if size >= _OUT_ROWS:
+            yield pa.record_batch(build(held), names=names)
+            held, size = [], 0
+    if held:
+        yield pa.record_batch(build(held), names=names)
 
 
 def _anchored(rule: SpanRule, limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -293,20 +362,24 @@ def _anchored(rule: SpanRule, limit: int | None) -> Callable[[Iterator[pa.Record
     With a ``limit``, only the first so many rows of an anchor in each block.
     """
 
-    def rows(batches):
-        open_, state, rank = None, NONE, 0
-        for key, block, seq, at, reset, entry in _rows(batches, "_k", "_b", "seq", "at", "reset", "entry"):
-            if (key, block) != open_:
-                open_, state, rank = (key, block), NONE, 0
-            if entry is not None:
-                state = entry
-                continue
-            state, hit = rule.step(state, at, reset)
-            rank = 1 if hit else rank + 1
-            if limit is None or rank <= limit:
-                yield key, state - rule.span, seq, at
+    def run(batches):
+        seen = 0
+        for batch, group, start, end, fresh, before, at, hits in _replayed(rule, batches):
+            seen = 0 if fresh else seen
+            place = np.arange(len(at))
+            last = np.maximum.accumulate(np.where(hits, place, -1)) if len(at) else place
+            anchor = np.where(last >= 0, at[last], before - rule.span)
+            rank = np.where(last >= 0, place - last + 1, seen + place + 1)
+            seen = int(rank[-1]) if len(at) else seen
+            keep = rank <= limit if limit is not None else np.ones(len(at), dtype=bool)
+            seq = batch.column("seq").slice(start, end - start).to_numpy(zero_copy_only=False)
+            yield group[0], anchor[keep], seq[keep].astype(np.int64), at[keep]
+
+    def build(parts):
+        keys = pa.concat_arrays([pa.repeat(pa.scalar(p[0], pa.string()), len(p[3])) for p in parts])
+        return [keys, *[pa.array(np.concatenate([p[i] for p in parts]).astype(np.int64)) for i in (1, 2, 3)]]
 
-    return lambda batches: _emit(_ANCHORED, rows(batches))
+    return lambda batches: _joined(run(batches), build, _ANCHORED)
 
 
 def narrow_rows(df: DataFrame, keys: Sequence[str], block: int = BLOCK, few_keys: bool = False) -> DataFrame:
@@ -323,6 +396,10 @@ def _with_entries(narrow: DataFrame, rule, reset: Column | None, levels: int, fa
 
     parent = F.floor(F.col("_b") / F.lit(fan)).cast("bigint").alias("_p")
     hot = rows.filter(F.col("_b").isNotNull())
+    # The newest earlier time bounds the entry states of a block, so its table stays short.
+    earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    newest = hot.groupBy("_k", "_b").agg(F.max("at").alias("_at")).select("_k", "_b", F.max("_at").over(earlier).alias("entry"))
+    hot = hot.unionByName(newest.filter("entry is not null"), allowMissingColumns=True)
     up = [_sorted_pass(hot, ["_k", "_b"], ["seq"], _summarise(rule), _TABLE)]
     for _ in range(levels):
         up.append(_sorted_pass(up[-1].select("*", parent), ["_k", "_p"], ["_b"], _fold, _TABLE))
