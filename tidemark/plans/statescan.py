@@ -180,15 +180,42 @@ class BucketRule:
             for t in ts[full[-1]:].tolist():
                 state, _ = self.step(state, t)
             return [(TOP, True, state)]
-        pieces: Pieces = [(bound, False, 0)]
-        for now in scaled:
-            row: Pieces = [(now, True, now + self.cost)]
-            if self.room > self.cost:
-                row.append((now + self.room - self.cost, False, self.cost))
-            row.append((TOP, False, 0))
-            pieces = compose(pieces, row)
+        parts: list[tuple] = [(NONE - 1, bound, False, 0)]  # entry range (low, high], fixed?, value or shift
+        for i, now in enumerate(scaled):
+            parts = self._merged(self._advance(parts, now))
+            if len(parts) == 1 and parts[0][2]:
+                state, _ = self.run(parts[0][3], ts[i + 1:].tolist(), [])
+                return [(TOP, True, state)]
+        pieces = [p[1:] for p in parts]
         return pieces[:-1] + [(TOP, *pieces[-1][1:])]
 
+    def _advance(self, parts: list[tuple], now: int) -> list[tuple]:
+        """One row's effect on the states of every part."""
+        cost, top = self.cost, now + self.room - self.cost
+        out = []
+        for low, high, fixed, val in parts:
+            if fixed:
+                out.append((low, high, True, max(val, now) + cost if val <= top else val))
+                continue
+            full, open_ = now - val, top - val  # up to ``full`` the bucket is full, up to ``open_`` the row gets in
+            if low < full:
+                out.append((low, min(high, full), True, now + cost))
+            if max(low, full) < min(high, open_):
+                out.append((max(low, full), min(high, open_), False, val + cost))
+            if open_ < high:
+                out.append((max(low, open_), high, False, val))
+        return out
+
+    @staticmethod
+    def _merged(parts: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for part in parts:
+            if out and out[-1][2:] == part[2:]:
+                out[-1] = (out[-1][0], *part[1:])
+            else:
+                out.append(part)
+        return out
+
     def run(self, state: int, times: list[int], resets: list[bool]) -> tuple[int, list[bool]]:
         refill, cost, slack, hits = self.refill, self.cost, self.room - self.cost, []
         for now in times:
