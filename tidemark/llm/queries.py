@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import substring
+from tidemark.llm import lm_scoring, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,35 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+@query(
+    "op1_lm_scoring",
+    rf"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS_SQL} AS w FROM documents),
+    t AS (SELECT rid, unnest(range(1, len(w) + 1)) AS p, w FROM d),
+    g AS (SELECT rid, p, w[p] AS w1, CASE WHEN p > 1 THEN w[p - 1] END AS w2, CASE WHEN p > 2 THEN w[p - 2] END AS w3 FROM t),
+    c AS (SELECT rid, p,
+            count(*) OVER () - count(*) OVER (PARTITION BY rid) AS n0,
+            count(*) OVER (PARTITION BY w1) - count(*) OVER (PARTITION BY rid, w1) AS c1,
+            CASE WHEN w2 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY w2, w1) - count(*) OVER (PARTITION BY rid, w2, w1) END AS c2,
+            CASE WHEN w3 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY w3, w2, w1) - count(*) OVER (PARTITION BY rid, w3, w2, w1) END AS c3
+          FROM g),
+    b AS (SELECT *, lag(c1) OVER (PARTITION BY rid ORDER BY p) AS b1, lag(c2) OVER (PARTITION BY rid ORDER BY p) AS b2 FROM c),
+    s AS (SELECT rid, p,
+            CASE WHEN c3 > 0 THEN 0 WHEN c2 > 0 THEN (p > 2)::INT
+                 WHEN c1 > 0 THEN (p > 2)::INT + (p > 1)::INT ELSE (p > 2)::INT + (p > 1)::INT + 1 END AS k,
+            CASE WHEN c3 > 0 THEN c3 / b2::DOUBLE WHEN c2 > 0 THEN c2 / b1::DOUBLE WHEN c1 > 0 THEN c1 / n0::DOUBLE
+                 ELSE 1 / (n0 + 1)::DOUBLE END AS f
+          FROM b),
+    z AS (SELECT rid, sum(k) AS k, sum(log10(power(0.4, k) * f)) AS score FROM s GROUP BY rid)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(k, 0)::BIGINT AS n_backoff,
+           round(coalesce(score, 0), 4) AS log10_score, round(score / len(w), 4) AS log10_per_word
+    FROM d LEFT JOIN z USING (rid)""",
+)
+def op1_lm_scoring(spark, sf):
+    out = lm_scoring.score_documents(table(spark, sf, "documents"))
+    return out.withColumns({c: F.round(c, 4) for c in ("log10_score", "log10_per_word")})
+
+
 @query(
     "op10_substring_dedup",
     rf"""
