@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lm_scoring, substring
+from tidemark.llm import lm_scoring, substring, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,47 @@ def op1_lm_scoring(spark, sf):
     return out.withColumns({c: F.round(c, 4) for c in ("log10_score", "log10_per_word")})
 
 
+# The list of op8: the URLs of the table whose host has one of these terms, in any form of the URL.
+SPAM_HOST = "(spam|pills|casino|viagra|porn)"
+URL_RULES = [
+    urls.Rule("block", "net", "/"), urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"), urls.Rule("allow", "org", "/fr/"),
+]
+
+
+def _rule_sql(result: str) -> str:
+    """Longest rule first."""
+    cases = [
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, result)}'"
+        for r in sorted(URL_RULES, key=lambda r: -len(r.name))
+    ]
+    return f"CASE {' '.join(cases)} END"
+
+
+@query(
+    "op8_url_filter",
+    rf"""
+    WITH a AS (SELECT page_id, url,
+        translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+        list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
+                    lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref)(=|\z)')) AS q
+      FROM pages),
+    b AS (SELECT *, CASE WHEN contains(url, '://') THEN
+        regexp_replace(regexp_replace(host, '^(www\.|m\.)', ''), ':(80|443)\z', '')
+        || regexp_replace(regexp_replace(path, '/index\.html?\z', '/'), '/+\z', '')
+        || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS c FROM a),
+    listed AS (SELECT DISTINCT c FROM b WHERE regexp_matches(host, '{SPAM_HOST}'))
+    SELECT page_id, host, path, {_rule_sql("name")} AS rule,
+           coalesce({_rule_sql("verdict")}, CASE WHEN c IN (SELECT c FROM listed WHERE c IS NOT NULL) THEN 'block' ELSE 'allow' END) AS verdict
+    FROM b""",
+)
+def op8_url_filter(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    listed = pages.filter(urls.host_of(F.col("url")).rlike(SPAM_HOST))
+    return urls.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query(
     "op10_substring_dedup",
     rf"""
