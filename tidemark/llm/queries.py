@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lm_scoring, substring, urls
+from tidemark.llm import lm_scoring, substring, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,21 @@ def op1_lm_scoring(spark, sf):
     return out.withColumns({c: F.round(c, 4) for c in ("log10_score", "log10_per_word")})
 
 
+@query(
+    "op3_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id) AS k,
+                      first_value(page_id) OVER (PARTITION BY coalesce(html, '') ORDER BY page_id) AS f FROM pages)
+    SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+           CASE WHEN k > 1 AND strlen(html) >= 100 THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN k > 1 AND strlen(html) >= 100 THEN f END AS refers_to
+    FROM p""",
+)
+def op3_warc(spark, sf):
+    out = warc.archive(table(spark, sf, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 # The list of op8: the URLs of the table whose host has one of these terms, in any form of the URL.
 SPAM_HOST = "(spam|pills|casino|viagra|porn)"
 URL_RULES = [
