@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lm_scoring, substring, urls, warc
+from tidemark.llm import lm_scoring, mixing, substring, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,6 +74,11 @@ def op3_warc(spark, sf):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op4_mixing")
+def op4_mixing(spark, sf):
+    return mixing.mix(table(spark, sf, "documents"))
+
+
 # The list of op8: the URLs of the table whose host has one of these terms, in any form of the URL.
 SPAM_HOST = "(spam|pills|casino|viagra|porn)"
 URL_RULES = [
