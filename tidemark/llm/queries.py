@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lm_scoring, mixing, substring, urls, warc
+from tidemark.llm import lm_scoring, mixing, sharding, substring, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,14 @@ def op1_lm_scoring(spark, sf):
     return out.withColumns({c: F.round(c, 4) for c in ("log10_score", "log10_per_word")})
 
 
+@query("op2_sharding")
+def op2_sharding(spark, sf):
+    out = sharding.assign(table(spark, sf, "documents"))
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @query(
     "op3_warc",
     """
