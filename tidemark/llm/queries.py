@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lm_scoring, mixing, sharding, substring, urls, warc
+from tidemark.llm import lm_scoring, mixing, quality, sharding, substring, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -128,6 +128,12 @@ def op8_url_filter(spark, sf):
     return urls.judge(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op9_quality")
+def op9_quality(spark, sf):
+    out = quality.judge(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query(
     "op10_substring_dedup",
     rf"""
