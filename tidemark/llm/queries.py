@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import lm_scoring, mixing, quality, sharding, substring, urls, warc
+from tidemark.llm import licenses, lm_scoring, mixing, quality, sharding, substring, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,6 +87,12 @@ def op4_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))
 
 
+@query("op7_licenses")
+def op7_licenses(spark, sf):
+    out = licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 # The list of op8: the URLs of the table whose host has one of these terms, in any form of the URL.
 SPAM_HOST = "(spam|pills|casino|viagra|porn)"
 URL_RULES = [
