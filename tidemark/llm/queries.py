@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import licenses, lm_scoring, mixing, quality, sharding, substring, urls, warc
+from tidemark.llm import decontam, licenses, lm_scoring, mixing, quality, sharding, substring, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,6 +87,12 @@ def op4_mixing(spark, sf):
     return mixing.mix(table(spark, sf, "documents"))
 
 
+@query("op5_decontamination")
+def op5_decontamination(spark, sf):
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    return decontam.contaminated(docs, items).select("doc_id", "item_id", "start", "n_words", "similarity")
+
+
 @query("op7_licenses")
 def op7_licenses(spark, sf):
     out = licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
