@@ -132,15 +132,15 @@ def pack(values: np.ndarray, squeeze: bool = False) -> bytes:
     """Unsigned numbers as a width byte and that many bytes each; ``squeeze`` for few distinct ones."""
     values = np.ascontiguousarray(values, "<u8")
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    body = values.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-    return bytes([width]) + (zlib.compress(body, 1) if squeeze else body)
+    planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T  # bytes of one weight together: most are zero
+    return bytes([width]) + (zlib.compress(planes.tobytes(), 1) if squeeze else planes.tobytes())
 
 
 def unpack(blob: bytes, squeezed: bool = False) -> np.ndarray:
     width, body = blob[0], zlib.decompress(blob[1:]) if squeezed else blob[1:]
-    flat = np.frombuffer(body, np.uint8).reshape(-1, width)
-    out = np.zeros((len(flat), 8), np.uint8)
-    out[:, :width] = flat
+    planes = np.frombuffer(body, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
     return out.reshape(-1).view("<u8").astype(np.uint64, copy=False)
 
 

@@ -14,13 +14,13 @@ ORDER = 3
 BACKOFF = 0.4
 
 
-def key_bits(total_bytes: int, chunks: int) -> int:
-    """Bits of an n-gram's key.
+def key_bits(total_bytes: int, order: int) -> int:
+    """Bits of an n-gram's key: two to the 20th values for each n-gram of the corpus.
 
-    Two to the 28th values for each n-gram of a chunk keep differences of sorted keys near four
-    bytes; a word takes five bytes and ``ORDER`` n-grams at the least.
+    So one n-gram in a million shares its key with another, at any size until 64 bits are used up (17 TB). A word
+    takes five bytes or so. Few bits keep the differences of sorted keys short.
     """
-    return min(64, 28 + max(1, total_bytes // max(1, chunks) * ORDER // 5).bit_length())
+    return min(64, 20 + max(1, total_bytes // 5 * order).bit_length())
 
 
 def score_documents(
@@ -37,12 +37,11 @@ def score_documents(
 
     Null and empty texts score 0.0 over no words, with a null log10_per_word. Each input row is a
     document, also where keys repeat: repeated rows vouch for one another. Count tables are split by
-    hash; n-grams are told apart by ``key_bits`` bits of it (a few in a million of a corpus' n-grams
-    meet another one there).
+    hash; n-grams are told apart by ``key_bits`` bits of it.
     """
     picked = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     corpus = dealt(picked, "_text", F.col("_id"), chunk_bytes)
-    bits = key_bits(corpus.bytes, corpus.chunks)
+    bits = key_bits(corpus.bytes, order)
     shift = np.uint64(64 - bits)
     # The empty n-gram has as many places as there are words: its count is N.
     empty = np.uint64((1 << bits) - 1)
