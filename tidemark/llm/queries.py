@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, licenses, lm_scoring, mixing, quality, sharding, substring, urls, warc
+from tidemark.llm import decontam, licenses, lm_scoring, mixing, near_dup, quality, sharding, substring, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,11 @@ def op5_decontamination(spark, sf):
     return decontam.contaminated(docs, items).select("doc_id", "item_id", "start", "n_words", "similarity")
 
 
+@query("op6_near_duplicates")
+def op6_near_duplicates(spark, sf):
+    return near_dup.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op7_licenses")
 def op7_licenses(spark, sf):
     out = licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
