@@ -22,6 +22,15 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def _source(source: Column) -> Column:
+    return F.xxhash64(source.isNull(), source)
+
+
+def _name(key: Column) -> Column:
+    """A key as text without nulls."""
+    return F.when(key.isNull(), "").otherwise(F.concat(F.lit("="), key.cast("string")))
+
+
 def source_targets(
     sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = SHARE, most: float = MOST
 ) -> DataFrame:
@@ -55,30 +64,27 @@ def source_targets(
 
 
 def _settle(part: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
-    """Pivotal rounding of fractions in the given order; at most one stays between 0 and 1.
+    """Pivotal rounding of fractions, the largest sizes first; at most one stays between 0 and 1.
 
-    Two fractions meet: either the first gives words to the second or the other way round, until
-    one is 0 or 1; the odds keep each fraction's mean. ``size * fraction`` summed stays the same.
+    A document meets the smaller ones, taken together: words go from them to it or from it to them, until it or
+    all of them are 0 or 1. The odds of the two ways keep each fraction's mean, and ``size * fraction`` summed
+    stays the same. What stays open is, as a rule, the smallest document.
     """
     out = part.copy()
-    held = -1
     for i in range(len(part)):
-        if not 0.0 < out[i] < 1.0:
-            continue
-        if held < 0:
-            held = i
+        p = out[i]
+        rest = i + 1 + np.flatnonzero((out[i + 1:] > 0) & (out[i + 1:] < 1))
+        if not 0.0 < p < 1.0 or not len(rest):
             continue
-        a, b, x, y = held, i, float(size[held]), float(size[i])
-        up = min((1.0 - out[a]) * x, out[b] * y)  # words that b can give to a
-        down = min(out[a] * x, (1.0 - out[b]) * y)  # and a to b
+        x, words = float(size[i]), size[rest]
+        give, take = float((out[rest] * words).sum()), float(((1 - out[rest]) * words).sum())
+        up, down = min((1 - p) * x, give), min(p * x, take)
         if draw[i] * (up + down) < down:
-            full, empty = up == (1.0 - out[a]) * x, up == out[b] * y
-            new_a, new_b = 1.0 if full else out[a] + up / x, 0.0 if empty else out[b] - up / y
+            out[rest] = 0.0 if up == give else out[rest] * (1 - up / give)
+            out[i] = 1.0 if up == (1 - p) * x else min(1.0, p + up / x)
         else:
-            empty, full = down == out[a] * x, down == (1.0 - out[b]) * y
-            new_a, new_b = 0.0 if empty else out[a] - down / x, 1.0 if full else out[b] + down / y
-        out[a], out[b] = min(1.0, max(0.0, new_a)), min(1.0, max(0.0, new_b))
-        held = a if 0.0 < out[a] < 1.0 else b if 0.0 < out[b] < 1.0 else -1
+            out[rest] = 1.0 if down == take else 1 - (1 - out[rest]) * (1 - down / take)
+            out[i] = 0.0 if down == p * x else max(0.0, p - down / x)
     return out
 
 
@@ -94,7 +100,7 @@ def pivotal(rows: DataFrame, groups: int, seed: int) -> DataFrame:
 
     def level(last: bool, depth: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["_source", "size", "_key"], kind="stable", ignore_index=True)
+            pdf = pdf.sort_values(["_source", "size", "_key"], ascending=[True, False, True], kind="stable", ignore_index=True)
             draw = np.random.default_rng([seed, depth, int(pdf["_group"].iloc[0])]).random(2 * len(pdf))
             part, size = pdf["part"].to_numpy(float).copy(), pdf["size"].to_numpy()
             cuts = np.flatnonzero(np.diff(pdf["_source"].to_numpy())) + 1
@@ -118,15 +124,15 @@ def pivotal(rows: DataFrame, groups: int, seed: int) -> DataFrame:
         groups, depth = -(-groups // FAN_IN), depth + 1
 
 
-def mix(
+def choices(
     docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: Sequence[float] = (3, 1, 2),
     share: float = SHARE, most: float = MOST, seed: int = 1, per_group: int = PER_GROUP,
 ) -> DataFrame:
-    """key, size, source_size, target, copies and taken (copies times size) of every row.
+    """_id, _name, _source, size, _nth, source_size, target, copies and taken (copies times size) of every row.
 
     A source's rows are each wanted ``target / source_size`` times: that many whole copies, and one
-    more for a choice that pivotal rounding makes. Neighbours in size trade words, so a source's
-    taken words miss its target by less than its largest document.
+    more for a choice that pivotal rounding makes. Documents trade words, not chances, so a source's taken words
+    miss its target by what the last open document holds, which is one of the smallest as a rule.
 
     A null text has size 0, and rows of size 0 take no copy beyond the whole ones; a null source is a source.
     Rows that repeat a key are choices of their own. A source of size 0 has target 0. Reruns agree.
@@ -134,21 +140,54 @@ def mix(
     kind = docs.schema[key].dataType
     sized = stored(docs.select(F.col(key).alias("_id"), F.col(source).cast("string").alias("source"), count_words(F.col(text)).alias("size")), "sizes")
     targets = source_targets(sized, weights, share, most)
-    targets = stored(targets.withColumn("_source", F.xxhash64(F.col("source").isNull(), "source")), "targets")
+    targets = stored(targets.withColumn("_source", _source(F.col("source"))), "targets")
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop("source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumns({"base": F.floor(rate).cast("long"), "part": rate - F.floor(rate)})
-    # All rows alike (key and size) have the same fate but for their number: one row stands for each choice.
-    alike = rows.groupBy("_id", "_source", "size", "base", "source_size", "target", "part").agg(F.count("*").alias("n"))
+    # Rows alike in key, source and size are told apart by a number only.
+    rows = rows.withColumn("_name", _name(F.col("_id")))
+    alike = rows.groupBy("_name", "_source", "size").agg(
+        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("_id", "base", "source_size", "target", "part")]
+    )
     alike = alike.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
-    named = F.concat_ws("/", F.coalesce(F.col("_id").cast("string"), F.lit("null")), "_nth")
     n = sized.count()
     groups = max(64, -(-n // per_group))
-    placed = alike.withColumn("_key", named).withColumn("_group", F.pmod(F.xxhash64("_key", "size"), F.lit(groups)))
-    choices = placed.select("_key", "_source", "_group", "size", F.when(F.col("size") > 0, F.col("part")).otherwise(0.0).alias("part"))
-    chosen = pivotal(choices, groups, seed)
-    out = placed.drop("part", "_group").join(chosen.select("_key", "_source", "size", F.col("part").cast("long").alias("more")), ["_key", "_source", "size"])
+    placed = alike.withColumn("_key", F.concat_ws("/", "_name", "_nth"))
+    placed = placed.withColumn("_group", F.pmod(F.xxhash64("_key", "size"), F.lit(groups)))
+    wanted = placed.select(
+        "_key", "_source", "_group", "size", F.when(F.col("size") > 0, F.col("part")).otherwise(0.0).alias("part")
+    )
+    chosen = pivotal(wanted, groups, seed).select("_key", "_source", "size", F.col("part").cast("long").alias("more"))
+    out = placed.drop("part", "_group").join(chosen, ["_key", "_source", "size"])
     copies = F.col("base") + F.col("more")
     return out.select(
-        F.col("_id").cast(kind).alias(key), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        F.col("_id").cast(kind).alias("_id"), "_name", "_source", "_nth", "size", "source_size", "target",
+        copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+    )
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
+    """key, size, source_size, target, copies and taken (copies times size) of every row; see :func:`choices`."""
+    out = choices(docs, text, source, key, **how)
+    return out.select(F.col("_id").alias(key), "size", "source_size", "target", "copies", "taken")
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs``, each as often as :func:`choices` takes it."""
+    alike = ["_name", "_source", "_size"]
+    chosen = choices(docs, text, source, key, **how).withColumnRenamed("size", "_size").select(*alike, "_nth", "copies")
+    chosen = stored(chosen.withColumnRenamed("copies", "_copies"), "copies")
+    own = docs.withColumns(
+        {"_name": _name(F.col(key)), "_source": _source(F.col(source).cast("string")), "_size": count_words(F.col(text))}
     )
+    counts = chosen.groupBy(*alike).agg(F.count("*").alias("_n"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    single = chosen.join(counts.filter("_n = 1"), alike).drop("_n", "_nth").filter("_copies > 0")
+    once = own.join(single, alike).select(*columns, "_copies")
+    # Only rows alike in key, source and size need a number.
+    many = counts.filter("_n > 1").drop("_n")
+    within = Window.partitionBy(*alike).orderBy(F.xxhash64(text))
+    ranked = own.join(many, alike).withColumn("_nth", F.row_number().over(within).cast("long"))
+    again = ranked.join(chosen.filter("_copies > 0"), [*alike, "_nth"]).select(*columns, "_copies")
+    both = once.union(again)
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*columns)
