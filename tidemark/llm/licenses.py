@@ -114,8 +114,11 @@ def _spaces(text: Column) -> Column:
 
 
 def _starts(norm: Column, look: Column) -> Column:
-    """Word numbers (from 0) at which the lookahead pattern ``look`` holds: the pieces between are counted."""
-    pieces = F.slice(F.split(norm, look), 1, 1 << 30)
+    """Word numbers (from 0) at which the lookahead pattern ``look`` holds: the pieces between are counted.
+
+    A character in front keeps the empty piece before a match at the start, which a split leaves out.
+    """
+    pieces = F.split(F.concat(F.lit("."), norm), look)
     words = F.transform(pieces, _spaces)
     none = F.array().cast("array<int>")
     start = F.struct(F.lit(0).alias("sum"), none.alias("at"))
