@@ -63,28 +63,30 @@ def source_targets(
     return leveled.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def _settle(part: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
+def _settle(part: np.ndarray, size: np.ndarray, draws: np.random.Generator) -> np.ndarray:
     """Pivotal rounding of fractions, the largest sizes first; at most one stays between 0 and 1.
 
     A document meets the smaller ones, taken together: words go from them to it or from it to them, until it or
-    all of them are 0 or 1. The odds of the two ways keep each fraction's mean, and ``size * fraction`` summed
-    stays the same. What stays open is, as a rule, the smallest document.
+    one of them is 0 or 1. The others share a transfer along one direction for both ways, so that the odds of the
+    ways keep each fraction's mean, and ``size * fraction`` summed stays the same. What stays open is, as a rule,
+    the smallest document.
     """
     out = part.copy()
     for i in range(len(part)):
-        p = out[i]
-        rest = i + 1 + np.flatnonzero((out[i + 1:] > 0) & (out[i + 1:] < 1))
-        if not 0.0 < p < 1.0 or not len(rest):
-            continue
-        x, words = float(size[i]), size[rest]
-        give, take = float((out[rest] * words).sum()), float(((1 - out[rest]) * words).sum())
-        up, down = min((1 - p) * x, give), min(p * x, take)
-        if draw[i] * (up + down) < down:
-            out[rest] = 0.0 if up == give else out[rest] * (1 - up / give)
-            out[i] = 1.0 if up == (1 - p) * x else min(1.0, p + up / x)
-        else:
-            out[rest] = 1.0 if down == take else 1 - (1 - out[rest]) * (1 - down / take)
-            out[i] = 0.0 if down == p * x else max(0.0, p - down / x)
+        while 0.0 < out[i] < 1.0:
+            rest = i + 1 + np.flatnonzero((out[i + 1:] > 0) & (out[i + 1:] < 1))
+            if not len(rest):
+                break
+            p, x, q = out[i], float(size[i]), out[rest]
+            along = q * (1 - q)
+            words = float((along * size[rest]).sum())
+            up, down = min((1 - p) * x / words, (1 / (1 - q)).min()), min(p * x / words, (1 / q).min())
+            step = -up if draws.random() * (up + down) < down else down
+            q = q + step * along
+            out[i] = 1.0 if step == -(1 - p) * x / words else 0.0 if step == p * x / words else p - step * words / x
+            q[q < 1e-12], q[q > 1 - 1e-12] = 0.0, 1.0
+            out[rest] = q
+            out[i] = 0.0 if out[i] < 1e-12 else 1.0 if out[i] > 1 - 1e-12 else out[i]
     return out
 
 
@@ -101,13 +103,13 @@ def pivotal(rows: DataFrame, groups: int, seed: int) -> DataFrame:
     def level(last: bool, depth: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["_source", "size", "_key"], ascending=[True, False, True], kind="stable", ignore_index=True)
-            draw = np.random.default_rng([seed, depth, int(pdf["_group"].iloc[0])]).random(2 * len(pdf))
+            draws = np.random.default_rng([seed, depth, int(pdf["_group"].iloc[0])])
             part, size = pdf["part"].to_numpy(float).copy(), pdf["size"].to_numpy()
             cuts = np.flatnonzero(np.diff(pdf["_source"].to_numpy())) + 1
             for at in np.split(np.arange(len(pdf)), cuts):
-                part[at] = _settle(part[at], size[at], draw[at])
+                part[at] = _settle(part[at], size[at], draws)
                 if last:
-                    part[at] = np.where((part[at] > 0) & (part[at] < 1), draw[len(pdf) + at] < part[at], part[at])
+                    part[at] = np.where((part[at] > 0) & (part[at] < 1), draws.random() < part[at], part[at])
             pdf["part"], pdf["done"] = part, (part <= 0) | (part >= 1)
             return pdf[columns]
 
