@@ -26,7 +26,7 @@ HEADLINE = [
     # counts
     "census", "summarize", "pipeline_metrics", "window_count",
     # arrival order
-    "align", "sequence", "cap", "reorder", "offset_progress", "schema_version", "dedup_ttl", "dedup_content",
+    "align", "sequence", "cap", "reorder", "schema_version", "dedup_ttl", "dedup_content",
     "debounce", "sample_max_per_second", "token_bucket", "distinct_key",
     # combining rows
     "decode_changes", "merge_prefer_src", "coalesce_slice", "stash_latest", "ttl_lookup", "gate", "hold_release",

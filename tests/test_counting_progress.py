@@ -66,25 +66,6 @@ def test_watermark_status(make):
     assert (never.lsn, never.updated_at, never.stale) == (0, None, True)
 
 
-def test_offset_progress(spark):
-    log = [("advance", 10), ("advance", 7), ("commit", None), ("advance", 9), ("advance", 10), ("advance", 15), ("commit", None), ("advance", 3)]
-    ops = spark.createDataFrame([(i, op, lsn) for i, (op, lsn) in enumerate(log)], "seq long, op string, lsn long")
-    for kw in ({}, {"block": 2}):
-        out = ops.transform(p.offset_progress(5, **kw)).orderBy("seq").collect()
-        assert [(r.pending, r.committed, r.lag) for r in out] == [
-            (10, 5, 5), (10, 5, 5), (10, 10, 0), (10, 10, 0), (10, 10, 0), (15, 10, 5), (15, 15, 0), (15, 15, 0),
-        ]
-        assert [i for i, r in enumerate(out) if r.error] == [3, 7]
-        assert out[3].error == "offset: lsn 9 is behind committed 10"
-
-
-def test_checkpoint_flush_only_on_change(make):
-    rows = make({"at": 0, "lsn": 0}, {"at": 5, "lsn": 4}, {"at": 7, "lsn": 3}, {"at": 12, "lsn": 4}, {"at": 21, "lsn": 8})
-    out = rows.transform(p.checkpoint_flush(5, block=2)).orderBy("tick").collect()
-    at = [(r.flushed_at - T0.replace(tzinfo=None)).total_seconds() for r in out]
-    assert [r.lsn for r in out] == [4, 8] and at == [10, 25]
-
-
 def relation(seq, id_, *cols, table="events", deleted=False):
     return (seq, id_, "public", table, list(cols), deleted)
 

@@ -1,6 +1,7 @@
 """Order-dependent operators against plain replays, with blocks small enough to be crossed."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -96,6 +97,57 @@ def test_token_bucket_settings():
         sel.bucket_rule(0, 1)
 
 
+def test_token_bucket_of_any_rate(make):
+    """3,333 tokens in a second, which is no whole number of microseconds: against a replay in whole numbers."""
+    rnd = random.Random(6)
+    at = sorted(rnd.random() / 50 for _ in range(400))
+    log = make(*[{"at": t} for t in at])
+    times = [r.us for r in log.orderBy("seq").selectExpr("unix_micros(ts) AS us").collect()]
+    for tokens, burst in ((3333, 5), (3333, None), (999_983, 40)):
+        rule, state, want = sel.bucket_rule(tokens, 1, burst), statescan.NONE, []
+        for t in times:
+            state, hit = rule.step(state, t)
+            want.append(hit)
+        out = log.transform(sel.token_bucket(tokens, 1, burst, block=64)).orderBy("seq").collect()
+        assert [r.admitted for r in out] == want
+        assert [r.ts for r in out] == [r.ts for r in log.orderBy("seq").collect()]
+        assert burst != 5 or not all(want)
+
+
+def test_bucket_summary_with_a_large_burst():
+    """One block of 2**14 rows that never rests, with room for a million: seconds, and equal to a replay."""
+    rnd = np.random.default_rng(3)
+    times = np.cumsum(rnd.integers(0, 3, 1 << 14))
+    rule = BucketRule(1, 2, 2 * 10**6)
+    start = time.perf_counter()
+    table = rule.summary(times, np.zeros(len(times), bool))
+    assert time.perf_counter() - start < 60
+    highs = np.array([p[0] for p in table])
+    for state in [NONE, *rnd.integers(0, 2 * 10**6, 20).tolist()]:
+        assert statescan._after(table, highs, state) == rule.run(state, times.tolist(), [])[0]
+
+
+def test_rows_without_a_time_pass(spark, make):
+    rows = make(*[{"at": i // 4, "columns": {"k": "a"}} for i in range(40)])
+    none = F.when(F.col("seq") % 3 == 0, F.lit(None).cast("timestamp")).otherwise(F.col("ts"))
+    mixed = rows.withColumn("ts", none).withColumn("key", F.lit("a"))
+    timed = mixed.filter("ts IS NOT NULL")
+    empty = {i for i in range(1, 41) if i % 3 == 0}
+    stages = [
+        sel.dedup_ttl(["key"], 3), sel.dedup_content(3, ["k"]), sel.sample_max_per_second(2), sel.debounce(["key"], 0.5, 3),
+        sel.dedup_ttl(["key"], 3, block=8),
+    ]
+    for stage in stages:
+        assert set(seqs(mixed.transform(stage))) == set(seqs(timed.transform(stage))) | empty
+    for only in (mixed.filter("ts IS NULL"), mixed.withColumn("ts", F.lit(None).cast("timestamp"))):
+        for stage in stages:
+            assert seqs(only.transform(stage)) == seqs(only)
+    admitted = mixed.transform(sel.token_bucket(1, 1, 1, ["key"])).filter("admitted")
+    assert set(seqs(admitted)) == set(seqs(timed.transform(sel.token_bucket(1, 1, 1, ["key"])).filter("admitted"))) | empty
+    burst = mixed.transform(sel.debounce(["key"], 0.5, 3)).filter("ts IS NULL").collect()
+    assert {(r.emit_ts, r.burst_rows) for r in burst} == {(None, 1)}
+
+
 @pytest.mark.parametrize("kw", SMALL)
 def test_sample_max_per_second(log, rows, kw):
     state, want = {}, set()

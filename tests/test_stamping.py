@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import metas
 from tidemark.functions.hashing import fnv1a_32
-from tidemark.functions.text import general_number
+from tidemark.functions.text import general_number, json_number
 from tidemark.operators import stamping as s
 
 
@@ -126,3 +126,20 @@ def test_trace_keeps_the_id_and_counts_hops(make):
 def test_general_number(spark):
     df = spark.createDataFrame([(10.0,), (0.25,), (-3.0,)], "x double")
     assert [r.t for r in df.select(general_number(F.col("x")).alias("t")).collect()] == ["10", "0.25", "-3"]
+
+
+# How the two text forms print doubles.
+NUMBERS = [
+    (1e5, "100000", "100000"), (1e6, "1e+06", "1000000"), (1e7, "1e+07", "10000000"), (1234567.0, "1.234567e+06", "1234567"),
+    (12345678.5, "1.23456785e+07", "12345678.5"), (1e20, "1e+20", "100000000000000000000"), (1e21, "1e+21", "1e+21"),
+    (1e-4, "0.0001", "0.0001"), (1e-5, "1e-05", "0.00001"), (1.5e-7, "1.5e-07", "1.5e-7"), (9.5e-5, "9.5e-05", "0.000095"),
+    (-2.5, "-2.5", "-2.5"), (-1e6, "-1e+06", "-1000000"), (0.0, "0", "0"), (999999.5, "999999.5", "999999.5"),
+    (float("inf"), "+Inf", "+Inf"), (float("-inf"), "-Inf", "-Inf"), (float("nan"), "NaN", "NaN"), (None, None, None),
+    (1.7976931348623157e308, "1.7976931348623157e+308", "1.7976931348623157e+308"), (0.001, "0.001", "0.001"),
+]
+
+
+def test_number_text(spark):
+    df = spark.createDataFrame([(i, n[0]) for i, n in enumerate(NUMBERS)], "i int, x double").orderBy("i")
+    got = df.select(general_number(F.col("x")).alias("g"), json_number(F.col("x")).alias("j")).collect()
+    assert [(r.g, r.j) for r in got] == [n[1:] for n in NUMBERS]

@@ -9,6 +9,7 @@ from tidemark.model import RELATIONS, changes
 from tidemark.operators import filters, progress, selection, values
 from tidemark.plans.flow import Flow
 from tidemark.sources import changelog
+from tidemark.functions.cells import first_value
 from tidemark.streaming import processors, runner
 
 SF = "/root/testdata/sf0.001"
@@ -67,8 +68,25 @@ def test_sample(run, log):
     assert seqs(run(processors.sample_max_per_second(*args))) == seqs(log.transform(selection.sample_max_per_second(*args)))
 
 
+def test_cap_over_all_rows(run, log):
+    assert seqs(run(processors.cap(40, action="UPDATE"))) == seqs(log.transform(filters.cap(40, action="UPDATE")))
+
+
+def test_sequence_over_all_rows(run, log):
+    stamps = lambda df: {r.seq: r["meta"]["seq"] for r in df.collect()}
+    assert stamps(run(processors.sequence(7))) == stamps(log.transform(selection.sequence(7)))
+
+
+@pytest.mark.parametrize("table", [None, "orders"])
+def test_distinct_key_keeps_the_first_row(spark, log, files, tmp_path, table):
+    # All files in one micro-batch: rows of a key come in no order.
+    live = changelog.stream_changes(spark, files, schema=log.schema)
+    out = runner.drain(live.transform(processors.distinct_key(first_value("user_id"), table)), str(tmp_path / "o"), str(tmp_path / "p"))
+    assert seqs(out) == seqs(log.transform(selection.distinct_key("user_id", table)))
+
+
 def test_cap_per_table(run, log):
-    assert seqs(run(processors.cap(40, action="UPDATE"))) == seqs(
+    assert seqs(run(processors.cap(40, action="UPDATE", keys=["table_name"]))) == seqs(
         log.transform(filters.cap(40, action="UPDATE", keys=["table_name"]))
     )
 
@@ -110,4 +128,5 @@ def test_checkpoint_folder(spark):
     from tidemark.session import checkpoint_root
 
     named = spark.conf.get("spark.checkpoint.dir", None)
+    assert checkpoint_root(spark) == (named or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints").rstrip("/")
     assert checkpoint_root(spark, "/x/") == (named.rstrip("/") if named else "/x")

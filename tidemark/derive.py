@@ -82,12 +82,3 @@ def cache_ops(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "signup", "set").otherwise("delete").alias("op"),
         as_text(events, "value").alias("value"),
     )
-
-
-def offset_ops(changes: DataFrame) -> DataFrame:
-    """Advances to the lsn of each change, commits at purchases."""
-    purchase = F.exists("columns", lambda c: (c["name"] == "event_type") & (c["value"] == "purchase"))
-    return changes.select(
-        "seq", F.when(purchase, "commit").otherwise("advance").alias("op"),
-        F.when(~purchase, F.col("lsn")).alias("lsn"),
-    )

@@ -28,54 +28,6 @@ def watermark_status(as_of=None, stale_after=30, keys: Sequence[str] = ()) -> St
     return run
 
 
-def offset_progress(start: int = 0, **kw) -> Stage:
-    """Pending, committed and lag after every operation of a log (``seq``, ``op``, ``lsn``).
-
-    An advance below the committed offset is an error and leaves the offsets as they are; it
-    is below pending too, so it never counts.
-    """
-
-    def run(ops: DataFrame) -> DataFrame:
-        lsn = F.when(F.col("op") == "advance", F.col("lsn"))
-        first = running(ops, {"_p": Running("max", lsn)}, **kw)
-        pending = F.greatest(F.lit(start).cast("bigint"), F.col("_p"))
-        first = first.withColumn("pending", pending)
-        commit = F.when(F.col("op") == "commit", F.col("pending"))
-        both = running(
-            first, {"_c": Running("last", commit), "_before": Running("last", commit, before=True)}, **kw
-        )
-        committed = F.coalesce(F.col("_c"), F.lit(start).cast("bigint"))
-        behind = (F.col("op") == "advance") & (F.col("lsn") < F.coalesce(F.col("_before"), F.lit(start)))
-        error = F.format_string(
-            "offset: lsn %d is behind committed %d", F.col("lsn"), F.coalesce(F.col("_before"), F.lit(start).cast("bigint"))
-        )
-        return both.select(
-            *ops.columns, "pending", committed.alias("committed"),
-            F.greatest(F.col("pending") - committed, F.lit(0)).alias("lag"),
-            F.when(behind, error).alias("error"),
-        )
-
-    return run
-
-
-def checkpoint_flush(interval=5, **kw) -> Stage:
-    """One row per interval whose end raised the highest lsn, as a flush on a ticker would."""
-    width = span_micros(interval)
-    if width <= 0:
-        raise ValueError("checkpoint_flush: interval must be positive")
-
-    def run(df: DataFrame) -> DataFrame:
-        tick = F.floor(F.unix_micros("ts") / F.lit(width)).cast("bigint")
-        highs = df.groupBy(tick.alias("tick")).agg(F.max("lsn").alias("_high")).filter(F.col("_high") > 0)
-        seen = running(highs, {"_before": Running("max", F.col("_high"), before=True)}, order="tick", **kw)
-        rose = F.col("_before").isNull() | (F.col("_high") > F.col("_before"))
-        return seen.filter(rose).select(
-            "tick", F.timestamp_micros((F.col("tick") + 1) * width).alias("flushed_at"), F.col("_high").alias("lsn")
-        )
-
-    return run
-
-
 def fingerprint() -> Column:
     names = F.transform(
         "columns", lambda c: F.concat(c["name"], F.lit("("), c["type_oid"].cast("string"), F.lit(")"))

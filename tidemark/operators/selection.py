@@ -11,8 +11,8 @@ from tidemark.functions import meta
 from tidemark.functions.cells import cols, first_value, named, scope, shown
 from tidemark.model import span_micros
 from tidemark.operators.filters import Stage
-from tidemark.plans.blocks import BLOCK, Running, count_if, running
-from tidemark.plans.statescan import BucketRule, SpanRule, anchors, flag_marked, keep_marked, narrow_rows
+from tidemark.plans.blocks import Running, count_if, running
+from tidemark.plans.statescan import BucketRule, SpanRule, anchors, flag_marked, keep_marked, narrow_rows, untimed
 
 
 def _positive(span, what: str) -> int:
@@ -23,7 +23,10 @@ def _positive(span, what: str) -> int:
 
 
 def dedup_ttl(keys: Sequence[str], ttl=30, **kw) -> Stage:
-    """Drop a row whose key was kept less than ``ttl`` ago; the span starts at the kept row."""
+    """Drop a row whose key was kept less than ``ttl`` ago; the span starts at the kept row.
+
+    Rows without a time pass.
+    """
     rule = SpanRule(_positive(ttl, "dedup_ttl: ttl"))
     return lambda df: keep_marked(df, keys, rule, **kw)
 
@@ -127,7 +130,8 @@ def batch_assign(max_size: int = 100, **kw) -> Stage:
 def debounce(keys: Sequence[str], window=0.2, max_delay=2, **kw) -> Stage:
     """One row per burst: the latest, after ``window`` of quiet or ``max_delay`` after the first.
 
-    Adds ``emit_ts`` and ``burst_rows``. A gap equal to the window ends a burst.
+    Adds ``emit_ts`` and ``burst_rows``. A gap equal to the window ends a burst. A row without a time is a
+    burst of its own, with no ``emit_ts``.
     """
     quiet = span_micros(window) if span_micros(window) > 0 else span_micros(0.2)
     longest = span_micros(max_delay) if span_micros(max_delay) > 0 else span_micros(2)
@@ -144,7 +148,8 @@ def debounce(keys: Sequence[str], window=0.2, max_delay=2, **kw) -> Stage:
             .agg(F.max("seq").alias("_last"), F.count(F.lit(1)).alias("burst_rows"), F.max_by("at", "seq").alias("_to"))
         )
         emit = F.timestamp_micros(F.least(F.col("_to") + quiet, F.col("anchor") + longest))
-        last = ends.select("_last", emit.alias("emit_ts"), "burst_rows")
+        alone = untimed(df).select("_seq", F.lit(None).cast("timestamp"), F.lit(1).cast("bigint"))
+        last = ends.select("_last", emit.alias("emit_ts"), "burst_rows").union(alone)
         return df.join(last, F.col("seq") == F.col("_last")).drop("_last")
 
     return run
@@ -152,7 +157,7 @@ def debounce(keys: Sequence[str], window=0.2, max_delay=2, **kw) -> Stage:
 
 def sample_max_per_second(limit: int, keys: Sequence[str] = (), second=1, **kw) -> Stage:
     """Pass the first ``limit`` rows of each window; a window opens at the first row that
-    arrives at least ``second`` after the last one opened."""
+    arrives at least ``second`` after the last one opened. Rows without a time pass."""
     if limit <= 0:
         return lambda df: df
     rule = SpanRule(_positive(second, "sample_max_per_second: window"))
@@ -163,6 +168,7 @@ def sample_max_per_second(limit: int, keys: Sequence[str] = (), second=1, **kw)
         first = anchors(narrow_rows(df, keys, **kw), rule, limit=limit)
         rank = F.row_number().over(Window.partitionBy("_k", "anchor").orderBy("seq"))
         hits = first.withColumn("_rank", rank).filter(F.col("_rank") <= limit).select(F.col("seq").alias("_seq"))
+        hits = hits.union(untimed(df))
         return df.join(hits, F.col("seq") == F.col("_seq"), "left_semi")
 
     return run
@@ -177,17 +183,33 @@ def bucket_rule(tokens: int, per, burst: int | None = None) -> BucketRule:
     if tokens <= 0 or burst <= 0:
         raise ValueError("token_bucket: rate and burst must be positive")
     shared = gcd(tokens, span)
-    refill, cost = tokens // shared, span // shared
-    if refill > 2000 or cost * burst > 1 << 60:
-        raise ValueError("token_bucket: this rate needs finer units than 64 bits hold")
-    return BucketRule(refill, cost, cost * burst)
+    return BucketRule(tokens // shared, span // shared, span // shared * burst)
+
+
+BUCKET_BLOCK = 1 << 14  # rows of a hot key that one task summarises for a token bucket
+WIDE = 1 << 61  # numbers of a token bucket stay below, so that sums of two fit in 64 bits
+YEAR_2200 = 7_258_118_400_000_000
 
 
 def token_bucket(tokens: int, per=1, burst: int | None = None, keys: Sequence[str] = (), **kw) -> Stage:
-    """Add ``admitted``: whether a full token was there when the row arrived.
+    """Add ``admitted``: whether a full token was there when the row arrived. Rows without a time are admitted.
 
-    Summarising a block costs more than for a plain span, so hot keys get smaller blocks.
+    Time counts in units of the rate. Where that leaves 64 bits for times since 1970, it counts from the
+    log's first time, which is looked up once. Summarising a block costs more than for a plain span, so hot keys get
+    smaller blocks.
     """
     rule = bucket_rule(tokens, per, burst)
-    kw = {"block": BLOCK >> 3, **kw}
-    return lambda df: flag_marked(df, keys, rule, "admitted", **kw)
+    kw = {"block": BUCKET_BLOCK, **kw}
+
+    def run(df: DataFrame) -> DataFrame:
+        timed = df
+        if YEAR_2200 * rule.refill + rule.room >= WIDE:
+            ends = df.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).select(F.unix_micros("low"), F.unix_micros("high"))
+            low, high = ends.first()
+            if low is not None and (high - low) * rule.refill + rule.room >= WIDE:
+                raise ValueError("token_bucket: the rate and the log's span need more than 64 bits")
+            timed = df.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") - (low or 0)))
+        flagged = flag_marked(timed, keys, rule, "admitted", **kw)
+        return flagged if timed is df else flagged.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + (low or 0)))
+
+    return run

@@ -27,8 +27,8 @@ def with_block(
     """Add ``_block``: a range number of ``position`` for hot keys, null for all others.
 
     A key is hot when it has more than ``hot`` rows (at most ``BLOCK``, by default the block
-    width), so there are at most rows / ``hot`` hot keys; that bound (about a million for 10^12 rows) is what makes the broadcast safe.
-    With ``few_keys`` every key is cut and nothing is counted first.
+    width), so there are at most rows / ``hot`` hot keys; Catalyst and AQE choose the join by the list's size, and split a hot
+    key's partition where it is not broadcast. With ``few_keys`` every key is cut and nothing is counted first.
     """
     place = F.floor(position / F.lit(block)).cast("bigint")
     if few_keys or not keys:
@@ -42,7 +42,7 @@ def with_block(
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    return df.join(F.broadcast(counted), same, "left").select(
+    return df.join(counted, same, "left").select(
         *df.columns, F.when(F.col("_hot_rows").isNotNull(), place).alias("_block")
     )
 

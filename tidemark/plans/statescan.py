@@ -36,6 +36,7 @@ _ENTRY = "_k string, _b bigint, entry bigint"
 _HITS = "_seq bigint"
 _ANCHORED = "_k string, anchor bigint, seq bigint, at bigint"
 _OUT_ROWS = 8192
+MANY_PARTS = 24  # of a token bucket's function, from which on rows are handled in vector steps
 
 
 def _after(pieces: Pieces, highs, state: int) -> int:
@@ -182,6 +183,9 @@ class BucketRule:
             return [(TOP, True, state)]
         parts: list[tuple] = [(NONE - 1, bound, False, 0)]  # entry range (low, high], fixed?, value or shift
         for i, now in enumerate(scaled):
+            if len(parts) > MANY_PARTS:
+                parts = self._many(parts, scaled[i:])
+                break
             parts = self._merged(self._advance(parts, now))
             if len(parts) == 1 and parts[0][2]:
                 state, _ = self.run(parts[0][3], ts[i + 1:].tolist(), [])
@@ -189,6 +193,28 @@ class BucketRule:
         pieces = [p[1:] for p in parts]
         return pieces[:-1] + [(TOP, *pieces[-1][1:])]
 
+    def _many(self, parts: list[tuple], scaled: list[int]) -> list[tuple]:
+        """All rows' effect on many parts: ``_advance`` and ``_merged`` with a few vector steps a row."""
+        low, high, val = (np.array([p[k] for p in parts], np.int64) for k in (0, 1, 3))
+        fixed = np.array([p[2] for p in parts])
+        cost = self.cost
+        for now in scaled:
+            top = now + self.room - cost
+            full, open_ = np.where(fixed, high, now - val), np.where(fixed, high, top - val)
+            lows = np.stack([low, np.maximum(low, full), np.maximum(low, open_)], 1)
+            highs = np.stack([np.minimum(high, full), np.minimum(high, open_), high], 1)
+            moved = np.where(val <= top, np.maximum(val, now) + cost, val)
+            vals = np.stack([np.where(fixed, moved, now + cost), val + cost, val], 1)
+            kinds = np.stack([np.ones(len(val), bool), fixed, fixed], 1)
+            there = lows < highs
+            there[fixed, 1:] = False
+            low, high, val, fixed = lows[there], highs[there], vals[there], kinds[there]
+            new = np.concatenate([[True], (val[1:] != val[:-1]) | (fixed[1:] != fixed[:-1])])
+            if not new.all():
+                low, val, fixed = low[new], val[new], fixed[new]
+                high = high[np.append(np.flatnonzero(new)[1:] - 1, len(new) - 1)]
+        return list(zip(low.tolist(), high.tolist(), fixed.tolist(), val.tolist()))
+
     def _advance(self, parts: list[tuple], now: int) -> list[tuple]:
         """One row's effect on the states of every part."""
         cost, top = self.cost, now + self.room - self.cost
@@ -410,7 +436,10 @@ def _anchored(rule: SpanRule, limit: int | None) -> Callable[[Iterator[pa.Record
 
 
 def narrow_rows(df: DataFrame, keys: Sequence[str], block: int = BLOCK, few_keys: bool = False) -> DataFrame:
-    """What the scans need of each row: ``_k`` (the keys as one text), ``seq``, ``at`` and ``_block``."""
+    """What the scans need of each row with a time: ``_k`` (the keys as one text), ``seq``, ``at`` and ``_block``.
+
+    Rows without a time take no part in a rule: see :func:`untimed`.
+    """
     key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
     narrow = df.select(key.alias("_k"), "seq", F.unix_micros("ts").alias("at")).filter(F.col("at").isNotNull())
     return with_block(narrow, ["_k"] if keys else [], F.col("seq"), block, few_keys)
@@ -461,17 +490,22 @@ def anchors(
     )
 
 
+def untimed(df: DataFrame) -> DataFrame:
+    """The ``_seq`` of rows without a time. No clock can hold them back, so they always pass."""
+    return df.filter("ts IS NULL").select(F.col("seq").alias("_seq"))
+
+
 def keep_marked(df: DataFrame, keys: Sequence[str], rule, block: int = BLOCK, few_keys: bool = False, **kw) -> DataFrame:
-    """The rows that the rule marks."""
-    hits = scan(narrow_rows(df, keys, block, few_keys), rule, **kw)
+    """The rows that the rule marks, and all rows without a time."""
+    hits = scan(narrow_rows(df, keys, block, few_keys), rule, **kw).union(untimed(df))
     return df.join(hits, F.col("seq") == F.col("_seq"), "left_semi")
 
 
 def flag_marked(
     df: DataFrame, keys: Sequence[str], rule, name: str, block: int = BLOCK, few_keys: bool = False, **kw
 ) -> DataFrame:
-    """All rows, with a boolean column that tells whether the rule marks them."""
-    hits = scan(narrow_rows(df, keys, block, few_keys), rule, **kw)
+    """All rows, with a boolean column that tells whether the rule marks them (rows without a time: true)."""
+    hits = scan(narrow_rows(df, keys, block, few_keys), rule, **kw).union(untimed(df))
     return (
         df.join(hits, F.col("seq") == F.col("_seq"), "left")
         .withColumn(name, F.col("_seq").isNotNull())

@@ -7,7 +7,6 @@ are microseconds since the epoch.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -86,8 +85,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder that the session names."""
-    fallback = None if spark.conf.get("spark.checkpoint.dir", None) else tempfile.mkdtemp(prefix="run-")
-    return os.path.join(checkpoint_root(spark, fallback), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 # ------------------------------------------------------------------ scans and decoding
@@ -271,6 +269,17 @@ def sample_max_per_second(spark, sf):
     return per_user(spark, sf).transform(selection.sample_max_per_second(2, ["user"], second=DAY)).select("seq")
 
 
+@query("dedup_content_untimed", "SELECT doc_id AS seq FROM documents")
+def dedup_content_untimed(spark, sf):
+    """The documents have no times: no clock holds a row back."""
+    return docs(spark, sf).transform(selection.dedup_content(60, ["text"])).select("seq")
+
+
+@query("token_bucket_untimed", "SELECT doc_id AS seq, true AS admitted FROM documents")
+def token_bucket_untimed(spark, sf):
+    return docs(spark, sf).transform(selection.token_bucket(1, 1, 1)).select("seq", "admitted")
+
+
 @query("token_bucket", ORDERED_SQL + """,
 f(k, rn, seq, us, tok, ok) AS (
   SELECT k, rn, seq, us, CAST(43200000000 AS BIGINT), true FROM o WHERE rn = 1
@@ -874,27 +883,6 @@ def watermark_status(spark, sf):
     return out.select("table_name", "lsn", us("updated_at").alias("updated_us"), "stale")
 
 
-@query("offset_progress", """,
-ops AS (SELECT seq, c_type = 'purchase' AS is_commit, CASE WHEN c_type <> 'purchase' THEN lsn END AS lsn FROM changes),
-p AS (SELECT *, greatest(0, coalesce(max(lsn) OVER (ORDER BY seq), 0)) AS pending FROM ops),
-c AS (SELECT *, coalesce(last_value(CASE WHEN is_commit THEN pending END IGNORE NULLS) OVER (ORDER BY seq), 0) AS committed,
-  coalesce(last_value(CASE WHEN is_commit THEN pending END IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p)
-SELECT seq, pending, committed, pending - committed AS lag,
-  CASE WHEN NOT is_commit AND lsn < before THEN 'offset: lsn ' || lsn || ' is behind committed ' || before END AS error FROM c""")
-def offset_progress(spark, sf):
-    out = derive.offset_ops(changes(spark, sf)).transform(progress.offset_progress())
-    return out.select("seq", "pending", "committed", "lag", "error")
-
-
-@query("checkpoint_flush", f""",
-h AS (SELECT us // {HOUR_US} AS tick, max(lsn) AS lsn FROM changes GROUP BY 1)
-SELECT tick, (tick + 1) * {HOUR_US} AS flushed_us, lsn FROM (
-  SELECT *, max(lsn) OVER (ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM h) WHERE b IS NULL OR lsn > b""")
-def checkpoint_flush(spark, sf):
-    out = changes(spark, sf).transform(progress.checkpoint_flush(3600))
-    return out.select("tick", us("flushed_at").alias("flushed_us"), "lsn")
-
-
 VERSION_SQL = RELATIONS_SQL + """,
 fp AS (SELECT *, 'public.' || table_name || ':user_id(20)event_type(25)value(701)' || CASE WHEN has_props THEN 'props(25)' ELSE '' END AS fp FROM relations),
 ch AS (SELECT *, fp IS DISTINCT FROM lag(fp) OVER (PARTITION BY relation_id ORDER BY seq) AS changed FROM fp),
@@ -1244,10 +1232,18 @@ def stream_schema_version(spark, sf):
     return drained(spark, out, "versions").select("seq", "relation_id", "version", "changed")
 
 
-@query("stream_distinct_key", "SELECT DISTINCT table_name, action, c_user AS \"user\" FROM changes")
+@query("stream_distinct_key", **same_sql("distinct_key"))
 def stream_distinct_key(spark, sf):
-    out = stream_per_user(spark, sf).transform(processors.distinct_key(F.col("user")))
-    return drained(spark, out.select("table_name", "action", "user"), "distinct").select("table_name", "action", "user")
+    out = stream_events(spark, sf).transform(processors.distinct_key(first_value("user_id"), "orders"))
+    return drained(spark, out.select("seq"), "distinct").select("seq")
+
+
+@query("stream_sequence_all", """
+SELECT seq, CAST(row_number() OVER (ORDER BY seq) AS VARCHAR) AS n FROM changes""")
+def stream_sequence_all(spark, sf):
+    """The defaults number all rows, as in batch."""
+    out = stream_events(spark, sf).transform(processors.sequence())
+    return drained(spark, out.select("seq", meta("seq", "n")), "numbers").select("seq", "n")
 
 
 @query("stream_census", **same_sql("census"))

@@ -25,10 +25,9 @@ def local_session(name: str = "tidemark", cores: str | int = "*", conf: dict[str
 
 
 def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder the cluster names for checkpoints; ``fallback`` only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no folder was given")
-    return fallback.rstrip("/")
+    """The shared folder the cluster names for checkpoints.
+
+    Where none is set: ``fallback``, else a folder of the warehouse, which is shared as well.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    return (root or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints").rstrip("/")

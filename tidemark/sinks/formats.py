@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cells import TYPED, cols, shown
+from tidemark.functions.text import json_number
 from tidemark.functions import meta
 from tidemark.operators.filters import Stage
 from tidemark.operators.stamping import row_id
@@ -35,8 +36,14 @@ def lsn_text(lsn: Column) -> Column:
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
+def _bare(c: Column) -> Column:
+    """A cast value as JSON writes it, without quotes."""
+    real = F.when(c["type"] == "float", json_number(c["value"].try_cast("double")))
+    return F.coalesce(real, c["value"])
+
+
 def _cell_json(c: Column) -> Column:
-    plain = F.when(c["type"].isin(*TYPED), c["value"])
+    plain = F.when(c["type"].isin(*TYPED), _bare(c))
     value = F.coalesce(plain, F.when(c["value"].isNull(), F.lit("null")).otherwise(quoted(c["value"])))
     return F.concat(
         F.lit('{"name":'), quoted(c["name"]), F.lit(',"type":'), quoted(F.coalesce(c["type"], F.lit(""))),
@@ -101,7 +108,7 @@ def pretty_text() -> Column:
 
     def cell(c: Column) -> Column:
         bare = c["type"].isin(*TYPED) & c["value"].isNotNull()
-        value = F.when(F.coalesce(bare, F.lit(False)), c["value"]).when(c["value"].isNull(), F.lit("null"))
+        value = F.when(F.coalesce(bare, F.lit(False)), _bare(c)).when(c["value"].isNull(), F.lit("null"))
         return F.concat(
             pad(2), F.lit("{"),
             pad(3), F.lit('"name": '), quoted(c["name"]), F.lit(","),

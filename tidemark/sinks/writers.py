@@ -15,7 +15,7 @@ Writer = Callable[[DataFrame], None]
 
 
 def text_sink(kind: str, target: str = "", column: str = "line", compression: str = "none") -> Writer:
-    """One line per row: ``stdout`` (a console preview is Spark's job), ``file`` or ``null``."""
+    """One line per row: ``file`` or ``null``. See :func:`preview` for a look at the console."""
     if compression not in ("none", "gzip"):
         raise ValueError(f"sink: unknown compression {compression!r}")
     if kind == "file":
@@ -24,11 +24,14 @@ def text_sink(kind: str, target: str = "", column: str = "line", compression: st
         return lambda df: df.select(column).write.mode("append").option("compression", compression).text(target)
     if kind == "null":
         return lambda df: df.select(column).write.format("noop").mode("overwrite").save()
-    if kind == "stdout":
-        return lambda df: df.select(column).write.format("console").option("truncate", "false").save()
     raise ValueError(f"sink: unknown type {kind!r}")
 
 
+def preview(rows: int = 20, column: str = "line") -> Writer:
+    """The first ``rows`` lines on the console: a look, not a sink."""
+    return lambda df: df.select(column).write.format("console").option("truncate", "false").option("numRows", rows).save()
+
+
 def table_sink(path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "append", **options) -> Writer:
     return lambda df: df.write.mode(mode).format(fmt).partitionBy(*partition_by).options(**options).save(path)
 

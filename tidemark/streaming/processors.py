@@ -251,24 +251,27 @@ def align() -> Stage:
     return run
 
 
-def cap(limit: int, table: str | None = None, action: str | None = None, keys: Sequence[str] = ("table_name",)) -> Stage:
-    """Streaming ``cap``, per key: one counter for all rows would put them into one task."""
+def cap(limit: int, table: str | None = None, action: str | None = None, keys: Sequence[str] = ()) -> Stage:
+    """Streaming ``cap``, over all rows in scope as in batch, or per key. Rows of one key meet in one task."""
 
     def run(df: DataFrame) -> DataFrame:
         inside = scope(table, action)
-        done = _stateful(df, keys, CountProcessor(), num=inside.cast("bigint"))
-        return done.filter(~F.col("_flag") | (F.col("_n") <= limit)).drop("_flag", "_n")
+        done = _stateful(df.filter(inside), keys, CountProcessor(), num=F.lit(1))
+        kept = done.filter(F.col("_n") <= limit).drop("_flag", "_n")
+        return kept if not table and not action else kept.unionByName(df.filter(~inside))
 
     return run
 
 
-def sequence(start: int = 0, table: str | None = None, field: str = "seq", keys: Sequence[str] = ("table_name",)) -> Stage:
-    """Streaming ``sequence``, numbered per key."""
+def sequence(start: int = 0, table: str | None = None, field: str = "seq", keys: Sequence[str] = ()) -> Stage:
+    """Streaming ``sequence``, over all rows in scope as in batch, or per key. Rows of one key meet in one task."""
 
     def run(df: DataFrame) -> DataFrame:
-        done = _stateful(df, keys, CountProcessor(), num=scope(table).cast("bigint"))
-        stamped = meta.put(field, (F.col("_n") + start).cast("string"), F.col("_flag"))
-        return done.withColumn("meta", stamped).drop("_flag", "_n")
+        inside = scope(table)
+        done = _stateful(df.filter(inside), keys, CountProcessor(), num=F.lit(1))
+        stamped = meta.put(field, (F.col("_n") + start).cast("string"), F.lit(True))
+        out = done.withColumn("meta", stamped).drop("_flag", "_n")
+        return out if not table else out.unionByName(df.filter(~inside))
 
     return run
 
@@ -299,8 +302,33 @@ def debounce(keys: Sequence[str], window=0.2, max_delay=2, late: str = "0 second
     return run
 
 
-def distinct_key(key: Column) -> Stage:
-    """First row per table, action and key; the state keeps every key, as in batch."""
-    return lambda df: df.withColumn("_value", F.coalesce(key, F.lit(""))).dropDuplicates(
-        ["table_name", "action", "_value"]
-    ).drop("_value")
+class FirstProcessor(_Sorted):
+    """The first row of a key by arrival. A micro-batch is read part by part; one row is held."""
+
+    def handleInputRows(self, key, rows, timerValues):
+        seen, best = self.state.get() is not None, None
+        for part in rows:
+            if seen:
+                continue
+            frame = part.iloc[:, 1:6].set_axis(_FIELDS, axis=1)
+            row = frame.loc[frame["_seq"].idxmin()]
+            if best is None or row["_seq"] < best[0]:
+                best = (int(row["_seq"]), row["_row"])
+        if best is not None:
+            self.state.update((best[0],))
+            yield from _out([(best[1], True, 0)])
+
+
+def distinct_key(key: Column, table: str | None = None) -> Stage:
+    """Streaming ``distinct_key``: the first row per table, action and key; rows of other tables pass.
+
+    The state keeps every key, as in batch.
+    """
+
+    def run(df: DataFrame) -> DataFrame:
+        inside = scope(table)
+        keyed = df.filter(inside).withColumn("_value", F.coalesce(key, F.lit("")))
+        done = _stateful(keyed, ["table_name", "action", "_value"], FirstProcessor()).drop("_value", "_flag", "_n")
+        return done if table is None else done.unionByName(df.filter(~inside))
+
+    return run
