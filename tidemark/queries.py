@@ -1034,6 +1034,72 @@ def forward_tap(spark, sf):
     return changes(spark, sf).transform(writers.tapped(F.col("action") == "DELETE")).select("seq", "tapped")
 
 
+@query("dispatch_write", """
+SELECT 'orders' AS target, seq FROM changes WHERE table_name = 'orders' UNION ALL SELECT 'deletes', seq FROM changes WHERE action = 'DELETE'
+UNION ALL SELECT 'all', seq FROM changes""")
+def dispatch_write(spark, sf):
+    """Each route has its own table; all are read back."""
+    paths = {name: scratch(spark, f"route-{name}") for name in ("orders", "deletes", "all")}
+    conditions = {"orders": F.col("table_name") == "orders", "deletes": F.col("action") == "DELETE", "all": None}
+    routes = {name: (cond, writers.table_sink(paths[name])) for name, cond in conditions.items()}
+    writers.dispatch(routes)(changes(spark, sf).select("seq", "table_name", "action"))
+    parts = [spark.read.schema("seq bigint").parquet(path).select(F.lit(name).alias("target"), "seq") for name, path in paths.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("forward_write", """
+SELECT 'main' AS target, seq FROM changes UNION ALL SELECT 'side', seq FROM changes WHERE action = 'DELETE'""")
+def forward_write(spark, sf):
+    """Deletes also go to a side table."""
+    main, side = scratch(spark, "main"), scratch(spark, "side")
+    writer = writers.forward(F.col("action") == "DELETE", writers.table_sink(side), writers.table_sink(main))
+    writer(changes(spark, sf).select("seq", "action"))
+    read = lambda path, name: spark.read.schema("seq bigint").parquet(path).select(F.lit(name).alias("target"), "seq")
+    return read(main, "main").unionByName(read(side, "side"))
+
+
+@query("route_write", "SELECT route, count(*) AS n, CAST(sum(seq) AS BIGINT) AS total FROM (SELECT seq, table_name AS route FROM changes) WHERE route = 'users' GROUP BY route")
+def route_write(spark, sf):
+    """A folder for each route; the reader prunes to one."""
+    path = scratch(spark, "routes")
+    stage = writers.route({t: F.col("table_name") == t for t in ("accounts", "orders", "users")})
+    writers.table_sink(path, partition_by=["route"])(changes(spark, sf).transform(stage).select("seq", "route"))
+    back = spark.read.schema("seq bigint, route string").parquet(path).filter("route = 'users'")
+    return back.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("total"))
+
+
+@query("shard_write", """
+SELECT table_name AS shard, count(*) AS n, min(seq) AS first_seq FROM changes WHERE table_name IN ('orders','users') GROUP BY 1""")
+def shard_write(spark, sf):
+    path = scratch(spark, "shards")
+    rows = changes(spark, sf).transform(writers.shard(["orders", "users", "empty"])).select("seq", "shard")
+    writers.table_sink(path, partition_by=["shard"])(rows)
+    back = spark.read.schema("seq bigint, shard string").parquet(path)
+    return back.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+
+
+@query("journal_append", """
+SELECT strftime(ts, '%Y-%m-%d') AS day, table_name, count(*) AS n, max(lsn) AS lsn FROM changes WHERE dayofmonth(ts) IN (3, 4) GROUP BY ALL""")
+def journal_append(spark, sf):
+    """Two runs append to one journal, which is read back by day."""
+    path = scratch(spark, "journal")
+    for day in (3, 4):
+        rows = changes(spark, sf).filter(F.dayofmonth("ts") == day).transform(formats.journal())
+        writers.table_sink(path, partition_by=["day"])(rows.withColumn("day", F.date_format("ts", "yyyy-MM-dd")))
+    back = spark.read.schema("table_name string, lsn bigint, line string, day string").parquet(path)
+    return back.groupBy("day", "table_name").agg(F.count("line").alias("n"), F.max("lsn").alias("lsn"))
+
+
+@query("audit_append", "SELECT action, count(*) AS n FROM changes WHERE table_name = 'orders' AND action IN ('INSERT','DELETE') GROUP BY 1")
+def audit_append(spark, sf):
+    """Lines of inserts, then of deletes, appended to one log and read back."""
+    path = scratch(spark, "audit")
+    for action in ("INSERT", "DELETE"):
+        writers.text_sink("file", path)(changes(spark, sf).transform(formats.audit(["orders"], [action])))
+    action = F.regexp_extract("value", r" action=(\w+) ", 1).alias("action")
+    return spark.read.text(path).groupBy(action).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("split_left", "SELECT seq, action FROM changes WHERE CAST(c_value AS DOUBLE) > 20")
 def split_left(spark, sf):
     left, _ = writers.split(first_value("value").try_cast("double") > 20)
@@ -1069,7 +1135,7 @@ SELECT batch, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM (
 def batch_write(spark, sf):
     path = scratch(spark, "batches")
     rows = changes(spark, sf).transform(selection.batch_assign(1000)).select("seq", "batch")
-    writers.table_sink(path, maxRecordsPerFile=100000)(rows)
+    writers.table_sink(path, partition_by=["batch"])(rows.repartition("batch"))
     return spark.read.schema("seq bigint, batch bigint").parquet(path).groupBy("batch").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
     )
@@ -1128,8 +1194,9 @@ def observe_lines(spark, sf):
 
 
 def live_events(spark: SparkSession, sf: str) -> DataFrame:
-    # The pattern lets the table be one file as well as a folder of files.
-    return spark.readStream.schema(events(spark, sf).schema).parquet(f"{sf}/events.parque[t]")
+    # The pattern lets the table be one file as well as a folder of files, of which a micro-batch takes a bounded number.
+    files = spark.readStream.schema(events(spark, sf).schema).option("maxFilesPerTrigger", 64)
+    return files.parquet(f"{sf}/events.parque[t]")
 
 
 def stream_events(spark: SparkSession, sf: str) -> DataFrame:
