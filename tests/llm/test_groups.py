@@ -300,9 +300,11 @@ def test_null_and_repeated_keys(spark):
     assert near_dup.one_of_each(table(spark, rows)).count() == 3
 
 
-def test_chains_and_rounds_lose_no_link(spark, monkeypatch):
-    """One bucket of a chain, far texts and copies: all links between its texts are found, with one leader a round."""
-    monkeypatch.setattr(near_dup, "LEADERS", 2)
+@pytest.mark.parametrize("leaders", [1, 5])
+def test_chains_and_rounds_lose_no_link(spark, monkeypatch, leaders):
+    """One bucket of a chain, far texts and copies: its texts get the classes that all pairs give, whatever leads."""
+    monkeypatch.setattr(near_dup, "LEADERS", leaders)
+    monkeypatch.setattr(near_dup, "TILE", 4)
     rnd = random.Random(9)
     base = [f"c{i}" for i in range(50)]
     chain = [base]

@@ -210,7 +210,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(run, "a binary, b binary, d long, similar boolean")
 
 
-LEADERS = 32  # of a bucket in a round after the first
+LEADERS = 32  # of a bucket in the second round
+TILE = 2048  # nodes of a bucket that one task compares with as many others
+BINS = 256  # of a text's word counts
 
 
 def _leaders(open_: DataFrame, slots: int) -> DataFrame:
@@ -220,34 +222,83 @@ def _leaders(open_: DataFrame, slots: int) -> DataFrame:
     return each.groupBy("_band", "_key").agg(F.collect_list("_lead").alias("_leads"))
 
 
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """_node and how many of its words fall into each of ``BINS`` hash bins."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = find_words(batch.column("_text"))
+            where = words.texts() * BINS + (word_hashes(words) % np.uint64(BINS)).astype(np.int64)
+            counts = np.bincount(where, minlength=batch.num_rows * BINS).astype(np.int32)
+            vectors = [v.tobytes() for v in counts.reshape(-1, BINS)]
+            yield pa.RecordBatch.from_arrays([batch.column("_node"), pa.array(vectors, pa.binary())], ["_node", "_counts"])
+
+    return texts.select("_node", "_text").mapInArrow(run, "_node binary, _counts binary")
+
+
+def _left_over(state: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's nodes, one open at least, that their word counts don't tell apart.
+
+    An edit changes two counts by one at most, so half the difference of the counts is a lower
+    bound of the distance. Buckets are cut into tiles of about ``TILE`` nodes, and a task compares two tiles.
+    """
+    nodes = state.select("_node").distinct()
+    counted = state.join(_word_counts(texts.join(nodes, "_node", "left_semi")), "_node")
+    sizes = state.groupBy("_band", "_key").agg(F.count("*").alias("_n"))
+    counted = counted.join(sizes, ["_band", "_key"]).withColumn("_tiles", F.ceil(F.col("_n") / TILE).cast("long"))
+    counted = counted.withColumn("_tile", F.pmod(F.xxhash64("_node"), F.col("_tiles")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)
+    placed = counted.withColumn("_other", F.explode(others)).select(
+        "_band", "_key", F.least("_tile", "_other").alias("_low"), F.greatest("_tile", "_other").alias("_high"),
+        "_tile", "_node", "_open", "_counts",
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        low, high = table["_low"][0].as_py(), table["_high"][0].as_py()
+        nodes_, tile = table["_node"].to_pylist(), table["_tile"].to_numpy()
+        open_ = table["_open"].to_numpy(zero_copy_only=False)
+        vectors = np.frombuffer(b"".join(table["_counts"].to_pylist()), np.int32).reshape(-1, BINS)
+        length = vectors.sum(1)
+        left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
+        a, b = [], []
+        for k, i in enumerate(left):
+            rest = left[k + 1:] if low == high else right
+            rest = rest if open_[i] else rest[open_[rest]]
+            least = (np.abs(vectors[rest] - vectors[i]).sum(1) + 1) // 2
+            most = ((1 - threshold) * np.maximum(length[rest], length[i]) + 1e-9).astype(np.int64)
+            for r in rest[np.maximum(least, np.abs(length[rest] - length[i])) <= most]:
+                x, y = sorted((nodes_[i], nodes_[r]))
+                a.append(x)
+                b.append(y)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return placed.groupBy("_band", "_key", "_low", "_high").applyInArrow(compare, "a binary, b binary").distinct()
+
+
 def links(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b, d) among the nodes of each bucket (_band, _key, _node, n_words).
 
-    A bucket is worked off in rounds. In a round some of its open nodes lead, and every other node of
-    the bucket is aligned with the leaders; then the leaders leave. The first round has one leader, so that a bucket of
-    near copies costs one alignment a node; nodes linked to it then leave as well,
-    unless the triangle inequality leaves room for a link to a node that is still open. Later rounds have up to ``LEADERS`` leaders.
-    Open nodes without a partner end the loop. So each pair of a bucket is aligned, or both are linked
-    to a leader, or it can't be similar; no bucket is cut off, and none is listed pair by pair.
+    In a first round one node of each bucket leads, and every other is aligned with it; the leader leaves, and so do
+    the nodes linked to it, unless the triangle inequality leaves room for a link to a node that is
+    still open. So a bucket of near copies, however large, costs one alignment a node. In a second round up to ``LEADERS`` open
+    nodes lead, which takes further groups of copies out. Of what is left, all pairs with an open node that word counts
+    don't tell apart are aligned. So each pair of a bucket is aligned, or linked through a leader, or can't
+    be similar; no bucket is cut off.
     """
-    known: DataFrame | None = None
     state = members.withColumn("_open", F.lit(True))
-    turn = 0
-    while True:
-        leads = _leaders(state.filter("_open"), 1 if turn == 0 else LEADERS)
+    known = members.sparkSession.createDataFrame([], "a binary, b binary, d long, similar boolean")
+    for turn, slots in enumerate((1, LEADERS)):
+        leads = _leaders(state.filter("_open"), slots)
         asked = state.join(leads, ["_band", "_key"]).withColumn("_lead", F.explode("_leads"))
-        lead_open = F.array_contains("_leads", F.col("_node"))
+        leading = F.array_contains("_leads", F.col("_node"))
         # Two leaders meet once.
-        asked = asked.filter(F.col("_node") != F.col("_lead")).filter(~lead_open | (F.col("_node") > F.col("_lead")))
+        asked = asked.filter(F.col("_node") != F.col("_lead")).filter(~leading | (F.col("_node") > F.col("_lead")))
         asked = stored(
             asked.select("_band", "_key", "_node", "_lead", F.least("_node", "_lead").alias("a"), F.greatest("_node", "_lead").alias("b")),
             "asked",
         )
-        wanted = asked.select("a", "b").distinct()
-        if known is not None:
-            wanted = wanted.join(known, ["a", "b"], "left_anti")
-        got = stored(_verified(wanted, texts, threshold), "verified")
-        known = got if known is None else known.unionByName(got)
+        wanted = asked.select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
+        known = known.unionByName(stored(_verified(wanted, texts, threshold), "verified"))
         judged = asked.join(known, ["a", "b"]).groupBy("_band", "_key", "_node").agg(
             F.max("similar").alias("_linked"), F.min(F.when(F.col("similar"), F.col("d"))).alias("_near"),
             F.min(F.when(~F.col("similar"), F.col("d"))).alias("_far"),
@@ -264,12 +315,13 @@ def links(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
         new = rest.select("_band", "_key", "_node", "n_words", "_open")
         crowd = new.groupBy("_band", "_key").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
         new = stored(new.join(crowd, ["_band", "_key"]), "state")
+        discard(asked)
         if turn:
             discard(state)
-        discard(asked)
-        state, turn = new, turn + 1
-        if state.isEmpty():
-            return known.filter("similar").select("a", "b", "d")
+        state = new
+    wanted = _left_over(state, texts, threshold).join(known, ["a", "b"], "left_anti")
+    known = known.unionByName(_verified(wanted, texts, threshold))
+    return known.filter("similar").select("a", "b", "d")
 
 
 def components(edges: DataFrame) -> DataFrame:
