@@ -274,3 +274,13 @@ def test_state_functions_equal_a_replay(seed):
         for state in [NONE, *range(-3, min(top, 250), 3)]:
             highs = np.array([p[0] for p in total])
             assert statescan._after(total, highs, state) == step_through(rule, times, flags, state)[0]
+
+
+def test_running_over_an_order_with_gaps(spark):
+    """A block for nearly each row: the default without keys scans the blocks in two levels."""
+    rnd = random.Random(8)
+    seqs_ = sorted(rnd.sample(range(10**9), 300))
+    df = spark.createDataFrame([(s, s % 7) for s in seqs_], "seq long, v long").repartition(4)
+    out = running(df, {"n": count_if(), "top": Running("max", F.col("v"), before=True)}, block=1000).orderBy("seq").collect()
+    assert [r.n for r in out] == list(range(1, 301))
+    assert [r.top for r in out] == [max((s % 7 for s in seqs_[:i]), default=None) for i in range(300)]

@@ -61,15 +61,21 @@ def last_value_ci(name: str, over: Column | None = None) -> Column:
 
 
 def last_by_name(over: Column | None = None) -> Column:
-    """Map view of the cells: one cell per name, the last one."""
-    at = F.transform(cols() if over is None else over, lambda c, i: F.struct(c.alias("cell"), i.alias("i")))
-    return F.transform(
+    """Map view of the cells: one cell per name, the last one.
+
+    Where no name repeats, as in nearly all rows, the cells are that already.
+    """
+    over = cols() if over is None else over
+    at = F.transform(over, lambda c, i: F.struct(c.alias("cell"), i.alias("i")))
+    latest = F.transform(
         F.filter(
             at,
             lambda p: ~F.exists(at, lambda q: (q["cell"]["name"] == p["cell"]["name"]) & (q["i"] > p["i"])),
         ),
         lambda p: p["cell"],
     )
+    names = F.transform(over, lambda c: c["name"])
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), over).otherwise(latest)
 
 
 def matches(column: str, wanted: str | None, ci: bool = False) -> Column:

@@ -98,11 +98,11 @@ def mask_rules(*rules: MaskRule) -> Stage:
         raise ValueError("mask_rules: unknown mode")
 
     def one(c: Column) -> Column:
-        value, hit = c["value"], F.lit(False)
+        # From the last rule on, so that each rule is tested once at most.
+        out = with_value(c, c["value"])
         for rule in rules:
-            value = F.when(rule.covers(c), rule.masked(c)).otherwise(value)
-            hit = hit | rule.covers(c)
-        return with_value(c, value, F.when(~hit, c["type"]))
+            out = F.when(rule.covers(c), with_value(c, rule.masked(c), F.lit(None).cast("string"))).otherwise(out)
+        return out
 
     return lambda df: df.withColumn("columns", F.transform(cols(), one))
 

@@ -108,16 +108,17 @@ def running(
     keys: Sequence[str] = (),
     order: str = "seq",
     block: int = BLOCK,
-    levels: int = 1,
+    levels: int | None = None,
     descending: bool = False,
     few_keys: bool = False,
 ) -> DataFrame:
     """Add running values per key in the order of a unique integer column.
 
-    ``levels`` above 1 scans the block table in blocks too, for orders whose block table is
-    itself large. ``few_keys`` tells that nearly every key is hot (such as a table name).
+    ``levels`` above 1 scans the block table in blocks too (the default without keys, where one
+    task would scan all of it: an order with gaps has up to a block for each row). ``few_keys`` tells that nearly every key is hot (such as a table name).
     A ``_block`` column that is there already (from ``with_block``) is used and kept.
     """
+    levels = levels or (1 if keys else 2)
     position = -F.col(order) if descending else F.col(order)
     blocked = df if "_block" in df.columns else with_block(df, keys, position, block, few_keys)
     blocked, group_keys = plain_keys(blocked, keys)
