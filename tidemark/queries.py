@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark import derive
 from tidemark.functions.cells import byte_size, first_value, joined
-from tidemark.model import RELATIONS, changes, events_to_changes, parse_lsn, read_table, rows_to_changes
+from tidemark.model import CELLS, RELATIONS, changes, events_to_changes, parse_lsn, read_table, rows_to_changes
 from tidemark.operators import combine, counting, filters, progress, selection, stamping, values
 from tidemark.plans.flow import Flow
 from tidemark.session import checkpoint_root
@@ -1279,15 +1279,32 @@ def stream_sequence(spark, sf):
     return drained(spark, out.select("seq", meta("seq", "stamp")), "sequence").select("seq", "stamp")
 
 
-@query("stream_debounce", ORACLES["debounce"].removeprefix("WITH RECURSIVE " + CHANGES_SQL).replace(
-    "SELECT max(seq) AS seq,", ", b AS (SELECT k, max(seq) AS seq,") + """)
-SELECT seq, emit_us, burst_rows FROM b
-WHERE seq < (SELECT max(seq) FROM b b2 WHERE b2.k = b.k) OR (emit_us + 999) // 1000 <= (SELECT max(us) // 1000 FROM changes)""",
-       recursive=True)
+def drained_to_the_end(spark: SparkSession, sf: str, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run a stream over the log; then a last row of no table, far ahead in time, closes what is still open.
+
+    The second run goes on from the checkpoint of the first, as a live stream would.
+    """
+    log, path = scratch(spark, f"{name}-log"), scratch(spark, name)
+    changes(spark, sf).repartitionByRange("seq").sortWithinPartitions("seq").write.parquet(log)
+
+    def drain() -> DataFrame:
+        out = build(changelog.stream_changes(spark, log))
+        return runner.drain(out, os.path.join(path, "rows"), os.path.join(path, "progress"))
+
+    drain()
+    last = changes(spark, sf).orderBy(F.desc("ts")).limit(1)
+    nothing = {"seq": F.lit(-1).cast("bigint"), "table_name": F.lit("-"), "columns": F.array().cast(CELLS)}
+    last.withColumns({**nothing, "ts": F.col("ts") + F.expr("INTERVAL 10 DAYS")}).write.mode("append").parquet(log)
+    return drain()
+
+
+@query("stream_debounce", **same_sql("debounce"))
 def stream_debounce(spark, sf):
-    out = stream_per_user(spark, sf).transform(processors.debounce(["user"], 6 * 3600, 12 * 3600))
-    out = out.select("seq", us("emit_ts").alias("emit_us"), "burst_rows")
-    return drained(spark, out, "debounce").select("seq", "emit_us", "burst_rows")
+    def build(live: DataFrame) -> DataFrame:
+        out = live.withColumn("user", first_value("user_id")).transform(processors.debounce(["user"], 6 * 3600, 12 * 3600))
+        return out.select("seq", us("emit_ts").alias("emit_us"), "burst_rows")
+
+    return drained_to_the_end(spark, sf, "debounce", build).filter("seq >= 0").select("seq", "emit_us", "burst_rows")
 
 
 @query("stream_schema_version", **same_sql("schema_version"))
@@ -1323,13 +1340,15 @@ def stream_census(spark, sf):
 
 @query("stream_window_count", f""",
 w AS (SELECT table_name, (us // {HOUR_US} - i) * {HOUR_US} AS start_us FROM changes, range(24) r(i))
-SELECT table_name, start_us, count(*) AS window_n FROM w
-WHERE start_us + {24 * HOUR_US} <= (SELECT max(us) FROM changes) - {HOUR_US} GROUP BY ALL""")
+SELECT table_name, start_us, count(*) AS window_n FROM w GROUP BY ALL""")
 def stream_window_count(spark, sf):
     stage = counting.window_count_stream(24, "1 hour", "24 hours", "1 hour", ["table_name"])
-    out = stream_events(spark, sf).transform(stage)
-    out = out.select("table_name", us("window.start").alias("start_us"), "window_n")
-    return drained(spark, out, "windows").select("table_name", "start_us", "window_n")
+
+    def build(live: DataFrame) -> DataFrame:
+        return live.transform(stage).select("table_name", us("window.start").alias("start_us"), "window_n")
+
+    out = drained_to_the_end(spark, sf, "windows", build)
+    return out.filter("table_name <> '-'").select("table_name", "start_us", "window_n")
 
 
 @query("stream_checkpoint", "SELECT max(lsn) AS lsn FROM changes WHERE table_name = 'orders'")
