@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +25,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _plain(path: str) -> str:
+    """A path without scheme and repeated slashes."""
+    return re.sub("/+", "/", path.split(":", 1)[-1])
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`stored` that no later step reads."""
     spark = df.sparkSession
-    jvm = spark._jvm
-    root = shared_root(spark).split(":", 1)[-1].replace("//", "/")
+    root = _plain(shared_root(spark)) + "/llm-"
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/llm-" in name and root in name.replace("//", "/"):
-            path = jvm.org.apache.hadoop.fs.Path(name)
+        if _plain(name).startswith(root):
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
