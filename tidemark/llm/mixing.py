@@ -186,10 +186,9 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str
     columns = [F.col(f"`{c}`") for c in docs.columns]
     single = chosen.join(counts.filter("_n = 1"), alike).drop("_n", "_nth").filter("_copies > 0")
     once = own.join(single, alike).select(*columns, "_copies")
-    # Only rows alike in key, source and size need a number.
     many = counts.filter("_n > 1").drop("_n")
-    within = Window.partitionBy(*alike).orderBy(F.xxhash64(text))
-    ranked = own.join(many, alike).withColumn("_nth", F.row_number().over(within).cast("long"))
-    again = ranked.join(chosen.filter("_copies > 0"), [*alike, "_nth"]).select(*columns, "_copies")
-    both = once.union(again)
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*columns)
+    if not many.isEmpty():  # only rows alike in key, source and size need a number
+        within = Window.partitionBy(*alike).orderBy(F.xxhash64(text))
+        ranked = own.join(many, alike).withColumn("_nth", F.row_number().over(within).cast("long"))
+        once = once.union(ranked.join(chosen.filter("_copies > 0"), [*alike, "_nth"]).select(*columns, "_copies"))
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*columns)

@@ -407,6 +407,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", thresh
     def of(some: DataFrame) -> DataFrame:
         return owned.join(some, (owned["_own"] == some["_node"]) & owned[key].eqNullSafe(some["_id"]), "left_semi")
 
-    # Only heads that repeat need a choice.
-    chosen = of(heads.filter("_rows = 1")).union(of(heads.filter("_rows > 1")).dropDuplicates(["_own"]))
+    chosen, again = of(heads.filter("_rows = 1")), heads.filter("_rows > 1")
+    if not again.isEmpty():  # only heads that repeat need a choice
+        chosen = chosen.union(of(again).dropDuplicates(["_own"]))
     return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
