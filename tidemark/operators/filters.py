@@ -132,15 +132,11 @@ def hold_release(control: DataFrame, max_buffer: int) -> Stage:
     def run(df: DataFrame) -> DataFrame:
         seen = asof_by_time(df, entries, [], "_hold")
         frozen = F.coalesce(F.col("_hold.on"), F.lit(False))
-        # All rows of a freeze share its thaw time; every other row is a group of its own.
-        placed = seen.withColumns(
-            {
-                "release_ts": F.when(frozen, F.col("_hold.thaw")).otherwise(F.col("ts")),
-                "_held": frozen,
-                "_own": F.when(~frozen, F.col("seq")),
-            }
-        )
-        return newest(placed, ["_held", "release_ts", "_own"], max_buffer).drop("_hold", "_held", "_own")
+        # All rows of a freeze share its thaw time; only they are ranked.
+        release = F.when(frozen, F.col("_hold.thaw")).otherwise(F.col("ts"))
+        placed = seen.withColumns({"release_ts": release, "_held": frozen})
+        held = newest(placed.filter("_held"), ["release_ts"], max_buffer)
+        return held.unionByName(placed.filter("NOT _held")).drop("_hold", "_held")
 
     return run
 

@@ -100,21 +100,25 @@ def _relation_struct(relations: DataFrame) -> DataFrame:
     )
 
 
-def decode_changes(raw: DataFrame, relations: DataFrame, **kw) -> DataFrame:
+def decode_changes(raw: DataFrame, relations: DataFrame, many_versions: bool = False, **kw) -> DataFrame:
     """Name the columns of raw rows by the relation in force when each row arrived.
 
     Rows of an unknown relation keep their place with ``decode_error`` set; use
-    ``operators.filters.split_errors`` to part them.
+    ``operators.filters.split_errors`` to part them. Rows are joined to the validity ranges of the relation
+    versions, so the log is not shuffled where those are small. With ``many_versions`` (definitions that change
+    all the time) both sides are put in one order instead, which is linear however many versions an id has.
     """
-    data = raw.filter(F.col("kind").isin(*KINDS))
-    return _resolved(asof_by_seq(data, _relation_struct(relations), ["relation_id"], "_rel", few_keys=True, **kw))
+    if many_versions:
+        data = raw.filter(F.col("kind").isin(*KINDS))
+        return _resolved(asof_by_seq(data, _relation_struct(relations), ["relation_id"], "_rel", few_keys=True, **kw))
+    return decode_stream(raw, relations, **kw)
 
 
-def relation_ranges(relations: DataFrame) -> DataFrame:
+def relation_ranges(relations: DataFrame, **kw) -> DataFrame:
     """Validity ranges of the relation versions. Repeated announcements of the same version are
     merged first, so an id has as many ranges as its definition had changes."""
     known = _relation_struct(relations)
-    seen = running(known, {"_was": Running("last", F.col("_rel"), before=True)}, ["relation_id"], few_keys=True)
+    seen = running(known, {"_was": Running("last", F.col("_rel"), before=True)}, ["relation_id"], few_keys=True, **kw)
     changed = seen.filter(~F.col("_rel").eqNullSafe(F.col("_was")))
     by_id = Window.partitionBy("relation_id").orderBy("seq")
     return changed.select(
@@ -122,7 +126,7 @@ def relation_ranges(relations: DataFrame) -> DataFrame:
     )
 
 
-def decode_stream(raw: DataFrame, relations: DataFrame) -> DataFrame:
+def decode_stream(raw: DataFrame, relations: DataFrame, **kw) -> DataFrame:
     """Streaming form: a raw stream against the relation log known so far."""
     held = (
         (F.col("relation_id") == F.col("_id"))
@@ -130,4 +134,4 @@ def decode_stream(raw: DataFrame, relations: DataFrame) -> DataFrame:
         & (F.col("_to").isNull() | (F.col("seq") < F.col("_to")))
     )
     data = raw.filter(F.col("kind").isin(*KINDS))
-    return _resolved(data.join(relation_ranges(relations), held, "left").drop("_id", "_from", "_to"))
+    return _resolved(data.join(relation_ranges(relations, **kw), held, "left").drop("_id", "_from", "_to"))
