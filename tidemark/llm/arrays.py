@@ -7,10 +7,12 @@ byte buffer, so the cost is a few vector steps a batch and no step a word.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -73,6 +75,22 @@ def find_words(texts: pa.Array | pa.ChunkedArray) -> Words:
     return Words(raw, starts, ends, np.searchsorted(starts, at))
 
 
+SLICE_BYTES = 2 << 20
+
+
+def slices(batch: pa.RecordBatch, *names: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``most`` bytes of text in the columns ``names``; a longer text is one alone.
+
+    A task's memory is then bounded by the longest text, not by the rows of an Arrow batch.
+    """
+    size = sum(pc.fill_null(pc.binary_length(batch.column(n)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for n in names)
+    run = np.cumsum(size + 64) // most
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def word_hashes(words: Words, seed: int = 0) -> np.ndarray:
     """64 bits for each word, from all its bytes and its length."""
     lanes = np.lib.stride_tricks.as_strided(words.data[:-8].view(np.uint8), (len(words.data) - 8, 8), (1, 1))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import Words, find_words, mix, ngrams, starts_within, word_hashes
+from tidemark.llm.arrays import Words, find_words, mix, ngrams, slices, starts_within, word_hashes
 from tidemark.llm.store import discard, stored
 
 KMER = 5  # words
@@ -172,7 +172,7 @@ def sketched(docs: DataFrame, text: str, key: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "_text")):
             words = find_words(batch.column("_text"))
             keys = sketches(words)
             flat = np.concatenate(keys).view(np.int64) if len(keys) else np.zeros(0, np.int64)
@@ -194,7 +194,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     both = both.join(texts.select(F.col("_node").alias("b"), F.col("_text").alias("_y")), "b").select("a", "b", "_x", "_y")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "_x", "_y")):
             x, y = find_words(batch.column("_x")), find_words(batch.column("_y"))
             hx, hy = word_hashes(x), word_hashes(y)
             d, ok = [], []
@@ -226,7 +226,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     """_node and how many of its words fall into each of ``BINS`` hash bins."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "_text")):
             words = find_words(batch.column("_text"))
             where = words.texts() * BINS + (word_hashes(words) % np.uint64(BINS)).astype(np.int64)
             counts = np.bincount(where, minlength=batch.num_rows * BINS).astype(np.int32)
