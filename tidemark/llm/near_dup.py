@@ -137,7 +137,7 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edits (insert, delete, replace a word) that turn ``a`` into ``b`` if at most ``most``, else a lower bound above ``most``.
 
     Equal ends are cut off, bags of words and of word pairs refuse most distant pairs, then a narrow band is
-    aligned, and what needs more edits than it holds is aligned in full.
+    aligned, and what needs more edits than it holds is aligned in full, so that bounds near ``most`` are exact.
     """
     floor = abs(len(a) - len(b))
     if floor > most:
@@ -153,10 +153,10 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     if not len(a) or not len(b):
         return max(len(a), len(b))
     floor = _least_edits(a, b)
-    if floor > most:
+    if floor > most + most // 2:
         return floor
-    near = _banded(a, b, min(most, NARROW))
-    return near if near is not None else most + 1 if most <= NARROW else _by_columns(a, b)
+    near = _banded(a, b, min(most, NARROW)) if floor <= most else None
+    return near if near is not None else _by_columns(a, b)
 
 
 SKETCHED = "_id {kind}, _node binary, n_words long, keys array<long>"
@@ -210,7 +210,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(run, "a binary, b binary, d long, similar boolean")
 
 
-LEADERS = 32  # of a bucket in the second round
+LEADERS = 8  # of a bucket in the second round
 TILE = 2048  # nodes of a bucket that one task compares with as many others
 BINS = 256  # of a text's word counts
 
@@ -306,12 +306,16 @@ def links(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
         rest = state.join(leads, ["_band", "_key"]).filter(~F.array_contains("_leads", F.col("_node"))).drop("_leads")
         rest = rest.join(judged, ["_band", "_key", "_node"], "left")
         rest = rest.withColumn("_open", F.col("_open") & ~F.coalesce("_linked", F.lit(False)))
-        # What the open nodes of a bucket leave room for.
-        room = rest.filter("_open").groupBy("_band", "_key").agg(F.min("_far").alias("_least"), F.max("n_words").alias("_long"))
+        # What the open nodes v of a bucket leave room for: a linked node u may be similar to v only if
+        # far(v) - near(u) is at most the limit of the longer of both.
+        limit = F.floor((1 - threshold) * F.col("n_words") + 1e-9)
+        room = rest.filter("_open").groupBy("_band", "_key").agg(
+            F.min("_far").alias("_least"), F.min(F.col("_far") - limit).alias("_slack"), F.count_if(F.col("_far").isNull()).alias("_unmet")
+        )
         rest = rest.join(room, ["_band", "_key"])
         if turn == 0:
-            reach = F.col("_near") + F.floor((1 - threshold) * F.greatest("n_words", "_long") + 1e-9)
-            rest = rest.filter(F.col("_open") | F.col("_least").isNull() | (reach >= F.col("_least")))
+            may = (F.col("_near") + limit >= F.col("_least")) | (F.col("_near") >= F.col("_slack"))
+            rest = rest.filter(F.col("_open") | (F.col("_unmet") > 0) | may)
         new = rest.select("_band", "_key", "_node", "n_words", "_open")
         crowd = new.groupBy("_band", "_key").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
         new = stored(new.join(crowd, ["_band", "_key"]), "state")
