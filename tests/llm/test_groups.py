@@ -327,3 +327,23 @@ def test_chains_and_rounds_lose_no_link(spark, monkeypatch, leaders):
                 owner = [owner[j] if o == owner[i] else o for o in owner]
     want = {bytes([i]): bytes([min(k for k in range(len(owner)) if owner[k] == owner[i])]) for i in range(len(texts)) if owner.count(owner[i]) > 1}
     assert classes == want
+
+
+def test_closed_nodes_of_two_leaders_are_linked(spark, monkeypatch):
+    """Chains under permuted ids, a bucket each: the middle link joins two nodes that different leaders may have taken."""
+    monkeypatch.setattr(near_dup, "LEADERS", 1)
+    rnd = random.Random(3)
+    rows, want = [], {}
+    for g in range(24):
+        x, chain = [f"g{g}w{i}" for i in range(50)], []
+        for c in range(4):
+            chain.append(" ".join(x))
+            for i in range(8 * c, 8 * c + 8):
+                x[i] = f"g{g}n{i}"
+        ids = [bytes([g, i]) for i in rnd.sample(range(4), 4)]
+        rows += [(g, i, t) for i, t in zip(ids, chain)]
+        want |= {i: bytes([g, 0]) for i in ids}
+    nodes = spark.createDataFrame([r[1:] for r in rows], "_node binary, _text string")
+    members = spark.createDataFrame([r[:2] for r in rows], "_key long, _node binary").selectExpr("0 AS _band", "_key", "_node", "50L AS n_words")
+    found = near_dup.links(members, nodes).collect()
+    assert {bytes(r._node): bytes(r._class) for r in near_dup.components(spark.createDataFrame(found)).collect()} == want

@@ -216,9 +216,9 @@ BINS = 256  # of a text's word counts
 
 
 def _leaders(open_: DataFrame, slots: int) -> DataFrame:
-    """Up to ``slots`` nodes of each bucket: the smallest of each hash slot."""
-    slot = F.pmod(F.xxhash64("_node", "_band"), F.lit(slots)).alias("_slot")
-    each = open_.groupBy("_band", "_key", slot).agg(F.min("_node").alias("_lead"))
+    """Up to ``slots`` nodes of each bucket, with their classes: the smallest of each hash slot of classes."""
+    slot = F.pmod(F.xxhash64("_class", "_band"), F.lit(slots)).alias("_slot")
+    each = open_.groupBy("_band", "_key", slot).agg(F.min(F.struct("_node", "_class")).alias("_lead"))
     return each.groupBy("_band", "_key").agg(F.collect_list("_lead").alias("_leads"))
 
 
@@ -237,7 +237,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
 
 
 def _left_over(state: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's nodes, one open at least, that their word counts don't tell apart.
+    """Pairs (a, b) of a bucket's nodes, of two classes, that their word counts don't tell apart.
 
     An edit changes two counts by one at most, so half the difference of the counts is a lower
     bound of the distance. Buckets are cut into tiles of about ``TILE`` nodes, and a task compares two tiles.
@@ -250,20 +250,21 @@ def _left_over(state: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     others = F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)
     placed = counted.withColumn("_other", F.explode(others)).select(
         "_band", "_key", F.least("_tile", "_other").alias("_low"), F.greatest("_tile", "_other").alias("_high"),
-        "_tile", "_node", "_open", "_counts",
+        "_tile", "_node", "_class", "_counts",
     )
 
     def compare(table: pa.Table) -> pa.Table:
         low, high = table["_low"][0].as_py(), table["_high"][0].as_py()
         nodes_, tile = table["_node"].to_pylist(), table["_tile"].to_numpy()
-        open_ = table["_open"].to_numpy(zero_copy_only=False)
+        number: dict[bytes, int] = {}
+        class_ = np.array([number.setdefault(c, len(number)) for c in table["_class"].to_pylist()])
         vectors = np.frombuffer(b"".join(table["_counts"].to_pylist()), np.int32).reshape(-1, BINS)
         length = vectors.sum(1)
         left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
         a, b = [], []
         for k, i in enumerate(left):
             rest = left[k + 1:] if low == high else right
-            rest = rest if open_[i] else rest[open_[rest]]
+            rest = rest[class_[rest] != class_[i]]
             least = (np.abs(vectors[rest] - vectors[i]).sum(1) + 1) // 2
             most = ((1 - threshold) * np.maximum(length[rest], length[i]) + 1e-9).astype(np.int64)
             for r in rest[np.maximum(least, np.abs(length[rest] - length[i])) <= most]:
@@ -275,50 +276,55 @@ def _left_over(state: DataFrame, texts: DataFrame, threshold: float) -> DataFram
     return placed.groupBy("_band", "_key", "_low", "_high").applyInArrow(compare, "a binary, b binary").distinct()
 
 
+def _classed(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """``nodes`` with _class, by the links in ``known``."""
+    return nodes.join(components(known.filter("similar")), "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
+
+
 def links(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b, d) among the nodes of each bucket (_band, _key, _node, n_words).
 
     In a first round one node of each bucket leads, and every other is aligned with it; the leader leaves, and so do
     the nodes linked to it, unless the triangle inequality leaves room for a link to a node that is
     still open. So a bucket of near copies, however large, costs one alignment a node. In a second round up to ``LEADERS`` open
-    nodes lead, which takes further groups of copies out. Of what is left, all pairs with an open node that word counts
-    don't tell apart are aligned. So each pair of a bucket is aligned, or linked through a leader, or can't
-    be similar; no bucket is cut off.
+    nodes lead, and are aligned with all nodes that are not in their class yet. Of what is left, all pairs of two classes that word
+    counts don't tell apart are aligned, also where both were linked to a leader. So each pair of a bucket is aligned, or in one
+    class, or can't be similar; no bucket is cut off. Classes are those of all links found before, in any bucket.
     """
-    state = members.withColumn("_open", F.lit(True))
+    state = members.withColumns({"_open": F.lit(True), "_class": F.col("_node")})
     known = members.sparkSession.createDataFrame([], "a binary, b binary, d long, similar boolean")
     for turn, slots in enumerate((1, LEADERS)):
         leads = _leaders(state.filter("_open"), slots)
-        asked = state.join(leads, ["_band", "_key"]).withColumn("_lead", F.explode("_leads"))
-        leading = F.array_contains("_leads", F.col("_node"))
+        asked = state.join(leads, ["_band", "_key"]).withColumn("_led", F.explode("_leads")).withColumn("_lead", F.col("_led._node"))
+        leading = F.array_contains("_leads._node", F.col("_node"))
         # Two leaders meet once.
-        asked = asked.filter(F.col("_node") != F.col("_lead")).filter(~leading | (F.col("_node") > F.col("_lead")))
+        asked = asked.filter(F.col("_class") != F.col("_led._class")).filter(~leading | (F.col("_node") > F.col("_lead")))
         asked = stored(
             asked.select("_band", "_key", "_node", "_lead", F.least("_node", "_lead").alias("a"), F.greatest("_node", "_lead").alias("b")),
             "asked",
         )
         wanted = asked.select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
         known = known.unionByName(stored(_verified(wanted, texts, threshold), "verified"))
-        judged = asked.join(known, ["a", "b"]).groupBy("_band", "_key", "_node").agg(
-            F.max("similar").alias("_linked"), F.min(F.when(F.col("similar"), F.col("d"))).alias("_near"),
-            F.min(F.when(~F.col("similar"), F.col("d"))).alias("_far"),
-        )
-        rest = state.join(leads, ["_band", "_key"]).filter(~F.array_contains("_leads", F.col("_node"))).drop("_leads")
-        rest = rest.join(judged, ["_band", "_key", "_node"], "left")
-        rest = rest.withColumn("_open", F.col("_open") & ~F.coalesce("_linked", F.lit(False)))
-        # What the open nodes v of a bucket leave room for: a linked node u may be similar to v only if
-        # far(v) - near(u) is at most the limit of the longer of both.
-        limit = F.floor((1 - threshold) * F.col("n_words") + 1e-9)
-        room = rest.filter("_open").groupBy("_band", "_key").agg(
-            F.min("_far").alias("_least"), F.min(F.col("_far") - limit).alias("_slack"), F.count_if(F.col("_far").isNull()).alias("_unmet")
-        )
-        rest = rest.join(room, ["_band", "_key"])
+        rest = state.join(leads, ["_band", "_key"]).filter(~leading).drop("_leads", "_class")
         if turn == 0:
+            judged = asked.join(known, ["a", "b"]).groupBy("_band", "_key", "_node").agg(
+                F.max("similar").alias("_linked"), F.min(F.when(F.col("similar"), F.col("d"))).alias("_near"),
+                F.min(F.when(~F.col("similar"), F.col("d"))).alias("_far"),
+            )
+            rest = rest.join(judged, ["_band", "_key", "_node"], "left")
+            rest = rest.withColumn("_open", F.col("_open") & ~F.coalesce("_linked", F.lit(False)))
+            # What the open nodes v of a bucket leave room for: a linked node u may be similar to v only if
+            # far(v) - near(u) is at most the limit of the longer of both.
+            limit = F.floor((1 - threshold) * F.col("n_words") + 1e-9)
+            room = rest.filter("_open").groupBy("_band", "_key").agg(
+                F.min("_far").alias("_least"), F.min(F.col("_far") - limit).alias("_slack"), F.count_if(F.col("_far").isNull()).alias("_unmet")
+            )
+            rest = rest.join(room, ["_band", "_key"])
             may = (F.col("_near") + limit >= F.col("_least")) | (F.col("_near") >= F.col("_slack"))
             rest = rest.filter(F.col("_open") | (F.col("_unmet") > 0) | may)
-        new = rest.select("_band", "_key", "_node", "n_words", "_open")
-        crowd = new.groupBy("_band", "_key").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-        new = stored(new.join(crowd, ["_band", "_key"]), "state")
+        new = _classed(rest.select("_band", "_key", "_node", "n_words", "_open"), known)
+        crowd = new.groupBy("_band", "_key").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high"))
+        new = stored(new.join(crowd.filter("_low != _high").drop("_low", "_high"), ["_band", "_key"]), "state")
         discard(asked)
         if turn:
             discard(state)
