@@ -1,6 +1,7 @@
 """op7, op8 and op9: row by row, against brute force."""
 
 import collections
+import random
 import re
 
 import pytest
@@ -149,3 +150,32 @@ def test_bloom_filter_has_no_false_negative_and_few_false_positives(spark):
     assert urls.possible_hits(listed, filter_, blocks).count() == 2000
     other = spark.range(20000).select(F.concat(F.lit("v"), "id").alias("url"))
     assert urls.possible_hits(other, filter_, blocks).count() < 200
+
+
+def test_text_without_common_words_fails(spark):
+    """Function words are a third of the clean texts, also at the start of sentences and before commas; the junk's characters are normal."""
+    rnd = random.Random(2)
+    names, common = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randrange(3, 9))) for _ in range(400)], quality.COMMON["en"]
+
+    def text(share, low=str):
+        w = [low(rnd.choice(common)) + rnd.choice(["", "", ","]) if rnd.random() < share else rnd.choice(names) for _ in range(150)]
+        return " ".join(x.capitalize() if i % 8 == 0 else x + "." if i % 8 == 7 else x for i, x in enumerate(w))
+
+    rows = [(i, text(0.35)) for i in range(60)] + [(i, text(0.35, str.upper if i % 2 else str.title)) for i in range(60, 64)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows + [(i, text(0.0)) for i in range(64, 68)]], "doc_id long, text string, lang string")
+    refs = quality.references(docs.filter("doc_id < 60"))
+    out = {r.doc_id: r for r in quality.judge(docs, refs=refs).collect()}
+    assert all(out[i].kept for i in range(60)) and not any(out[i].kept or out[i].base_failed for i in range(64, 68))
+    assert all(out[i].word_divergence < quality.WORD_CHANCE * 2 for i in range(60, 64))
+    assert all(out[i].char_divergence < quality.CHAR_LIMIT for i in range(64, 68))
+
+
+def test_common_words_are_counted_each(spark):
+    rows = [("the of, The (and) x and", "en"), ("der und und", "de"), ("of of", "xx"), (None, "en")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    out = quality._measured(docs, "text", "lang").select("text", "lang", "_common").collect()
+    for r in out:
+        w = [x.strip(quality.EDGES).lower() for x in words(r.text)]
+        names = quality.COMMON.get(r.lang, [])
+        want = [w.count(n) for n in names] + [0] * (16 - len(names))
+        assert r._common == [*want, len(w) - sum(want)]

@@ -13,9 +13,11 @@ SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent
-# The divergence guards: words a text needs before its histograms count, and the most divergence (0 to 1).
+# The divergence guards: words a text needs before its histograms count, and the most divergence (0 to 1). That of common
+# words is a share of what a text without any has from the reference, and no less than chance gives texts of 100 words.
 CHAR_GUARD, CHAR_LIMIT = 50, 0.1
-WORD_GUARD, WORD_LIMIT = 100, 0.5
+WORD_GUARD, WORD_SHARE, WORD_CHANCE = 100, 0.5, 0.05
+EDGES = ".,;:!?'\"()[]{}<>*_-/|\u2026\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u00ab\u00bb\u00a1\u00bf"  # cut off words before they are looked up
 
 # The most common words of each language.
 COMMON = {
@@ -69,7 +71,7 @@ def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
 
 
 def _histograms(text: Column, words: Column, lang: Column) -> tuple[Column, Column]:
-    """Counts by character class, and of the language's common words with all other words last."""
+    """Counts by character class, and of the language's common words (in any case, without ``EDGES``) with all other words last."""
     held = F.coalesce(text, F.lit(""))
     length, in_words = F.length(held), F.length(F.array_join(words, ""))
     some = [F.regexp_count(held, F.lit(p)) for p in (r"[A-Z]", r"[0-9]", r"[.,;:!?'\x22()\-]", r"[#*$%&|<>=@~^_+/\\{}\[\]]", r"[^\x00-\x7F]")]
@@ -78,11 +80,12 @@ def _histograms(text: Column, words: Column, lang: Column) -> tuple[Column, Colu
     table = F.create_map(*[F.lit(x) for k, v in COMMON.items() for x in (k, v)])
     # Positions of common words in their list, from 1; texts of other languages have none.
     list_ = F.coalesce(F.try_element_at(table, lang), F.array().cast("array<string>"))
-    found = let(list_, lambda names: F.filter(F.transform(words, lambda w: F.array_position(names, w)), lambda p: p > 0))
+    found = let(list_, lambda names: F.filter(F.transform(words, lambda w: F.array_position(names, F.btrim(F.lower(w), F.lit(EDGES)))), lambda p: p > 0))
     size = max(map(len, COMMON.values()))
 
     def counts(p: Column) -> Column:
-        each = [F.size(F.filter(p, lambda x, k=k: x == k)).cast("double") for k in range(1, size + 1)]
+        # One parameter: filter would give a second one the index.
+        each = [F.size(F.filter(p, lambda x: x == F.lit(k))).cast("double") for k in range(1, size + 1)]
         return F.array(*each, (F.size(words) - F.size(p)).cast("double"))
 
     return chars, let(found, counts)
@@ -135,8 +138,8 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", refs: DataFra
 
     Base rules: at least ``LEAST_WORDS`` words, and at most ``MOST_REPEATED`` percent of them in windows of
     ``WINDOW`` words that the text holds twice. Then a text must stay near its language's reference:
-    Jensen-Shannon divergence of character classes up to ``CHAR_LIMIT`` and of common words
-    up to ``WORD_LIMIT``, each only from a guard number of words on. ``refs`` (by default those of
+    Jensen-Shannon divergence of character classes up to ``CHAR_LIMIT`` and of common words up to ``WORD_SHARE`` of
+    the divergence of a text without common words (at least ``WORD_CHANCE``), each only from a guard number of words on. ``refs`` (by default those of
     ``docs``) has a row for each language, so that it is joined by size.
 
     A null text counts as empty and fails. Null and unlisted languages have a reference for characters but
@@ -147,6 +150,10 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", refs: DataFra
            "base_failed", "kept"]
     keep = [c for c in docs.columns if c not in new]
     rows = _measured(docs.select(*[F.col(f"`{c}`") for c in keep]), text, lang).withColumn("_windows", window_hashes(F.col("_words")))
+    # Once for each language: how far a text of other words only is.
+    without = F.array(*[F.lit(float(k == WORD_BINS - 1)) for k in range(WORD_BINS)])
+    limit = F.greatest(F.lit(WORD_CHANCE), divergence(without, F.col("_ref_words")) * WORD_SHARE)
+    refs = refs.withColumn("_word_limit", limit)
     rows = rows.join(refs, rows[lang].eqNullSafe(refs["_lang"]), "left")
     held = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(held, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -158,9 +165,10 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", refs: DataFra
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("_windows")).alias("n_repeat_words"),
         divergence(F.col("_chars"), F.col("_ref_chars")).alias("char_divergence"),
-        divergence(F.col("_common"), F.col("_ref_words")).alias("word_divergence"),
+        divergence(F.col("_common"), F.col("_ref_words")).alias("word_divergence"), F.col("_word_limit"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     far = (F.col("n_words") >= CHAR_GUARD) & (F.col("char_divergence") > CHAR_LIMIT)
-    far = far | ((F.col("n_words") >= WORD_GUARD) & (F.col("word_divergence") > WORD_LIMIT))
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+    far = far | ((F.col("n_words") >= WORD_GUARD) & (F.col("word_divergence") > F.col("_word_limit")))
+    measured = measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+    return measured.drop("_word_limit")
