@@ -129,6 +129,16 @@ def test_key_bits_grow_with_the_corpus():
     assert lm_scoring.key_bits(10**6, 3) < lm_scoring.key_bits(10**12, 3) < lm_scoring.key_bits(10**15, 3) == 64
 
 
+def test_ngrams_that_share_leading_hash_bits_are_told_apart(spark):
+    names = [f"w{i}" for i in range(60_000)]
+    keys = arrays.ngrams(arrays.word_hashes(arrays.find_words(pa.array([" ".join(names)]))), 1) >> np.uint64(36)
+    order = np.argsort(keys, kind="stable")
+    i = int(np.flatnonzero(keys[order][1:] == keys[order][:-1])[0])
+    rows = [[names[order[i]], "x"], [names[order[i + 1]], "y"]]
+    got = lm_scoring.score_documents(spark.createDataFrame([(k, " ".join(w), 0, "") for k, w in enumerate(rows)], SCHEMA)).collect()
+    assert sorted((r.n_words, r.n_backoff, round(r.log10_score, 6)) for r in got) == scores(rows)
+
+
 def test_kept_digest(docs):
     r = next(r for r in substring.remove_repeats(docs).collect() if r.doc_id == 204)
     assert (r.n_words, r.n_removed, r.kept) == (60, 60, "")

@@ -15,10 +15,9 @@ BACKOFF = 0.4
 
 
 def key_bits(total_bytes: int, order: int) -> int:
-    """Bits of an n-gram's key: two to the 20th values for each n-gram of the corpus.
+    """Bits that give two to the 20th keys for each n-gram of the corpus, up to 64; a word takes five bytes or so.
 
-    So one n-gram in a million shares its key with another, at any size until 64 bits are used up (17 TB). A word
-    takes five bytes or so. Few bits keep the differences of sorted keys short.
+    Only a measure: :func:`score_documents` uses all 64 bits at any size, as n-grams whose keys agree share their counts.
     """
     return min(64, 20 + max(1, total_bytes // 5 * order).bit_length())
 
@@ -37,20 +36,18 @@ def score_documents(
 
     Null and empty texts score 0.0 over no words, with a null log10_per_word. Each input row is a
     document, also where keys repeat: repeated rows vouch for one another. Count tables are split by
-    hash; n-grams are told apart by ``key_bits`` bits of it.
+    hash; n-grams are told apart by all 64 bits of it.
     """
     picked = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     corpus = dealt(picked, "_text", F.col("_id"), chunk_bytes)
-    bits = key_bits(corpus.bytes, order)
-    shift = np.uint64(64 - bits)
     # The empty n-gram has as many places as there are words: its count is N.
-    empty = np.uint64((1 << bits) - 1)
+    empty = np.uint64(2**64 - 1)
 
     def grams(table: pa.Table):
         words = find_words(table["_text"])
         hashes = word_hashes(words)
         return words, [
-            (at := starts_within(words, n), ngrams(hashes, n)[at] >> shift) for n in range(1, order + 1)
+            (at := starts_within(words, n), ngrams(hashes, n)[at]) for n in range(1, order + 1)
         ]
 
     def keys(table: pa.Table) -> np.ndarray:
@@ -98,4 +95,4 @@ def score_documents(
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_words long, n_backoff long, log10_score double, log10_per_word double"
-    return with_totals(corpus, keys, finish, schema, bits=bits)
+    return with_totals(corpus, keys, finish, schema)
