@@ -179,3 +179,16 @@ def test_common_words_are_counted_each(spark):
         names = quality.COMMON.get(r.lang, [])
         want = [w.count(n) for n in names] + [0] * (16 - len(names))
         assert r._common == [*want, len(w) - sum(want)]
+
+
+def test_license_versions_and_spellings(spark):
+    want = {
+        "GPL v3": "gpl-3", "GPL v2": "gpl-2", "GPLv2": "gpl-2", "gpl version 3.0": "gpl-3", "LGPL v2.1": "lgpl-2.1", "LGPL v3": "lgpl-3", "AGPL v3": "agpl-3",
+        "MPL v2.0": "mpl-2", "EPL v2.0": "epl", "OFL v1.1": "ofl", "GNU General Public License v3.0": "gpl-3", "GNU General Public License v2": "gpl-2",
+        "GNU Lesser General Public License v3": "lgpl-3", "GNU Affero General Public License v3": "agpl-3", "Mozilla Public License v1.1": "mpl-1",
+        "Licensed under the Apache License, v2.0": "apache-2", "Apache License v2.0": "apache-2", "Apache v2": "apache-2", "Artistic License v2.0": "artistic-2",
+        "Eclipse Public License v1.0": "epl-1", "subject to the terms of this licence": "other", "see the licence for details": "other",
+        "released under a permissive licence": "other", "GPL v21": "",
+    }
+    docs = spark.createDataFrame([(t,) for t in want], "text string")
+    assert {r.text: r.labels for r in licenses.scan(docs).collect()} == want

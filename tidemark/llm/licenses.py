@@ -18,40 +18,40 @@ class Rule(NamedTuple):
 
 
 # Signature rules in order. A version is written "2 0" or "2", as dots and dashes part words.
-_V = r"(?: v(?:ersion)?)?"
+_V = r" (?:v(?:ersion)? ?)?"  # before a number: "2", "v2", "v 2" or "version 2"
 RULES = [
     # whole phrases
     Rule("mit", 3, "mit license", r"(?:released|licensed|distributed|available|provided) under the (?:terms of the )?mit license"),
     Rule("mit", 3, "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
     Rule("isc", 3, "to use copy modify", r"permission to use copy modify and or distribute this software for any purpose"),
-    Rule("apache-2", 3, "apache", r"licensed under the (?:terms of the )?apache license" + _V + r" 2(?: 0)?"),
-    Rule("apache-1", 3, "apache", r"(?:licensed under the )?apache (?:software )?license" + _V + r" 1(?: [01])?"),
-    Rule("gpl-3", 3, "general public", r"gnu general public license" + _V + r" 3(?: 0)?(?: or (?:any )?later)?"),
-    Rule("gpl-2", 3, "general public", r"gnu general public license" + _V + r" 2(?: 0)?(?: or (?:any )?later)?"),
+    Rule("apache-2", 3, "apache", r"licensed under the (?:terms of the )?apache license" + _V + r"2(?: 0)?"),
+    Rule("apache-1", 3, "apache", r"(?:licensed under the )?apache (?:software )?license" + _V + r"1(?: [01])?"),
+    Rule("gpl-3", 3, "general public", r"gnu general public license" + _V + r"3(?: 0)?(?: or (?:any )?later)?"),
+    Rule("gpl-2", 3, "general public", r"gnu general public license" + _V + r"2(?: 0)?(?: or (?:any )?later)?"),
     Rule("gpl", 3, "general public", r"gnu general public license"),
-    Rule("lgpl-3", 3, "general public", r"gnu (?:lesser|library) general public license" + _V + r" 3(?: 0)?"),
-    Rule("lgpl-2.1", 3, "general public", r"gnu (?:lesser|library) general public license" + _V + r" 2(?: [01])?"),
+    Rule("lgpl-3", 3, "general public", r"gnu (?:lesser|library) general public license" + _V + r"3(?: 0)?"),
+    Rule("lgpl-2.1", 3, "general public", r"gnu (?:lesser|library) general public license(?: v(?:ersion)?)? 2(?: [01])?"),
     Rule("lgpl", 3, "general public", r"gnu (?:lesser|library) general public license"),
-    Rule("agpl-3", 3, "general public", r"gnu affero general public license(?:" + _V + r" 3(?: 0)?)?"),
-    Rule("fdl", 3, "free documentation", r"gnu free documentation license(?:" + _V + r" 1(?: [0-3])?)?"),
+    Rule("agpl-3", 3, "general public", r"gnu affero general public license(?:" + _V + r"3(?: 0)?)?"),
+    Rule("fdl", 3, "free documentation", r"gnu free documentation license(?:" + _V + r"1(?: [0-3])?)?"),
     Rule("bsd", 3, "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
     Rule("bsd-3", 3, "endorse or promote", r"may be used to endorse or promote products derived from this software"),
-    Rule("mpl-2", 3, "mozilla", r"mozilla public license" + _V + r" 2(?: 0)?"),
-    Rule("mpl-1", 3, "mozilla", r"mozilla public license" + _V + r" 1(?: [01])?"),
-    Rule("epl-2", 3, "eclipse", r"eclipse public license" + _V + r" 2(?: 0)?"),
-    Rule("epl-1", 3, "eclipse", r"eclipse public license" + _V + r" 1(?: 0)?"),
-    Rule("eupl", 3, "european union", r"european union public licen[cs]e(?:" + _V + r" 1(?: [0-2])?)?"),
-    Rule("cddl", 3, "common development", r"common development and distribution license(?:" + _V + r" 1(?: [01])?)?"),
+    Rule("mpl-2", 3, "mozilla", r"mozilla public license" + _V + r"2(?: 0)?"),
+    Rule("mpl-1", 3, "mozilla", r"mozilla public license" + _V + r"1(?: [01])?"),
+    Rule("epl-2", 3, "eclipse", r"eclipse public license" + _V + r"2(?: 0)?"),
+    Rule("epl-1", 3, "eclipse", r"eclipse public license" + _V + r"1(?: 0)?"),
+    Rule("eupl", 3, "european union", r"european union public licen[cs]e(?:" + _V + r"1(?: [0-2])?)?"),
+    Rule("cddl", 3, "common development", r"common development and distribution license(?:" + _V + r"1(?: [01])?)?"),
     Rule("unlicense", 3, "public domain", r"this is free and unencumbered software released into the public domain"),
     Rule("public-domain", 3, "public domain", r"(?:released|dedicated|placed) (?:in|into|to) the public domain"),
     Rule("zlib", 3, "express or implied", r"this software is provided as is without any express or implied warranty"),
     Rule("wtfpl", 3, "do what", r"do what the fuck you want to public license"),
-    Rule("bsl-1", 3, "boost", r"boost software license(?:" + _V + r" 1(?: 0)?)?"),
-    Rule("artistic-2", 3, "artistic", r"artistic license" + _V + r" 2(?: 0)?"),
+    Rule("bsl-1", 3, "boost", r"boost software license(?:" + _V + r"1(?: 0)?)?"),
+    Rule("artistic-2", 3, "artistic", r"artistic license" + _V + r"2(?: 0)?"),
     Rule("artistic", 3, "artistic", r"artistic license"),
-    Rule("psf", 3, "python software", r"python software foundation license(?:" + _V + r" 2(?: 0)?)?"),
-    Rule("ofl", 3, "open font", r"sil open font license(?:" + _V + r" 1(?: [01])?)?"),
-    Rule("odbl", 3, "open database", r"open (?:data commons open )?database license(?:" + _V + r" 1(?: 0)?)?"),
+    Rule("psf", 3, "python software", r"python software foundation license(?:" + _V + r"2(?: 0)?)?"),
+    Rule("ofl", 3, "open font", r"sil open font license(?:" + _V + r"1(?: [01])?)?"),
+    Rule("odbl", 3, "open database", r"open (?:data commons open )?database license(?:" + _V + r"1(?: 0)?)?"),
     Rule("cc-by-nc-nd", 3, "commercial", r"(?:creative commons )?attribution non ?commercial no ?deriv(?:ative)?s"),
     Rule("cc-by-nc-sa", 3, "commercial", r"(?:creative commons )?attribution non ?commercial share ?alike"),
     Rule("cc-by-nc", 3, "commercial", r"creative commons attribution non ?commercial"),
@@ -68,7 +68,7 @@ RULES = [
     Rule("cc-by-nd", 2, "cc by", r"cc by nd(?: [1-4](?: [05])?)?"),
     Rule("cc-by", 2, "cc by", r"cc by(?: [1-4](?: [05])?)?"),
     Rule("cc0", 2, "cc0", r"cc0(?: 1(?: 0)?)?"),
-    Rule("apache-2", 2, "apache", r"apache(?: license)?" + _V + r" 2(?: 0)?"),
+    Rule("apache-2", 2, "apache", r"apache(?: license)?" + _V + r"2(?: 0)?"),
     Rule("apache", 2, "apache", r"apache license"),
     Rule("mit", 2, "mit license", r"(?:the )?mit license"),
     Rule("mit", 2, "expat", r"expat license"),
@@ -77,23 +77,23 @@ RULES = [
     Rule("bsd-3", 2, "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|revised bsd|modified bsd)(?: license)?"),
     Rule("bsd-4", 2, "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?"),
     Rule("bsd", 2, "bsd", r"bsd(?: style)? license"),
-    Rule("gpl-3", 2, "gpl", r"(?:gnu )?(?:gpl" + _V + r" 3(?: 0)?|gplv3)(?: only| or later)?"),
-    Rule("gpl-2", 2, "gpl", r"(?:gnu )?(?:gpl" + _V + r" 2(?: 0)?|gplv2)(?: only| or later)?"),
-    Rule("lgpl-3", 2, "lgpl", r"(?:gnu )?(?:lgpl" + _V + r" 3(?: 0)?|lgplv3)(?: only| or later)?"),
-    Rule("lgpl-2.1", 2, "lgpl", r"(?:gnu )?(?:lgpl" + _V + r" 2(?: [01])?|lgplv2)(?: only| or later)?"),
-    Rule("agpl-3", 2, "agpl", r"(?:gnu )?(?:agpl" + _V + r" 3(?: 0)?|agplv3)(?: only| or later)?"),
-    Rule("mpl-2", 2, "mpl", r"mpl" + _V + r" 2(?: 0)?"),
-    Rule("epl", 2, "epl", r"epl" + _V + r" [12](?: 0)?"),
+    Rule("gpl-3", 2, "gpl", r"(?:gnu )?(?:gpl" + _V + r"3(?: 0)?|gplv3)(?: only| or later)?"),
+    Rule("gpl-2", 2, "gpl", r"(?:gnu )?(?:gpl" + _V + r"2(?: 0)?|gplv2)(?: only| or later)?"),
+    Rule("lgpl-3", 2, "lgpl", r"(?:gnu )?(?:lgpl" + _V + r"3(?: 0)?|lgplv3)(?: only| or later)?"),
+    Rule("lgpl-2.1", 2, "lgpl", r"(?:gnu )?(?:lgpl" + _V + r"2(?: [01])?|lgplv2)(?: only| or later)?"),
+    Rule("agpl-3", 2, "agpl", r"(?:gnu )?(?:agpl" + _V + r"3(?: 0)?|agplv3)(?: only| or later)?"),
+    Rule("mpl-2", 2, "mpl", r"mpl" + _V + r"2(?: 0)?"),
+    Rule("epl", 2, "epl", r"epl" + _V + r"[12](?: 0)?"),
     Rule("wtfpl", 2, "wtfpl", r"wtfpl"),
     Rule("zlib", 2, "zlib", r"zlib license"),
     Rule("unlicense", 2, "unlicense", r"(?:the )?unlicense"),
-    Rule("ofl", 2, "ofl", r"ofl" + _V + r" 1(?: [01])?"),
+    Rule("ofl", 2, "ofl", r"ofl" + _V + r"1(?: [01])?"),
     # hints
     Rule("spdx", 1, "spdx", r"spdx license identifier(?: [a-z0-9]+)?"),
     Rule("copyright", 1, "copyright", r"copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})*"),
-    Rule("other", 1, "license", r"(?:licensed|released|distributed) under (?:the|a) (?:[a-z0-9]+ ){0,6}licen[cs]e"),
-    Rule("other", 1, "license", r"subject to the terms of (?:the|this) licen[cs]e"),
-    Rule("other", 1, "license", r"see the licen[cs]e(?: file)? for (?:more )?(?:details|information)"),
+    Rule("other", 1, "licen", r"(?:licensed|released|distributed) under (?:the|a) (?:[a-z0-9]+ ){0,6}licen[cs]e"),
+    Rule("other", 1, "licen", r"subject to the terms of (?:the|this) licen[cs]e"),
+    Rule("other", 1, "licen", r"see the licen[cs]e(?: file)? for (?:more )?(?:details|information)"),
 ]
 KINDS = 3  # priorities
 
