@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontam, mixing, near_dup, sharding, warc
@@ -347,3 +348,20 @@ def test_closed_nodes_of_two_leaders_are_linked(spark, monkeypatch):
     members = spark.createDataFrame([r[:2] for r in rows], "_key long, _node binary").selectExpr("0 AS _band", "_key", "_node", "50L AS n_words")
     found = near_dup.links(members, nodes).collect()
     assert {bytes(r._node): bytes(r._class) for r in near_dup.components(spark.createDataFrame(found)).collect()} == want
+
+
+def test_sketches_meet_at_the_threshold():
+    """Pairs with words replaced all over the text, at the edit similarity that is named."""
+    rnd = random.Random(8)
+    for similar, least in ((0.8, 0.9), (0.85, 0.97), (0.9, 0.99), (0.95, 0.99)):
+        texts = []
+        for pair in range(300):
+            a = [f"{pair}w{i}" for i in range(150)]
+            b = list(a)
+            for i in rnd.sample(range(150), round(150 * (1 - similar))):
+                b[i] = f"{pair}n{i}"
+            texts += [" ".join(a), " ".join(b)]
+        keys = near_dup.sketches(near_dup.find_words(pa.array(texts)))
+        met = sum(bool((keys[i] == keys[i + 1]).any()) for i in range(0, 600, 2)) / 300
+        print(similar, met)
+        assert met >= least

