@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, licenses, lm_scoring, mixing, near_dup, quality, sharding, substring, urls, warc
+from tidemark.llm import (
+    decontam, licenses, lm_scoring, merkle, mixing, near_dup, quality, sharding, substring, urls, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -171,3 +174,64 @@ def op9_quality(spark, sf):
 def op10_substring_dedup(spark, sf):
     out = substring.remove_repeats(table(spark, sf, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Levels of sixteen for each source and for the sources, spelled out up to 16 ** ``levels`` nodes."""
+    field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+    text = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fields = [field.format(f) for f in ("doc_id", "source", "lang", "n_chars")]
+    # crc32 of the decimal doc_id, byte by byte
+    steps = "list_reduce(list_prepend(4294967295::UBIGINT, [ascii(x)::UBIGINT FOR x IN string_split(doc_id::VARCHAR, '')]), lambda c, b: {0})"
+    fold8 = "xor(c, b)"
+    for _ in range(8):
+        fold8 = f"list_transform([{fold8}], lambda v: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)[1]"
+    crc = f"xor({steps.format(fold8)}, 4294967295::UBIGINT)"
+    out = [
+        f"""d AS (SELECT doc_id, source, sha256({' || '.join([*fields, field.format('text')])}) AS leaf,
+                  CASE WHEN {crc} % 5 = 0 THEN sha256({' || '.join([*fields, field.format(text)])}) END AS bad FROM documents)""",
+        """a0 AS (SELECT source AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+                   count(*) OVER (PARTITION BY source) AS n, leaf AS h FROM d)""",
+    ]
+
+    def up(name: str) -> None:
+        for k in range(levels):
+            out.append(
+                f"""{name}{k + 1} AS (SELECT tree, i // 16 AS i, (any_value(n) + 15) // 16 AS n,
+                    CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h
+                    FROM {name}{k} GROUP BY tree, i // 16)"""
+            )
+
+    up("a")
+    out.append(f"b0 AS (SELECT 0 AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h, tree AS source FROM a{levels})")
+    up("b")
+    out.append(
+        """f0 AS (SELECT doc_id, source, leaf, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+                  coalesce(bad, leaf) AS f, '' AS p FROM d)"""
+    )
+
+    def along(old: str, new: str, level: str, tree: str) -> None:
+        out.append(
+            f"""{new} AS (SELECT e.doc_id, e.source, e.leaf, e.i // 16 AS i,
+                CASE WHEN any_value(r.n) > 1 THEN sha256(string_agg(CASE WHEN r.i = e.i THEN e.f ELSE r.h END, '' ORDER BY r.i)) ELSE any_value(e.f) END AS f,
+                any_value(e.p) || coalesce(string_agg(CASE WHEN r.i <> e.i THEN r.h END, '' ORDER BY r.i), '') AS p
+                FROM {old} e JOIN {level} r ON r.tree IS NOT DISTINCT FROM {tree} AND r.i // 16 = e.i // 16
+                GROUP BY e.doc_id, e.source, e.leaf, e.i)"""
+        )
+
+    for k in range(levels):
+        along(f"f{k}", f"f{k + 1}", f"a{k}", "e.source")
+    out.append(f"g0 AS (SELECT f.doc_id, f.source, f.leaf, b0.i, f.f, f.p FROM f{levels} f JOIN b0 ON b0.source IS NOT DISTINCT FROM f.source)")
+    for k in range(levels):
+        along(f"g{k}", f"g{k + 1}", f"b{k}", "0")
+    return f"""WITH {', '.join(out)}
+        SELECT g.doc_id, g.leaf, a.h AS subroot, b.h AS root, sha256(g.p) AS proof_sha256, g.f AS folded_root, g.f = b.h AS verified
+        FROM g{levels} g JOIN a{levels} a ON a.tree IS NOT DISTINCT FROM g.source CROSS JOIN b{levels} b"""
+
+
+@query("op13_merkle", _merkle_sql())
+def op13_merkle(spark, sf):
+    text = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    hit = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    out = merkle.manifest(table(spark, sf, "documents"), shown={"text": F.when(hit, text).otherwise(F.col("text"))})
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
