@@ -2,13 +2,14 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import merkle
+from tidemark.llm import merkle, quartile
 
 # --- Merkle manifest
 
@@ -103,3 +104,83 @@ def test_manifest_across_superblocks(spark):
 
 def test_manifest_of_many_sources(spark):
     check_merkle(spark, [(i, f"s{i}", None, 1, "A") for i in range(4200)])
+
+
+# --- quartile digests
+
+
+def digest_brute(text):
+    raw = text.encode()
+    data = b"\xff\xff" + raw + b"\xff\xff"
+    count = [0] * 256
+    for i in range(len(data) - 2):
+        v = data[i] + 256 * data[i + 1] + 65536 * data[i + 2]
+        count[(v * 2654435761 % 2**32) >> 24] += 1
+    ranked = sorted(count)
+    code = [sum(c > ranked[q] for q in (63, 127, 191)) for c in count]
+    length = min(255, math.floor(8 * math.log2(len(raw) + 1)))
+    return bytes([length, *(sum(code[4 * j + k] << 2 * k for k in range(4)) for j in range(64))]).hex(), [length, *code]
+
+
+def near_brute(a, b):
+    a, b = digest_brute(a)[1], digest_brute(b)[1]
+    apart = sum(abs(x - y) for x, y in zip(a[1:], b[1:])) + 2 * min(32, abs(a[0] - b[0]))
+    return 1 - min(320, apart) / 320
+
+
+def neighbours_brute(rows):
+    rows = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, len(r[1]), r[1].encode()))
+    out = []
+    for i, (k, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        half = len(t) // 2
+        new = t[:len(t) - half] + after[:half]
+        out.append((k, len(t), sha(new), digest_brute(t)[0], digest_brute(new)[0], near_brute(t, new), near_brute(t, after)))
+    return sorted(out, key=key_of)
+
+
+def check_neighbours(spark, rows, parts=None):
+    docs = spark.createDataFrame([(*r, "x", "y", 3) for r in rows], "doc_id long, text string, _text string, fingerprint string, _part int")
+    out = quartile.compare_neighbours(docs.repartition(parts) if parts else docs)
+    assert out.columns == ["doc_id", *[c.split()[0] for c in quartile.COMPARED.split(", ")]]
+    assert sorted(map(tuple, out.collect()), key=key_of) == neighbours_brute(rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 40])
+def test_neighbours_in_order(spark, n):
+    rng = random.Random(n)
+    rows = [(i * 7 - 20, "".join(rng.choice("ab cé😀\n.") for _ in range(rng.randrange(60)))) for i in range(n)]
+    rng.shuffle(rows)
+    check_neighbours(spark, rows, 4)
+
+
+def test_neighbours_with_nulls_ties_and_long_texts(spark):
+    long = "lorem ipsum dolor " * 200_000
+    rows = [(None, None), (None, "a"), (1, ""), (1, ""), (1, "b"), (1, "a"), (2, long), (3, long), (4, "x"), (9, None)]
+    check_neighbours(spark, rows, 3)
+
+
+def test_digests_of_many_texts_at_once():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([0, 1, 2, 5, 300]))).encode() for _ in range(500)]
+    coded = quartile.codes(texts)
+    assert quartile.digests(coded) == [digest_brute(t.decode())[0] for t in texts]
+    assert (quartile.parsed(quartile.digests(coded)) == coded).all()
+
+
+def test_fingerprints_column(spark):
+    docs = spark.createDataFrame([(1, "one"), (2, None), (3, "one")], "id long, text string")
+    got = {r.id: r.fingerprint for r in quartile.fingerprints(docs).collect()}
+    assert got == {1: digest_brute("one")[0], 2: digest_brute("")[0], 3: got[1]}
+
+
+def test_likeness_follows_shared_text(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(vocabulary, k=400)) for _ in range(60)]
+    shared, other = [], []
+    for a, b in zip(texts, texts[1:]):
+        assert near_brute(a, a) == 1
+        shared.append(near_brute(a, quartile.edited(a, b)))
+        other.append(near_brute(a, b))
+    assert all(x > y for x, y in zip(shared, other)) and sum(shared) > 3 * sum(other)

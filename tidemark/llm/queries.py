@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontam, licenses, lm_scoring, merkle, mixing, near_dup, quality, sharding, substring, urls, warc,
+    decontam, licenses, lm_scoring, merkle, mixing, near_dup, quality, quartile, sharding, substring, urls, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +235,31 @@ def op13_merkle(spark, sf):
     hit = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     out = merkle.manifest(table(spark, sf, "documents"), shown={"text": F.when(hit, text).otherwise(F.col("text"))})
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query(
+    "op11_fingerprints",
+    """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id NULLS FIRST, length(coalesce(text, '')), text) AS i,
+                      count(*) OVER () AS n FROM documents),
+    e AS (SELECT d.i, d.n, d.doc_id, d.t, substr(d.t, 1, length(d.t) - length(d.t) // 2) || substr(x.t, 1, length(d.t) // 2) AS et
+          FROM d JOIN d x ON x.i = d.i % d.n + 1),
+    u AS (SELECT i, 0 AS k, t FROM e UNION ALL SELECT i, 1 AS k, et FROM e),
+    b AS (SELECT i, k, [('0x' || x)::BIGINT FOR x IN regexp_extract_all('FFFF' || hex(encode(t)) || 'FFFF', '..')] AS b FROM u),
+    p AS (SELECT i, k, unnest(range(1, len(b) - 1)) AS p, b FROM b),
+    h AS (SELECT i, k, (((b[p] + 256 * b[p + 1] + 65536 * b[p + 2]) * 2654435761) % 4294967296) // 16777216 AS h FROM p),
+    c AS (SELECT i, k, h, count(*) AS c FROM h GROUP BY ALL),
+    f AS (SELECT u.i, u.k, r.range AS h, coalesce(c.c, 0) AS c FROM u CROSS JOIN range(256) r LEFT JOIN c ON c.i = u.i AND c.k = u.k AND c.h = r.range),
+    q AS (SELECT i, k, list_sort(list(c)) AS s, list(c ORDER BY h) AS c FROM f GROUP BY ALL),
+    z AS (SELECT i, k, [(x > s[64])::INT + (x > s[128])::INT + (x > s[192])::INT FOR x IN c] AS z FROM q),
+    w AS (SELECT z.i, z.k, z, least(255, floor(8 * log2(strlen(t) + 1)))::INT AS l,
+                 array_to_string([printf('%02x', z[4 * j + 1] + 4 * z[4 * j + 2] + 16 * z[4 * j + 3] + 64 * z[4 * j + 4]) FOR j IN range(64)], '') AS x
+          FROM z JOIN u ON u.i = z.i AND u.k = z.k)
+    SELECT e.doc_id, length(e.t)::BIGINT AS n_chars, sha256(e.et) AS edited_sha256,
+           printf('%02x', a.l) || a.x AS fingerprint, printf('%02x', b.l) || b.x AS edited_fingerprint,
+           1 - least(320, list_sum([abs(a.z[j] - b.z[j]) FOR j IN range(1, 257)]) + 2 * least(32, abs(a.l - b.l)))::DOUBLE / 320 AS near_edited,
+           1 - least(320, list_sum([abs(a.z[j] - c.z[j]) FOR j IN range(1, 257)]) + 2 * least(32, abs(a.l - c.l)))::DOUBLE / 320 AS near_next
+    FROM e JOIN w a ON a.i = e.i AND a.k = 0 JOIN w b ON b.i = e.i AND b.k = 1 JOIN w c ON c.i = e.i % e.n + 1 AND c.k = 0""",
+)
+def op11_fingerprints(spark, sf):
+    return quartile.compare_neighbours(table(spark, sf, "documents"))
