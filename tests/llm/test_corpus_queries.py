@@ -24,11 +24,11 @@ def test_query_matches_sql(spark, con, name):
 
 def test_all_are_registered():
     numbers = sorted(int(q[2:].split("_")[0]) for q in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert QUERIES.keys() | {"pipeline"} <= entry.queries().keys()
 
 
-@pytest.mark.parametrize("name", ["op2_sharding", "op4_mixing", "op6_near_duplicates", "op7_licenses", "op9_quality"])
+@pytest.mark.parametrize("name", ["op2_sharding", "op4_mixing", "op6_near_duplicates", "op7_licenses", "op9_quality", "op11_fingerprints", "op13_merkle"])
 def test_a_row_for_each_document(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()
     assert sorted(r.doc_id for r in QUERIES[name](spark, SF).select("doc_id").collect()) == sorted(r.doc_id for r in docs)

