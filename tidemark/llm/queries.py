@@ -302,14 +302,12 @@ def _repair_sql() -> str:
     m AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
                  CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
                  unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
-    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role)::VARCHAR || ':' || role || text)) AS p,
-                 row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again FROM m),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role)::VARCHAR || ':' || role || text)) AS p FROM m),
+    g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) AS again FROM o),
     x AS (SELECT *, role || ':' || text AS line, coalesce(conv_id::VARCHAR, ' ') AS v,
-                 CASE WHEN NOT regexp_matches(text, '[^ 	-
-]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
-                      WHEN NOT regexp_matches(text, '[.!?][ 	-
-]*\z') THEN 'truncated' ELSE 'ok' END AS fault,
-                 lag(role[1]) OVER (PARTITION BY conv_id ORDER BY p) || role[1] AS pair FROM o),
+                 CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+                      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'ok' END AS fault,
+                 lag(role[1]) OVER (PARTITION BY conv_id ORDER BY p) || role[1] AS pair FROM g),
     dp AS (
         SELECT DISTINCT v, 0::BIGINT AS p, {{'c': 0, 'a': '', 'r': []::VARCHAR[]}} AS s0, {far} AS s1, {far} AS s2, {far} AS s3 FROM x
         UNION ALL
