@@ -142,10 +142,23 @@ def debounce(keys: Sequence[str], window=0.2, max_delay=2, **kw) -> Stage:
         narrow = narrow_rows(df, keys, **kw)
         seen = running(narrow, {"_prev": Running("last", F.col("at"), before=True)}, ["_k"])
         cut = F.col("_prev").isNull() | (F.col("at") - F.col("_prev") >= quiet)
+        rows = anchors(seen, SpanRule(longest), reset=cut)
+        # A burst is named by its first row, as times may come again; a block of a hot key may begin inside a burst.
+        parts = rows.groupBy("_k", "_b", "start").agg(
+            F.max("seq").alias("_last"), F.count(F.lit(1)).alias("n"), F.max_by("at", "seq").alias("_to"), F.max("anchor").alias("anchor")
+        )
+        earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        open_ = (
+            rows.filter("_b IS NOT NULL").groupBy("_k", "_b").agg(F.max("start").alias("_open"))
+            .select(F.col("_k").alias("_ok"), F.col("_b").alias("_ob"), F.last("_open", ignorenulls=True).over(earlier).alias("_open"))
+        )
         ends = (
-            anchors(seen, SpanRule(longest), reset=cut)
-            .groupBy("_k", "anchor")
-            .agg(F.max("seq").alias("_last"), F.count(F.lit(1)).alias("burst_rows"), F.max_by("at", "seq").alias("_to"))
+            parts.join(open_, F.col("start").isNull() & (F.col("_k") == F.col("_ok")) & (F.col("_b") == F.col("_ob")), "left")
+            .groupBy("_k", F.coalesce("start", "_open").alias("start"))
+            .agg(
+                F.max_by("_to", "_last").alias("_to"), F.max("_last").alias("_last"),
+                F.sum("n").alias("burst_rows"), F.max("anchor").alias("anchor"),
+            )
         )
         emit = F.timestamp_micros(F.least(F.col("_to") + quiet, F.col("anchor") + longest))
         alone = untimed(df).select("_seq", F.lit(None).cast("timestamp"), F.lit(1).cast("bigint"))

@@ -34,7 +34,7 @@ Pieces = list[tuple[int, bool, int]]  # (upper bound, constant?, value or shift)
 _TABLE = "_k string, _b bigint, hi array<bigint>, fixed array<boolean>, val array<bigint>"
 _ENTRY = "_k string, _b bigint, entry bigint"
 _HITS = "_seq bigint"
-_ANCHORED = "_k string, anchor bigint, seq bigint, at bigint"
+_ANCHORED = "_k string, _b bigint, anchor bigint, start bigint, seq bigint, at bigint"
 _OUT_ROWS = 8192
 MANY_PARTS = 24  # of a token bucket's function, from which on rows are handled in vector steps
 
@@ -410,27 +410,33 @@ def _joined(parts: Iterator, build: Callable[[list], list], schema: str) -> Iter
 
 
 def _anchored(rule: SpanRule, limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows with the time of the marked row they follow (or are).
+    """Rows with the time and the ``seq`` (start) of the marked row they follow (or are).
 
-    With a ``limit``, only the first so many rows of an anchor in each block.
+    Where that row stands in an earlier block, ``start`` is null. With a ``limit``, only the first so many rows of an
+    anchor in each block.
     """
 
     def run(batches):
-        seen = 0
+        seen, held = 0, NONE
         for batch, group, start, end, fresh, before, at, hits in _replayed(rule, batches):
-            seen = 0 if fresh else seen
+            seen, held = (0, NONE) if fresh else (seen, held)
             place = np.arange(len(at))
             last = np.maximum.accumulate(np.where(hits, place, -1)) if len(at) else place
+            seq = batch.column("seq").slice(start, end - start).to_numpy(zero_copy_only=False).astype(np.int64)
             anchor = np.where(last >= 0, at[last], before - rule.span)
+            opened = np.where(last >= 0, seq[last], held)
             rank = np.where(last >= 0, place - last + 1, seen + place + 1)
-            seen = int(rank[-1]) if len(at) else seen
+            if len(at):
+                seen, held = int(rank[-1]), int(opened[-1])
             keep = rank <= limit if limit is not None else np.ones(len(at), dtype=bool)
-            seq = batch.column("seq").slice(start, end - start).to_numpy(zero_copy_only=False)
-            yield group[0], anchor[keep], seq[keep].astype(np.int64), at[keep]
+            yield group, anchor[keep], opened[keep], seq[keep], at[keep]
 
     def build(parts):
-        keys = pa.concat_arrays([pa.repeat(pa.scalar(p[0], pa.string()), len(p[3])) for p in parts])
-        return [keys, *[pa.array(np.concatenate([p[i] for p in parts]).astype(np.int64)) for i in (1, 2, 3)]]
+        keys = pa.concat_arrays([pa.repeat(pa.scalar(p[0][0], pa.string()), len(p[4])) for p in parts])
+        block, anchor, opened, seq, at = (
+            np.concatenate([np.full(len(p[4]), p[0][1]) if i == 0 else p[i] for p in parts]).astype(np.int64) for i in range(5)
+        )
+        return [keys, pa.array(block, mask=block == NONE), pa.array(anchor), pa.array(opened, mask=opened == NONE), pa.array(seq), pa.array(at)]
 
     return lambda batches: _joined(run(batches), build, _ANCHORED)
 
@@ -480,10 +486,10 @@ def anchors(
     narrow: DataFrame, rule: SpanRule, reset: Column | None = None, limit: int | None = None,
     levels: int = 1, fan: int = FAN,
 ) -> DataFrame:
-    """The rows of ``narrow_rows`` with ``anchor``, the time of the newest marked row up to each.
+    """The rows of ``narrow_rows`` with ``anchor``, the time of the newest marked row up to each, and ``start``, its ``seq``.
 
-    Marked rows of one key have different times as long as the clock does not go back, so
-    (``_k``, ``anchor``) names a run of rows.
+    ``start`` is null where that row stands in an earlier block ``_b``. Without ``reset`` the marked rows' times of a key only
+    rise, so (``_k``, ``anchor``) names a run of rows; with it a time may come again, and only ``start`` does.
     """
     return _sorted_pass(
         _with_entries(narrow, rule, reset, levels, fan), ["_k", "_b"], ["seq"], _anchored(rule, limit), _ANCHORED

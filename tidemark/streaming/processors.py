@@ -108,16 +108,19 @@ class WindowProcessor(_Sorted):
 
 
 class HighProcessor(_Sorted):
-    """Flags rows that are not behind the highest number seen."""
+    """Flags rows that are not behind the highest number seen. A row without a number (text ``null``) is
+    flagged while there is none."""
 
     def handleInputRows(self, key, rows, timerValues):
         held = self.state.get()
         high = held[0] if held else None
         out = []
-        for _, _, num, _, row in self.read(rows):
-            out.append((row, high is None or num >= high, 0))
-            high = int(num) if high is None else max(high, int(num))
-        self.state.update((high,))
+        for _, _, num, missing, row in self.read(rows):
+            out.append((row, high is None or (missing != "null" and num >= high), 0))
+            if missing != "null":
+                high = int(num) if high is None else max(high, int(num))
+        if high is not None:
+            self.state.update((high,))
         yield from _out(out)
 
 
@@ -200,13 +203,16 @@ def _stateful(
     df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, num: Column | None = None,
     text: Column | None = None, time_mode: str = "None", schema: str = _RESULT,
 ) -> DataFrame:
-    """Run a processor. Whole rows pass through it as one JSON text and come back typed."""
+    """Run a processor. Whole rows pass through it as one JSON text and come back typed.
+
+    The numbers that a processor gets are never null, as pandas would turn a column with nulls into floats.
+    """
     use_rocksdb(df.sparkSession)
     key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
-    at = F.unix_micros("ts") if "ts" in df.columns else F.lit(0).cast("bigint")
+    at = F.coalesce(F.unix_micros("ts"), F.lit(0)) if "ts" in df.columns else F.lit(0).cast("bigint")
     picked = df.select(
         key.alias("_k"), F.col("seq").alias("_seq"), at.alias("_at"),
-        (F.lit(0) if num is None else num).cast("bigint").alias("_num"),
+        F.coalesce((F.lit(0) if num is None else num).cast("bigint"), F.lit(0)).alias("_num"),
         (F.lit(None) if text is None else text).cast("string").alias("_text"),
         F.to_json(F.struct(*df.columns), {**_TIMES, "ignoreNullFields": "false"}).alias("_row"),
         *([F.col("ts").alias("_event_time")] if time_mode == "EventTime" else []),
@@ -219,6 +225,11 @@ def _stateful(
     return done.select(row.alias("_r"), *rest).select("_r.*", *rest)
 
 
+def _timed(rule: Stage, **given: Column) -> Stage:
+    """``rule`` for rows with a time; the others take no part in it and pass, with the columns ``given``."""
+    return lambda df: rule(df.filter("ts IS NOT NULL")).unionByName(df.filter("ts IS NULL").withColumns(given))
+
+
 def dedup_ttl(keys: Sequence[str], ttl, late: str | None = None) -> Stage:
     """Streaming ``dedup_ttl``. ``late`` sets a watermark, with which old state is dropped."""
     rule = SpanRule(span_micros(ttl))
@@ -228,24 +239,27 @@ def dedup_ttl(keys: Sequence[str], ttl, late: str | None = None) -> Stage:
         mode = "EventTime" if late else "None"
         return _stateful(timed, keys, RuleProcessor(rule, bool(late)), time_mode=mode).filter("_flag").drop("_flag", "_n")
 
-    return run
+    return _timed(run)
 
 
 def token_bucket(tokens: int, per=1, burst: int | None = None, keys: Sequence[str] = ()) -> Stage:
     rule = bucket_rule(tokens, per, burst)
-    return lambda df: _stateful(df, keys, RuleProcessor(rule)).drop("_n").withColumnRenamed("_flag", "admitted")
+    return _timed(
+        lambda df: _stateful(df, keys, RuleProcessor(rule)).drop("_n").withColumnRenamed("_flag", "admitted"), admitted=F.lit(True)
+    )
 
 
 def sample_max_per_second(limit: int, keys: Sequence[str] = (), second=1) -> Stage:
     rule = SpanRule(span_micros(second))
-    return lambda df: _stateful(df, keys, WindowProcessor(rule, limit)).filter("_flag").drop("_flag", "_n")
+    return _timed(lambda df: _stateful(df, keys, WindowProcessor(rule, limit)).filter("_flag").drop("_flag", "_n"))
 
 
 def align() -> Stage:
-    """Streaming ``align``: state per table. Rows without a table pass."""
+    """Streaming ``align``: state per table. Rows without a table pass, and rows without an lsn before any with one."""
 
     def run(df: DataFrame) -> DataFrame:
-        done = _stateful(df, ["table_name"], HighProcessor(), num=F.col("lsn"))
+        missing = F.when(F.col("lsn").isNull(), "null")
+        done = _stateful(df, ["table_name"], HighProcessor(), num=F.col("lsn"), text=missing)
         return done.filter(F.col("_flag") | (F.coalesce("table_name", F.lit("")) == "")).drop("_flag", "_n")
 
     return run
@@ -299,7 +313,7 @@ def debounce(keys: Sequence[str], window=0.2, max_delay=2, late: str = "0 second
             .drop("_flag", "_n")
         )
 
-    return run
+    return _timed(run, burst_rows=F.lit(1).cast("bigint"), emit_ts=F.lit(None).cast("timestamp"))
 
 
 class FirstProcessor(_Sorted):
