@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.cells import byte_size, first_match, scope, stub
 from tidemark.functions.hashing import unit_interval
 from tidemark.model import DATA_ACTIONS, instant, span_micros
-from tidemark.plans.asof import TIME_BLOCK, asof_by_time
-from tidemark.plans.blocks import Running, count_if, running
+from tidemark.plans.blocks import count_if, running
+from tidemark.plans.intervals import during
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -104,18 +104,21 @@ def sample_rate(rate: float, salt: str = "", key: str = "seq") -> Stage:
     return lambda df: df.filter(unit_interval(F.col(key), salt) < F.lit(share))
 
 
-def gate(control: DataFrame, initially_open: bool = True) -> Stage:
-    """Drop rows that arrive while the switch is closed. ``control``: ``ts``, ``on``."""
+def gate(control: DataFrame, initially_open: bool = True, **kw) -> Stage:
+    """Drop rows that arrive while the switch is closed. ``control``: ``ts``, ``on``. Works on streams as well.
+
+    Rows without a time meet the switch as it is ``initially``.
+    """
     history = control.select("ts", F.struct("on").alias("_switch"))
 
     def run(df: DataFrame) -> DataFrame:
-        seen = asof_by_time(df, history, [], "_switch")
+        seen = during(df, history, "_switch", **kw)
         return seen.filter(F.coalesce(F.col("_switch.on"), F.lit(initially_open))).drop("_switch")
 
     return run
 
 
-def hold_release(control: DataFrame, max_buffer: int) -> Stage:
+def hold_release(control: DataFrame, max_buffer: int, **kw) -> Stage:
     """Hold rows while frozen, keep the newest ``max_buffer`` of a freeze, release them at its end.
 
     ``control``: ``ts``, ``on`` (frozen), one entry per instant. Adds ``release_ts``: the own
@@ -124,13 +127,11 @@ def hold_release(control: DataFrame, max_buffer: int) -> Stage:
     """
     if max_buffer <= 0:
         raise ValueError("hold_release: the buffer must hold at least one row")
-    thaw = Running("last", F.when(~F.col("on"), F.col("ts")), before=True)
-    points = control.select("ts", "on", F.unix_micros("ts").alias("_at"))
-    points = running(points, {"thaw": thaw}, order="_at", block=TIME_BLOCK, descending=True)
-    entries = points.select("ts", F.struct("on", "thaw").alias("_hold"))
+    entries = control.select("ts", F.struct("on", "ts").alias("_hold"))
+    thaw = F.when(~F.col("_value.on"), F.col("_value.ts"))
 
     def run(df: DataFrame) -> DataFrame:
-        seen = asof_by_time(df, entries, [], "_hold")
+        seen = during(df, entries, "_hold", following={"thaw": thaw}, **kw)
         frozen = F.coalesce(F.col("_hold.on"), F.lit(False))
         # All rows of a freeze share its thaw time; only they are ranked.
         release = F.when(frozen, F.col("_hold.thaw")).otherwise(F.col("ts"))
