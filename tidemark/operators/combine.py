@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.cells import cols
@@ -55,11 +55,17 @@ def merge(src: DataFrame, on: Sequence[str], prefer: str = "src", table: str | N
     return run
 
 
+def coalesce_key(key_column: str) -> Column:
+    """The key value of a row in lower case; absent counts as empty, of several the last holds."""
+    last = F.try_element_at(F.filter(cols(), lambda c: c["name"] == key_column), F.lit(-1))["value"]
+    return F.lower(F.coalesce(last, F.lit("")))
+
+
 def coalesce_rows(key_column: str, tables: Sequence[str] = ()) -> Stage:
     """One row per table and key value (any case): last write wins per column name.
 
     Other fields and the place are those of the first row, the lsn that of the last. Columns
-    come back sorted by name. Two hash aggregates with map-side combine; no per-key row lists.
+    come back sorted by name. Only numbers are aggregated by row and by cell; the rows and cells that win are joined by them.
     """
     if not key_column.strip():
         raise ValueError("coalesce_rows: a key column is needed")
@@ -67,26 +73,22 @@ def coalesce_rows(key_column: str, tables: Sequence[str] = ()) -> Stage:
     def run(df: DataFrame) -> DataFrame:
         listed = [t.lower() for t in tables]
         inside = F.coalesce(F.lower("table_name").isin(*listed), F.lit(False)) if listed else F.lit(True)
-        last_key = F.try_element_at(F.filter(cols(), lambda c: c["name"] == key_column), F.lit(-1))["value"]
-        keyed = df.filter(inside).withColumns(
-            {"_table": F.coalesce("table_name", F.lit("")), "_key": F.lower(F.coalesce(last_key, F.lit("")))}
-        )
+        keyed = df.filter(inside).withColumns({"_table": F.coalesce("table_name", F.lit("")), "_key": coalesce_key(key_column)})
         group = ["_table", "_key"]
-        rest = [c for c in df.columns if c not in ("columns", "lsn", "seq")]
-        heads = keyed.groupBy(*group).agg(
-            F.min_by(F.struct(*rest), "seq").alias("_first"),
-            F.min("seq").alias("seq"),
-            F.max_by("lsn", "seq").alias("lsn"),
-        )
-        cells = keyed.select(*group, "seq", F.posexplode("columns").alias("_pos", "_c"))
-        latest = cells.groupBy(*group, F.col("_c.name").alias("_name")).agg(
-            F.max_by("_c", F.struct("seq", "_pos")).alias("_c")
-        )
+        heads = keyed.groupBy(*group).agg(F.min("seq").alias("_head"), F.max_by("lsn", "seq").alias("_lsn"))
+        # A row's cells by name, the last of each name; then the newest row of each name, by number.
+        names = F.array_distinct(F.transform(cols(), lambda c: c["name"]))
+        newest = keyed.select(*group, "seq", F.explode(names).alias("_name")).groupBy(*group, "_name").agg(F.max("seq").alias("_won"))
+        won = newest.groupBy(*group, "_won").agg(F.collect_list("_name").alias("_names"))
+        last = F.transform("_names", lambda n: F.try_element_at(F.filter(cols(), lambda c: c["name"].eqNullSafe(n)), F.lit(-1)))
         # As many entries per key as its table has column names.
-        body = latest.groupBy(*group).agg(F.array_sort(F.collect_list("_c")).alias("columns"))
-        out = heads.join(body, group, "left").select(
-            *[F.col(f"_first.{c}").alias(c) if c in rest else F.col(c) for c in df.columns]
+        body = (
+            keyed.select("seq", "columns").join(won, F.col("seq") == F.col("_won")).select(*group, last.alias("_cells"))
+            .groupBy(*group).agg(F.array_sort(F.flatten(F.collect_list("_cells"))).alias("_body"))
         )
+        first = heads.join(body, group, "left").select("_head", "_lsn", "_body")
+        out = df.filter(inside).join(first, F.col("seq") == F.col("_head"))
+        out = out.withColumns({"lsn": F.col("_lsn"), "columns": F.col("_body")}).select(df.columns)
         return out.unionByName(df.filter(~inside)) if listed else out
 
     return run

@@ -34,12 +34,50 @@ def stream_changes(
     )
 
 
-def relation_dictionary(relations: DataFrame) -> DataFrame:
-    """The relation in force per id; an id whose last entry is a deletion is gone."""
+def _parsed(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """The fields of JSON lines, and ``malformed``: the line itself where it is no row of the schema."""
+    fields = T.StructType([*schema.fields, T.StructField("_line", T.StringType())])
+    row = F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"})
+    broken = F.col("_row._line").isNotNull() | F.col("_row").isNull() | F.col("_row.seq").isNull()
+    kept = [F.when(~F.col("_bad"), F.col(f"_row.`{f.name}`")).alias(f.name) for f in schema.fields]
+    return lines.withColumn("_row", row).withColumn("_bad", broken).select(
+        *kept, F.when(F.col("_bad"), F.col("value")).alias("malformed"), F.col("_metadata.file_path").alias("file")
+    )
+
+
+def scan_lines(spark: SparkSession, path: str, schema: T.StructType = CHANGES) -> DataFrame:
+    """A change log in JSON lines of which some may be broken: the log's columns, ``malformed`` and ``file``.
+
+    A line that does not parse, has a value of another type or no ``seq`` comes as it is in ``malformed``, with no columns
+    set. One pass; :func:`part_malformed` parts the two.
+    """
+    return _parsed(spark.read.text(path), schema)
+
+
+def stream_lines(spark: SparkSession, path: str, schema: T.StructType = CHANGES, files_per_trigger: int = 1000) -> DataFrame:
+    return _parsed(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path), schema)
+
+
+def part_malformed(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the log, and the broken lines with their files."""
+    rows = scanned.filter("malformed IS NULL").drop("malformed", "file")
+    return rows, scanned.filter("malformed IS NOT NULL").select(F.col("malformed").alias("line"), "file")
+
+
+def latest_relations(relations: DataFrame) -> DataFrame:
+    """The newest entry per id, deletions among them; on a stream, in update mode, for a table that it overwrites."""
     fields = [f for f in ("seq", "schema_name", "table_name", "columns", "deleted") if f in relations.columns]
     latest = relations.groupBy("relation_id").agg(F.max_by(F.struct(*fields), "seq").alias("_r"))
-    out = latest.select("relation_id", *[F.col(f"_r.{f}").alias(f) for f in fields])
-    return out.filter(~F.coalesce(F.col("deleted"), F.lit(False))).drop("deleted") if "deleted" in fields else out
+    return latest.select("relation_id", *[F.col(f"_r.{f}").alias(f) for f in fields])
+
+
+def known_relations(latest: DataFrame) -> DataFrame:
+    return latest.filter(~F.coalesce(F.col("deleted"), F.lit(False))).drop("deleted") if "deleted" in latest.columns else latest
+
+
+def relation_dictionary(relations: DataFrame) -> DataFrame:
+    """The relation in force per id; an id whose last entry is a deletion is gone."""
+    return known_relations(latest_relations(relations))
 
 
 def lookup_relation(keys: DataFrame, dictionary: DataFrame) -> DataFrame:
