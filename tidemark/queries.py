@@ -19,9 +19,9 @@ from tidemark.model import CELLS, RELATIONS, changes, events_to_changes, parse_l
 from tidemark.operators import combine, counting, filters, progress, selection, stamping, values
 from tidemark.plans.flow import Flow
 from tidemark.session import checkpoint_root
-from tidemark.sinks import formats, writers
+from tidemark.sinks import deadletters, formats, ledger, writers
 from tidemark.sources import changelog
-from tidemark.streaming import processors, runner
+from tidemark.streaming import carried, keyed, metrics, processors, runner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,6 +100,26 @@ def scan_changes(spark, sf):
     )
 
 
+@query("scan_malformed", """
+SELECT CASE WHEN seq % 50 = 7 THEN 'broken' WHEN seq % 50 = 9 THEN 'no seq' ELSE 'row' END AS kind, count(*) AS n,
+  CAST(sum(CASE WHEN seq % 50 IN (7, 9) THEN 0 ELSE lsn END) AS BIGINT) AS lsns,
+  count(DISTINCT CASE WHEN seq % 50 NOT IN (7, 9) THEN c_user END) AS users FROM changes GROUP BY 1""")
+def scan_malformed(spark, sf):
+    """A log in JSON lines, some cut off and some without a number; rows and broken lines are both read back."""
+    path = scratch(spark, "lines")
+    log = changes(spark, sf)
+    whole = F.to_json(F.struct(*log.columns))
+    nameless = F.to_json(F.struct(*[c for c in log.columns if c != "seq"]))
+    cut_off = F.expr("left(value, length(value) - 5)")
+    lines = log.select(F.when(F.col("seq") % 50 == 9, nameless).otherwise(whole).alias("value"), "seq")
+    lines.select(F.when(F.col("seq") % 50 == 7, cut_off).otherwise(F.col("value")).alias("value")).write.text(path)
+    rows, broken = changelog.part_malformed(changelog.scan_lines(spark, path))
+    good = rows.agg(F.count("*").alias("n"), F.sum("lsn").alias("lsns"), F.countDistinct(first_value("user_id")).alias("users"))
+    kind = F.when(F.col("line").endswith("}"), "no seq").otherwise("broken").alias("kind")
+    bad = broken.groupBy(kind).agg(F.count("*").alias("n")).withColumns({"lsns": F.lit(0).cast("bigint"), "users": F.lit(0).cast("bigint")})
+    return good.select(F.lit("row").alias("kind"), "n", "lsns", "users").unionByName(bad)
+
+
 RELATIONS_SQL = """,
 relations AS (
   SELECT 2*min(event_id) AS seq, user_id%4 + 1 AS relation_id,
@@ -149,12 +169,14 @@ SELECT relation_id, arg_max(table_name, seq) AS table_name, max(seq) AS seq,
        ELSE 'user_id:20 event_type:25 value:701' END AS names
 FROM relations GROUP BY relation_id HAVING NOT arg_max(deleted, seq)""")
 def relation_dictionary(spark, sf):
+    return dictionary_rows(changelog.relation_dictionary(derive.relation_log(events(spark, sf))))
+
+
+def dictionary_rows(relations: DataFrame) -> DataFrame:
     names = F.array_join(
         F.transform("columns", lambda c: F.concat(c["name"], F.lit(":"), c["type_oid"].cast("string"))), " "
     )
-    return changelog.relation_dictionary(derive.relation_log(events(spark, sf))).select(
-        "relation_id", "table_name", "seq", names.alias("names")
-    )
+    return relations.select("relation_id", "table_name", "seq", names.alias("names"))
 
 
 # ------------------------------------------------------------------ filters and predicates
@@ -426,6 +448,25 @@ def debounce(spark, sf):
     return per_user(spark, sf).transform(stage).select("seq", us("emit_ts").alias("emit_us"), "burst_rows")
 
 
+@query("debounce_disordered", f""",
+o AS (SELECT seq, us - (seq % 7) * 7200000000 AS us, c_user AS k, row_number() OVER (PARTITION BY c_user ORDER BY seq) AS rn FROM changes),
+f(k, rn, seq, us, first, start) AS (
+  SELECT k, rn, seq, us, us, seq FROM o WHERE rn = 1
+  UNION ALL
+  SELECT o.k, o.rn, o.seq, o.us,
+    CASE WHEN o.us - f.us >= {6 * HOUR_US} OR o.us >= f.first + {12 * HOUR_US} THEN o.us ELSE f.first END,
+    CASE WHEN o.us - f.us >= {6 * HOUR_US} OR o.us >= f.first + {12 * HOUR_US} THEN o.seq ELSE f.start END
+  FROM f JOIN o ON o.k = f.k AND o.rn = f.rn + 1)
+SELECT max(seq) AS seq, least(arg_max(us, seq) + {6 * HOUR_US}, any_value(first) + {12 * HOUR_US}) AS emit_us, count(*) AS burst_rows
+FROM f GROUP BY k, start""", recursive=True)
+def debounce_disordered(spark, sf):
+    """A clock that goes back by up to twelve hours between arrivals."""
+    back = F.timestamp_micros(F.unix_micros("ts") - (F.col("seq") % 7) * 7_200_000_000)
+    stage = selection.debounce(["user"], 6 * 3600, 12 * 3600)
+    out = per_user(spark, sf).withColumn("ts", back).transform(stage)
+    return out.select("seq", us("emit_ts").alias("emit_us"), "burst_rows")
+
+
 # ------------------------------------------------------------------ column values
 
 
@@ -697,6 +738,16 @@ def partition_by(spark, sf):
     )
 
 
+@query("partitioned_join", """
+SELECT seq, c_user AS "user", count(*) OVER (PARTITION BY c_user) AS n FROM changes""")
+def partitioned_join(spark, sf):
+    """The log and a table by user, both kept in buckets of the user: counted and joined without an exchange."""
+    path, name = scratch(spark, "buckets"), f"log_{uuid.uuid4().hex}"
+    writers.bucket_sink(name, ["user"], 16, path)(per_user(spark, sf).select("seq", "user"))
+    log = spark.table(name)
+    return log.join(log.groupBy("user").agg(F.count("*").alias("n")), "user").select("seq", "user", "n")
+
+
 @query("route_key", "SELECT seq, table_name AS t, action AS a, table_name || '.' || action AS ta, table_name AS other FROM changes")
 def route_key(spark, sf):
     return changes(spark, sf).select(
@@ -1017,6 +1068,29 @@ def fanout(spark, sf):
     return back.groupBy("target", "table_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("fanout_once", """
+SELECT target, table_name, count(*) AS n FROM changes, (VALUES ('all'), ('copy')) t(target) GROUP BY ALL""")
+def fanout_once(spark, sf):
+    """The second target fails at first; the retry writes it from the stage and leaves the first alone."""
+    path = scratch(spark, "once")
+    failures = [1]
+
+    def flaky(df: DataFrame, batch_id: int) -> None:
+        if failures:
+            failures.pop()
+            raise OSError("not there yet")
+        runner.batch_table(f"{path}/copy")(df, batch_id)
+
+    write = ledger.fanout_once({"all": runner.batch_table(f"{path}/all"), "copy": flaky}, path)
+    rows = changes(spark, sf).select("seq", "table_name", "action")
+    try:
+        write(rows, 7)
+    except RuntimeError:
+        write(rows, 7)
+    read = lambda t: spark.read.schema("table_name string").parquet(f"{path}/{t}/batch=*").withColumn("target", F.lit(t))
+    return read("all").unionByName(read("copy")).groupBy("target", "table_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _noop(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -1058,13 +1132,16 @@ def forward_write(spark, sf):
     return read(main, "main").unionByName(read(side, "side"))
 
 
-@query("route_write", "SELECT route, count(*) AS n, CAST(sum(seq) AS BIGINT) AS total FROM (SELECT seq, table_name AS route FROM changes) WHERE route = 'users' GROUP BY route")
+@query("route_write", """
+SELECT route, count(*) AS n, CAST(sum(seq) AS BIGINT) AS total FROM (
+  SELECT seq, table_name AS route FROM changes UNION ALL SELECT seq, 'deletes' FROM changes WHERE action = 'DELETE') GROUP BY route""")
 def route_write(spark, sf):
-    """A folder for each route; the reader prunes to one."""
+    """A folder for each route, of which a reader of one route prunes the others; all are read back."""
     path = scratch(spark, "routes")
-    stage = writers.route({t: F.col("table_name") == t for t in ("accounts", "orders", "users")})
+    tables = {t: F.col("table_name") == t for t in ("accounts", "orders", "sessions", "users")}
+    stage = writers.route({**tables, "deletes": F.col("action") == "DELETE"})
     writers.table_sink(path, partition_by=["route"])(changes(spark, sf).transform(stage).select("seq", "route"))
-    back = spark.read.schema("seq bigint, route string").parquet(path).filter("route = 'users'")
+    back = spark.read.schema("seq bigint, route string").parquet(path)
     return back.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("total"))
 
 
@@ -1079,12 +1156,12 @@ def shard_write(spark, sf):
 
 
 @query("journal_append", """
-SELECT strftime(ts, '%Y-%m-%d') AS day, table_name, count(*) AS n, max(lsn) AS lsn FROM changes WHERE dayofmonth(ts) IN (3, 4) GROUP BY ALL""")
+SELECT strftime(ts, '%Y-%m-%d') AS day, table_name, count(*) AS n, max(lsn) AS lsn FROM changes GROUP BY ALL""")
 def journal_append(spark, sf):
-    """Two runs append to one journal, which is read back by day."""
+    """Two runs, of the odd and the even days, append to one journal, which is read back by day."""
     path = scratch(spark, "journal")
-    for day in (3, 4):
-        rows = changes(spark, sf).filter(F.dayofmonth("ts") == day).transform(formats.journal())
+    for odd in (0, 1):
+        rows = changes(spark, sf).filter(F.dayofmonth("ts") % 2 == odd).transform(formats.journal())
         writers.table_sink(path, partition_by=["day"])(rows.withColumn("day", F.date_format("ts", "yyyy-MM-dd")))
     back = spark.read.schema("table_name string, lsn bigint, line string, day string").parquet(path)
     return back.groupBy("day", "table_name").agg(F.count("line").alias("n"), F.max("lsn").alias("lsn"))
@@ -1135,7 +1212,8 @@ SELECT batch, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM (
 def batch_write(spark, sf):
     path = scratch(spark, "batches")
     rows = changes(spark, sf).transform(selection.batch_assign(1000)).select("seq", "batch")
-    writers.table_sink(path, partition_by=["batch"])(rows.repartition("batch"))
+    # Sorted ranges of batches, with the batch as a column: a reader of some batches skips the other files by their statistics.
+    writers.table_sink(path)(rows.repartitionByRange("batch").sortWithinPartitions("batch", "seq"))
     return spark.read.schema("seq bigint, batch bigint").parquet(path).groupBy("batch").agg(
         F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")
     )
@@ -1164,6 +1242,25 @@ def dlq_replay(spark, sf):
     return again.select("seq", "reason")
 
 
+@query("dead_letter_table", """
+, failed AS (SELECT seq, us, action, table_name FROM changes WHERE action = 'DELETE' AND us >= epoch_us(TIMESTAMP '2024-01-30 12:00:00') - 864000000000)
+SELECT seq, CASE WHEN table_name = 'orders' THEN 'kept' ELSE 'passed' END AS outcome FROM failed""")
+def dead_letter_table(spark, sf):
+    """Rows are appended by two runs, aged, and replayed with a stage that refuses orders; what passed and what stays are read back."""
+    path = scratch(spark, "letters")
+    failed = changes(spark, sf).transform(filters.reject(filters.RejectRule("no deletes", action="DELETE")))
+    failed = failed.select("seq", "table_name", F.col("rejection").alias("reason"), F.col("ts").alias("dead_at"))
+    letters = deadletters.DeadLetters(spark, path, "seq bigint, table_name string, reason string, dead_at timestamp", 10 * DAY)
+    for part in (0, 1):
+        letters.append(failed.filter(F.col("seq") % 2 == part))
+    end = "2024-01-30 12:00:00"
+    letters.expire(end)
+    refuse = F.when(F.col("table_name") == "orders", "orders wait")
+    letters.replay(lambda df: df.withColumn("reason", refuse), writers.table_sink(f"{path}-passed"), end)
+    passed = spark.read.schema("seq bigint").parquet(f"{path}-passed").withColumn("outcome", F.lit("passed"))
+    return passed.unionByName(letters.read(end).select("seq", F.lit("kept").alias("outcome")))
+
+
 @query("replay_recent", f"""
 SELECT seq, {TEXT_SQL} AS line FROM (SELECT * FROM changes ORDER BY seq DESC LIMIT 512)
 WHERE us >= epoch_us(TIMESTAMP '2024-01-30 23:00:00') - 43200000000""")
@@ -1231,10 +1328,53 @@ def same_sql(name: str) -> dict:
     return {"sql": ORACLES[name].removeprefix(start), "recursive": recursive}
 
 
+RUNS = 4
+
+
+def arriving(
+    spark: SparkSession, sf: str, name: str, logs: dict[str, DataFrame], go: Callable[[dict[str, str]], None], places: int = 1
+) -> None:
+    """Append ``RUNS`` parts of each log, by ``seq``, to folders; after each, ``go`` runs over what is there.
+
+    ``go`` continues from its checkpoint, so every part is a micro-batch of its own. ``places``: numbers of ``seq`` for an event.
+    """
+    path = scratch(spark, f"{name}-log")
+    paths = {n: f"{path}/{n}" for n in logs}
+    low, high = events(spark, sf).agg(F.min("event_id"), F.max("event_id")).first()
+    for run in range(RUNS):
+        for n, log in logs.items():
+            edge = lambda k: places * (low + (high + 1 - low) * k // RUNS)
+            inside = (F.col("seq") >= edge(run) if run else F.lit(True)) & (F.col("seq") < edge(run + 1) if run < RUNS - 1 else F.lit(True))
+            log.filter(inside).write.mode("append").parquet(paths[n])
+        go(paths)
+
+
+def carried_rows(spark: SparkSession, sf: str, name: str, step: carried.Step, log: DataFrame | None = None, places: int = 1) -> DataFrame:
+    """The rows that a step with carried tables gives over the change log (or ``log``), in ``RUNS`` micro-batches."""
+    log, path = changes(spark, sf) if log is None else log, scratch(spark, name)
+
+    def go(paths: dict[str, str]) -> None:
+        live = changelog.stream_changes(spark, paths["log"], schema=log.schema)
+        carried.drain(live, step, path, f"{path}/progress")
+
+    arriving(spark, sf, name, {"log": log}, go, places)
+    return spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/batch=*")
+
+
 @query("stream_decode", **same_sql("decode_changes"))
 def stream_decode(spark, sf):
-    relations = derive.relation_log(events(spark, sf))
-    out = drained(spark, changelog.decode_stream(derive.raw_log(live_events(spark, sf)), relations), "decode")
+    """Relation versions arrive between the runs, in a log of their own; rows wait until it has passed them."""
+    e, path = events(spark, sf), scratch(spark, "decode")
+    logs = {"raw": derive.raw_log(e), "relations": derive.relation_log(e)}
+    step = carried.decode(logs["raw"].schema, logs["relations"].schema)
+
+    def go(paths: dict[str, str]) -> None:
+        raw, relations = (changelog.stream_changes(spark, paths[n], schema=logs[n].schema) for n in ("raw", "relations"))
+        carried.drain(carried.with_relations(raw, relations), step, path, f"{path}/progress")
+
+    arriving(spark, sf, "decode", logs, go, 2)
+    out = spark.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/batch=*").drop("batch")
+    out = out.unionByName(carried.decode_rest(step, spark, path))
     good = F.col("decode_error").isNull()
     return out.select(
         "seq", "lsn", "action", F.when(good, F.col("table_name")).alias("table_name"),
@@ -1243,6 +1383,104 @@ def stream_decode(spark, sf):
     )
 
 
+@query("stream_gate", **same_sql("gate"))
+def stream_gate(spark, sf):
+    """The control table is joined to the stream by time buckets."""
+    out = stream_events(spark, sf).transform(filters.gate(derive.day_switch(events(spark, sf))))
+    return drained(spark, out.select("seq"), "gate").select("seq")
+
+
+@query("stream_coalesce", """
+SELECT min(seq) AS seq, table_name, arg_max(lsn, seq) AS lsn, arg_min(action, seq) AS action,
+  CASE WHEN count(*) FILTER (action <> 'DELETE') > 0 THEN
+    'event_type=' || arg_max(c_type, seq) FILTER (action <> 'DELETE') || ';props=' || arg_max(c_props, seq) FILTER (action <> 'DELETE') ||
+    ';user_id=' || c_user || ';value=' || arg_max(c_value, seq) FILTER (action <> 'DELETE')
+  ELSE 'user_id=' || c_user END AS cells
+FROM changes GROUP BY table_name, c_user""")
+def stream_coalesce(spark, sf):
+    """Each micro-batch is merged into a table with one row per key, which is read back."""
+    short = F.filter("columns", lambda c: c["name"] == "user_id")
+    log = changes(spark, sf).withColumn("columns", F.when(F.col("action") == "DELETE", short).otherwise(F.col("columns")))
+    path = scratch(spark, "merged")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields)
+    table = keyed.upserts(spark, path, schema, "user_id", 8)
+
+    def go(paths: dict[str, str]) -> None:
+        keyed.upsert_stream(changelog.stream_changes(spark, paths["log"]), table, f"{path}/progress").awaitTermination()
+
+    arriving(spark, sf, "merge", {"log": log}, go)
+    table.vacuum()
+    return table.read().select("seq", "table_name", "lsn", "action", cells())
+
+
+@query("stream_metrics", **same_sql("pipeline_metrics"))
+def stream_metrics(spark, sf):
+    """Counters observed while a stream runs, appended by a listener and summed."""
+    e, path = events(spark, sf), scratch(spark, "metrics")
+    logs, relations = {"raw": derive.raw_log(e)}, derive.relation_log(e)
+    bad = F.col("decode_error").isNotNull()
+    counters = counting.pipeline_metrics(~bad & F.col("action").isin("INSERT", "UPDATE"), decode_error=bad)
+    with metrics.MetricsLog(spark, f"{path}/metrics", "flow") as log:
+
+        def go(paths: dict[str, str]) -> None:
+            rows = changelog.decode_stream(changelog.stream_changes(spark, paths["raw"], schema=logs["raw"].schema), relations)
+            seen = metrics.counted(rows, "flow", counters).select("seq")
+            runner.start(seen, f"{path}/progress", runner.batch_table(f"{path}/rows")).awaitTermination()
+
+        arriving(spark, sf, "metrics", logs, go, 2)
+    return log.totals()
+
+
+@query("stream_ttl_lookup", **same_sql("ttl_lookup"))
+def stream_ttl_lookup(spark, sf):
+    """Cache operations arrive with the rows; what no later row can find is forgotten."""
+    path = scratch(spark, "cache")
+    asked = per_user(spark, sf).filter(~first_value("event_type").isin("signup", "error")).select("seq", "ts", "user")
+    logs = {"rows": asked, "ops": derive.cache_ops(events(spark, sf)).select("seq", "ts", "key", "op", "value")}
+    step = carried.ttl_lookup("user", 3 * DAY)
+
+    def go(paths: dict[str, str]) -> None:
+        rows, ops = (changelog.stream_changes(spark, paths[n], schema=logs[n].schema) for n in ("rows", "ops"))
+        carried.drain(carried.with_ops(rows, ops), step, path, f"{path}/progress")
+
+    arriving(spark, sf, "cache", logs, go)
+    return spark.read.parquet(f"{path}/rows/batch=*").select("seq", "cached")
+
+
+def updated(
+    spark: SparkSession, sf: str, name: str, build: Callable[[DataFrame], DataFrame], keys: list[str], log: DataFrame, places: int = 1
+) -> DataFrame:
+    """A stream in update mode over the arriving parts of a log, as the table that its rows overwrite by key."""
+    path = scratch(spark, name)
+
+    def go(paths: dict[str, str]) -> None:
+        rows = build(changelog.stream_changes(spark, paths["log"], schema=log.schema))
+        keyed.update_stream(rows, keyed.update_table(spark, path, rows, keys), f"{path}/progress").awaitTermination()
+
+    arriving(spark, sf, name, {"log": log}, go, places)
+    return keyed.update_table(spark, path, build(log), keys).read()
+
+
+@query("stream_summarize", **same_sql("summarize"))
+def stream_summarize(spark, sf):
+    return updated(spark, sf, "summary", counting.summarize(), ["table_name", "action", "level"], changes(spark, sf))
+
+
+@query("stream_relation_dictionary", **same_sql("relation_dictionary"))
+def stream_relation_dictionary(spark, sf):
+    """Deletions stay in the table, as an update has to overwrite what was there; the reader leaves them out."""
+    log = derive.relation_log(events(spark, sf))
+    latest = updated(spark, sf, "dictionary", changelog.latest_relations, ["relation_id"], log, 2)
+    return dictionary_rows(changelog.known_relations(latest))
+
+
+@query("stream_watermark_status", **same_sql("watermark_status"))
+def stream_watermark_status(spark, sf):
+    stage = progress.watermark_status("2024-01-31 00:00:00", 7200, ["table_name"])
+    out = updated(spark, sf, "watermark", stage, ["table_name"], changes(spark, sf))
+    return out.select("table_name", "lsn", us("updated_at").alias("updated_us"), "stale")
+
+
 @query("stream_dedup_ttl", **same_sql("dedup_ttl"))
 def stream_dedup_ttl(spark, sf):
     out = stream_per_user(spark, sf).transform(processors.dedup_ttl(["user"], DAY, late="1 hour"))
@@ -1263,20 +1501,17 @@ def stream_sample_max_per_second(spark, sf):
 
 @query("stream_align", **same_sql("align"))
 def stream_align(spark, sf):
-    out = stream_events(spark, sf).transform(processors.align())
-    return drained(spark, out.select("seq", "lsn"), "align").select("seq", "lsn")
+    return carried_rows(spark, sf, "align", carried.align()).select("seq", "lsn")
 
 
 @query("stream_cap", **same_sql("cap"))
 def stream_cap(spark, sf):
-    out = stream_events(spark, sf).transform(processors.cap(700, "orders", "UPDATE"))
-    return drained(spark, out.select("seq", "table_name", "action"), "cap").select("seq", "table_name", "action")
+    return carried_rows(spark, sf, "cap", carried.cap(700, "orders", "UPDATE")).select("seq", "table_name", "action")
 
 
 @query("stream_sequence", **same_sql("sequence"))
 def stream_sequence(spark, sf):
-    out = stream_events(spark, sf).transform(processors.sequence(1000, "orders"))
-    return drained(spark, out.select("seq", meta("seq", "stamp")), "sequence").select("seq", "stamp")
+    return carried_rows(spark, sf, "sequence", carried.sequence(1000, "orders")).select("seq", meta("seq", "stamp"))
 
 
 def drained_to_the_end(spark: SparkSession, sf: str, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -1309,11 +1544,8 @@ def stream_debounce(spark, sf):
 
 @query("stream_schema_version", **same_sql("schema_version"))
 def stream_schema_version(spark, sf):
-    path = scratch(spark, "relations")
-    derive.relation_log(events(spark, sf)).write.parquet(path)
-    log = changelog.stream_changes(spark, path, schema=RELATIONS)
-    out = log.transform(processors.schema_version()).select("seq", "relation_id", "version", "changed")
-    return drained(spark, out, "versions").select("seq", "relation_id", "version", "changed")
+    out = carried_rows(spark, sf, "versions", carried.schema_version(), derive.relation_log(events(spark, sf)), 2)
+    return out.select("seq", "relation_id", "version", "changed")
 
 
 @query("stream_distinct_key", **same_sql("distinct_key"))
@@ -1326,8 +1558,7 @@ def stream_distinct_key(spark, sf):
 SELECT seq, CAST(row_number() OVER (ORDER BY seq) AS VARCHAR) AS n FROM changes""")
 def stream_sequence_all(spark, sf):
     """The defaults number all rows, as in batch."""
-    out = stream_events(spark, sf).transform(processors.sequence())
-    return drained(spark, out.select("seq", meta("seq", "n")), "numbers").select("seq", "n")
+    return carried_rows(spark, sf, "numbers", carried.sequence()).select("seq", meta("seq", "n"))
 
 
 @query("stream_census", **same_sql("census"))

@@ -36,6 +36,21 @@ def table_sink(path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()
     return lambda df: df.write.mode(mode).format(fmt).partitionBy(*partition_by).options(**options).save(path)
 
 
+def bucket_sink(table: str, keys: Sequence[str], buckets: int, path: str | None = None, mode: str = "overwrite") -> Writer:
+    """A catalog table in hash buckets of ``keys``, sorted by them: joins and counts by these keys then need no exchange.
+
+    Rows are dealt by the same hash first, so that a bucket is one file.
+    """
+    if buckets <= 0 or not keys:
+        raise ValueError("bucket_sink: keys and a number of buckets are needed")
+
+    def write(df: DataFrame) -> None:
+        out = df.repartition(buckets, *keys).write.mode(mode).format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+        (out.option("path", path) if path else out).saveAsTable(table)
+
+    return write
+
+
 def fanout(writers: dict[str, Writer], reuse: bool = False) -> Writer:
     """Every row to every writer. All are tried; the errors are raised together at the end.
 
