@@ -1,10 +1,12 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import metas, seqs, values
 from tidemark.functions.cells import first_value
+from tidemark.functions.text import general_number, general_text
 from tidemark.operators import values as v
 
 
@@ -151,3 +153,12 @@ def test_pivot_columns(make):
     row = rows.transform(v.pivot_columns({"n": "int", "x": "double"})).first()
     assert (row.n, row.x) == (5, None)
     assert rows.select(first_value("n").alias("n")).first().n == "5" and metas(rows, "k") == [None]
+
+
+def test_text_of_known_numbers(spark):
+    rng = random.Random(4)
+    numbers = [0.0, -0.0, 1.0, 999999.0, 1e6, 123456.75, 0.0001, 0.00009999, 1e21, 1e-300, float("inf"), float("-inf"), float("nan")]
+    numbers += [rng.uniform(-1, 1) * 10 ** rng.randrange(-12, 15) for _ in range(300)] + [float(rng.randrange(10**7)) for _ in range(100)]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(numbers)], "i int, n double")
+    got = {r.i: r.t for r in rows.select("i", general_number(F.col("n")).alias("t")).collect()}
+    assert got == {i: general_text(n) for i, n in enumerate(numbers)}

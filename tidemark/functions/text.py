@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +69,25 @@ def general_number(value: Column) -> Column:
 def json_number(value: Column) -> Column:
     """The JSON form: an exponent from 1e21 on and below 1e-6, with no zero in front of one digit."""
     return _fast(value, 1e-3, 1e7, F.regexp_replace(_number(value, -6, 21), "e-0", "e-"))
+
+
+def general_text(number: float) -> str:
+    """What :func:`general_number` gives for a number that is known when the plan is made."""
+    number = float(number)
+    if math.isnan(number):
+        return "NaN"
+    if math.isinf(number):
+        return "+Inf" if number > 0 else "-Inf"
+    sign = "-" if math.copysign(1, number) < 0 else ""
+    _, digits, exponent = Decimal(repr(abs(number))).normalize().as_tuple()
+    text = "".join(map(str, digits))
+    power = len(text) + exponent - 1
+    if number == 0:
+        return f"{sign}0"
+    if not -4 <= power < 6:
+        tail = f".{text[1:]}" if len(text) > 1 else ""
+        return f"{sign}{text[0]}{tail}e{'-' if power < 0 else '+'}{abs(power):02d}"
+    if power < 0:
+        return f"{sign}0.{'0' * (-power - 1)}{text}"
+    whole, rest = text[:power + 1].ljust(power + 1, "0"), text[power + 1:]
+    return f"{sign}{whole}.{rest}" if rest else f"{sign}{whole}"

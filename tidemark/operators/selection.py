@@ -149,7 +149,7 @@ def debounce(keys: Sequence[str], window=0.2, max_delay=2, **kw) -> Stage:
         )
         earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         open_ = (
-            rows.filter("_b IS NOT NULL").groupBy("_k", "_b").agg(F.max("start").alias("_open"))
+            parts.filter("_b IS NOT NULL").groupBy("_k", "_b").agg(F.max("start").alias("_open"))
             .select(F.col("_k").alias("_ok"), F.col("_b").alias("_ob"), F.last("_open", ignorenulls=True).over(earlier).alias("_open"))
         )
         ends = (

@@ -13,7 +13,7 @@ from tidemark.functions.cells import (
     byte_size, cols, first_match, first_value, last_by_name, last_value_ci, named, scope, shown,
 )
 from tidemark.functions.hashing import fnv1a_32
-from tidemark.functions.text import general_number
+from tidemark.functions.text import general_text
 from tidemark.operators.filters import Stage
 from tidemark.plans.blocks import count_if, running
 
@@ -128,8 +128,8 @@ def score(rules: Sequence[ScoreRule], default: float = 0.0, field: str = "score"
     """Score of the first matching rule, as text in meta."""
     if not field:
         raise ValueError("score: a field is needed")
-    value = first_match([(scope(r.table, r.action), float(r.score)) for r in rules], float(default))
-    return _set_meta(meta.put(field, general_number(value)))
+    text = first_match([(scope(r.table, r.action), general_text(r.score)) for r in rules], general_text(default))
+    return _set_meta(meta.put(field, text))
 
 
 LOW, NORMAL, HIGH = 0, 1, 2

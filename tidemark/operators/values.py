@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tidemark.functions.cells import (
     TYPED, cols, first_value, is_text, last_by_name, map_values, named, scope, shown, with_value,
 )
-from tidemark.functions.text import general_number, trim_space
+from tidemark.functions.text import general_number, general_text, trim_space
 from tidemark.model import CELLS
 from tidemark.operators.filters import Stage
 
@@ -249,7 +249,7 @@ def clamp(*rules: ClampRule) -> Stage:
 
     def bounded(value: Column, type_: Column, rule: ClampRule) -> Column:
         number = value.try_cast("double")
-        text = lambda bound: F.when(type_ == "int", F.lit(str(int(bound)))).otherwise(general_number(F.lit(float(bound))))
+        text = lambda bound: F.when(type_ == "int", F.lit(str(int(bound)))).otherwise(F.lit(general_text(bound)))
         moved = F.when(number < float(rule.min), text(rule.min)).when(number > float(rule.max), text(rule.max))
         return F.when(scope(rule.table), F.coalesce(moved, value)).otherwise(value)
 

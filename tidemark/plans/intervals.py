@@ -38,9 +38,14 @@ def during(
     timed = entries.filter(F.col(entry_ts).isNotNull())
     pick = F.max_by(value, tie) if tie else F.last(value)
     points = timed.groupBy(F.unix_micros(entry_ts).alias("_at")).agg(pick.alias("_value"))
-    n, low, high = points.agg(F.count("*"), F.min("_at"), F.max("_at")).first()
-    n, low, high = n or 1, low or 0, high or 0  # without entries nothing is found
-    many = n > broadcast_entries
+    held = points.limit(broadcast_entries + 1).collect()  # worked out once, and no more than may be broadcast
+    many = len(held) > broadcast_entries
+    if many:
+        n, low, high = points.agg(F.count("*"), F.min("_at"), F.max("_at")).first()
+    else:
+        points = df.sparkSession.createDataFrame(held, points.schema)
+        times = [r["_at"] for r in held]
+        n, low, high = max(1, len(times)), min(times, default=0), max(times, default=0)
     width = max(1, -(-(high - low + 1) // n))
     bucket = lambda at: F.floor((at - F.lit(low)) / F.lit(width)).cast("bigint")
     points = _next(points, "_to", F.col("_at"), many)
