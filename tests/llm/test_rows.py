@@ -1,6 +1,7 @@
 """op7, op8 and op9: row by row, against brute force."""
 
 import collections
+import math
 import random
 import re
 
@@ -163,7 +164,7 @@ def test_text_without_common_words_fails(spark):
 
     rows = [(i, text(0.35)) for i in range(60)] + [(i, text(0.35, str.upper if i % 2 else str.title)) for i in range(60, 64)]
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows + [(i, text(0.0)) for i in range(64, 68)]], "doc_id long, text string, lang string")
-    refs = quality.references(docs.filter("doc_id < 60"))
+    refs = quality.references(quality.measure(docs.filter("doc_id < 60")))
     out = {r.doc_id: r for r in quality.judge(docs, refs=refs).collect()}
     assert all(out[i].kept for i in range(60)) and not any(out[i].kept or out[i].base_failed for i in range(64, 68))
     assert all(out[i].word_divergence < quality.WORD_CHANCE * 2 for i in range(60, 64))
@@ -173,7 +174,7 @@ def test_text_without_common_words_fails(spark):
 def test_common_words_are_counted_each(spark):
     rows = [("the of, The (and) x and", "en"), ("der und und", "de"), ("of of", "xx"), (None, "en")]
     docs = spark.createDataFrame(rows, "text string, lang string")
-    out = quality._measured(docs, "text", "lang").select("text", "lang", "_common").collect()
+    out = quality.measure(docs, keep=["text", "lang"]).select("text", "lang", "_common").collect()
     for r in out:
         w = [x.strip(quality.EDGES).lower() for x in words(r.text)]
         names = quality.COMMON.get(r.lang, [])
@@ -192,3 +193,57 @@ def test_license_versions_and_spellings(spark):
     }
     docs = spark.createDataFrame([(t,) for t in want], "text string")
     assert {r.text: r.labels for r in licenses.scan(docs).collect()} == want
+
+
+def test_kept_against_brute_force(spark):
+    """Divergences and verdicts of random texts, worked out word by word and character by character."""
+    rnd = random.Random(21)
+    common = quality.COMMON["en"]
+    names = ["".join(rnd.choice("aeioulnrst") for _ in range(rnd.randrange(3, 9))) for _ in range(300)]
+
+    def text():
+        n, share = rnd.choice([5, 30, 60, 120, 300]), rnd.choice([0.0, 0.05, 0.4, 0.4])
+        body = [rnd.choice(common) if rnd.random() < share else rnd.choice(names) for _ in range(n)]
+        if rnd.random() < 0.2:
+            body = [w.upper() + "###123" for w in body]
+        return " ".join(w + rnd.choice(["", "", ",", ".\n"]) for w in body)
+
+    rows = [(i, text(), rnd.choice(["en", "en", "de", None, "xx"]), "n", "b", "c") for i in range(120)] + [(200, None, "en", "n", "b", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words string, _body string, _lang string")
+    out = quality.judge(docs).collect()
+    assert [c for c in quality.judge(docs).columns][:5] == ["doc_id", "text", "lang", "_body", "_lang"]
+
+    def bins(t, lang):
+        t = t or ""
+        classes = [r"[A-Z]", r"[0-9]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>=@~^_+/\\{}\[\]]", r"[^\x00-\x7F]"]
+        some = [len(re.findall(p, t)) for p in classes]
+        w = words(t)
+        inside = sum(map(len, w))
+        found = [x.strip(quality.EDGES).lower() for x in w]
+        list_ = quality.COMMON.get(lang, [])
+        own = [found.count(x) for x in list_] + [0] * (16 - len(list_))
+        return [inside - sum(some), *some, len(t) - inside], [*own, len(w) - sum(own)]
+
+    sums = {}
+    for _, t, lang, *_ in rows:
+        for k, b in enumerate(bins(t, lang)):
+            kept = sums.setdefault(lang, [[0] * 7, [0] * 17])[k]
+            sums[lang][k] = [x + y for x, y in zip(kept, b)]
+
+    def js(counts, ref):
+        p, q = ([x / sum(v) if sum(v) else 0.0 for x in v] for v in (counts, ref))
+        if not sum(counts):
+            return 0.0
+        part = lambda a, m: a * math.log2(a / m) if a else 0.0
+        return sum(part(a, (a + b) / 2) / 2 + part(b, (a + b) / 2) / 2 for a, b in zip(p, q))
+
+    for r in out:
+        chars, common_ = bins(r.text, r.lang)
+        ref_chars, ref_words = sums[r.lang]
+        a, b = js(chars, ref_chars), js(common_, ref_words)
+        assert math.isclose(r.char_divergence, a, abs_tol=1e-9) and math.isclose(r.word_divergence, b, abs_tol=1e-9)
+        limit = max(0.05, 0.5 * js([0] * 16 + [1], ref_words))
+        n = r.n_words
+        far = (n >= 50 and a > 0.1) or (n >= 100 and b > limit)
+        assert r.kept == (not r.base_failed and not far), r.doc_id
+    assert {r.kept for r in out} == {True, False}

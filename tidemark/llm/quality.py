@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +38,14 @@ def split_words(text: Column) -> Column:
 
 
 def window_hashes(words: Column, width: int = WINDOW) -> Column:
-    """A hash for each window of ``width`` words."""
+    """A hash for each window of ``width`` words, from one hash a word."""
 
-    def body(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - width)
-        return F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
+    def body(h: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(h) - width)
+        return F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
 
-    return F.when(F.size(words) >= width, let(words, body)).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) >= width, let(hashes, body)).otherwise(F.array().cast("array<bigint>"))
 
 
 def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
@@ -80,12 +81,12 @@ def _histograms(text: Column, words: Column, lang: Column) -> tuple[Column, Colu
     table = F.create_map(*[F.lit(x) for k, v in COMMON.items() for x in (k, v)])
     # Positions of common words in their list, from 1; texts of other languages have none.
     list_ = F.coalesce(F.try_element_at(table, lang), F.array().cast("array<string>"))
-    found = let(list_, lambda names: F.filter(F.transform(words, lambda w: F.array_position(names, F.btrim(F.lower(w), F.lit(EDGES)))), lambda p: p > 0))
+    places = lambda names: F.transform(words, lambda w: F.array_position(names, F.btrim(F.lower(w), F.lit(EDGES))))
+    found = F.when(F.size(list_) > 0, F.array_remove(let(list_, places), 0)).otherwise(F.array().cast("array<bigint>"))
     size = max(map(len, COMMON.values()))
 
     def counts(p: Column) -> Column:
-        # One parameter: filter would give a second one the index.
-        each = [F.size(F.filter(p, lambda x: x == F.lit(k))).cast("double") for k in range(1, size + 1)]
+        each = [(F.size(p) - F.size(F.array_remove(p, k))).cast("double") for k in range(1, size + 1)]
         return F.array(*each, (F.size(words) - F.size(p)).cast("double"))
 
     return chars, let(found, counts)
@@ -94,19 +95,33 @@ def _histograms(text: Column, words: Column, lang: Column) -> tuple[Column, Colu
 CHAR_BINS, WORD_BINS = 7, 17
 
 
-def _measured(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """``docs`` with _words, _chars and _common."""
-    listed = docs.withColumn("_words", split_words(F.col(text)))
-    chars, common = _histograms(F.col(text), F.col("_words"), F.col(lang))
-    return listed.withColumns({"_chars": chars, "_common": common})
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang with its shares of character classes (chars) and common words (words), over all its texts.
+def measure(docs: DataFrame, text: str = "text", lang: str = "lang", keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (default: all) with ``COUNTS``, _lang, and the histograms _chars and _common."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in COUNTS]
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], body.alias("_body"), F.col(f"`{lang}`").alias("_lang"))
+    rows = rows.withColumn("_words", split_words(F.col("_body")))
+    chars, common = _histograms(F.col("_body"), F.col("_words"), F.col("_lang"))
+    rows = rows.withColumns({"_chars": chars, "_common": common, "_windows": window_hashes(F.col("_words"))})
+    lines = F.filter(F.split("_body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    in_words = sum((F.get("_chars", F.lit(k)) for k in range(1, CHAR_BINS - 1)), F.get("_chars", F.lit(0)))
+    return rows.select(
+        *[F.col(f"`{c}`") for c in kept], "_lang", "_chars", "_common", F.size("_words").cast("long").alias("n_words"),
+        in_words.cast("long").alias("word_chars"), F.regexp_count("_body", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("_windows")).alias("n_repeat_words"),
+    )
+
+
+def references(measured: DataFrame) -> DataFrame:
+    """_lang with its shares of character classes (_ref_chars) and common words (_ref_words), over all texts of :func:`measure`.
 
     A row for each language (null is one), summed before the shuffle.
     """
-    sums = _measured(docs.select(text, lang), text, lang).groupBy(F.col(lang).alias("_lang")).agg(
+    sums = measured.groupBy("_lang").agg(
         *[F.sum(F.get("_chars", F.lit(k))).alias(f"c{k}") for k in range(CHAR_BINS)],
         *[F.sum(F.get("_common", F.lit(k))).alias(f"w{k}") for k in range(WORD_BINS)],
     )
@@ -133,42 +148,42 @@ def divergence(counts: Column, reference: Column) -> Column:
     return F.when(total > 0, let(total, body)).otherwise(0.0)
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", refs: DataFrame | None = None) -> DataFrame:
-    """``docs`` with the counts, char_divergence, word_divergence, base_failed and kept.
+def judge(
+    docs: DataFrame, text: str = "text", lang: str = "lang", refs: DataFrame | None = None, keep: Sequence[str] | None = None
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (default: all) with ``COUNTS``, char_divergence, word_divergence, base_failed and kept.
 
     Base rules: at least ``LEAST_WORDS`` words, and at most ``MOST_REPEATED`` percent of them in windows of
     ``WINDOW`` words that the text holds twice. Then a text must stay near its language's reference:
     Jensen-Shannon divergence of character classes up to ``CHAR_LIMIT`` and of common words up to ``WORD_SHARE`` of
     the divergence of a text without common words (at least ``WORD_CHANCE``), each only from a guard number of words on. ``refs`` (by default those of
-    ``docs``) has a row for each language, so that it is joined by size.
+    ``docs``) has a row for each language, so that it is joined by size. Texts are measured once: without ``refs`` the measures are
+    kept in a table, with the columns ``keep``.
 
     A null text counts as empty and fails. Null and unlisted languages have a reference for characters but
-    no common words. Columns of the new names are replaced; repeated rows are judged alike.
+    no common words. Columns of the new names are replaced, and names that start with an underscore and stand in this module are
+    its own; repeated rows are judged alike. Very long texts take time in proportion (n log n for repeated windows).
     """
-    refs = stored(references(docs, text, lang), "references") if refs is None else refs
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_divergence", "word_divergence",
-           "base_failed", "kept"]
-    keep = [c for c in docs.columns if c not in new]
-    rows = _measured(docs.select(*[F.col(f"`{c}`") for c in keep]), text, lang).withColumn("_windows", window_hashes(F.col("_words")))
+    new = ["char_divergence", "word_divergence", "base_failed", "kept"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*COUNTS, *new)]
+    own = {c: f"_kept{i}" for i, c in enumerate(keep)}  # a column of the table may have any name
+    named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in own.items()], F.col(f"`{text}`").alias("_t"), F.col(f"`{lang}`").alias("_l"))
+    rows = measure(named, "_t", "_l", list(own.values()))
+    if refs is None:
+        rows = stored(rows, "measured")
+        refs = stored(references(rows), "references")
     # Once for each language: how far a text of other words only is.
     without = F.array(*[F.lit(float(k == WORD_BINS - 1)) for k in range(WORD_BINS)])
     limit = F.greatest(F.lit(WORD_CHANCE), divergence(without, F.col("_ref_words")) * WORD_SHARE)
-    refs = refs.withColumn("_word_limit", limit)
-    rows = rows.join(refs, rows[lang].eqNullSafe(refs["_lang"]), "left")
-    held = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(held, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n_words = F.size("_words").cast("long")
-    measured = rows.select(
-        *[F.col(f"`{c}`") for c in keep], n_words.alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.regexp_count(held, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_windows")).alias("n_repeat_words"),
-        divergence(F.col("_chars"), F.col("_ref_chars")).alias("char_divergence"),
-        divergence(F.col("_common"), F.col("_ref_words")).alias("word_divergence"), F.col("_word_limit"),
-    )
+    refs = refs.select(F.col("_lang").alias("_ref_lang"), "_ref_chars", "_ref_words", limit.alias("_word_limit"))
+    rows = rows.join(refs, F.col("_lang").eqNullSafe(F.col("_ref_lang")), "left")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     far = (F.col("n_words") >= CHAR_GUARD) & (F.col("char_divergence") > CHAR_LIMIT)
     far = far | ((F.col("n_words") >= WORD_GUARD) & (F.col("word_divergence") > F.col("_word_limit")))
-    measured = measured.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
-    return measured.drop("_word_limit")
+    judged = rows.withColumns(
+        {
+            "char_divergence": divergence(F.col("_chars"), F.col("_ref_chars")),
+            "word_divergence": divergence(F.col("_common"), F.col("_ref_words")), "base_failed": failed,
+        }
+    ).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+    return judged.select(*[F.col(n).alias(c) for c, n in own.items()], *COUNTS, *new)

@@ -150,7 +150,7 @@ def op8_url_filter(spark, sf):
 
 @query("op9_quality")
 def op9_quality(spark, sf):
-    out = quality.judge(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    out = quality.judge(table(spark, sf, "documents"), keep=["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
