@@ -163,9 +163,19 @@ def unpack(blob: bytes, squeezed: bool = False) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted keys by their differences."""
-    return pack(np.diff(keys, prepend=np.uint64(0)))
+    """Sorted keys by their differences; the upper byte of these is squeezed, as small values are the most common."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    planes = np.ascontiguousarray(steps, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    top = coder.compress(planes[-1].tobytes()) + coder.flush()
+    return bytes([width]) + len(steps).to_bytes(4, "little") + planes[:-1].tobytes() + top
 
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack(blob), dtype=np.uint64)
+    width, n = blob[0], int.from_bytes(blob[1:5], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width - 1] = np.frombuffer(blob, np.uint8, (width - 1) * n, 5).reshape(width - 1, n).T
+        out[:, width - 1] = np.frombuffer(zlib.decompress(blob[5 + (width - 1) * n:], -15), np.uint8)
+    return np.cumsum(out.reshape(-1).view("<u8").astype(np.uint64, copy=False), dtype=np.uint64)

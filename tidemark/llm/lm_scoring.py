@@ -39,9 +39,7 @@ def score_documents(
     hash; n-grams are told apart by all 64 bits of it.
     """
     picked = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    corpus = dealt(picked, "_text", F.col("_id"), chunk_bytes)
-    # The empty n-gram has as many places as there are words: its count is N.
-    empty = np.uint64(2**64 - 1)
+    corpus = dealt(picked, "_text", chunk_bytes)
 
     def grams(table: pa.Table):
         words = find_words(table["_text"])
@@ -50,20 +48,21 @@ def score_documents(
             (at := starts_within(words, n), ngrams(hashes, n)[at]) for n in range(1, order + 1)
         ]
 
-    def keys(table: pa.Table) -> np.ndarray:
+    def keys(table: pa.Table) -> tuple[np.ndarray, int]:
         words, levels = grams(table)
-        return np.concatenate([*(k for _, k in levels), np.full(len(words.starts), empty)])
+        return np.concatenate([k for _, k in levels]), len(words.starts)
 
-    def finish(table: pa.Table, found: np.ndarray, totals: np.ndarray) -> pa.Table:
-        words, levels = grams(table)
+    def finish(table: pa.Table, ids: np.ndarray, totals: np.ndarray, all_words: int) -> pa.Table:
+        words = find_words(table["_text"])
         n, doc = len(words.starts), words.texts()
         lens = words.counts()
-        all_words = int(totals[-1]) if n else 0  # the empty n-gram sorts last
         others = np.maximum(all_words - lens, 0)[doc].astype(float)
         counts: list[np.ndarray] = []  # by order, at the n-gram's first word; 0 where none starts
-        for at, k in levels:
-            where = np.searchsorted(found, k)
-            pair = doc[at].astype(np.uint64) * np.uint64(len(found)) + where.astype(np.uint64)
+        first = 0
+        for size in range(1, order + 1):
+            at = starts_within(words, size)
+            where, first = ids[first:first + len(at)], first + len(at)
+            pair = doc[at].astype(np.uint64) * np.uint64(len(totals)) + where.astype(np.uint64)
             _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
             c = np.zeros(n)
             c[at] = totals[where].astype(float) - own[back]

@@ -34,18 +34,16 @@ def remove_repeats(
     with probability 2**-64 a pair.
     """
     picked = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-    corpus = dealt(picked, "_text", F.col("_id"), chunk_bytes)
+    corpus = dealt(picked, "_text", chunk_bytes)
     kind = docs.schema[key].dataType.simpleString()
 
-    def windows(table: pa.Table):
+    def hashes(table: pa.Table) -> np.ndarray:
         words = find_words(table["_text"])
-        at = starts_within(words, window)
-        hashes = rolling(word_hashes(words), window)
-        return words, at, hashes[at]
+        return rolling(word_hashes(words), window)[starts_within(words, window)]
 
-    def finish(table: pa.Table, found: np.ndarray, totals: np.ndarray) -> pa.Table:
-        words, at, hashes = windows(table)
-        again = at[totals[np.searchsorted(found, hashes)] > 1]
+    def finish(table: pa.Table, ids: np.ndarray, totals: np.ndarray, mass: int) -> pa.Table:
+        words = find_words(table["_text"])
+        again = starts_within(words, window)[totals[ids] > 1]
         n = len(words.starts)
         depth = np.zeros(n + 1, np.int64)
         np.add.at(depth, again, 1)
@@ -70,4 +68,4 @@ def remove_repeats(
         )
 
     schema = f"`{key}` {kind}, n_words long, n_removed long, intervals array<struct<start: long, end: long>>, kept string"
-    return with_totals(corpus, lambda t: windows(t)[2], finish, schema, most=2)
+    return with_totals(corpus, lambda t: (hashes(t), 0), finish, schema, most=2)
