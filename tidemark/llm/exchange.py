@@ -74,8 +74,8 @@ def dealt(docs: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> Corpus:
     return Corpus(docs.mapInArrow(pack_up, "_chunk long, _blob binary").repartition(count, "_chunk"), count, size)
 
 
-_BLOCKS = "_bucket long, _chunk long, keys binary, counts binary, mass long"
-_ANSWERS = "_chunk long, _bucket long, totals binary, mass long"
+_BLOCKS = "_bucket int, _chunk long, keys binary, counts binary, mass long"
+_ANSWERS = "_chunk long, _bucket int, totals binary, mass long"
 
 
 def with_totals(
@@ -105,7 +105,7 @@ def with_totals(
         ]
         return pa.table(
             {
-                "_bucket": pa.array([b for b, _, _ in blocks], pa.int64()),
+                "_bucket": pa.array([b for b, _, _ in blocks], pa.int32()),
                 "_chunk": pa.array([chunk["_chunk"][0].as_py()] * len(blocks), pa.int64()),
                 "keys": pa.array([k for _, k, _ in blocks], pa.binary()),
                 "counts": pa.array([c for _, _, c in blocks], pa.binary()),
@@ -143,7 +143,7 @@ def with_totals(
 
     answers = (
         corpus.chunks.groupBy("_chunk").applyInArrow(send, _BLOCKS)
-        .repartitionById(buckets, F.col("_bucket").cast("int")).groupBy("_bucket").applyInArrow(add, _ANSWERS)
+        .repartitionById(buckets, F.col("_bucket")).groupBy("_bucket").applyInArrow(add, _ANSWERS)
     )
     answers = answers.repartition(corpus.count, "_chunk")
     return corpus.chunks.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(meet, schema)
