@@ -151,7 +151,7 @@ def pack(values: np.ndarray, squeeze: bool = False) -> bytes:
     values = np.ascontiguousarray(values, "<u8")
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
     planes = values.view(np.uint8).reshape(-1, 8)[:, :width].T  # bytes of one weight together: most are zero
-    return bytes([width]) + (zlib.compress(planes.tobytes(), 1) if squeeze else planes.tobytes())
+    return bytes([width]) + (zlib.compress(planes.tobytes(), 6) if squeeze else planes.tobytes())
 
 
 def unpack(blob: bytes, squeezed: bool = False) -> np.ndarray:
