@@ -211,8 +211,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 
 LEADERS = 8  # of a bucket in the second round
-TILE = 2048  # nodes of a bucket that one task compares with as many others
-BINS = 256  # of a text's word counts
+TILE = 512  # nodes of a bucket that one task compares with as many others
+TILE_WORDS = 1 << 20
+BINS = 256  # of a text's counts of words, and of pairs of words
 
 
 def _leaders(open_: DataFrame, slots: int) -> DataFrame:
@@ -222,77 +223,124 @@ def _leaders(open_: DataFrame, slots: int) -> DataFrame:
     return each.groupBy("_band", "_key").agg(F.collect_list("_lead").alias("_leads"))
 
 
-def _word_counts(texts: DataFrame) -> DataFrame:
-    """_node and how many of its words fall into each of ``BINS`` hash bins."""
+def _hashed(texts: DataFrame) -> DataFrame:
+    """_node and the hashes of its words, as bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "_text")):
             words = find_words(batch.column("_text"))
-            where = words.texts() * BINS + (word_hashes(words) % np.uint64(BINS)).astype(np.int64)
-            counts = np.bincount(where, minlength=batch.num_rows * BINS).astype(np.int32)
-            vectors = [v.tobytes() for v in counts.reshape(-1, BINS)]
-            yield pa.RecordBatch.from_arrays([batch.column("_node"), pa.array(vectors, pa.binary())], ["_node", "_counts"])
+            hashes = word_hashes(words)
+            each = [hashes[i:j].tobytes() for i, j in zip(words.bounds[:-1], words.bounds[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("_node"), pa.array(each, pa.binary())], ["_node", "_words"])
 
-    return texts.select("_node", "_text").mapInArrow(run, "_node binary, _counts binary")
+    return texts.select("_node", "_text").mapInArrow(run, "_node binary, _words binary")
 
 
-def _left_over(state: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's nodes, of two classes, that their word counts don't tell apart.
+def _counted(hashes: np.ndarray) -> np.ndarray:
+    return np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS).astype(np.int32)
 
-    An edit changes two counts by one at most, so half the difference of the counts is a lower
-    bound of the distance. Buckets are cut into tiles of about ``TILE`` nodes, and a task compares two tiles.
+
+def _meeting(bands: list[list[int]], keys: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket key of each node by band, and whether it has one."""
+    width = 1 + max(max(b) for b in bands)
+    table, there = np.zeros((len(bands), width), np.int64), np.zeros((len(bands), width), bool)
+    for i, (b, k) in enumerate(zip(bands, keys)):
+        table[i, b], there[i, b] = k, True
+    return table, there
+
+
+def _left_over(state: DataFrame, members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, d) between nodes of two classes of a bucket, enough of them to join all classes that have any.
+
+    Buckets are cut into tiles of about ``TILE`` nodes, and a task compares two tiles. A pair that shares several buckets is compared
+    in one of them, which a hash of the pair names; where that bucket is worked off, the pair is. Counts of words and of pairs of
+    words refuse most pairs: an edit changes two counts of the ones and four of the others, by one each. The rest is aligned in the task,
+    unless links found there have joined the classes already, so that a task gives no more links than it has nodes.
     """
     nodes = state.select("_node").distinct()
-    counted = state.join(_word_counts(texts.join(nodes, "_node", "left_semi")), "_node")
-    sizes = state.groupBy("_band", "_key").agg(F.count("*").alias("_n"))
-    counted = counted.join(sizes, ["_band", "_key"]).withColumn("_tiles", F.ceil(F.col("_n") / TILE).cast("long"))
-    counted = counted.withColumn("_tile", F.pmod(F.xxhash64("_node"), F.col("_tiles")))
-    others = F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)
-    placed = counted.withColumn("_other", F.explode(others)).select(
-        "_band", "_key", F.least("_tile", "_other").alias("_low"), F.greatest("_tile", "_other").alias("_high"),
-        "_tile", "_node", "_class", "_counts",
+    places = members.join(nodes, "_node", "left_semi").groupBy("_node").agg(
+        F.collect_list("_band").alias("_bands"), F.collect_list("_key").alias("_keys")
     )
+    held = stored(_hashed(texts.join(nodes, "_node", "left_semi")).join(places, "_node"), "words")
+    sizes = state.groupBy("_band", "_key").agg(F.count("*").alias("_n"), F.sum("n_words").alias("_size"))
+    tiles = F.greatest(F.ceil(F.col("_n") / TILE), F.ceil(F.col("_size") / TILE_WORDS)).cast("long")
+    tiled = state.join(sizes, ["_band", "_key"]).withColumn("_tiles", tiles)
+    tiled = tiled.withColumn("_tile", F.pmod(F.xxhash64("_node"), F.col("_tiles")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)
+    placed = tiled.withColumn("_other", F.explode(others)).select(
+        "_band", "_key", F.least("_tile", "_other").alias("_low"), F.greatest("_tile", "_other").alias("_high"), "_tile", "_node", "_class"
+    ).join(held, "_node")
 
     def compare(table: pa.Table) -> pa.Table:
-        low, high = table["_low"][0].as_py(), table["_high"][0].as_py()
-        nodes_, tile = table["_node"].to_pylist(), table["_tile"].to_numpy()
+        low, high, band = table["_low"][0].as_py(), table["_high"][0].as_py(), table["_band"][0].as_py()
+        names, tile = table["_node"].to_pylist(), table["_tile"].to_numpy()
         number: dict[bytes, int] = {}
         class_ = np.array([number.setdefault(c, len(number)) for c in table["_class"].to_pylist()])
-        vectors = np.frombuffer(b"".join(table["_counts"].to_pylist()), np.int32).reshape(-1, BINS)
-        length = vectors.sum(1)
+        words = [np.frombuffer(w, np.uint64) for w in table["_words"].to_pylist()]
+        length = np.array([len(w) for w in words])
+        ones, twos = np.stack([_counted(w) for w in words]), np.stack([_counted(ngrams(w, 2)) for w in words])
+        keys, there = _meeting(table["_bands"].to_pylist(), table["_keys"].to_pylist())
+        mark = np.array([int.from_bytes(n[:8], "little") for n in names], np.uint64)
+        turn = mix(np.arange(keys.shape[1], dtype=np.uint64) + np.uint64(1))
         left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
-        a, b = [], []
+        out = []
         for k, i in enumerate(left):
             rest = left[k + 1:] if low == high else right
             rest = rest[class_[rest] != class_[i]]
-            least = (np.abs(vectors[rest] - vectors[i]).sum(1) + 1) // 2
             most = ((1 - threshold) * np.maximum(length[rest], length[i]) + 1e-9).astype(np.int64)
-            for r in rest[np.maximum(least, np.abs(length[rest] - length[i])) <= most]:
-                x, y = sorted((nodes_[i], nodes_[r]))
-                a.append(x)
-                b.append(y)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return placed.groupBy("_band", "_key", "_low", "_high").applyInArrow(compare, "a binary, b binary").distinct()
-
-
-def _classed(nodes: DataFrame, known: DataFrame) -> DataFrame:
-    """``nodes`` with _class, by the links in ``known``."""
-    return nodes.join(components(known.filter("similar")), "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
-
-
-def links(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified links (a, b, d) among the nodes of each bucket (_band, _key, _node, n_words).
+            least = np.maximum((np.abs(ones[rest] - ones[i]).sum(1) + 1) // 2, (np.abs(twos[rest] - twos[i]).sum(1) + 3) // 4)
+            near = np.maximum(least, np.abs(length[rest] - length[i])) <= most
+            rest, most, least = rest[near], most[near], least[near]
+            shared = (keys[rest] == keys[i]) & there[rest] & there[i]
+            rank = mix((mark[rest] ^ mark[i])[:, None] ^ turn) | np.uint64(1)
+            here = np.argmax(np.where(shared, rank, np.uint64(0)), axis=1) == band if len(rest) else np.zeros(0, bool)
+            rest, most, least = rest[here], most[here], least[here]
+            for r, m in sorted(zip(rest.tolist(), most.tolist()), key=lambda x: x[0]):
+                if class_[r] == class_[i]:
+                    continue
+                d = distance(words[i], words[r], m)
+                if d <= m:
+                    out.append((*sorted((names[i], names[r])), d))
+                    class_[class_ == class_[r]] = class_[i]
+        a, b, d = zip(*out) if out else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "d": pa.array(d, pa.int64())})
+
+    return placed.groupBy("_band", "_key", "_low", "_high").applyInArrow(compare, "a binary, b binary, d long").distinct()
+
+
+def _one_step(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """``nodes`` with _class, the smallest node among its links and itself: nodes of one class are connected, though not all that are."""
+    near = known.filter("similar")
+    near = near.select("a", "b").union(near.select("b", "a")).groupBy(F.col("a").alias("_node")).agg(F.min("b").alias("_near"))
+    return nodes.join(near, "_node", "left").withColumn("_class", F.coalesce(F.least("_node", "_near"), "_node")).drop("_near")
+
+
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (_node, _class) after more links: the classes that they join are components of a graph of classes."""
+    named = lambda end: labels.select(F.col("_node").alias(end), F.col("_class").alias(f"_{end}"))
+    both = edges.select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left")
+    both = stored(both.select("a", "b", F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b")), "joined")
+    if both.isEmpty():
+        return labels
+    upper = components(both.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).select(F.col("_node").alias("_class"), F.col("_class").alias("_upper"))
+    new = both.select(F.col("a").alias("_node")).union(both.select(F.col("b").alias("_node"))).distinct()
+    every = labels.union(new.join(labels, "_node", "left_anti").select("_node", F.col("_node").alias("_class")))
+    return every.join(upper, "_class", "left").select("_node", F.coalesce("_upper", "_class").alias("_class"))
+
+
+def linked(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b, d) among the nodes of each bucket (_band, _key, _node, n_words), and _class of the nodes that have any.
 
     In a first round one node of each bucket leads, and every other is aligned with it; the leader leaves, and so do
     the nodes linked to it, unless the triangle inequality leaves room for a link to a node that is
     still open. So a bucket of near copies, however large, costs one alignment a node. In a second round up to ``LEADERS`` open
-    nodes lead, and are aligned with all nodes that are not in their class yet. Of what is left, all pairs of two classes that word
+    nodes lead, and are aligned with all nodes that are not in their class yet. Of what is left, pairs of two classes that
     counts don't tell apart are aligned, also where both were linked to a leader. So each pair of a bucket is aligned, or in one
-    class, or can't be similar; no bucket is cut off. Classes are those of all links found before, in any bucket.
+    class, or can't be similar; no bucket is cut off. Classes are those of links found before, in any bucket.
     """
     state = members.withColumns({"_open": F.lit(True), "_class": F.col("_node")})
     known = members.sparkSession.createDataFrame([], "a binary, b binary, d long, similar boolean")
+    labels = None
     for turn, slots in enumerate((1, LEADERS)):
         leads = _leaders(state.filter("_open"), slots)
         asked = state.join(leads, ["_band", "_key"]).withColumn("_led", F.explode("_leads")).withColumn("_lead", F.col("_led._node"))
@@ -322,16 +370,28 @@ def links(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
             rest = rest.join(room, ["_band", "_key"])
             may = (F.col("_near") + limit >= F.col("_least")) | (F.col("_near") >= F.col("_slack"))
             rest = rest.filter(F.col("_open") | (F.col("_unmet") > 0) | may)
-        new = _classed(rest.select("_band", "_key", "_node", "n_words", "_open"), known)
+        rest = rest.select("_band", "_key", "_node", "n_words", "_open")
+        if turn == 0:
+            new = _one_step(rest, known)
+        else:
+            labels = components(known.filter("similar"))
+            new = rest.join(labels, "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
         crowd = new.groupBy("_band", "_key").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high"))
         new = stored(new.join(crowd.filter("_low != _high").drop("_low", "_high"), ["_band", "_key"]), "state")
         discard(asked)
         if turn:
             discard(state)
         state = new
-    wanted = _left_over(state, texts, threshold).join(known, ["a", "b"], "left_anti")
-    known = known.unionByName(_verified(wanted, texts, threshold))
-    return known.filter("similar").select("a", "b", "d")
+    found = known.filter("similar").select("a", "b", "d")
+    if state.isEmpty():
+        return found, labels
+    more = stored(_left_over(state, members, texts, threshold), "left")
+    return found.unionByName(more).distinct(), _joined(labels, more)
+
+
+def links(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The links of :func:`linked`."""
+    return linked(members, texts, threshold)[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -370,8 +430,7 @@ def _classes(docs: DataFrame, text: str, key: str, threshold: float) -> tuple[Da
     named = docs.select(F.col(key).alias("_id"), node_of(text).alias("_own"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     texts = named.join(some, (named["_own"] == some["_node"]) & named["_id"].eqNullSafe(some["_first"])).select("_node", "_text")
     texts = stored(texts.dropDuplicates(["_node"]), "texts")
-    edges = stored(links(members, texts, threshold), "links")
-    classes = components(edges)
+    edges, classes = linked(members, texts, threshold)
     degree = edges.select("a").union(edges.select("b")).groupBy(F.col("a").alias("_node")).agg(F.count("*").alias("n_links"))
     placed = nodes.select("_node", "_first", "n_copies").join(classes, "_node", "left").join(degree, "_node", "left")
     placed = placed.withColumn("_class", F.coalesce("_class", "_node"))
@@ -389,8 +448,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 
     Texts whose word sequences have an edit similarity (1 - edits / words of the longer) of
     ``threshold`` or more are linked where an Order MinHash sketch brings them together; classes are
-    connected components. Equal texts are one node of that graph. n_links: other texts linked to the row's text by
-    an alignment; n_copies: rows with the row's text.
+    connected components. Equal texts are one node of that graph. n_links: other texts that an alignment linked to the
+    row's text, enough to hold the class together; n_copies: rows with the row's text.
 
     A null text counts as empty, and empty texts are copies of one another. Texts of fewer than four
     words have no sketch and are grouped with equal texts only. Rows that repeat a key are rows of their own; a
