@@ -301,11 +301,10 @@ def test_null_and_repeated_keys(spark):
     assert near_dup.one_of_each(table(spark, rows)).count() == 3
 
 
-@pytest.mark.parametrize("leaders", [1, 5])
-def test_chains_and_rounds_lose_no_link(spark, monkeypatch, leaders):
+@pytest.mark.parametrize("tile", [4, 2048])
+def test_chains_and_rounds_lose_no_link(spark, monkeypatch, tile):
     """One bucket of a chain, far texts and copies: its texts get the classes that all pairs give, whatever leads."""
-    monkeypatch.setattr(near_dup, "LEADERS", leaders)
-    monkeypatch.setattr(near_dup, "TILE", 4)
+    monkeypatch.setattr(near_dup, "TILE", tile)
     rnd = random.Random(9)
     base = [f"c{i}" for i in range(50)]
     chain = [base]
@@ -330,9 +329,8 @@ def test_chains_and_rounds_lose_no_link(spark, monkeypatch, leaders):
     assert classes == want
 
 
-def test_closed_nodes_of_two_leaders_are_linked(spark, monkeypatch):
+def test_closed_nodes_of_two_leaders_are_linked(spark):
     """Chains under permuted ids, a bucket each: the middle link joins two nodes that different leaders may have taken."""
-    monkeypatch.setattr(near_dup, "LEADERS", 1)
     rnd = random.Random(3)
     rows, want = [], {}
     for g in range(24):

@@ -131,12 +131,13 @@ def _by_columns(a: np.ndarray, b: np.ndarray) -> int:
 
 
 NARROW = 16  # edits up to which the band of diagonals is tried first
+SHORT = 400  # words up to which whole columns cost less than that
 
 
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edits (insert, delete, replace a word) that turn ``a`` into ``b`` if at most ``most``, else a lower bound above ``most``.
 
-    Equal ends are cut off, bags of words and of word pairs refuse most distant pairs, then a narrow band is
+    Equal ends are cut off, bags of words and of word pairs refuse most distant pairs, then a narrow band of long texts is
     aligned, and what needs more edits than it holds is aligned in full, so that bounds near ``most`` are exact.
     """
     floor = abs(len(a) - len(b))
@@ -155,7 +156,7 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     floor = _least_edits(a, b)
     if floor > most + most // 2:
         return floor
-    near = _banded(a, b, min(most, NARROW)) if floor <= most else None
+    near = _banded(a, b, min(most, NARROW)) if floor <= most and min(len(a), len(b)) > SHORT else None
     return near if near is not None else _by_columns(a, b)
 
 
@@ -210,19 +211,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return both.mapInArrow(run, "a binary, b binary, d long, similar boolean")
 
 
-LEADERS = 8  # of a bucket in the second round
-TILE = 512  # nodes of a bucket that one task compares with as many others
+TILE = 2048  # nodes of a bucket that one task compares with as many others
 TILE_WORDS = 1 << 20
 BINS = 256  # of a text's counts of words, and of pairs of words
 
 
-def _leaders(open_: DataFrame, slots: int) -> DataFrame:
-    """Up to ``slots`` nodes of each bucket, with their classes: the smallest of each hash slot of classes."""
-    slot = F.pmod(F.xxhash64("_class", "_band"), F.lit(slots)).alias("_slot")
-    each = open_.groupBy("_band", "_key", slot).agg(F.min(F.struct("_node", "_class")).alias("_lead"))
-    return each.groupBy("_band", "_key").agg(F.collect_list("_lead").alias("_leads"))
-
-
 def _hashed(texts: DataFrame) -> DataFrame:
     """_node and the hashes of its words, as bytes."""
 
@@ -281,20 +274,22 @@ def _left_over(state: DataFrame, members: DataFrame, texts: DataFrame, threshold
         ones, twos = np.stack([_counted(w) for w in words]), np.stack([_counted(ngrams(w, 2)) for w in words])
         keys, there = _meeting(table["_bands"].to_pylist(), table["_keys"].to_pylist())
         mark = np.array([int.from_bytes(n[:8], "little") for n in names], np.uint64)
-        turn = mix(np.arange(keys.shape[1], dtype=np.uint64) + np.uint64(1))
+        turn = mix(np.arange(keys.shape[1], dtype=np.uint64) + np.uint64(1)) | np.uint64(1)
         left, right = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
         out = []
         for k, i in enumerate(left):
             rest = left[k + 1:] if low == high else right
-            rest = rest[class_[rest] != class_[i]]
             most = ((1 - threshold) * np.maximum(length[rest], length[i]) + 1e-9).astype(np.int64)
-            least = np.maximum((np.abs(ones[rest] - ones[i]).sum(1) + 1) // 2, (np.abs(twos[rest] - twos[i]).sum(1) + 3) // 4)
-            near = np.maximum(least, np.abs(length[rest] - length[i])) <= most
-            rest, most, least = rest[near], most[near], least[near]
+            open_ = (class_[rest] != class_[i]) & (np.abs(length[rest] - length[i]) <= most)
+            rest, most = rest[open_], most[open_]
+            if not len(rest):
+                continue
             shared = (keys[rest] == keys[i]) & there[rest] & there[i]
-            rank = mix((mark[rest] ^ mark[i])[:, None] ^ turn) | np.uint64(1)
-            here = np.argmax(np.where(shared, rank, np.uint64(0)), axis=1) == band if len(rest) else np.zeros(0, bool)
-            rest, most, least = rest[here], most[here], least[here]
+            rank = (mark[rest] ^ mark[i])[:, None] * turn | np.uint64(1)
+            here = np.argmax(np.where(shared, rank, np.uint64(0)), axis=1) == band
+            rest, most = rest[here], most[here]
+            least = np.maximum((np.abs(ones[rest] - ones[i]).sum(1) + 1) // 2, (np.abs(twos[rest] - twos[i]).sum(1) + 3) // 4)
+            rest, most = rest[least <= most], most[least <= most]
             for r, m in sorted(zip(rest.tolist(), most.tolist()), key=lambda x: x[0]):
                 if class_[r] == class_[i]:
                     continue
@@ -308,13 +303,6 @@ def _left_over(state: DataFrame, members: DataFrame, texts: DataFrame, threshold
     return placed.groupBy("_band", "_key", "_low", "_high").applyInArrow(compare, "a binary, b binary, d long").distinct()
 
 
-def _one_step(nodes: DataFrame, known: DataFrame) -> DataFrame:
-    """``nodes`` with _class, the smallest node among its links and itself: nodes of one class are connected, though not all that are."""
-    near = known.filter("similar")
-    near = near.select("a", "b").union(near.select("b", "a")).groupBy(F.col("a").alias("_node")).agg(F.min("b").alias("_near"))
-    return nodes.join(near, "_node", "left").withColumn("_class", F.coalesce(F.least("_node", "_near"), "_node")).drop("_near")
-
-
 def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """``labels`` (_node, _class) after more links: the classes that they join are components of a graph of classes."""
     named = lambda end: labels.select(F.col("_node").alias(end), F.col("_class").alias(f"_{end}"))
@@ -331,58 +319,29 @@ def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
 def linked(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b, d) among the nodes of each bucket (_band, _key, _node, n_words), and _class of the nodes that have any.
 
-    In a first round one node of each bucket leads, and every other is aligned with it; the leader leaves, and so do
+    First one node of each bucket leads, and every other is aligned with it; the leader leaves, and so do
     the nodes linked to it, unless the triangle inequality leaves room for a link to a node that is
-    still open. So a bucket of near copies, however large, costs one alignment a node. In a second round up to ``LEADERS`` open
-    nodes lead, and are aligned with all nodes that are not in their class yet. Of what is left, pairs of two classes that
+    still open. So a bucket of near copies, however large, costs one alignment a node. Of what is left, pairs of two classes that
     counts don't tell apart are aligned, also where both were linked to a leader. So each pair of a bucket is aligned, or in one
     class, or can't be similar; no bucket is cut off. Classes are those of links found before, in any bucket.
     """
-    state = members.withColumns({"_open": F.lit(True), "_class": F.col("_node")})
-    known = members.sparkSession.createDataFrame([], "a binary, b binary, d long, similar boolean")
-    labels = None
-    for turn, slots in enumerate((1, LEADERS)):
-        leads = _leaders(state.filter("_open"), slots)
-        asked = state.join(leads, ["_band", "_key"]).withColumn("_led", F.explode("_leads")).withColumn("_lead", F.col("_led._node"))
-        leading = F.array_contains("_leads._node", F.col("_node"))
-        # Two leaders meet once.
-        asked = asked.filter(F.col("_class") != F.col("_led._class")).filter(~leading | (F.col("_node") > F.col("_lead")))
-        asked = stored(
-            asked.select("_band", "_key", "_node", "_lead", F.least("_node", "_lead").alias("a"), F.greatest("_node", "_lead").alias("b")),
-            "asked",
-        )
-        wanted = asked.select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
-        known = known.unionByName(stored(_verified(wanted, texts, threshold), "verified"))
-        rest = state.join(leads, ["_band", "_key"]).filter(~leading).drop("_leads", "_class")
-        if turn == 0:
-            judged = asked.join(known, ["a", "b"]).groupBy("_band", "_key", "_node").agg(
-                F.max("similar").alias("_linked"), F.min(F.when(F.col("similar"), F.col("d"))).alias("_near"),
-                F.min(F.when(~F.col("similar"), F.col("d"))).alias("_far"),
-            )
-            rest = rest.join(judged, ["_band", "_key", "_node"], "left")
-            rest = rest.withColumn("_open", F.col("_open") & ~F.coalesce("_linked", F.lit(False)))
-            # What the open nodes v of a bucket leave room for: a linked node u may be similar to v only if
-            # far(v) - near(u) is at most the limit of the longer of both.
-            limit = F.floor((1 - threshold) * F.col("n_words") + 1e-9)
-            room = rest.filter("_open").groupBy("_band", "_key").agg(
-                F.min("_far").alias("_least"), F.min(F.col("_far") - limit).alias("_slack"), F.count_if(F.col("_far").isNull()).alias("_unmet")
-            )
-            rest = rest.join(room, ["_band", "_key"])
-            may = (F.col("_near") + limit >= F.col("_least")) | (F.col("_near") >= F.col("_slack"))
-            rest = rest.filter(F.col("_open") | (F.col("_unmet") > 0) | may)
-        rest = rest.select("_band", "_key", "_node", "n_words", "_open")
-        if turn == 0:
-            new = _one_step(rest, known)
-        else:
-            labels = components(known.filter("similar"))
-            new = rest.join(labels, "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
-        crowd = new.groupBy("_band", "_key").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high"))
-        new = stored(new.join(crowd.filter("_low != _high").drop("_low", "_high"), ["_band", "_key"]), "state")
-        discard(asked)
-        if turn:
-            discard(state)
-        state = new
+    leads = members.groupBy("_band", "_key").agg(F.min("_node").alias("_lead"))
+    followers = members.join(leads, ["_band", "_key"]).filter("_node <> _lead")
+    asked = followers.select("_lead", "_node").distinct().withColumnsRenamed({"_lead": "a", "_node": "b"})  # the lead is the smaller
+    known = stored(_verified(asked, texts, threshold), "verified")
     found = known.filter("similar").select("a", "b", "d")
+    labels = components(found)
+    judged = known.select(F.col("a").alias("_lead"), F.col("b").alias("_node"), "d", F.col("similar").alias("_linked"))
+    rest = followers.join(judged, ["_lead", "_node"])
+    # What the open nodes v of a bucket leave room for: a linked node u may be similar to v only if
+    # d(v) - d(u) is at most the limit of the longer of both.
+    limit = F.floor((1 - threshold) * F.col("n_words") + 1e-9)
+    room = rest.filter("NOT _linked").groupBy("_band", "_key").agg(F.min("d").alias("_least"), F.min(F.col("d") - limit).alias("_slack"))
+    may = (F.col("d") + limit >= F.col("_least")) | (F.col("d") >= F.col("_slack"))
+    rest = rest.join(room, ["_band", "_key"]).filter(~F.col("_linked") | may).select("_band", "_key", "_node", "n_words")
+    rest = rest.join(labels, "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
+    crowd = rest.groupBy("_band", "_key").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high"))
+    state = stored(rest.join(crowd.filter("_low != _high").drop("_low", "_high"), ["_band", "_key"]), "state")
     if state.isEmpty():
         return found, labels
     more = stored(_left_over(state, members, texts, threshold), "left")
