@@ -46,7 +46,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("shards", shards),
 ]
 
-# The mix draws at random and near duplicates are classes of a graph: no SQL; see tests/llm/test_pipeline.py.
+# The mix draws at random and near duplicates are classes of a graph: no SQL; see tests/llm/test_corpus_queries.py.
 ORACLE_SQL = None
 
 
