@@ -90,8 +90,8 @@ def test_license_places_and_labels(spark):
         assert 0 <= r.score <= 1
     label = {r.text: r.labels for r in out}
     assert label["mit license"] == "mit" and label["cc by nc sa 4.0"] == "cc-by-nc,cc-by-nc-sa"
-    assert label["the GNU Lesser General Public License v2.1 or later"] == "lgpl"
-    assert label["SPDX-License-Identifier: MIT"] == "spdx"
+    assert label["the GNU Lesser General Public License v2.1 or later"] == "lgpl-2.1"
+    assert label["SPDX-License-Identifier: MIT"] == "mit"
 
 
 def test_license_suppression(spark):
@@ -182,6 +182,77 @@ def test_common_words_are_counted_each(spark):
         assert r._common == [*want, len(w) - sum(want)]
 
 
+def shortest(parsed, branch, optional):
+    """A match of a parsed pattern: that branch of each choice, optional parts or not."""
+    out = ""
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "NOT_LITERAL":
+            out += "x"
+        elif name == "IN":
+            kind, first = value[0]
+            out += "x" if str(kind) == "NEGATE" else chr(first if str(kind) == "LITERAL" else first[0])
+        elif name == "MAX_REPEAT":
+            low, high, inner = value
+            out += shortest(inner, branch, optional) * max(low, min(high, int(optional)))
+        elif name == "SUBPATTERN":
+            out += shortest(value[-1], branch, optional)
+        elif name == "BRANCH":
+            out += shortest(value[1][branch], branch, optional)
+        else:
+            raise AssertionError(name)
+    return out
+
+
+def test_every_license_rule_finds_its_own_match(spark):
+    """Texts that hold nothing but a match: each rule's keyword and pattern find it whole, and some label comes out."""
+    assert len(licenses.RULES) > 300 and len({(r.label, r.pattern) for r in licenses.RULES}) == len(licenses.RULES)
+    texts = [
+        (i, shortest(re._parser.parse(r.pattern), branch, optional))
+        for i, r in enumerate(licenses.RULES) for branch in (0, -1) for optional in (False, True)
+    ]
+    rows = spark.createDataFrame(texts, "rule int, text string").select("rule", "text", licenses.normal(F.col("text")).alias("n"))
+    rows = rows.select("rule", "text", licenses.detections(F.col("n")).alias("d"))
+    bad = [(r.rule, r.text) for r in rows.collect() if (r.rule, 0, len(r.text.split()) - 1) not in {(h.rule, h.first, h.last) for h in r.d}]
+    assert not bad
+    assert not [r.text for r in licenses.scan(spark.createDataFrame(texts, "rule int, text string")).collect() if not r.labels]
+
+
+def test_license_rules_in_long_mixed_texts(spark):
+    """Places of all rules against Python's regular expressions, and suppression over many chunks of hits."""
+    rnd = random.Random(5)
+    parts = [shortest(re._parser.parse(r.pattern), b, o) for r in rnd.sample(licenses.RULES, 40) for b, o in ((0, True), (-1, False))]
+    parts += ["some words between", "under the mit license", "undér", "cc by nc", "licensed under the", "apache license version 2"]
+    texts = [" ".join(rnd.choice(parts) for _ in range(n)) for n in (0, 1, 7, 60, 900)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", licenses.normal(F.col("text")).alias("n"))
+    for r in rows.select("text", "n", licenses.detections(F.col("n")).alias("d"), licenses.unsuppressed(licenses.detections(F.col("n"))).alias("k")).collect():
+        want = sorted(
+            (m.start() and r.n[:m.start()].count(" "), r.n[:m.end()].count(" ") - 1, i)
+            for i, rule in enumerate(licenses.RULES) if " " + rule.keyword in r.n for m in re.finditer(f" {rule.pattern}(?= )", r.n)
+        )
+        assert sorted((h.first, h.last, h.rule) for h in r.d) == want
+        hits = sorted(r.d, key=lambda h: (h.first, -h.last, -h.priority, h.rule))
+        inside = lambda a, b: a.first >= b.first and a.last <= b.last
+        kept = [h for i, h in enumerate(hits) if not any(inside(h, g) and g.priority >= h.priority for g in hits[:i])]
+        kept = [h for h in kept if not any(inside(g, h) and g.priority > h.priority for g in kept)]
+        assert sorted((h.first, h.last, h.rule) for h in r.k) == sorted((h.first, h.last, h.rule) for h in kept)
+
+
+def test_license_families_and_identifiers(spark):
+    want = {
+        "Academic Free License version 3.0": "afl-3.0", "AFL v2.1": "afl-2.1", "the Open Software License 3.0": "osl-3.0", "CeCILL-B license": "cecill-b",
+        "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2", "SPDX-License-Identifier: Apache-2.0": "apache-2", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3",
+        "SPDX-License-Identifier: Zlib": "zlib", "SPDX-License-Identifier: Foo-1.0": "spdx", "SPDX-License-Identifier: MS-PL": "ms-pl",
+        "Server Side Public License v1": "sspl-1", "Business Source License 1.1": "busl-1.1", "Blue Oak Model License 1.0.0": "blueoak-1.0.0",
+        "PostgreSQL Licence": "postgresql", "IBM Public License": "ipl", "Zero-Clause BSD license": "0bsd", "W3C Software Notice and License": "w3c",
+        "Zope Public License 9.7": "zpl", "a calm day with vim and ruby": "", "Elastic License 2.0": "elastic-2.0", "PolyForm Shield License 1.0.0": "polyform-shield-1.0.0",
+    }
+    docs = spark.createDataFrame([(t,) for t in want], "text string")
+    assert {r.text: r.labels for r in licenses.scan(docs).collect()} == want
+
+
 def test_license_versions_and_spellings(spark):
     want = {
         "GPL v3": "gpl-3", "GPL v2": "gpl-2", "GPLv2": "gpl-2", "gpl version 3.0": "gpl-3", "LGPL v2.1": "lgpl-2.1", "LGPL v3": "lgpl-3", "AGPL v3": "agpl-3",
