@@ -101,9 +101,9 @@ def contaminated(
     own = _row_key(F.col(key), F.col(text))
     words = split_words(F.lower(F.col(text)))
 
-    def sampled(w: Column) -> Column:
+    def sampled(w: Column) -> Column:  # the hashes of _shingles
         at = F.sequence(F.lit(0), F.size(w) - SHINGLE, F.lit(stride))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]).alias("h")))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.xxhash64(F.get(w, i + k)) for k in range(SHINGLE)]).alias("h")))
 
     none = F.array().cast("array<struct<at: int, h: bigint>>")
     looked = docs.select(*own, F.explode(let(words, lambda w: F.when(F.size(w) >= SHINGLE, sampled(w)).otherwise(none))).alias("_s"))
