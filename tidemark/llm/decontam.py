@@ -79,62 +79,71 @@ def contaminated(
 
     1. A window that similar holds ``floor(m / 9)`` shingles at most that the item (of ``m``) lacks. So every
        k-th place of a text is looked up among the items' shingles, with k so small that a window has more such
-       places than it may miss; windows that miss too many drop out. This loses no window.
-    2. SimHashes of the windows meet those of items of the same length in one of ``RADIUS + 1`` blocks, which finds all
+       places than it may miss; windows that miss too many drop out. This loses no window. Found places are
+       gathered by stretches of ``m`` places, so this takes time in proportion to the text, however often it holds an item.
+    2. SimHashes of the windows meet those of the items that led to them in one of ``RADIUS + 1`` blocks, which finds all
        fingerprints within ``RADIUS``.
     3. Pairs within it are verified by the exact similarity.
 
     Null texts, and texts and items of fewer than five words, have no shingle and match nothing. A text shorter than
-    an item is one window. Rows that repeat key and text give one result; so do items that repeat. Empty tables give no rows. Other columns are not carried.
+    an item is one window. Rows that repeat key and text give one result; so do items that repeat. Empty tables give no rows. Other columns are not
+    carried and may have any name. A very long text is one row of its shingles (8 bytes a word) where a window of it is compared.
     """
     listed = items.select(F.col(item_key).alias("_item"), _shingles(F.col(item_text)).alias("_bag")).filter(F.size("_bag") > 0)
     listed = listed.dropDuplicates().withColumn("_m", F.size("_bag"))
     bound = F.floor(F.col("_m") * ((1 - threshold) / (1 + threshold)) + 1e-9).cast("int")  # floor(m / 9) at 0.8
-    listed = listed.withColumn("_miss", bound)
+    # _own names item and shingles for joins; a shared hash only adds pairs to verify.
+    listed = listed.withColumn("_miss", bound).withColumn("_own", F.xxhash64("_item", "_bag"))
     known = listed.agg(F.min(F.floor(F.col("_m") / (F.col("_miss") + 1))).alias("stride"), F.sum("_m").alias("places")).first()
     stride, places = max(1, known["stride"] or 1), known["places"] or 0
 
     # 1. places of texts that hold a shingle of an item
-    index = listed.select("_item", "_m", "_miss", F.explode("_bag").alias("_h")).distinct()
+    index = listed.select("_own", "_m", "_miss", F.explode("_bag").alias("_h")).distinct()
     if places <= BROADCAST_ROWS:
         index = F.broadcast(index)
     own = _row_key(F.col(key), F.col(text))
     words = split_words(F.lower(F.col(text)))
 
     def sampled(w: Column) -> Column:  # the hashes of _shingles
+        n = (F.size(w) - SHINGLE + 1).alias("n")
         at = F.sequence(F.lit(0), F.size(w) - SHINGLE, F.lit(stride))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.xxhash64(F.get(w, i + k)) for k in range(SHINGLE)]).alias("h")))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), n, F.xxhash64(*[F.xxhash64(F.get(w, i + k)) for k in range(SHINGLE)]).alias("h")))
 
-    none = F.array().cast("array<struct<at: int, h: bigint>>")
+    none = F.array().cast("array<struct<at: int, n: int, h: bigint>>")
     looked = docs.select(*own, F.explode(let(words, lambda w: F.when(F.size(w) >= SHINGLE, sampled(w)).otherwise(none))).alias("_s"))
-    anchors = looked.select("_k1", "_k2", F.col("_s.at").alias("_at"), F.col("_s.h").alias("_h")).join(index, "_h")
-    anchors = anchors.groupBy("_k1", "_k2", "_item", "_m", "_miss").agg(F.collect_set("_at").alias("_anchors"))
+    looked = looked.select("_k1", "_k2", F.col("_s.n").alias("_n"), F.col("_s.at").alias("_at"), F.col("_s.h").alias("_h"))
+    anchors = looked.join(index, "_h").drop("_h")
+    # A window that starts in a stretch of m places ends in it or the next one.
+    here = F.floor(F.col("_at") / F.col("_m")).cast("int")
+    anchors = anchors.withColumn("_stretch", F.explode(F.array_distinct(F.array(here, F.greatest(here - 1, F.lit(0))))))
+    anchors = anchors.groupBy("_k1", "_k2", "_n", "_own", "_m", "_miss", "_stretch").agg(F.collect_set("_at").alias("_anchors"))
 
     # windows around them that miss few enough of their looked-up places
-    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), *own)
-    held = texts.join(anchors, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2", "_item", "_m"])
-    held = held.select("_id", "_k1", "_k2", "_m", "_miss", "_anchors", _shingles(F.col("_text")).alias("_all"))
-    last = F.greatest(F.lit(0), F.size("_all") - F.col("_m"))
-    starts = F.array_distinct(
-        F.flatten(F.transform("_anchors", lambda p: F.sequence(F.least(last, F.greatest(F.lit(0), p - F.col("_m") + 1)), F.least(p, last))))
-    )
+    last = F.greatest(F.lit(0), F.col("_n") - F.col("_m"))
+    least = F.greatest(F.col("_stretch") * F.col("_m"), F.least(last, F.array_min("_anchors") - F.col("_m") + 1))
+    most = F.least(F.col("_stretch") * F.col("_m") + F.col("_m") - 1, F.array_max("_anchors"), last)
 
     def enough(s: Column) -> Column:
-        end = F.least(s + F.col("_m"), F.size("_all"))  # places s to end - 1
+        end = F.least(s + F.col("_m"), F.col("_n"))  # places s to end - 1
         looked_up = F.floor((end - 1) / stride) - F.floor((s - 1) / stride)
         return looked_up - F.size(F.filter("_anchors", lambda p: (p >= s) & (p < end))) <= F.col("_miss")
 
-    windows = held.withColumn("_starts", starts).withColumn("_start", F.explode(F.filter("_starts", enough)))
-    windows = windows.select("_id", "_k1", "_k2", "_m", "_start", F.slice("_all", F.col("_start") + 1, F.col("_m")).alias("_window"))
-    windows = windows.dropDuplicates(["_k1", "_k2", "_m", "_start"])
+    anchors = anchors.withColumns({"_least": least, "_most": most}).filter("_least <= _most")
+    starts = anchors.withColumn("_starts", F.filter(F.sequence("_least", "_most"), enough)).filter(F.size("_starts") > 0)
+    starts = starts.groupBy("_k1", "_k2", "_own", "_m").agg(F.flatten(F.collect_list("_starts")).alias("_starts"))
+    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), *own)
+    held = texts.join(starts, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2", "_own", "_m"])
+    held = held.select("_id", "_k1", "_k2", "_own", "_m", "_starts", _shingles(F.col("_text")).alias("_all"))
+    windows = held.withColumn("_start", F.explode("_starts"))
+    windows = windows.select("_id", "_k1", "_k2", "_own", "_m", "_start", F.slice("_all", F.col("_start") + 1, F.col("_m")).alias("_window"))
 
     # 2. fingerprints in blocks
     printed = windows.withColumn("_print", simhash(F.col("_window"))).withColumn("_block", F.explode(blocks(F.col("_print"))))
-    prints = listed.select("_item", "_m", F.col("_bag"), simhash(F.col("_bag")).alias("_item_print"))
+    prints = listed.select("_item", "_own", "_m", F.col("_bag"), simhash(F.col("_bag")).alias("_item_print"))
     prints = prints.withColumn("_block", F.explode(blocks(F.col("_item_print"))))
     if places <= BROADCAST_ROWS // (RADIUS + 1):
         prints = F.broadcast(prints)
-    near = printed.join(prints, ["_m", "_block"]).filter(F.bit_count(F.col("_print").bitwiseXOR(F.col("_item_print"))) <= RADIUS)
+    near = printed.join(prints, ["_own", "_m", "_block"]).filter(F.bit_count(F.col("_print").bitwiseXOR(F.col("_item_print"))) <= RADIUS)
     # A pair counts where its first equal block is, so that it is verified once.
     mine, theirs = blocks(F.col("_print")), blocks(F.col("_item_print"))
     first = F.array_min(F.filter(F.zip_with(mine, theirs, lambda a, b: F.when(a["bits"] == b["bits"], a["block"])), lambda k: k.isNotNull()))
@@ -153,7 +162,7 @@ def contaminated(
 
 
 def without_benchmark(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
+    """The rows of ``docs`` that hold no benchmark item, with all their columns, which may have any name."""
     hit = contaminated(docs, items, text, key).select("_k1", "_k2").distinct()
-    keyed = docs.select("*", *_row_key(F.col(key), F.col(text)))
-    return keyed.join(hit, ["_k1", "_k2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.struct("*").alias("_row"), *_row_key(F.col(key), F.col(text)))
+    return keyed.join(hit, ["_k1", "_k2"], "left_anti").select("_row.*")
