@@ -95,15 +95,17 @@ def pivotal(rows: DataFrame, groups: int, seed: int) -> DataFrame:
 
     A tree: each group settles all but one fraction of each source; the fractions left meet in groups
     of ``FAN_IN`` groups, until one group is left, where a last fraction is drawn by its odds.
-    Groups come from a hash of the document, so no source makes one larger.
+    Groups come from a hash of the document, so no source makes one larger. Beyond the first level a group
+    holds up to ``FAN_IN`` fractions of each source; where sources are many it is split by source.
     """
     schema = "_key string, _source long, _group long, size long, part double, done boolean"
     columns = [c.split()[0] for c in schema.split(", ")]
 
-    def level(last: bool, depth: int):
+    def level(last: bool, depth: int, parts: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["_source", "size", "_key"], ascending=[True, False, True], kind="stable", ignore_index=True)
-            draws = np.random.default_rng([seed, depth, int(pdf["_group"].iloc[0])])
+            part_of = [int(pdf["_source"].iloc[0]) % parts] if parts > 1 else []
+            draws = np.random.default_rng([seed, depth, int(pdf["_group"].iloc[0]), *part_of])
             part, size = pdf["part"].to_numpy(float).copy(), pdf["size"].to_numpy()
             cuts = np.flatnonzero(np.diff(pdf["_source"].to_numpy())) + 1
             for at in np.split(np.arange(len(pdf)), cuts):
@@ -115,15 +117,17 @@ def pivotal(rows: DataFrame, groups: int, seed: int) -> DataFrame:
 
         return run
 
-    rows, done, depth = rows.withColumn("done", F.lit(False)).select(columns), None, 0
+    rows, done, depth, parts = rows.withColumn("done", F.lit(False)).select(columns), None, 0, 1
     while True:
         last = groups == 1
-        settled = stored(rows.groupBy("_group").applyInPandas(level(last, depth), schema), "pivotal")
+        grouped = rows.groupBy("_group", F.pmod("_source", F.lit(parts)))
+        settled = stored(grouped.applyInPandas(level(last, depth, parts), schema), "pivotal")
         done = settled.filter("done") if done is None else done.unionByName(settled.filter("done"))
         if last:
             return done
         rows = settled.filter("NOT done").withColumn("_group", F.expr(f"_group div {FAN_IN}"))
         groups, depth = -(-groups // FAN_IN), depth + 1
+        parts = max(1, -(-rows.count() // (groups * PER_GROUP)))
 
 
 def choices(
@@ -175,20 +179,20 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
 
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`choices` takes it."""
+    """The rows of ``docs``, each as often as :func:`choices` takes it; columns may have any name."""
     alike = ["_name", "_source", "_size"]
     chosen = choices(docs, text, source, key, **how).withColumnRenamed("size", "_size").select(*alike, "_nth", "copies")
     chosen = stored(chosen.withColumnRenamed("copies", "_copies"), "copies")
-    own = docs.withColumns(
-        {"_name": _name(F.col(key)), "_source": _source(F.col(source).cast("string")), "_size": count_words(F.col(text))}
+    own = docs.select(
+        F.struct("*").alias("_row"), _name(F.col(key)).alias("_name"), _source(F.col(source).cast("string")).alias("_source"),
+        count_words(F.col(text)).alias("_size"), F.xxhash64(text).alias("_tie"),
     )
     counts = chosen.groupBy(*alike).agg(F.count("*").alias("_n"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     single = chosen.join(counts.filter("_n = 1"), alike).drop("_n", "_nth").filter("_copies > 0")
-    once = own.join(single, alike).select(*columns, "_copies")
+    once = own.join(single, alike).select("_row", "_copies")
     many = counts.filter("_n > 1").drop("_n")
     if not many.isEmpty():  # only rows alike in key, source and size need a number
-        within = Window.partitionBy(*alike).orderBy(F.xxhash64(text))
+        within = Window.partitionBy(*alike).orderBy("_tie")
         ranked = own.join(many, alike).withColumn("_nth", F.row_number().over(within).cast("long"))
-        once = once.union(ranked.join(chosen.filter("_copies > 0"), [*alike, "_nth"]).select(*columns, "_copies"))
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*columns)
+        once = once.union(ranked.join(chosen.filter("_copies > 0"), [*alike, "_nth"]).select("_row", "_copies"))
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")
