@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import decontam, mixing, near_dup, sharding, warc
+from tidemark.llm import decontam, mixing, near_dup, quality, sharding, warc
 
 SCHEMA = "doc_id long, text string, source string, shard string, size string, class_id string, copies string"
 
@@ -172,6 +172,25 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
 
 
+def test_mix_of_many_sources(spark, monkeypatch):
+    """Groups above the first level are split by source, so many sources do not meet in one task."""
+    monkeypatch.setattr(mixing, "PER_GROUP", 16)
+    rnd = random.Random(9)
+    rows = [(i, " ".join("w" * rnd.randrange(1, 9)), f"s{i // 4:03}") for i in range(800)]
+    out = mixing.mix(table(spark, rows), per_group=4).collect()
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    want, of = targets(dict(sizes)), {i: s for i, _, s in rows}
+    taken = collections.Counter()
+    for r in out:
+        taken[of[r.doc_id]] += r.taken
+    assert len(out) == len(rows) and all(r.taken <= 2 * r.size for r in out)
+    assert all(abs(taken[s] - want[s]) <= 8 for s in sizes)  # one open document at most, of 8 words at most
+    again = mixing.mix(table(spark, rows), per_group=4).collect()
+    assert collections.Counter(again) == collections.Counter(out)
+
+
 # --- benchmark items
 
 
@@ -211,6 +230,10 @@ def test_benchmark_items(spark):
         docs.append((i, " ".join([text(rnd.randrange(0, 40)), *x, text(rnd.randrange(0, 40))]), "s"))
     docs += [(100, None, "s"), (101, "", "s"), (102, "A B C " * 40, "s"), (103, " ".join(words(items[0][1])[:-1]), "s"), (104, "the straße ä É ñ x y", "s")]
     docs += [docs[0], docs[0], (None, items[1][1].upper(), "s")]
+    # Items again and again, whole and in parts, over many stretches of their length.
+    docs += [(110 + i, " ".join(" ".join(words(items[j][1])[rnd.randrange(0, 4):]) + " z" * rnd.randrange(3) for j in (i, i + 4) * 9), "s") for i in range(4)]
+    items.append((None, text(30)))
+    docs.append((120, text(20) + " " + items[-1][1], "s"))
     bench = spark.createDataFrame([(i, t, "n") for i, t in items] + [(0, items[0][1], "n")], "item_id long, text string, start string")
     out = decontam.contaminated(table(spark, docs), bench).collect()
     got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in out}
@@ -224,6 +247,51 @@ def test_benchmark_items(spark):
     assert decontam.contaminated(table(spark, []), bench).count() == 0
 
 
+def test_long_texts_that_repeat_an_item(spark):
+    """Every window of a long text may hold the item: stretches of its length are looked through, not the whole text for each."""
+    item = " ".join(f"v{i}" for i in range(40))
+    n = 150
+    docs = spark.createDataFrame([(1, " ".join([item] * n)), (2, " ".join(["q"] * n + [item]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, item), (6, " ".join(["q"] * 12))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in decontam.contaminated(docs, bench).collect()}
+    # Windows of 36 shingles: a turned one holds the item's shingles but for the four that cross its end.
+    assert got == {(1, 5): (0, 40, 1.0), (2, 5): (n, 40, 1.0), (2, 6): (0, 12, 1.0)}
+
+
+# --- stages on tables with names of their own
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns called like the stages' own intermediate ones come out as they went in."""
+    own = [
+        "_k1", "_k2", "_row", "_own", "_key", "_node", "_id", "_item", "_copies", "_copy", "_name", "_source", "_size", "_nth", "_n", "_tie",
+        "_words", "_t", "_l", "_lang", "_kept0", "_chars", "head", "size", "group", "a.b", "_rows", "_first", "similarity", "start",
+    ]
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("the of and to in alpha beta gamma delta".split()) for _ in range(60)) for _ in range(6)]
+    texts += [texts[0], texts[1] + " more"]
+    rows = [(i, t, "s", "en", *[f"{i}/{c}" for c in own]) for i, t in enumerate(texts)]
+    rows.append((7, texts[7], "s", "en", *[f"again/{c}" for c in own]))
+    schema = ", ".join(f"`{c}` string" for c in ("text", "source", "lang", *own))
+    docs = spark.createDataFrame(rows, f"doc_id long, {schema}")
+    items = spark.createDataFrame([(1, texts[3])], "item_id long, text string")
+    given = collections.Counter(tuple(r) for r in rows)
+
+    def out_of(df):
+        assert df.columns == docs.columns
+        return collections.Counter(tuple(r) for r in df.collect())
+
+    clean = out_of(decontam.without_benchmark(docs, items))
+    assert clean == collections.Counter({r: n for r, n in given.items() if r[0] != 3})
+    heads = out_of(near_dup.one_of_each(docs))
+    assert set(heads) <= set(given) and sorted(r[0] for r in heads) == [0, 1, 2, 3, 4, 5]
+    mixed = out_of(mixing.mixed(docs, share=2.0))
+    assert mixed == collections.Counter({r: 2 for r in given})
+    judged = quality.judge(docs)
+    assert collections.Counter(tuple(r) for r in judged.select(*[f"`{c}`" for c in docs.columns]).collect()) == given
+    assert sharding.assign(docs, shards=3).count() == len(rows)
+
+
 # --- near duplicates
 
 

@@ -426,16 +426,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", th
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each class the row with the smallest key stays, of equal rows one."""
+    """The rows of ``docs`` without near duplicates: of each class the row with the smallest key stays, of equal rows one.
+
+    Columns may have any name.
+    """
     rows, placed = _classes(docs, text, key, threshold)
     heads = rows.join(placed.filter(F.col("_node") == F.col("head._node")), "_node").filter(F.col("_id").eqNullSafe(F.col("_first")))
     heads = stored(heads.groupBy("_node", "_id").agg(F.count("*").alias("_rows")), "heads")
-    owned = docs.withColumn("_own", node_of(text))
+    owned = docs.select(F.struct("*").alias("_row"), node_of(text).alias("_own"), F.col(key).alias("_key"))
 
     def of(some: DataFrame) -> DataFrame:
-        return owned.join(some, (owned["_own"] == some["_node"]) & owned[key].eqNullSafe(some["_id"]), "left_semi")
+        return owned.join(some, (owned["_own"] == some["_node"]) & owned["_key"].eqNullSafe(some["_id"]), "left_semi")
 
     chosen, again = of(heads.filter("_rows = 1")), heads.filter("_rows > 1")
     if not again.isEmpty():  # only heads that repeat need a choice
         chosen = chosen.union(of(again).dropDuplicates(["_own"]))
-    return chosen.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return chosen.select("_row.*")
