@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.quality import let, split_words, window_hashes
+from tidemark.llm.quality import let, split_words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -15,9 +15,20 @@ RADIUS = 23
 BROADCAST_ROWS = 1_000_000  # of (hash, item, place): 24 MB
 
 
+def _shingle(words: Column, at: Column) -> Column:
+    """Hash of the five-word shingle at a place, in one step."""
+    return F.xxhash64(*[F.get(words, at + k) for k in range(SHINGLE)])
+
+
 def _shingles(text: Column) -> Column:
     """Hashes of the five-word shingles at each word, upper and lower case alike."""
-    return window_hashes(split_words(F.lower(text)), SHINGLE)
+
+    def body(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - SHINGLE)
+        hashes = F.transform(at, lambda i: _shingle(w, i))
+        return F.when(F.size(w) >= SHINGLE, hashes).otherwise(F.array().cast("array<bigint>"))
+
+    return let(split_words(F.lower(text)), body)
 
 
 def simhash(shingles: Column) -> Column:
@@ -104,10 +115,10 @@ def contaminated(
     own = _row_key(F.col(key), F.col(text))
     words = split_words(F.lower(F.col(text)))
 
-    def sampled(w: Column) -> Column:  # the hashes of _shingles
+    def sampled(w: Column) -> Column:
         n = (F.size(w) - SHINGLE + 1).alias("n")
         at = F.sequence(F.lit(0), F.size(w) - SHINGLE, F.lit(stride))
-        return F.transform(at, lambda i: F.struct(i.alias("at"), n, F.xxhash64(*[F.xxhash64(F.get(w, i + k)) for k in range(SHINGLE)]).alias("h")))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), n, _shingle(w, i).alias("h")))
 
     none = F.array().cast("array<struct<at: int, n: int, h: bigint>>")
     looked = docs.select(*own, F.explode(let(words, lambda w: F.when(F.size(w) >= SHINGLE, sampled(w)).otherwise(none))).alias("_s"))
