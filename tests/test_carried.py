@@ -241,3 +241,52 @@ def test_metrics_of_each_batch(spark, log, tmp_path):
     total = log.count()
     assert tuple(kept.totals().first()) == (total, total - updates, updates, 0, 0)
     assert sorted(r.batch for r in kept.read().collect()) == [0, 1, 2]
+
+
+# ------------------------------------------------------------------ TTL and burst rules
+
+
+def clocked(log):
+    """Times that stand still and go back, and rows without one."""
+    shift = F.expr("make_interval(0, 0, 0, 0, cast((seq * 37) % 11 as int) - IF(seq % 20 > 15, 30, 0))")
+    return log.withColumn("ts", F.when(F.col("seq") % 9 != 4, F.col("ts") + shift)).select("seq", "ts", "user", "columns")
+
+
+@pytest.mark.parametrize("block", [8, 1 << 20])
+def test_debounce_over_batches_equals_the_batch(log, tmp_path, block):
+    rows, spark = clocked(log), log.sparkSession
+    args = (["user"], 9 * HOUR, 30 * HOUR)
+    # The clock stays behind all open bursts until the last batch, whose one row closes them.
+    last = rows.agg(F.max("ts").alias("ts")).select(
+        F.lit(99).cast("bigint").alias("seq"), (F.col("ts") + F.expr("INTERVAL 99 DAYS")).alias("ts"),
+        F.lit(None).cast("string").alias("user"), F.lit(None).cast(rows.schema["columns"].dataType).alias("columns"),
+    )
+    step, path = carried.debounce(rows.schema, *args, late=99 * 24 * HOUR, block=block), str(tmp_path / "out")
+    parts = [*thirds(rows), last]
+    write = [carried.advance(step, path)] * 3 + [carried.advance(carried.debounce(rows.schema, *args, block=block), path)]
+    for i, part in enumerate(parts):
+        write[i](part, i)
+    names = ["seq", "emit_ts", "burst_rows", "columns"]
+    want = rows_of(rows.transform(selection.debounce(*args)), *names)
+    got = [rows_of(spark.read.parquet(f"{path}/rows/batch={i}"), *names) for i in range(4)]
+    assert sorted(r for part in got for r in part) == want and all(got) and any(int(r[2]) > 3 for r in want)
+    write[3](parts[3], 3)  # the batch runs again
+    assert rows_of(spark.read.parquet(f"{path}/rows/batch=3"), *names) == got[3]
+    assert not list((tmp_path / "out" / "prepared").iterdir())  # worked off
+
+
+def test_the_clock_ends_a_burst(make, tmp_path):
+    rows = [make({"seq": 1, "at": 0, "table": "a"}, {"seq": 2, "at": 3, "table": "a"}), make({"seq": 3, "at": 20, "table": "b"})]
+    step = carried.debounce(rows[0].schema, ["table_name"], 5, 60)
+    got = batches(step, str(tmp_path), *rows)
+    assert [seqs(part) for part in got] == [[], [2]] and got[1].first().burst_rows == 2
+
+
+@pytest.mark.parametrize("name, table", [("stream_debounce", "debounce")])
+def test_rules_of_streams_keep_tables_and_call_nothing_per_key(spark, tmp_path, monkeypatch, name, table):
+    from tidemark import queries
+
+    monkeypatch.setattr(queries, "scratch", lambda spark, name: str(tmp_path / name))
+    queries.QUERIES[name](spark, SF).count()
+    assert (tmp_path / table / "progress" / "commits").exists()
+    assert (tmp_path / table / "tables").exists() and not (tmp_path / table / "progress" / "state").exists()

@@ -127,39 +127,53 @@ def batch_assign(max_size: int = 100, **kw) -> Stage:
     return run
 
 
+def burst_spans(window, max_delay) -> tuple[int, int]:
+    """Quiet span and longest delay in microseconds; spans that are not positive take the defaults."""
+    quiet = span_micros(window) if span_micros(window) > 0 else span_micros(0.2)
+    return quiet, span_micros(max_delay) if span_micros(max_delay) > 0 else span_micros(2)
+
+
+def bursts(narrow: DataFrame, quiet: int, longest: int) -> DataFrame:
+    """The bursts of ``narrow_rows``: ``_k`` and first row (``start``), last row (``_last``) and its time (``_to``), the first
+    row's time (``anchor``) and ``burst_rows``.
+
+    A row with ``_inside`` goes on with the burst before it, however long ago the row before was.
+    """
+    seen = running(narrow, {"_prev": Running("last", F.col("at"), before=True)}, ["_k"])
+    cut = F.col("_prev").isNull() | (F.col("at") - F.col("_prev") >= quiet)
+    if "_inside" in narrow.columns:
+        cut = cut & ~F.coalesce("_inside", F.lit(False))
+    rows = anchors(seen, SpanRule(longest), reset=cut)
+    # A burst is named by its first row, as times may come again; a block of a hot key may begin inside a burst.
+    parts = rows.groupBy("_k", "_b", "start").agg(
+        F.max("seq").alias("_last"), F.count(F.lit(1)).alias("n"), F.max_by("at", "seq").alias("_to"), F.max("anchor").alias("anchor")
+    )
+    earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = (
+        parts.filter("_b IS NOT NULL").groupBy("_k", "_b").agg(F.max("start").alias("_open"))
+        .select(F.col("_k").alias("_ok"), F.col("_b").alias("_ob"), F.last("_open", ignorenulls=True).over(earlier).alias("_open"))
+    )
+    return (
+        parts.join(open_, F.col("start").isNull() & (F.col("_k") == F.col("_ok")) & (F.col("_b") == F.col("_ob")), "left")
+        .groupBy("_k", F.coalesce("start", "_open").alias("start"))
+        .agg(
+            F.max_by("_to", "_last").alias("_to"), F.max("_last").alias("_last"),
+            F.sum("n").alias("burst_rows"), F.max("anchor").alias("anchor"),
+        )
+    )
+
+
 def debounce(keys: Sequence[str], window=0.2, max_delay=2, **kw) -> Stage:
     """One row per burst: the latest, after ``window`` of quiet or ``max_delay`` after the first.
 
     Adds ``emit_ts`` and ``burst_rows``. A gap equal to the window ends a burst. A row without a time is a
     burst of its own, with no ``emit_ts``.
     """
-    quiet = span_micros(window) if span_micros(window) > 0 else span_micros(0.2)
-    longest = span_micros(max_delay) if span_micros(max_delay) > 0 else span_micros(2)
-    at = F.unix_micros("ts")
+    quiet, longest = burst_spans(window, max_delay)
 
     def run(df: DataFrame) -> DataFrame:
         # Whole rows only travel to the last join; the burst plan works on narrow ones.
-        narrow = narrow_rows(df, keys, **kw)
-        seen = running(narrow, {"_prev": Running("last", F.col("at"), before=True)}, ["_k"])
-        cut = F.col("_prev").isNull() | (F.col("at") - F.col("_prev") >= quiet)
-        rows = anchors(seen, SpanRule(longest), reset=cut)
-        # A burst is named by its first row, as times may come again; a block of a hot key may begin inside a burst.
-        parts = rows.groupBy("_k", "_b", "start").agg(
-            F.max("seq").alias("_last"), F.count(F.lit(1)).alias("n"), F.max_by("at", "seq").alias("_to"), F.max("anchor").alias("anchor")
-        )
-        earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        open_ = (
-            parts.filter("_b IS NOT NULL").groupBy("_k", "_b").agg(F.max("start").alias("_open"))
-            .select(F.col("_k").alias("_ok"), F.col("_b").alias("_ob"), F.last("_open", ignorenulls=True).over(earlier).alias("_open"))
-        )
-        ends = (
-            parts.join(open_, F.col("start").isNull() & (F.col("_k") == F.col("_ok")) & (F.col("_b") == F.col("_ob")), "left")
-            .groupBy("_k", F.coalesce("start", "_open").alias("start"))
-            .agg(
-                F.max_by("_to", "_last").alias("_to"), F.max("_last").alias("_last"),
-                F.sum("n").alias("burst_rows"), F.max("anchor").alias("anchor"),
-            )
-        )
+        ends = bursts(narrow_rows(df, keys, **kw), quiet, longest)
         emit = F.timestamp_micros(F.least(F.col("_to") + quiet, F.col("anchor") + longest))
         alone = untimed(df).select("_seq", F.lit(None).cast("timestamp"), F.lit(1).cast("bigint"))
         last = ends.select("_last", emit.alias("emit_ts"), "burst_rows").union(alone)

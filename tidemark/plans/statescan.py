@@ -441,13 +441,18 @@ def _anchored(rule: SpanRule, limit: int | None) -> Callable[[Iterator[pa.Record
     return lambda batches: _joined(run(batches), build, _ANCHORED)
 
 
-def narrow_rows(df: DataFrame, keys: Sequence[str], block: int = BLOCK, few_keys: bool = False) -> DataFrame:
+def narrow_rows(
+    df: DataFrame, keys: Sequence[str], block: int = BLOCK, few_keys: bool = False, held: DataFrame | None = None
+) -> DataFrame:
     """What the scans need of each row with a time: ``_k`` (the keys as one text), ``seq``, ``at`` and ``_block``.
 
-    Rows without a time take no part in a rule: see :func:`untimed`.
+    ``held``: narrow rows of earlier micro-batches, that come before; they may have further columns. Rows without a time
+    take no part in a rule: see :func:`untimed`.
     """
     key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
     narrow = df.select(key.alias("_k"), "seq", F.unix_micros("ts").alias("at")).filter(F.col("at").isNotNull())
+    if held is not None:
+        narrow = narrow.unionByName(held, allowMissingColumns=True)
     return with_block(narrow, ["_k"] if keys else [], F.col("seq"), block, few_keys)
 
 
