@@ -252,6 +252,29 @@ def clocked(log):
     return log.withColumn("ts", F.when(F.col("seq") % 9 != 4, F.col("ts") + shift)).select("seq", "ts", "user", "columns")
 
 
+@pytest.mark.parametrize("block", [8, 1 << 20])
+def test_dedup_ttl_over_batches_equals_the_batch(log, tmp_path, block):
+    rows, path = clocked(log), str(tmp_path / "out")
+    step = carried.dedup_ttl(["user"], 20 * HOUR, block=block)
+    got = batches(step, path, *thirds(rows))
+    want = rows_of(rows.transform(selection.dedup_ttl(["user"], 20 * HOUR)), "seq", "columns")
+    assert sorted(r for part in got for r in rows_of(part, "seq", "columns")) == want
+    before = rows_of(got[1], "seq")
+    carried.advance(step, path)(thirds(rows)[1], 1)  # the batch runs again
+    assert rows_of(log.sparkSession.read.parquet(f"{path}/rows/batch=1"), "seq") == before
+    assert carried.tables_before(step, log.sparkSession, path, 9)["kept"].count() == 3  # a row for each key
+
+
+def test_dedup_ttl_forgets_keys_whose_span_is_over(make, tmp_path):
+    rows = [make({"seq": 1, "at": 0, "table": "a"}, {"seq": 2, "at": 50, "table": "b"}), make({"seq": 3, "at": 100, "table": "b"}),
+            make({"seq": 4, "at": 109, "table": "b"}, {"seq": 5, "at": 109, "table": "a"})]
+    step = carried.dedup_ttl(["table_name"], 60, late=30)
+    assert [seqs(part) for part in batches(step, str(tmp_path), *rows)] == [[1, 2], [], [5]]
+    step = carried.dedup_ttl(["table_name"], 10, late=30)
+    batches(step, str(tmp_path / "b"), *rows[:2])
+    assert carried.tables_before(step, rows[0].sparkSession, str(tmp_path / "b"), 9)["kept"].count() == 1
+
+
 @pytest.mark.parametrize("block", [8, 1 << 20])
 def test_debounce_over_batches_equals_the_batch(log, tmp_path, block):
     rows, spark = clocked(log), log.sparkSession
@@ -282,7 +305,7 @@ def test_the_clock_ends_a_burst(make, tmp_path):
     assert [seqs(part) for part in got] == [[], [2]] and got[1].first().burst_rows == 2
 
 
-@pytest.mark.parametrize("name, table", [("stream_debounce", "debounce")])
+@pytest.mark.parametrize("name, table", [("stream_debounce", "debounce"), ("stream_dedup_ttl", "dedup")])
 def test_rules_of_streams_keep_tables_and_call_nothing_per_key(spark, tmp_path, monkeypatch, name, table):
     from tidemark import queries
 

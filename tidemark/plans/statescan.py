@@ -501,6 +501,11 @@ def anchors(
     )
 
 
+def marked(narrow: DataFrame, rule: SpanRule, **kw) -> DataFrame:
+    """The marked rows of ``narrow_rows`` themselves: ``_k``, ``seq`` and ``at``."""
+    return anchors(narrow, rule, limit=1, **kw).filter("start = seq").select("_k", "seq", "at")
+
+
 def untimed(df: DataFrame) -> DataFrame:
     """The ``_seq`` of rows without a time. No clock can hold them back, so they always pass."""
     return df.filter("ts IS NULL").select(F.col("seq").alias("_seq"))

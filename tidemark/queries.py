@@ -1483,8 +1483,8 @@ def stream_watermark_status(spark, sf):
 
 @query("stream_dedup_ttl", **same_sql("dedup_ttl"))
 def stream_dedup_ttl(spark, sf):
-    out = stream_per_user(spark, sf).transform(processors.dedup_ttl(["user"], DAY, late="1 hour"))
-    return drained(spark, out.select("seq"), "dedup").select("seq")
+    path, live = scratch(spark, "dedup"), stream_per_user(spark, sf).select("seq", "ts", "user")
+    return carried.drain(live, carried.dedup_ttl(["user"], DAY), path, f"{path}/progress").select("seq")
 
 
 @query("stream_token_bucket", **same_sql("token_bucket"))
