@@ -313,3 +313,37 @@ def test_rules_of_streams_keep_tables_and_call_nothing_per_key(spark, tmp_path,
     queries.QUERIES[name](spark, SF).count()
     assert (tmp_path / table / "progress" / "commits").exists()
     assert (tmp_path / table / "tables").exists() and not (tmp_path / table / "progress" / "state").exists()
+
+
+# ------------------------------------------------------------------ parts and blocks that many tasks share
+
+
+@pytest.fixture()
+def uncoalesced(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.files.maxPartitionBytes")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    for k, v in kept.items():
+        spark.conf.set(k, v)
+
+
+def tasks_of(df):
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+@pytest.mark.parametrize("name, log", [("stream_decode", "raw"), ("stream_coalesce", "log"), ("stream_sequence_all", "log"),
+                                       ("stream_ttl_lookup", "rows"), ("stream_metrics", "raw"), ("stream_summarize", "log")])
+def test_a_part_of_a_log_is_written_by_many_tasks(spark, uncoalesced, monkeypatch, name, log):
+    from tidemark import queries
+
+    class Seen(Exception):
+        pass
+
+    def seen(spark, sf, name, logs, go, places=1):
+        raise Seen(logs)
+
+    monkeypatch.setattr(queries, "arriving", seen)
+    with pytest.raises(Seen) as e:
+        queries.QUERIES[name](spark, SF)
+    rows = e.value.args[0][log]
+    assert tasks_of(rows.filter((F.col("seq") >= 100) & (F.col("seq") < 400))) == 3  # as many as the shuffle has

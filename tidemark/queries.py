@@ -83,6 +83,12 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def dealt(spark: SparkSession, sf: str) -> DataFrame:
+    """The events dealt out by id. A range of the ids, as it is cut off for one micro-batch, lies in a few
+    pieces of the table's files, and few tasks would write and read it."""
+    return events(spark, sf).repartition("event_id")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder that the session names."""
     return os.path.join(checkpoint_root(spark), f"{name}-{uuid.uuid4().hex}")
@@ -847,7 +853,8 @@ SELECT seq, CASE WHEN op = 'signup' AND us <= ous + {3 * DAY * 10**6} THEN v END
 FROM asked a ASOF LEFT JOIN ops o ON a.c_user = o.k AND a.ts >= o.ots""")
 def ttl_lookup(spark, sf):
     stage = combine.ttl_lookup(derive.cache_ops(events(spark, sf)), "user", 3 * DAY)
-    asked = per_user(spark, sf).filter(~first_value("event_type").isin("signup", "error"))
+    log = events_to_changes(dealt(spark, sf)).withColumn("user", first_value("user_id"))
+    asked = log.filter(~first_value("event_type").isin("signup", "error"))
     return asked.transform(stage).select("seq", "cached")
 
 
@@ -1351,7 +1358,7 @@ def arriving(
 
 def carried_rows(spark: SparkSession, sf: str, name: str, step: carried.Step, log: DataFrame | None = None, places: int = 1) -> DataFrame:
     """The rows that a step with carried tables gives over the change log (or ``log``), in ``RUNS`` micro-batches."""
-    log, path = changes(spark, sf) if log is None else log, scratch(spark, name)
+    log, path = events_to_changes(dealt(spark, sf)) if log is None else log, scratch(spark, name)
 
     def go(paths: dict[str, str]) -> None:
         live = changelog.stream_changes(spark, paths["log"], schema=log.schema)
@@ -1364,8 +1371,8 @@ def carried_rows(spark: SparkSession, sf: str, name: str, step: carried.Step, lo
 @query("stream_decode", **same_sql("decode_changes"))
 def stream_decode(spark, sf):
     """Relation versions arrive between the runs, in a log of their own; rows wait until it has passed them."""
-    e, path = events(spark, sf), scratch(spark, "decode")
-    logs = {"raw": derive.raw_log(e), "relations": derive.relation_log(e)}
+    path = scratch(spark, "decode")
+    logs = {"raw": derive.raw_log(dealt(spark, sf)), "relations": derive.relation_log(events(spark, sf))}
     step = carried.decode(logs["raw"].schema, logs["relations"].schema)
 
     def go(paths: dict[str, str]) -> None:
@@ -1400,7 +1407,7 @@ FROM changes GROUP BY table_name, c_user""")
 def stream_coalesce(spark, sf):
     """Each micro-batch is merged into a table with one row per key, which is read back."""
     short = F.filter("columns", lambda c: c["name"] == "user_id")
-    log = changes(spark, sf).withColumn("columns", F.when(F.col("action") == "DELETE", short).otherwise(F.col("columns")))
+    log = events_to_changes(dealt(spark, sf)).withColumn("columns", F.when(F.col("action") == "DELETE", short).otherwise(F.col("columns")))
     path = scratch(spark, "merged")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema.fields)
     table = keyed.upserts(spark, path, schema, "user_id", 8)
@@ -1416,8 +1423,8 @@ def stream_coalesce(spark, sf):
 @query("stream_metrics", **same_sql("pipeline_metrics"))
 def stream_metrics(spark, sf):
     """Counters observed while a stream runs, appended by a listener and summed."""
-    e, path = events(spark, sf), scratch(spark, "metrics")
-    logs, relations = {"raw": derive.raw_log(e)}, derive.relation_log(e)
+    path = scratch(spark, "metrics")
+    logs, relations = {"raw": derive.raw_log(dealt(spark, sf))}, derive.relation_log(events(spark, sf))
     bad = F.col("decode_error").isNotNull()
     counters = counting.pipeline_metrics(~bad & F.col("action").isin("INSERT", "UPDATE"), decode_error=bad)
     with metrics.MetricsLog(spark, f"{path}/metrics", "flow") as log:
@@ -1435,8 +1442,9 @@ def stream_metrics(spark, sf):
 def stream_ttl_lookup(spark, sf):
     """Cache operations arrive with the rows; what no later row can find is forgotten."""
     path = scratch(spark, "cache")
-    asked = per_user(spark, sf).filter(~first_value("event_type").isin("signup", "error")).select("seq", "ts", "user")
-    logs = {"rows": asked, "ops": derive.cache_ops(events(spark, sf)).select("seq", "ts", "key", "op", "value")}
+    log = events_to_changes(dealt(spark, sf)).withColumn("user", first_value("user_id"))
+    asked = log.filter(~first_value("event_type").isin("signup", "error")).select("seq", "ts", "user")
+    logs = {"rows": asked, "ops": derive.cache_ops(dealt(spark, sf)).select("seq", "ts", "key", "op", "value")}
     step = carried.ttl_lookup("user", 3 * DAY)
 
     def go(paths: dict[str, str]) -> None:
@@ -1463,7 +1471,7 @@ def updated(
 
 @query("stream_summarize", **same_sql("summarize"))
 def stream_summarize(spark, sf):
-    return updated(spark, sf, "summary", counting.summarize(), ["table_name", "action", "level"], changes(spark, sf))
+    return updated(spark, sf, "summary", counting.summarize(), ["table_name", "action", "level"], events_to_changes(dealt(spark, sf)))
 
 
 @query("stream_relation_dictionary", **same_sql("relation_dictionary"))
@@ -1477,7 +1485,7 @@ def stream_relation_dictionary(spark, sf):
 @query("stream_watermark_status", **same_sql("watermark_status"))
 def stream_watermark_status(spark, sf):
     stage = progress.watermark_status("2024-01-31 00:00:00", 7200, ["table_name"])
-    out = updated(spark, sf, "watermark", stage, ["table_name"], changes(spark, sf))
+    out = updated(spark, sf, "watermark", stage, ["table_name"], events_to_changes(dealt(spark, sf)))
     return out.select("table_name", "lsn", us("updated_at").alias("updated_us"), "stale")
 
 
