@@ -347,3 +347,10 @@ def test_a_part_of_a_log_is_written_by_many_tasks(spark, uncoalesced, monkeypatc
         queries.QUERIES[name](spark, SF)
     rows = e.value.args[0][log]
     assert tasks_of(rows.filter((F.col("seq") >= 100) & (F.col("seq") < 400))) == 3  # as many as the shuffle has
+
+
+def test_an_upsert_reads_a_batch_once_for_each_use(make, tmp_path):
+    rows = make({"seq": 5, "columns": {"id": "1", "a": "x"}})
+    table = keyed.upserts(rows.sparkSession, str(tmp_path), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in CHANGES), "id")
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert leaves(table.merge(rows, rows)) == 2 * leaves(rows.transform(combine.coalesce_rows("id")))

@@ -88,11 +88,12 @@ class KeyedTable:
 def upserts(spark: SparkSession, path: str, schema: str, key_column: str, buckets: int = 64) -> KeyedTable:
     """``combine.coalesce_rows`` as a table: one row per table and key value, the last write of each column wins.
 
-    Rows of a later batch must have arrived later, as the rows of a log do.
+    Rows of a later batch must have arrived later, as the rows of a log do: a row of the table has the ``seq`` of its first
+    row, so what a batch writes comes after it, and one pass merges both.
     """
     stage = combine.coalesce_rows(key_column)
     keys = [F.coalesce("table_name", F.lit("")), combine.coalesce_key(key_column)]
-    return KeyedTable(spark, path, schema, keys, lambda old, new: old.unionByName(new.transform(stage)).transform(stage), buckets)
+    return KeyedTable(spark, path, schema, keys, lambda old, new: old.unionByName(new).transform(stage), buckets)
 
 
 def upsert_stream(live: DataFrame, table: KeyedTable, checkpoint: str, every: str | None = None) -> StreamingQuery:
